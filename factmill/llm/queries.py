@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import bounded_batches, table
 from .exact_dedup import exact_groups
+from .lm_scoring import lm_scores, training_rows
 
 
 def op6_exact_dedup(spark, sf_dir):
@@ -11,7 +12,12 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+def op10_lm_scoring(spark, sf_dir):
+    bounded_batches(spark)
+    return lm_scores(table(spark, sf_dir, "documents"), training_rows())
+
+
+QUERIES = {f.__name__: f for f in (op6_exact_dedup, op10_lm_scoring)}
 
 ORACLE = {
     "op6_exact_dedup": """
