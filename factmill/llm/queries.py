@@ -8,6 +8,7 @@ from .bpe import round_trip
 from .common import bounded_batches, table
 from .exact_dedup import exact_groups
 from .lm_scoring import lm_scores, training_rows
+from .quality import quality_scores
 
 
 def op6_exact_dedup(spark, sf_dir):
@@ -20,13 +21,18 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"), training_rows())
 
 
+def op2_quality(spark, sf_dir):
+    bounded_batches(spark)
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     bounded_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op9_byte_bpe, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_quality, op6_exact_dedup, op9_byte_bpe, op10_lm_scoring)}
 
 ORACLE = {
     "op6_exact_dedup": """
