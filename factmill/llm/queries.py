@@ -8,6 +8,7 @@ from .bpe import round_trip
 from .common import bounded_batches, table
 from .exact_dedup import exact_groups
 from .lm_scoring import lm_scores, training_rows
+from .packing import pack
 from .quality import quality_scores
 
 
@@ -26,13 +27,18 @@ def op2_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark, sf_dir):
+    bounded_batches(spark)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     bounded_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op6_exact_dedup, op9_byte_bpe, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op6_exact_dedup, op9_byte_bpe, op10_lm_scoring)}
 
 ORACLE = {
     "op6_exact_dedup": """
