@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .bpe import round_trip
 from .common import bounded_batches, table
@@ -10,6 +11,7 @@ from .exact_dedup import exact_groups
 from .lm_scoring import lm_scores, training_rows
 from .packing import pack
 from .quality import quality_scores
+from .topk_search import top_k
 
 
 def op6_exact_dedup(spark, sf_dir):
@@ -32,15 +34,30 @@ def op4_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_topk_search(spark, sf_dir):
+    bounded_batches(spark)
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_byte_bpe(spark, sf_dir):
     bounded_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op6_exact_dedup, op9_byte_bpe, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op5_topk_search, op6_exact_dedup, op9_byte_bpe, op10_lm_scoring)}
 
 ORACLE = {
+    "op5_topk_search": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
     "op6_exact_dedup": """
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
