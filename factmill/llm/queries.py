@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .bpe import round_trip
-from .common import bounded_batches, table
+from .common import bounded_batches, fresh_path, table
 from .exact_dedup import exact_groups
 from .lm_scoring import lm_scores, training_rows
 from .packing import pack
 from .quality import quality_scores
 from .topk_search import top_k
+from .warc import archive, read_bundles
 
 
 def op6_exact_dedup(spark, sf_dir):
@@ -39,15 +40,30 @@ def op5_topk_search(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_warc(spark, sf_dir):
+    bounded_batches(spark)
+    folder = fresh_path(spark, "warc")
+    return read_bundles(spark, folder, archive(table(spark, sf_dir, "pages"), folder))
+
+
 def op9_byte_bpe(spark, sf_dir):
     bounded_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op5_topk_search, op6_exact_dedup, op9_byte_bpe, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op5_topk_search, op6_exact_dedup, op7_warc, op9_byte_bpe, op10_lm_scoring)}
 
 ORACLE = {
+    "op7_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+q AS (
+  SELECT page_id, size AS payload_bytes, sha1(payload) AS payload_digest,
+         CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < first THEN first END AS refers_to FROM q""",
     "op5_topk_search": """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
