@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .lm_scoring import lm_scores, training_rows
 from .packing import pack
 from .quality import quality_scores
+from .simhash import simhash_components
 from .topk_search import top_k
 from .warc import archive, read_bundles
 
@@ -30,6 +31,11 @@ def op2_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_simhash(spark, sf_dir):
+    bounded_batches(spark)
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     bounded_batches(spark)
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -52,7 +58,7 @@ def op9_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op5_topk_search, op6_exact_dedup, op7_warc, op9_byte_bpe, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_simhash, op4_packing, op5_topk_search, op6_exact_dedup, op7_warc, op9_byte_bpe, op10_lm_scoring)}
 
 ORACLE = {
     "op7_warc": """
