@@ -12,6 +12,7 @@ from .lm_scoring import lm_scores, training_rows
 from .packing import pack
 from .quality import quality_scores
 from .simhash import simhash_components
+from .substring_dedup import drop_repeated_windows
 from .topk_search import top_k
 from .warc import archive, read_bundles
 
@@ -52,13 +53,18 @@ def op7_warc(spark, sf_dir):
     return read_bundles(spark, folder, archive(table(spark, sf_dir, "pages"), folder))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    bounded_batches(spark)
+    return drop_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     bounded_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_simhash, op4_packing, op5_topk_search, op6_exact_dedup, op7_warc, op9_byte_bpe, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_simhash, op4_packing, op5_topk_search, op6_exact_dedup, op7_warc, op8_substring_dedup, op9_byte_bpe, op10_lm_scoring)}
 
 ORACLE = {
     "op7_warc": """
