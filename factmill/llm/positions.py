@@ -54,7 +54,7 @@ class Entries:
         return b"".join(
             [np.array([len(own), len(self.doc), len(self.keys)], "<i8").tobytes(), np.diff(ids, prepend=np.int64(0)).astype("<i8").tobytes()]
             + [self.tags[own].astype("<u2").tobytes(), np.packbits(first).tobytes(), np.packbits(flag).tobytes()]
-            + [(step & 0xFFFF).astype("<u2").tobytes(), (step >> 16).astype("<u2").tobytes()]
+            + [(step >> k & 0xFFFF).astype("<u2").tobytes() for k in (0, 16, 32)]
             + [k.astype("<u8").tobytes() for k in self.keys]
         )
 
@@ -72,7 +72,7 @@ class Entries:
         ids, tags = np.cumsum(read("<i8", docs)), read("<u2", docs)
         first = np.unpackbits(read("u1", -(-n // 8)), count=n).astype(bool)
         flag = np.unpackbits(read("u1", -(-n // 8)), count=n).astype(bool)
-        step = read("<u2", n).astype(np.int64) + (read("<u2", n).astype(np.int64) << 16)
+        step = sum(read("<u2", n).astype(np.int64) << k for k in (0, 16, 32))
         doc = np.cumsum(first) - 1
         total = np.cumsum(step)
         pos = total - (total - step)[first][doc]
@@ -143,7 +143,7 @@ def found_batch(parts: list[Entries]) -> pa.Table:
     for e in parts:
         if len(e.doc):
             begins = np.flatnonzero(np.append(True, e.doc[1:] != e.doc[:-1]))
-            pos = e.pos.astype("<i4")
+            pos = e.pos.astype("<i8")
             ids += e.ids[e.doc[begins]].tolist()
             tags += e.tags[e.doc[begins]].tolist()
             places += [pos[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(pos)))]
@@ -183,7 +183,7 @@ def by_document(found: DataFrame) -> DataFrame:
 def places_of(column: pa.Array, row: int) -> np.ndarray:
     """Sorted positions of a row of by_document; none where it is null."""
     value = column[row].as_py()
-    return np.unique(np.frombuffer(b"".join(value), "<i4").astype(np.int64)) if value else np.zeros(0, np.int64)
+    return np.unique(np.frombuffer(b"".join(value), "<i8")) if value else np.zeros(0, np.int64)
 
 
 def blend(a: np.ndarray, b: np.ndarray) -> np.ndarray:

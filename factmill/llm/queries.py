@@ -13,6 +13,7 @@ from .packing import pack
 from .quality import quality_scores
 from .simhash import simhash_components
 from .substring_dedup import drop_repeated_windows
+from .suffix_dedup import drop_repeated_bytes
 from .topk_search import top_k
 from .warc import archive, read_bundles
 
@@ -27,6 +28,11 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"), training_rows())
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    bounded_batches(spark)
+    return drop_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark, sf_dir):
     bounded_batches(spark)
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -64,7 +70,7 @@ def op9_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_simhash, op4_packing, op5_topk_search, op6_exact_dedup, op7_warc, op8_substring_dedup, op9_byte_bpe, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_simhash, op4_packing, op5_topk_search, op6_exact_dedup, op7_warc, op8_substring_dedup, op9_byte_bpe, op10_lm_scoring)}
 
 ORACLE = {
     "op7_warc": """
