@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,8 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 60_000, 150_000, 500_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 80_000, 250_000, 600_000
 BYTES = [bytes((b,)) for b in range(256)]
+TWO_BLANKS = re.compile(r"\s\s")
 
 
 class Vocabulary:
@@ -32,12 +34,16 @@ class Vocabulary:
 
     def merge(self, data: bytes) -> list[bytes]:
         """Merge the pair of least rank, the leftmost first, until no pair has a rank."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if rank == 1 << 40:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, none = [data[i : i + 1] for i in range(len(data))], 1 << 40
+        ranks = [self.ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.ranks.get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = self.ranks.get(parts[i] + parts[i + 1], none)
         return parts
 
     def follow(self, left: int, right: int) -> bool:
@@ -52,12 +58,12 @@ class Vocabulary:
 
 
 class State:
-    """settled: the last settled token. rest: the bytes after it. paths: for each end in rest where a token may end, from
-    small to large, the tokens from rest's start to there."""
+    """settled: the last settled token. rest: the bytes after it. paths: each end in rest where a token may end, from small to
+    large, with the tokens from rest's start to there."""
 
     __slots__ = ("arcs", "paths", "rest", "settled")
 
-    def __init__(self, settled: int, rest: bytes, paths: dict):
+    def __init__(self, settled: int, rest: bytes, paths: list):
         self.settled, self.rest, self.paths, self.arcs = settled, rest, paths, {}
 
 
@@ -65,45 +71,77 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.states: dict = {}
-        self.start = State(-1, b"", {0: ()})
+        self.start = State(-1, b"", [(0, ())])
 
     def arc(self, state: State, byte: int):
         v, rest, settled = self.v, state.rest + BYTES[byte], state.settled
-        end, paths = len(rest), {}
-        ranks, wider, live, mine = v.ranks, v.open, [], None
-        for begin, path in state.paths.items():
+        ranks, wider, pairs, end, mine = v.ranks, v.open, v.pairs, len(rest), None
+        live = []
+        for begin, path in state.paths:
             tail = rest[begin:]
-            if mine is None and (token := ranks.get(tail)) is not None and v.follow(path[-1] if path else settled, token):
-                mine = (*path, token)
+            if mine is None and (token := ranks.get(tail)) is not None:
+                left = path[-1] if path else settled
+                if (fits := pairs.get((left << 32) + token)) is None:
+                    fits = v.follow(left, token)
+                if fits:
+                    mine = (*path, token)
             if tail in wider:  # a longer token may still begin here
                 live.append((begin, path))
         live.append((end, mine))
-        first, shared = live[0][1], len(live[0][1])
+        out = live[0][1]
         for _, path in live[1:]:
-            shared = min(shared, len(path))
-            while first[:shared] != path[:shared]:
-                shared -= 1
-        out, cut = first[:shared], 0
-        if shared:
-            cut, settled = sum(len(v.tokens[t]) for t in out), first[shared - 1]
-        key = (settled, rest[cut:])
+            if out != path:
+                shared = min(len(out), len(path))
+                while out[:shared] != path[:shared]:
+                    shared -= 1
+                out = out[:shared]
+        cut = 0
+        if out:
+            cut, settled, shared = sum([len(v.tokens[t]) for t in out]), out[-1], len(out)
+            rest, live = rest[cut:], [(i - cut, path[shared:]) for i, path in live]
+        key = (settled, rest)
         if (found := self.states.get(key)) is None:
             if len(self.states) > MAX_STATES:
                 self.states.clear()
                 self.start.arcs.clear()
-            found = self.states[key] = State(settled, rest[cut:], {i - cut: path[shared:] for i, path in live})
+            found = self.states[key] = State(settled, rest, live)
         state.arcs[byte] = found = (found, out)
         return found
 
+    def undetermined(self, state: State, data: bytes) -> tuple:
+        """The tokens of what follows the settled ones, over all live paths at once and without making states."""
+        v, live, settled = self.v, state.paths, state.settled
+        ranks, wider, pairs, data = v.ranks, v.open, v.pairs, state.rest + data
+        for end in range(len(state.rest) + 1, len(data) + 1):
+            mine, next_live = None, []
+            for begin, path in live:
+                tail = data[begin:end]
+                if mine is None and (token := ranks.get(tail)) is not None:
+                    left = path[-1] if path else settled
+                    if (fits := pairs.get((left << 32) + token)) is None:
+                        fits = v.follow(left, token)
+                    if fits:
+                        mine = (*path, token)
+                if tail in wider:
+                    next_live.append((begin, path))
+            next_live.append((end, mine))
+            live = next_live
+        return live[-1][1]
+
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.v.ranks.get(piece)) is not None:
             return [whole]
         state, ids = self.start, []
-        for byte in piece:
-            state, out = state.arcs.get(byte) or self.arc(state, byte)
+        for k, byte in enumerate(piece):
+            if (found := state.arcs.get(byte)) is None:
+                if byte not in state.arcs:  # an arc is made when it is needed for the second time
+                    state.arcs[byte] = None
+                    return [*ids, *self.undetermined(state, piece[k:])]
+                found = self.arc(state, byte)
+            state, out = found
             if out:
                 ids += out
-        return ids + list(state.paths[len(state.rest)])
+        return [*ids, *state.paths[-1][1]]
 
 
 class StreamDecoder:
@@ -139,7 +177,10 @@ class StreamDecoder:
         return out
 
     def feed(self, ids) -> str:
-        return "".join(self.step(b) for i in ids for b in self.tokens[i])
+        data = b"".join([self.tokens[i] for i in ids])
+        if not self.need and data.isascii():  # ASCII leaves the first state as it is
+            return data.decode()
+        return "".join(map(self.step, data))
 
 
 class Memo(dict):
@@ -167,6 +208,7 @@ class Coder:
         # \s of the pattern is Unicode's White_Space
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.piece = Memo(lambda piece: ",".join(map(str, self.machine.encode(piece.encode()))))
+        self.chunk = Memo(lambda chunk: ",".join(map(self.piece.__getitem__, self.pattern.findall(chunk))))
         self.back = Memo(self.text_of)
 
     def text_of(self, ids: str) -> bytes:
@@ -174,11 +216,18 @@ class Coder:
         return (decoder.feed(map(int, ids.split(","))) + decoder.flush()).encode()
 
     def encode(self, text: str) -> list[str]:
-        """The decimal ids of each piece that the pattern finds, joined by commas."""
-        return list(map(self.piece.__getitem__, self.pattern.findall(text)))
+        """The decimal ids of each stretch of text, joined by commas.
+
+        Where no two white-space characters follow each other, a blank begins a match of the pattern and a line end is one, so the
+        text may be cut there and stretches looked up; other texts are matched as a whole.
+        """
+        if "\0" in text or TWO_BLANKS.search(text):
+            return list(map(self.piece.__getitem__, self.pattern.findall(text)))
+        chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return list(map(self.chunk.__getitem__, filter(None, chunks)))
 
     def decode(self, pieces: list[str]) -> bytes:
-        """A piece of whole characters ends in the decoder's first state, so pieces are decoded one by one."""
+        """A stretch of whole characters ends in the decoder's first state, so stretches are decoded one by one."""
         return b"".join(map(self.back.__getitem__, pieces))
 
 
