@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from . import records, retrieval, tables
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _module in (records, retrieval, tables):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["e1_primaries"](spark, sf_dir)
+    return QUERIES["question_answering"](spark, sf_dir)
