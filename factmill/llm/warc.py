@@ -124,25 +124,31 @@ class Bundle:
 INDEX = "bundle long, record_id string, frame int, frame_offset long, bytes long"
 
 
-def write_bundles(df: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = 3) -> DataFrame:
-    """Write page_id, url, payload (string), digest, size, refers_to (null: a response) to bundles in folder, and the index to
-    folder/index, which is returned."""
-    size = F.when(F.col("refers_to").isNull(), F.col("size")).otherwise(0) + 600
-    bundles = buckets_for(df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0], bundle_bytes)
+def write_bundles(pages: DataFrame, refers: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = 3) -> DataFrame:
+    """Write pages (page_id, url, payload, digest, size) to bundles in folder, those that refers (page_id, digest, refers_to) names as
+    revisits; and the index to folder/index, which is returned. A page and what it refers to meet in the one shuffle that
+    brings payloads to their bundle."""
+    bundles = buckets_for(pages.agg(F.coalesce(F.sum(F.col("size") + 600), F.lit(0))).first()[0], bundle_bytes)
     where, base = place(folder)
     where.create_dir(base, recursive=True)
 
     def write(batches):
-        open_bundle, number = None, None
+        open_bundle, number, current, known = None, None, None, {}
         for batch in batches:
             rows = batch.to_pydict()
             out = []
-            for bundle, page, url, payload, digest, n, refers in zip(*rows.values()):
+            for bundle, page, _, url, payload, digest, n, refers_to in zip(*rows.values()):
                 if bundle != number:
                     if open_bundle:
                         open_bundle.close()
                     open_bundle, number = Bundle(folder, f"bundle-{bundle:08d}.warc.zst", frame_bytes, level), bundle
-                data = record(page, url, digest, n, None if refers is not None else payload.encode(), refers)
+                if page != current:
+                    current, known = page, {}
+                if refers_to is not None:  # comes before the pages with its page_id
+                    known[digest] = refers_to
+                    continue
+                target = known.get(digest)
+                data = record(page, url, digest, n, None if target is not None else payload.encode(), target)
                 out.append((bundle, record_urn(page), *open_bundle.add(data), len(data)))
             columns = list(zip(*out)) or [()] * 5
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
@@ -150,18 +156,13 @@ def write_bundles(df: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bu
         if open_bundle:
             open_bundle.close()
 
-    spread = df.select(
-        F.pmod(F.xxhash64("page_id", "digest", "url"), F.lit(bundles)).alias("bundle"),
-        "page_id",
-        F.col("url").cast("string"),
-        F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"),
-        "digest",
-        "size",
-        "refers_to",
+    bundle = F.pmod(F.xxhash64("page_id"), F.lit(bundles)).alias("bundle")
+    spread = pages.select(bundle, "page_id", F.lit(1).alias("kind"), F.col("url").cast("string"), "payload", "digest", "size", F.lit(None).cast("long").alias("refers_to")).union(
+        refers.select(bundle, "page_id", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"), "digest", F.lit(None).cast("long"), "refers_to")
     )
-    ordered = spread.repartition("bundle").sortWithinPartitions("bundle", "page_id")
+    ordered = spread.repartition("bundle").sortWithinPartitions("bundle", "page_id", "kind")
     ordered.mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
-    return df.sparkSession.read.parquet(f"{folder}/index")
+    return pages.sparkSession.read.parquet(f"{folder}/index")
 
 
 def fetch(folder: str, bundle: int, frame: int, frame_offset: int) -> tuple[dict, bytes]:
@@ -233,4 +234,4 @@ def archive(df: DataFrame, folder: str, smallest: int = SMALLEST_REVISIT, html_c
         .distinct()
     )
     rows = df.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    return write_bundles(rows.join(refers, ["page_id", "digest"], "left"), folder)
+    return write_bundles(rows, refers, folder)
