@@ -1 +1,351 @@
-QUERIES, ORACLE = {}, {}
+"""Queries over chunks, vectors and tables of questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factmill.operators import answers, chunks, dedupe, questions, search
+
+from . import adapters as A
+from .adapters import RECORDS_SQL as REC
+from .catalog import Catalog
+
+query = Catalog()
+QUERIES, ORACLE = query.queries, query.oracle
+
+TOKENS = """
+{name}_t AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM {source}),
+{name}_c AS (SELECT {key}, CAST('0x' || substr(sha256(token), 1, 8) AS BIGINT) % 2147483000 + 1 AS token_id, count(*) AS n FROM {name}_t GROUP BY ALL),
+{name} AS (SELECT {key}, token_id, round(1 + ln(1 + n), 6) AS weight FROM {name}_c
+  UNION ALL SELECT {key}, 1, 1.0 FROM {source} WHERE len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) = 0)"""
+DOC_TOKENS = TOKENS.format(name="dt", key="doc_id", source="documents")
+BENCH_TOKENS = TOKENS.format(name="bt", key="item_id", source="benchmark")
+SPARSE = """
+sp AS (SELECT item_id, doc_id, round(sum(bt.weight * dt.weight), 6) AS score FROM bt JOIN dt USING (token_id) GROUP BY ALL),
+sr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sp QUALIFY rank <= 20)"""
+
+
+def _sparse(spark, sf_dir, k=20):
+    q = search.token_weights(A.table(spark, sf_dir, "benchmark"), "item_id", "text")
+    d = search.token_weights(A.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return search.sparse_topk(q, d, k, "item_id", "doc_id")
+
+
+@query("e11_token_weights", f"WITH {DOC_TOKENS} SELECT doc_id, token_id, weight FROM dt")
+def token_weights(spark, sf_dir):
+    return search.token_weights(A.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("g2_sparse_topk", f"WITH {DOC_TOKENS}, {BENCH_TOKENS}, {SPARSE} SELECT item_id, doc_id, score, rank FROM sr")
+def sparse_topk(spark, sf_dir):
+    return _sparse(spark, sf_dir)
+
+
+@query(
+    "g5_token_overlap",
+    f"""
+WITH {DOC_TOKENS}, {BENCH_TOKENS}, {SPARSE},
+o AS (SELECT item_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t, contains(lower(d.text), lower(b.text)) AS whole
+  FROM sr JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))
+SELECT item_id, doc_id, round(len(list_intersect(q, t)) / greatest(len(q), 1) + CASE WHEN whole THEN 0.25 ELSE 0.0 END, 6) AS score FROM o""",
+)
+def token_overlap(spark, sf_dir):
+    b = A.table(spark, sf_dir, "benchmark").withColumnRenamed("text", "q")
+    hits = _sparse(spark, sf_dir).select("item_id", "doc_id").join(b, "item_id").join(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return hits.select("item_id", "doc_id", search.overlap_score(F.col("q"), F.col("text")).alias("score"))
+
+
+@query(
+    "g1_dense_topk",
+    """
+WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 25 = 0)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10""",
+)
+def dense_topk(spark, sf_dir):
+    e = A.table(spark, sf_dir, "embeddings")
+    return search.dense_topk(e.filter("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), 10, "label")
+
+
+@query(
+    "g3_hybrid_rrf",
+    f"""
+WITH {DOC_TOKENS}, {BENCH_TOKENS}, {SPARSE},
+o AS (SELECT item_id, doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')), regexp_extract_all(lower(d.text), '[a-z0-9]+'))) / greatest(len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+'))), 1)
+  + CASE WHEN contains(lower(d.text), lower(b.text)) THEN 0.25 ELSE 0.0 END, 6) AS score FROM sr JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
+l AS (SELECT item_id, doc_id, rank FROM sr UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) FROM o)
+SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM l GROUP BY ALL""",
+)
+def hybrid_rrf(spark, sf_dir):
+    sparse = _sparse(spark, sf_dir)
+    dense = search._best(token_overlap(spark, sf_dir), "item_id", "doc_id", 20)
+    return search.rrf(sparse.select("item_id", "doc_id", "rank").unionByName(dense.select("item_id", "doc_id", "rank")), "item_id", "doc_id")
+
+
+def _evidence(spark, sf_dir):
+    """Evidence of 40 queries: every record is scored for the query of its number modulo 40."""
+    r = A.records(spark, sf_dir)
+    return r.withColumns(
+        {"query_id": F.col("doc_id") % 40, "score": F.round((F.col("doc_id") * 7919 % 1000) / 1000.0, 6), "chunk_id": F.concat("record_version_id", F.lit(":0")), "type_hint": F.when(F.col("doc_id") % 40 < 20, "program")}
+    )
+
+
+EV = f"{REC}, ev AS (SELECT *, doc_id % 40 AS query_id, round((doc_id * 7919 % 1000) / 1000.0, 6) AS score, record_version_id || ':0' AS chunk_id, CASE WHEN doc_id % 40 < 20 THEN 'program' END AS type_hint FROM rec)"
+
+
+@query(
+    "e3_primary_hits",
+    f"""
+WITH {EV}, k AS (SELECT * REPLACE (sha256(source) AS dedupe_key) FROM ev), m AS (SELECT *, min(tier) OVER (PARTITION BY query_id, dedupe_key) AS least FROM k),
+p AS (SELECT query_id, dedupe_key, min(effective_hash) <> max(effective_hash) AS torn, arg_max(record_version_id, (score, record_version_id)) AS best FROM m WHERE tier = least GROUP BY ALL)
+SELECT query_id, record_version_id, score FROM m JOIN p USING (query_id, dedupe_key) WHERE tier = least AND (torn OR record_version_id = best)""",
+)
+def primary_hits(spark, sf_dir):
+    e = _evidence(spark, sf_dir).withColumn("dedupe_key", F.sha2("source", 256))
+    return dedupe.select_primary_hits(e).select("query_id", "record_version_id", "score")
+
+
+@query(
+    "f7_source_diversity",
+    f"""
+WITH {EV}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id, chunk_id) AS p FROM ev),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY query_id, source_url ORDER BY p) AS d FROM p)
+SELECT query_id, record_version_id, row_number() OVER (PARTITION BY query_id ORDER BY d > 1, p) AS place FROM d QUALIFY place <= 12""",
+)
+def source_diversity(spark, sf_dir):
+    return search.source_diversity(_evidence(spark, sf_dir), 1, 12).select("query_id", "record_version_id", "place")
+
+
+@query(
+    "f8_reserve_types",
+    f"""
+WITH {EV}, h AS (SELECT *, coalesce(record_type = type_hint, false) AS hinted FROM ev),
+n AS (SELECT *, hinted AND row_number() OVER (PARTITION BY query_id, hinted ORDER BY score DESC, record_version_id, chunk_id) <= 3 AS r FROM h)
+SELECT query_id, record_version_id, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, score DESC, record_version_id) AS place FROM n QUALIFY place <= 8""",
+)
+def reserve_types(spark, sf_dir):
+    return search.reserve_types(_evidence(spark, sf_dir), 8).select("query_id", "record_version_id", "place")
+
+
+@query(
+    "g7_authority_decay",
+    f"""
+WITH {EV}, a AS (SELECT *, CAST(greatest(CASE WHEN contains(source_url, 'src1') THEN tier - 1 ELSE tier END, 1) AS INTEGER) AS t FROM ev)
+SELECT query_id, record_version_id, t AS tier, round(score * [1.0, 0.99, 0.97, 0.95, 0.92][t], 6) AS score FROM a WHERE score * [1.0, 0.99, 0.97, 0.95, 0.92][t] >= 0.1""",
+)
+def authority_decay(spark, sf_dir):
+    e = _evidence(spark, sf_dir)
+    url = F.replace("source_url", F.lit("src1"), F.lit("policy"))
+    t = e.withColumn("tier", search.adjust_tier(F.col("tier"), url, F.lit("policy")))
+    out = t.withColumn("score", search.authority_decay(F.col("score"), F.col("tier")))
+    return search.min_score(out, 0.1).select("query_id", "record_version_id", "tier", F.round("score", 6).alias("score"))
+
+
+@query(
+    "e6_contradiction",
+    f"""
+WITH {EV}, p AS (SELECT query_id, scope, sha256(lang) AS k, tier, count(DISTINCT effective_hash) AS n FROM ev GROUP BY ALL), t AS (SELECT query_id, arg_min(n, tier) AS n FROM p GROUP BY query_id, scope, k)
+SELECT query_id, bool_or(n > 1) AS contradictory FROM t GROUP BY query_id""",
+)
+def contradiction(spark, sf_dir):
+    return dedupe.has_contradiction(_evidence(spark, sf_dir).withColumn("dedupe_key", F.sha2("lang", 256)))
+
+
+@query(
+    "h3_merge_routes",
+    f"""
+WITH {EV}, p AS (SELECT query_id, 'd' || (doc_id % 97) AS chunk_id, CAST(tier AS INTEGER) AS route, doc_id AS rank, score FROM ev),
+f AS (SELECT query_id, chunk_id, arg_min(route, (route, rank)) AS route, arg_min(score, (route, rank)) AS score, arg_min(rank, (route, rank)) AS rank FROM p GROUP BY ALL)
+SELECT query_id, chunk_id, route, score, row_number() OVER (PARTITION BY query_id ORDER BY route, rank, chunk_id) AS place FROM f""",
+)
+def merge_routes(spark, sf_dir):
+    e = _evidence(spark, sf_dir)
+    return search.merge_routes(e.select("query_id", F.concat(F.lit("d"), F.col("doc_id") % 97).alias("chunk_id"), F.col("tier").alias("route"), F.col("doc_id").alias("rank"), "score"))
+
+
+@query(
+    "d14_neighbours",
+    """
+SELECT conv_id, turn, concat_ws(chr(10) || chr(10), CASE WHEN turn - lag(turn) OVER w = 1 THEN lag(text) OVER w END, text, CASE WHEN lead(turn) OVER w - turn = 1 THEN lead(text) OVER w END) AS context_window
+FROM (SELECT conv_id, turn, any_value(text ORDER BY role) AS text FROM conversations GROUP BY ALL) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+)
+def neighbours(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min_by("text", "role").alias("text"))
+    return search.adjacent_chunks(c, "conv_id", "turn").select("conv_id", "turn", "context_window")
+
+
+@query(
+    "f14_limit_per_type",
+    f"WITH {REC} SELECT record_type, record_version_id FROM rec QUALIFY row_number() OVER (PARTITION BY record_type ORDER BY doc_id) <= 7",
+)
+def limit_per_type(spark, sf_dir):
+    return search.limit_per_type(A.records(spark, sf_dir), 7, "doc_id").select("record_type", "record_version_id")
+
+
+@query(
+    "i6_semantic_class",
+    """
+WITH s AS (SELECT q.vec_id AS query_id, c.label, max(round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6)) AS score
+  FROM embeddings q, embeddings c WHERE c.vec_id < 44 AND q.vec_id >= 44 GROUP BY ALL)
+SELECT query_id, CASE WHEN max(score) >= 0.3 THEN arg_max(label, (score, -label)) ELSE -1 END AS label, max(score) AS score,
+  list_sort(list_filter(coalesce(list(label) FILTER (WHERE score >= 0.3), []), lambda x: x <> arg_max(label, (score, -label)))) AS secondary FROM s GROUP BY query_id""",
+)
+def semantic_class(spark, sf_dir):
+    e = A.table(spark, sf_dir, "embeddings").withColumn("r", F.lit(1))
+    exemplars = e.filter("vec_id < 44").select(F.col("vec_id").alias("chunk_id"), "embedding", "r", "label")
+    hits = search.dense_topk(e.filter("vec_id >= 44").withColumnRenamed("vec_id", "query_id"), exemplars, 44, "r")
+    return search.class_scores(hits.join(exemplars.select("chunk_id", "label"), "chunk_id"), 0.3)
+
+
+TEXTS = (
+    "What is the fee for BS Computer Science", "who can apply for the merit scholarship", "weather in the city today", "stock policy of the library department",
+    "Latest news and events", "publications of dr khan", "attendance policy rules", "admission deadline for fall", "hostel location on campus", "merit list for MBA",
+    "how do I graduate", "tuition charges and grading rules", "football match", "faculty research interests", "where is the office", "minimum cgpa requirement",
+)
+Q_SQL = "q AS (SELECT doc_id, [" + ", ".join(f"'{t}'" for t in TEXTS) + f"][doc_id % {len(TEXTS)} + 1] || ' ' || lower(source) AS text, CASE WHEN doc_id % 7 = 0 THEN ' Policy_Rule ' END AS hint FROM documents)"
+
+
+def _questions(spark, sf_dir):
+    pick = F.element_at(F.array(*map(F.lit, TEXTS)), (F.col("doc_id") % len(TEXTS) + 1).cast("int"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.concat(pick, F.lit(" "), F.lower("source")).alias("text"), F.when(F.col("doc_id") % 7 == 0, " Policy_Rule ").alias("hint"))
+
+
+def _m(terms):
+    return f"regexp_matches(lower(text), '{questions.words_pattern(terms)}')"
+
+
+CLASS_SQL = (
+    f"CASE WHEN {_m(questions.OUT_OF_SCOPE)} AND NOT {_m([t for _, x in questions.INTENTS for t in x] + questions.IN_SCOPE)} THEN 'out_of_scope' "
+    + " ".join(f"WHEN {_m(t)} THEN '{n}'" for n, t in questions.INTENTS)
+    + " ELSE 'entity_lookup' END"
+)
+HITS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_m(t)} THEN '{n}' END" for n, t in questions.INTENTS) + "], lambda x: x IS NOT NULL)"
+PREP_SQL = f"""{Q_SQL}, p0 AS (SELECT *, {CLASS_SQL} AS class FROM q),
+p1 AS (SELECT *, list_filter({HITS_SQL}, lambda x: x <> class) AS secondary, CASE WHEN class = 'faculty' AND {_m(["publication", "publications"])} THEN 'faculty_publication' WHEN class = 'policy' AND {_m(["rule", "rules"])} THEN 'policy_rule' END AS type_hint,
+  CASE WHEN class NOT IN ('out_of_scope', 'entity_lookup') THEN class WHEN hint IS NOT NULL THEN 'policy' END AS source_hint FROM p0)"""
+
+
+@query("i1_classify_queries", f"WITH {PREP_SQL} SELECT doc_id, class, type_hint, source_hint, secondary, class = 'out_of_scope' AS abstain FROM p1")
+def classify_queries(spark, sf_dir):
+    return questions.prepare(_questions(spark, sf_dir)).select("doc_id", "class", "type_hint", "source_hint", "secondary", "abstain")
+
+
+@query(
+    "i8_route_plan",
+    f"""
+WITH {PREP_SQL}, r AS (SELECT doc_id, CASE WHEN hint IS NOT NULL THEN ['strict|policy|'] ELSE
+  list_concat(list_filter([CASE WHEN source_hint IS NOT NULL THEN 'source|' || source_hint || '|' END, 'global||', CASE WHEN type_hint IS NOT NULL THEN 'type||' || type_hint END], lambda x: x IS NOT NULL),
+    list_transform(list_filter(secondary[1:2], lambda x: source_hint IS NULL OR x <> source_hint), lambda x: 'secondary|' || x || '|')) END AS routes FROM p1)
+SELECT doc_id, routes FROM r""",
+)
+def route_plan(spark, sf_dir):
+    p = questions.prepare(_questions(spark, sf_dir))
+    as_text = F.transform("routes", lambda r: F.concat_ws("|", r["route"], F.coalesce(r["source_class"], F.lit("")), F.coalesce(r["record_type"], F.lit(""))))
+    return p.select("doc_id", as_text.alias("routes"))
+
+
+def _variant(term, other):
+    return f"CASE WHEN regexp_matches(low, '{questions.words_pattern([term])}') AND NOT regexp_matches(low, '{questions.words_pattern([other])}') THEN substr(low, 1, instr(low, '{term}') - 1) || '{other}' || substr(low, instr(low, '{term}') + {len(term)}) END"
+
+
+VARIANTS = "[" + ", ".join(_variant(t, o) for t, others in questions.synonym_terms() for o in others) + "]"
+
+
+@query(
+    "i7_expand_synonyms",
+    f"""
+WITH {Q_SQL}, v AS (SELECT doc_id, text, list_filter({VARIANTS}, lambda x: x IS NOT NULL AND x <> low) AS v FROM (SELECT doc_id, text, lower(text) AS low FROM q)),
+u AS (SELECT doc_id, text, list_filter(v, lambda x, i: list_position(v, x) = i) AS v FROM v)
+SELECT doc_id, list_concat([text], v[1:2]) AS variants FROM u""",
+)
+def expand_synonyms(spark, sf_dir):
+    return _questions(spark, sf_dir).select("doc_id", questions.expand_synonyms(F.col("text")).alias("variants"))
+
+
+@query(
+    "k7_answer_gates",
+    f"""
+WITH {EV}, r AS (SELECT *, CASE WHEN freshness <> 'current' THEN 1 WHEN record_type = 'merit_list' AND year_confidence IN ('low', 'unknown') THEN 1 ELSE 0 END AS bad FROM ev WHERE query_id % 9 <> 4 AND doc_id % 3 = 0),
+f AS (SELECT query_id, count(*) AS rows, count(*) FILTER (WHERE bad = 0) AS clean, bool_or(bad = 0 AND regexp_matches(text, '[0-9]')) AS number FROM r GROUP BY query_id),
+t AS (SELECT query_id, bool_or(n > 1) AS torn FROM (SELECT query_id, arg_min(n, tier) AS n FROM (SELECT query_id, scope, dedupe_key, tier, count(DISTINCT effective_hash) AS n FROM r WHERE bad = 0 GROUP BY ALL) GROUP BY query_id, scope, dedupe_key) GROUP BY query_id)
+SELECT q.query_id, CASE WHEN rows IS NULL THEN 'no_evidence' WHEN clean = 0 THEN 'uncertain' WHEN q.query_id % 2 = 0 AND NOT coalesce(number, false) THEN 'no_number' WHEN coalesce(torn, false) THEN 'contradictory' ELSE 'answerable' END AS status, coalesce(clean, 0) AS clean
+FROM (SELECT DISTINCT query_id FROM ev) q LEFT JOIN f USING (query_id) LEFT JOIN t USING (query_id)""",
+)
+def answer_gates(spark, sf_dir):
+    e = _evidence(spark, sf_dir)
+    q = e.select("query_id").distinct().withColumn("query_text", F.when(F.col("query_id") % 2 == 0, "average rate").otherwise("hello"))
+    return answers.answer_gates(q, e.filter("query_id % 9 <> 4 and doc_id % 3 = 0"))
+
+
+@query(
+    "k8_answer_extractive",
+    f"""
+WITH {EV} SELECT query_id, string_agg(left(text, 40) || ' [' || n || ']', chr(10) ORDER BY n) AS answer, max(n) AS citations
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id) AS n FROM ev) GROUP BY query_id""",
+)
+def answer_extractive(spark, sf_dir):
+    return answers.answer_extractive(_evidence(spark, sf_dir).withColumn("text", F.left("text", F.lit(40))), [F.desc("score"), F.asc("record_version_id")])
+
+
+@query(
+    "k9_citations",
+    f"""
+WITH {EV}, c AS (SELECT query_id, list_distinct(list(source) FILTER (WHERE doc_id % 4 = 0)) AS cited, list_distinct(list(source) FILTER (WHERE doc_id % 3 = 0)) AS known FROM ev GROUP BY query_id)
+SELECT query_id, CASE WHEN len(coalesce(cited, [])) = 0 THEN 'missing' WHEN len(list_filter(cited, lambda x: NOT list_contains(known, x))) > 0 THEN 'unknown' ELSE 'valid' END AS status,
+  coalesce(list_sort(list_filter(cited, lambda x: NOT list_contains(known, x))), []) AS unknown FROM c""",
+)
+def citations(spark, sf_dir):
+    pick = lambda n: F.collect_set(F.when(F.col("doc_id") % n == 0, F.col("source")))
+    return answers.validate_citations(_evidence(spark, sf_dir).groupBy("query_id").agg(pick(4).alias("cited"), pick(3).alias("known")))
+
+
+@query(
+    "e15_grounding",
+    f"""
+WITH {EV}, m AS (SELECT query_id, CASE WHEN bool_or(record_type = 'merit_list') OR min(score) < 0.5 THEN 'full' ELSE 'skip' END AS mode FROM ev GROUP BY 1)
+SELECT query_id, round(coalesce(avg(CASE WHEN quality THEN 1 ELSE 0 END), 1.0), 6) AS score, round(coalesce(avg(CASE WHEN quality THEN 1 ELSE 0 END), 1.0), 6) >= 0.5 AS passed, any_value(mode) AS mode
+FROM (SELECT query_id, verification = 'verified' AND doc_id % 5 <> 0 AS quality FROM ev) JOIN m USING (query_id) GROUP BY query_id""",
+)
+def grounding(spark, sf_dir):
+    e = _evidence(spark, sf_dir)
+    s = answers.grounding_score(e.select("query_id", (F.col("verification") == "verified").alias("supported"), (F.col("doc_id") % 5 != 0).alias("has_evidence")))
+    return s.join(answers.grounding_mode(e), "query_id")
+
+
+@query(
+    "c31_render_text",
+    f"""
+WITH {REC}, p AS (SELECT *, trim(split_part(text, chr(10), 1), ' ') AS t FROM rec) SELECT record_version_id,
+  CASE record_type WHEN 'policy_rule' THEN concat_ws(chr(10) || chr(10), nullif(t, ''), 'Policy Area: ' || lang) WHEN 'program' THEN concat_ws(chr(10) || chr(10), nullif(t, ''))
+    WHEN 'merit_list' THEN concat_ws(chr(10) || chr(10), nullif(t, '')) WHEN 'faculty_profile' THEN concat_ws(chr(10) || chr(10), nullif(t, ''), 'Designation: ' || source) ELSE concat_ws(chr(10) || chr(10), nullif(t, '')) END AS rendered,
+  CASE WHEN t = '' THEN 'Source: ' || record_type ELSE ['Policy Rule', 'Program', 'Merit List', 'Faculty Profile', 'University Info'][doc_id % 5 + 1] || ' — ' || t END AS prefix FROM p""",
+)
+def render_text(spark, sf_dir):
+    r = A.records(spark, sf_dir).withColumn("t", F.split_part("text", F.lit("\n"), F.lit(1)))
+    keys = {"rule_title": F.col("t"), "program_name": F.when(F.col("record_type") == "program", F.col("t")), "title": F.col("t"), "name": F.col("t"), "policy_area": F.col("lang"), "designation_text": F.col("source"), "email": F.lit(" ")}
+    payload = F.create_map(*(x for k, v in keys.items() for x in (F.lit(k), v)))
+    return r.select("record_version_id", chunks.render_search_text(F.col("record_type"), payload).alias("rendered"), chunks.render_prefix(F.col("record_type"), F.col("t")).alias("prefix"))
+
+
+@query(
+    "k1_chunks_short",
+    f"""
+WITH {REC} SELECT record_version_id, record_version_id || ':chunk:0' AS chunk_id, ['Policy Rule', 'Program', 'Merit List', 'Faculty Profile', 'University Info'][doc_id % 5 + 1] || ' — ' || record_id || chr(10) || 'Source Locator: ' || source_url || chr(10) || 'Cycle: ' || cycle_label || chr(10) || chr(10) || text AS chunk_text
+FROM rec WHERE length(text) <= 2000 AND trim(text) <> ''""",
+)
+def chunks_short(spark, sf_dir):
+    r = A.records(spark, sf_dir).filter(F.length("text") <= 2000)
+    return chunks.build_chunks(r).select("record_version_id", "chunk_id", "chunk_text")
+
+
+@query("k2_chunk_split")
+def chunk_split(spark, sf_dir):
+    return chunks.build_chunks(A.records(spark, sf_dir))
+
+
+@query("question_answering")
+def question_answering(spark, sf_dir):
+    """Current, non-duplicate records, best for each benchmark text: sparse top-k, overlap rerank, primaries, diversity."""
+    hits = token_overlap(spark, sf_dir).withColumnRenamed("item_id", "query_id")
+    e = hits.join(A.records(spark, sf_dir).filter("freshness = 'current'"), "doc_id").withColumn("chunk_id", F.concat("record_version_id", F.lit(":0")))
+    return search.source_diversity(dedupe.select_primary_hits(e), 1, 5).select("query_id", "place", "record_version_id", "source_url", "score")
