@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix
+
 #: Rows of a shuffle: a bucket, whether the payload passes through, the payload.
 BLOCKS = "bucket long, direct boolean, payload binary"
-#: Positions of a document; tag tells apart rows that share an id but not a text.
-FOUND = "key long, tag int, places binary"
+#: Places found in documents, packed for a bucket of documents: a row for each document would be as many as documents times buckets.
+#: A tag tells apart documents that share an id but not a text.
+FOUND = "home long, payload binary"
 KEY_BYTES = 12  # about what an entry costs, to size buckets
 
 
@@ -137,20 +140,22 @@ def blocks_batch(rows) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.bool_(), pa.binary()))], ["bucket", "direct", "payload"])
 
 
-def found_batch(parts: list[Entries]) -> pa.Table:
-    """FOUND rows, one for each document of each part."""
-    ids, tags, places = [], [], []
-    for e in parts:
-        if len(e.doc):
-            begins = np.flatnonzero(np.append(True, e.doc[1:] != e.doc[:-1]))
-            pos = e.pos.astype("<i8")
-            ids += e.ids[e.doc[begins]].tolist()
-            tags += e.tags[e.doc[begins]].tolist()
-            places += [pos[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(pos)))]
-    return pa.table([pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(places, pa.binary())], ["key", "tag", "places"])
+def found_batch(parts: list[Entries], buckets: int) -> pa.Table:
+    """FOUND rows: what was found, packed for each bucket of documents."""
+    parts = [p for p in parts if len(p.doc)]
+    if not parts:
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["home", "payload"])
+    for p in parts:
+        p.keys = ()
+    e = Entries.concat(parts)
+    home = (mix(e.ids.astype(np.uint64) ^ mix(e.tags.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)[e.doc]
+    order = np.lexsort((e.pos, e.doc, home))
+    edges = np.flatnonzero(np.append(True, np.diff(home[order]) != 0))
+    rows = [e.take(order[x:y]).pack() for x, y in zip(edges, np.append(edges[1:], len(order)))]
+    return pa.table([pa.array(home[order[edges]]), pa.array(rows, pa.binary())], ["home", "payload"])
 
 
-def meet(blocks: DataFrame, choose) -> DataFrame:
+def meet(blocks: DataFrame, choose, buckets: int) -> DataFrame:
     """FOUND rows of what choose(entries of a bucket) returns as indexes, and of what passes through."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -158,11 +163,26 @@ def meet(blocks: DataFrame, choose) -> DataFrame:
         for passes, payload in zip(group.column("direct").to_pylist(), group.column("payload")):
             (direct if passes else mine).append(Entries.unpack(payload.as_py()))
         e = Entries.concat(mine)
-        return found_batch([*direct, e.take(np.sort(choose(e)))] if len(e.doc) else direct)
+        return found_batch([*direct, e.take(np.sort(choose(e)))] if len(e.doc) else direct, buckets)
 
     return blocks.groupBy("bucket").applyInArrow(run, FOUND)
 
 
+def by_document(found: DataFrame) -> DataFrame:
+    """key, tag, places: one row for each document with a place."""
+
+    def run(group: pa.Table) -> pa.Table:
+        e = Entries.concat([Entries.unpack(x.as_py()) for x in group.column("payload")])
+        ids, tags = e.ids[e.doc], e.tags[e.doc]
+        order = np.lexsort((e.pos, tags, ids))
+        ids, tags, pos = ids[order], tags[order], e.pos[order].astype("<i8")
+        begins = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])))
+        places = [pos[x:y].tobytes() for x, y in zip(begins, np.append(begins[1:], len(pos)))]
+        return pa.table([pa.array(ids[begins], pa.int64()), pa.array(tags[begins], pa.int32()), pa.array(places, pa.binary())], ["key", "tag", "places"])
+
+    return found.groupBy("home").applyInArrow(run, "key long, tag int, places binary")
+
+
 def repeated(e: Entries) -> np.ndarray:
     """Entries whose piece several documents hold."""
     order, group, _, several, begins = grouped(e)
@@ -176,14 +196,10 @@ def not_first(e: Entries) -> np.ndarray:
     return order[~smallest]
 
 
-def by_document(found: DataFrame) -> DataFrame:
-    return found.groupBy("key", "tag").agg(F.collect_list("places").alias("places"))
-
-
 def places_of(column: pa.Array, row: int) -> np.ndarray:
     """Sorted positions of a row of by_document; none where it is null."""
     value = column[row].as_py()
-    return np.unique(np.frombuffer(b"".join(value), "<i8")) if value else np.zeros(0, np.int64)
+    return np.unique(np.frombuffer(value, "<i8")) if value else np.zeros(0, np.int64)
 
 
 def blend(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -167,10 +167,10 @@ def drop_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = keyed_documents(df, id_col, text_col)
     buckets = buckets_for(text_bytes(df, text_col) // 35 * KEY_BYTES, BUCKET_BYTES)
-    anchors = meet(docs.mapInArrow(_anchors(buckets), BLOCKS), repeated)
+    anchors = meet(docs.mapInArrow(_anchors(buckets), BLOCKS), repeated, buckets)
     placed = docs.repartition("key", "tag")
     hit = placed.join(by_document(anchors).hint("shuffle_hash"), ["key", "tag"])
-    windows = meet(hit.mapInArrow(_extended(buckets), BLOCKS), not_first)
+    windows = meet(hit.mapInArrow(_extended(buckets), BLOCKS), not_first, buckets)
     marked = placed.join(by_document(windows).hint("shuffle_hash"), ["key", "tag"], "left")
     out = marked.mapInArrow(_removed(with_text), KEPT)
     return (out if with_text else out.drop("kept")).withColumnRenamed("doc_id", id_col)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, mix, text_bytes, utf8
-from .positions import BLOCKS, Entries, blocks_batch, by_document, found_batch, grouped, keyed_documents, meet, places_of, repeated, run_hashes, ship
+from .positions import BLOCKS, FOUND, Entries, blocks_batch, by_document, found_batch, grouped, keyed_documents, meet, places_of, repeated, run_hashes, ship
 from .substring_dedup import _identity, sliced
 
 WINDOW, PIECE = 50, 24
@@ -247,7 +247,7 @@ def _split_payload(data: bytes):
     return e, [data[a : a + n] for a, n in zip(at.tolist(), lengths.tolist())]
 
 
-def _decide(group: pa.Table) -> pa.Table:
+def _decide(group: pa.Table, buckets: int) -> pa.Table:
     """Segments of a bucket -> windows that a smaller document holds, as runs (start, windows)."""
     direct, parts, content = [], [], []
     for passes, payload in zip(group.column("direct").to_pylist(), group.column("payload")):
@@ -258,11 +258,10 @@ def _decide(group: pa.Table) -> pa.Table:
             parts.append(e)
             content += pieces
     if not parts:
-        return found_batch(direct)
+        return found_batch(direct, buckets)
     e = Entries.concat(parts)
     order, group_of, smallest, _, begins = grouped(e)
     out = e.take(np.sort(order[~smallest]))  # all windows of an equal segment of a smaller document
-    out.keys, out.flag = (), None
     direct.append(out)
     # distinct segments that share their hash with others: only their windows need the transforms
     key = e.keys[0][order[begins]]
@@ -296,9 +295,9 @@ def _decide(group: pa.Table) -> pa.Table:
                         pos.append(_pair((e.pos[i] >> 7) + x, 1))
                 doc, pos = np.concatenate(doc), np.concatenate(pos)
                 by = np.lexsort((pos, doc))
-                direct.append(Entries(e.ids, e.tags, doc[by], pos[by]))
+                direct.append(Entries(e.ids, e.tags, doc[by], pos[by], (), np.zeros(len(by), bool)))
             waiting, held = [], 0
-    return found_batch(direct)
+    return found_batch(direct, buckets)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -340,10 +339,10 @@ def drop_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = keyed_documents(df, id_col, text_col)
     total = text_bytes(df, text_col)
     buckets = buckets_for(total, 8 * BUCKET_BYTES // 6)
-    found = meet(docs.mapInArrow(_candidates(buckets), BLOCKS), repeated)
+    found = meet(docs.mapInArrow(_candidates(buckets), BLOCKS), repeated, buckets)
     placed = docs.repartition("key", "tag")
     hit = placed.join(by_document(found).hint("shuffle_hash"), ["key", "tag"])
-    windows = hit.mapInArrow(_segments(buckets), BLOCKS).groupBy("bucket").applyInArrow(_decide, "key long, tag int, places binary")
+    windows = hit.mapInArrow(_segments(buckets), BLOCKS).groupBy("bucket").applyInArrow(lambda group: _decide(group, buckets), FOUND)
     marked = placed.join(by_document(windows).hint("shuffle_hash"), ["key", "tag"], "left")
     out = marked.mapInArrow(_removed(with_bytes), KEPT)
     return (out if with_bytes else out.drop("kept")).withColumnRenamed("doc_id", id_col)
