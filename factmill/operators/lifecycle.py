@@ -100,3 +100,13 @@ def affected_closure(records: DataFrame, keys: list[str], anchor: Column, most_r
             return records.join(seen, "record_version_id", "left_semi")
         seen = seen.union(fresh).checkpoint()
     raise RuntimeError(f"closure did not settle in {most_rounds} rounds")
+
+
+def index_changes(records: DataFrame, batch: int) -> DataFrame:
+    """Changes of the index that are open, the oldest `batch` of them claimed. The claimed ones are a bounded top-k, so no global
+    order of all changes is made."""
+    open_ = records.filter(F.col("serving").isin("eligible", "pending_index")).select(
+        "record_version_id", F.when(F.col("serving") == "eligible", "index").otherwise("deindex").alias("operation"), "fetched_at"
+    )
+    claimed = open_.orderBy("fetched_at", "record_version_id").limit(batch).select("record_version_id", F.lit("claimed").alias("status"))
+    return open_.drop("fetched_at").join(claimed, "record_version_id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))

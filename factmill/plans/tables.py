@@ -1 +1,343 @@
-QUERIES, ORACLE = {}, {}
+"""Queries over texts, pages and other tables: extraction, enrichment, set operations, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factmill.functions import text as T
+from factmill.functions import urls as U
+from factmill.operators import extract, joins, lifecycle
+
+from . import adapters as A
+from .adapters import RECORDS_SQL as REC
+from .adapters import SOURCES_SQL as SRC
+from .catalog import Catalog
+
+query = Catalog()
+QUERIES, ORACLE = query.queries, query.oracle
+
+# Markdown made of each document's words.
+MD_SQL = """md AS (SELECT doc_id, w, '# ' || w[1] || chr(10) || 'intro ' || w[2] || ' [' || w[3] || '](https://x.edu/' || lower(source) || '/a.pdf) ![i](https://x.edu/i.png) mail ' || lower(source) || '@x.edu.pk' || chr(10)
+  || CASE WHEN doc_id % 2 = 0 THEN '## ' || w[2] || chr(10) || 'body ' || w[1] || chr(10) ELSE '' END || '| Fee | Amount |' || chr(10) || '|---|---|' || chr(10) || '| ' || lang || ' | ' || CASE WHEN doc_id % 3 = 0 THEN '12,50' ELSE 'USD 1,250' END || ' |' || chr(10) || '| Total | 9 |' || chr(10) || 'end' AS text
+  FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '[A-Za-z]{3,}') AS w FROM documents) WHERE len(w) >= 3)"""
+
+
+def _markdown(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).filter(F.size("w") >= 3)
+    w, i, low = (lambda k: F.element_at("w", k)), F.col("doc_id"), F.lower("source")
+    amount = F.when(i % 3 == 0, "12,50").otherwise("USD 1,250")
+    text = F.concat(
+        F.lit("# "), w(1), F.lit("\nintro "), w(2), F.lit(" ["), w(3), F.lit("](https://x.edu/"), low, F.lit("/a.pdf) ![i](https://x.edu/i.png) mail "), low, F.lit("@x.edu.pk\n"),
+        F.when(i % 2 == 0, F.concat(F.lit("## "), w(2), F.lit("\nbody "), w(1), F.lit("\n"))).otherwise(""),
+        F.lit("| Fee | Amount |\n|---|---|\n| "), F.col("lang"), F.lit(" | "), amount, F.lit(" |\n| Total | 9 |\nend"),
+    )
+    return d.select("doc_id", "w", text.alias("text"))
+
+
+@query("c43_links_emails", f"WITH {MD_SQL} SELECT doc_id, [w[3]] AS link_texts, regexp_extract(text, '\\]\\((https://x.edu/[^)]*pdf)\\)', 1) AS link, [regexp_extract(text, '[a-z0-9]+@x.edu.pk')] AS emails, replace(replace(text, '![i](https://x.edu/i.png)', ''), '[' || w[3] || '](' || regexp_extract(text, '\\]\\((https://x.edu/[^)]*pdf)\\)', 1) || ')', w[3]) AS plain FROM md")
+def links_emails(spark, sf_dir):
+    links = T.extract_links(F.col("text"))
+    return _markdown(spark, sf_dir).select(
+        "doc_id", F.transform(links, lambda x: x["text"]).alias("link_texts"), F.element_at(links, 1)["url"].alias("link"), T.extract_emails(F.col("text")).alias("emails"),
+        T.strip_md_links(T.strip_md_images(F.col("text"))).alias("plain"),
+    )
+
+
+@query(
+    "l5_md_sections",
+    f"""
+WITH {MD_SQL} SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(level AS INTEGER) AS level, heading, body FROM (
+  SELECT doc_id, 1 AS section, 1 AS level, w[1] AS heading, CASE WHEN doc_id % 2 = 0 THEN split_part(text, chr(10), 2) ELSE substr(text, length(split_part(text, chr(10), 1)) + 2) END AS body FROM md
+  UNION ALL SELECT doc_id, 2, 2, w[2], substr(text, instr(text, chr(10) || 'body ') + 1) FROM md WHERE doc_id % 2 = 0)""",
+)
+def md_sections(spark, sf_dir):
+    return extract.split_md_sections(_markdown(spark, sf_dir), "doc_id")
+
+
+@query(
+    "l3_fee_rows",
+    f"""
+WITH {MD_SQL} SELECT m.doc_id, CAST(1 AS BIGINT) AS table_no, lang AS label, CASE WHEN m.doc_id % 3 = 0 THEN 12500 ELSE 1250 END AS amount, m.doc_id % 3 = 0 AS suspicious, CASE WHEN m.doc_id % 3 = 0 THEN 'PKR' ELSE 'USD' END AS currency
+FROM md m JOIN documents d ON m.doc_id = d.doc_id""",
+)
+def fee_rows(spark, sf_dir):
+    return extract.normalize_fees(extract.parse_pipe_tables(_markdown(spark, sf_dir), "doc_id"), "doc_id")
+
+
+@query(
+    "l4_pipe_tables",
+    f"""
+WITH {MD_SQL}, c AS (SELECT m.doc_id, lang, CASE WHEN m.doc_id % 3 = 0 THEN '12,50' ELSE 'USD 1,250' END AS a FROM md m JOIN documents d ON m.doc_id = d.doc_id)
+SELECT doc_id, CAST(1 AS BIGINT) AS table_no, 0 AS row_no, ['Fee', 'Amount'] AS cells FROM c UNION ALL SELECT doc_id, 1, 1, [lang, a] FROM c UNION ALL SELECT doc_id, 1, 2, ['Total', '9'] FROM c""",
+)
+def pipe_tables(spark, sf_dir):
+    return extract.parse_pipe_tables(_markdown(spark, sf_dir), "doc_id")
+
+
+@query(
+    "l2_milestone_dates",
+    """
+WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT o_orderkey, [d, d + 3] AS dates, 'high' AS confidence FROM d""",
+)
+def milestone_dates(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    k = F.col("o_orderkey") % 5
+    day = lambda c: (
+        F.when(k == 0, F.date_format(c, "yyyy-MM-dd")).when(k == 1, F.date_format(c, "dd/MM/yyyy")).when(k == 2, F.date_format(c, "EEEE, MMMM d, yyyy"))
+        .when(k == 3, F.date_format(c, "d MMM yyyy")).otherwise(F.date_format(c, "dd-MM-yyyy"))
+    )
+    text = F.concat(day(F.col("d")), F.lit(" & "), day(F.date_add("d", 3)))
+    return extract.normalize_milestones(o, text, F.lit("2024-07-01").cast("date")).select("o_orderkey", "dates", "confidence")
+
+
+@query(
+    "l2_inferred_years",
+    """
+WITH d AS (SELECT o_orderkey, DATE '2024-07-01' + CAST(o_orderkey % 121 - 60 AS INTEGER) AS d FROM orders) SELECT o_orderkey, [d] AS dates, 'medium' AS confidence FROM d""",
+)
+def inferred_years(spark, sf_dir):
+    d = F.date_add(F.lit("2024-07-01").cast("date"), (F.col("o_orderkey") % 121 - 60).cast("int"))
+    o = A.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(d, "EEEE, MMMM d").alias("t"))
+    return extract.normalize_milestones(o, F.col("t"), F.lit("2024-07-01").cast("date")).select("o_orderkey", "dates", "confidence")
+
+
+@query(
+    "l8_citations",
+    """
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'quoted' WHEN 1 THEN 'apa' ELSE 'plain' END AS form, CASE WHEN doc_id % 3 < 2 THEN 'A. ' || lang ELSE '' END AS authors,
+  CASE WHEN doc_id % 3 < 2 THEN 'On ' || source ELSE 'Just ' || source || ' words' END AS title, CASE doc_id % 3 WHEN 0 THEN 'Journal 2019' WHEN 1 THEN 'Press' ELSE '' END AS venue,
+  CASE doc_id % 3 WHEN 0 THEN '2019' WHEN 1 THEN '2020' END AS year FROM documents""",
+)
+def citations(spark, sf_dir):
+    i = F.col("doc_id") % 3
+    text = (
+        F.when(i == 0, F.concat(F.lit("A. "), "lang", F.lit(', "On '), "source", F.lit('", Journal 2019')))
+        .when(i == 1, F.concat(F.lit("A. "), "lang", F.lit(" (2020). On "), "source", F.lit(". Press")))
+        .otherwise(F.concat(F.lit("Just "), "source", F.lit(" words")))
+    )
+    return A.table(spark, sf_dir, "documents").select("doc_id", extract.parse_citation(text).alias("c")).select("doc_id", "c.*")
+
+
+@query(
+    "l6_scholarships",
+    "SELECT doc_id, 'A ' || source || ' tuition waiver.' AS benefit, 'Students must have merit.' AS eligibility, CASE WHEN doc_id % 2 = 0 THEN 'For four years.' ELSE '' END AS duration FROM documents",
+)
+def scholarships(spark, sf_dir):
+    text = F.concat(F.lit("A "), "source", F.lit(" tuition waiver. Students must have merit. Hello. "), F.when(F.col("doc_id") % 2 == 0, "For four years.").otherwise(""))
+    return extract.normalize_scholarships(A.table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id")
+
+
+@query(
+    "l7_profiles",
+    "SELECT doc_id, 'Dr ' || source AS name, CASE WHEN doc_id % 2 = 0 THEN 'Assistant Professor' END AS designation, 'Department of ' || lang AS department, CASE WHEN doc_id % 3 = 0 THEN source || '@x.edu' END AS email FROM documents",
+)
+def profiles(spark, sf_dir):
+    i = F.col("doc_id")
+    text = F.concat(
+        F.lit("\nDr "), "source", F.lit("\n"), F.when(i % 2 == 0, "Assistant Professor\n").otherwise(""), F.lit("  Department of "), "lang", F.lit("\n"),
+        F.when(i % 3 == 0, F.concat("source", F.lit("@x.edu"))).otherwise(""),
+    )
+    return A.table(spark, sf_dir, "documents").select("doc_id", extract.normalize_profile(text).alias("p")).select("doc_id", "p.*")
+
+
+@query(
+    "l9_people",
+    """
+SELECT o_custkey, o_orderkey, 'D' || h AS heading FROM (
+  SELECT o_custkey, o_orderkey, max(CASE WHEN rn % 7 = 1 THEN rn END) OVER (PARTITION BY o_custkey ORDER BY rn) AS h, rn
+  FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)) WHERE rn % 7 = 2 OR rn % 7 = 3""",
+)
+def people(spark, sf_dir):
+    """Listings: a heading, two people, three other lines, one more person that comes too late."""
+    from pyspark.sql import Window
+
+    rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = A.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", rn.alias("line_no"))
+    i = F.col("line_no") % 7
+    out = extract.people_by_heading(o, "o_custkey", F.when(i == 1, F.concat(F.lit("D"), "line_no")), i.isin(2, 3, 0))
+    return out.select("o_custkey", "o_orderkey", "heading")
+
+
+@query("l1_page_sections")
+def page_sections(spark, sf_dir):
+    return extract.sectionize_pages(A.table(spark, sf_dir, "pages"))
+
+
+@query(
+    "f10_unique_labels",
+    "SELECT doc_id, source || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS unique_label FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)",
+)
+def unique_labels(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("|", "lang", "source").alias("page"), "source")
+    return extract.dedupe_labels(d, "page", "source", "doc_id").select("doc_id", "unique_label")
+
+
+@query(
+    "d9_provenance",
+    """
+WITH s AS (SELECT DISTINCT o_custkey AS page_id, 'sec ' || o_orderpriority AS locator, dense_rank() OVER (ORDER BY o_orderpriority) AS section_order FROM orders),
+r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'sec ' || o_orderpriority || ' para ' || o_orderkey ELSE 'lost x' END AS locator, o_orderpriority FROM orders)
+SELECT 'o' || o_orderkey AS record_version_id, CASE WHEN o_orderkey % 2 = 0 THEN s.section_order ELSE (SELECT min(section_order) FROM s t WHERE t.page_id = o_custkey) END AS section_order, CASE WHEN o_orderkey % 2 = 0 THEN 'prefix' ELSE 'fallback' END AS match
+FROM r JOIN s ON s.page_id = o_custkey AND s.locator = 'sec ' || r.o_orderpriority""",
+)
+def provenance(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders")
+    order = F.element_at(F.create_map(*(x for k, p in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) for x in (F.lit(p), F.lit(k + 1)))), F.col("o_orderpriority"))
+    s = o.select(F.col("o_custkey").alias("page_id"), F.concat(F.lit("sec "), "o_orderpriority").alias("locator"), order.alias("section_order")).distinct()
+    locator = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("sec "), "o_orderpriority", F.lit(" para "), "o_orderkey")).otherwise("lost x")
+    r = o.select(F.concat(F.lit("o"), "o_orderkey").alias("record_version_id"), F.col("o_custkey").alias("page_id"), locator.alias("locator"))
+    return joins.attach_provenance(r, s)
+
+
+@query(
+    "d10_fuzzy_lookup",
+    """
+WITH k AS (SELECT DISTINCT p_name AS key FROM part WHERE length(p_name) >= 6),
+n AS (SELECT DISTINCT key, CASE p % 4 WHEN 0 THEN key WHEN 1 THEN ' ' || upper(key) WHEN 2 THEN replace(key, ' ', ' and ') ELSE key || ' extra words' END AS name, p % 4 AS m FROM (SELECT p_name AS key, p_partkey AS p FROM part) WHERE length(key) >= 6)
+SELECT name, upper(key) AS target, ['equal', 'stripped', 'normal', 'prefix'][m + 1] AS stage FROM n""",
+)
+def fuzzy_lookup(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part").filter(F.length("p_name") >= 6)
+    m, key = F.col("p_partkey") % 4, F.col("p_name")
+    names = p.select(
+        F.when(m == 0, key).when(m == 1, F.concat(F.lit(" "), F.upper(key))).when(m == 2, F.replace(key, F.lit(" "), F.lit(" and "))).otherwise(F.concat(key, F.lit(" extra words"))).alias("name")
+    )
+    return joins.fuzzy_lookup(names, p.select(key.alias("key"), F.upper(key).alias("target")).distinct(), similar=False)
+
+
+@query("d10_similar_names")
+def similar_names(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part").filter(F.length("p_name") >= 6)
+    names = p.select(F.concat(F.left("p_name", F.lit(3)), F.lit("x"), F.substring("p_name", 4, 100)).alias("name"))
+    return joins.fuzzy_lookup(names, p.select(F.col("p_name").alias("key"), F.upper("p_name").alias("target")).distinct())
+
+
+@query(
+    "d15_keyword_match",
+    """
+WITH l AS (SELECT DISTINCT p_partkey AS id, unnest(regexp_extract_all(lower(p_name), '[a-z]{4,}')) AS w FROM part), r AS (SELECT DISTINCT p_name AS key, unnest(regexp_extract_all(lower(p_name), '[a-z]{4,}')) AS w FROM part),
+s AS (SELECT id, key, count(*) AS n FROM l JOIN r USING (w) GROUP BY ALL HAVING count(*) >= 2) SELECT id, arg_min(key, (-n, key)) AS key, max(n) AS n FROM s GROUP BY id""",
+)
+def keyword_match(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    return joins.keyword_match(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), p.select(F.col("p_name").alias("key"), F.col("p_name").alias("name")).distinct())
+
+
+@query(
+    "d11_fill_labels",
+    "SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1, 2) THEN coalesce(CASE WHEN source <> 'src3' THEN 'L' || source END, [NULL, '', 'null'][doc_id % 4 + 1]) ELSE 'own' END AS label FROM documents",
+)
+def fill_labels(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents")
+    m = F.col("doc_id") % 4
+    r = d.select("doc_id", "source", F.when(m == 1, "").when(m == 2, "null").when(m == 3, "own").alias("label"))
+    names = d.select("source").distinct().filter("source <> 'src3'").withColumn("label", F.concat(F.lit("L"), "source"))
+    return joins.fill_labels(r, names, "source", "label").select("doc_id", "label")
+
+
+@query(
+    "d12_document_titles",
+    """
+WITH l AS (SELECT page_id, 'https://x.edu/' || (page_id % 40) || '/fee_plan-2024.pdf' AS u, 'Title ' || page_id AS t FROM pages)
+SELECT DISTINCT 'https://x.edu/' || (page_id % 60) || '/fee_plan-2024.pdf' AS document_url, CASE WHEN page_id % 60 < 40 THEN (SELECT arg_max(t, page_id) FROM l WHERE u = 'https://x.edu/' || (p.page_id % 60) || '/fee_plan-2024.pdf') ELSE 'Fee Plan 2024' END AS title FROM pages p""",
+)
+def document_titles(spark, sf_dir):
+    p = A.table(spark, sf_dir, "pages")
+    url = lambda n: F.concat(F.lit("https://x.edu/"), F.col("page_id") % n, F.lit("/fee_plan-2024.pdf"))
+    landings = p.select("page_id", F.array(F.concat(F.lit("Title "), "page_id")).alias("labels"), F.array(url(40)).alias("urls"))
+    return joins.fill_document_titles(p.select(url(60).alias("document_url")).distinct(), landings)
+
+
+@query(
+    "d13_context_cache",
+    """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'hit' ELSE 'miss' END AS outcome, CASE WHEN doc_id % 3 = 0 THEN lang || chr(10) || chr(10) || text ELSE text END AS text FROM documents""",
+)
+def context_cache(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").select("doc_id", "lang", "text", T.cache_key(F.col("doc_id").cast("string"), F.lit("v1")).alias("cache_key"))
+    hits, misses = joins.split_cache(d, d.filter("doc_id % 3 = 0").select("cache_key", F.col("lang").alias("context")))
+    return hits.select("doc_id", F.lit("hit").alias("outcome"), "text").union(misses.select("doc_id", F.lit("miss"), "text"))
+
+
+@query("d20_uncached_contents", "SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def uncached_contents(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents")
+    return joins.memo_by_hash(d, d.filter("doc_id % 2 = 0").select(F.sha2("text", 256).alias("content_hash")), "text").select("content_hash")
+
+
+@query(
+    "d8_sections_without_records",
+    """
+WITH s AS (SELECT o_custkey AS source_id, o_orderkey AS snapshot_id, sha256(o_orderpriority || o_custkey) AS page_hash, CASE WHEN o_custkey % 5 = 0 THEN 'research_main' ELSE 'policy' END AS c, o_orderdate FROM orders),
+n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY o_orderdate DESC, snapshot_id DESC) = 1)
+SELECT source_id, snapshot_id FROM n WHERE c <> 'research_main' AND snapshot_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10)
+  AND (source_id, page_hash) NOT IN (SELECT source_id, page_hash FROM s WHERE snapshot_id % 7 = 0)""",
+)
+def sections_without_records(spark, sf_dir):
+    s = A.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("snapshot_id"), F.sha2(F.concat("o_orderpriority", F.col("o_custkey").cast("string")), 256).alias("page_hash"),
+        F.when(F.col("o_custkey") % 5 == 0, "research_main").otherwise("policy").alias("source_class"), F.col("o_orderdate").alias("fetched_at"),
+    )
+    sections = A.table(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_orderkey").alias("snapshot_id"))
+    return joins.sections_without_records(s, sections, s.filter("snapshot_id % 7 = 0"))
+
+
+@query("h4_first_versions", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+def first_versions(spark, sf_dir):
+    return joins.first_versions(A.table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+
+
+@query("a9_cache_upsert", "SELECT doc_id AS cache_key, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS context FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def cache_upsert(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cache_key"))
+    return joins.cache_upsert(d.filter("cache_key % 3 = 0").withColumn("context", F.lit("old")), d.filter("cache_key % 2 = 0").withColumn("context", F.lit("new")))
+
+
+@query("h5_distinct_variants", "SELECT text, count(*) AS uses FROM conversations WHERE role = 'user' GROUP BY text")
+def distinct_variants(spark, sf_dir):
+    return A.table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("text").agg(F.count("*").alias("uses"))
+
+
+@query("e12_serving_state", f"WITH {REC} SELECT serving, freshness, count(*) AS records FROM rec GROUP BY ALL")
+def serving_state(spark, sf_dir):
+    return A.records(spark, sf_dir).groupBy("serving", "freshness").agg(F.count("*").alias("records"))
+
+
+@query("e13_concat_listings", "SELECT conv_id, role, string_agg(left(text, 30), chr(10) ORDER BY turn, text) AS listing FROM conversations GROUP BY ALL")
+def concat_listings(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.left(x["text"], F.lit(30)))
+    return c.groupBy("conv_id", "role").agg(F.array_join(rows, "\n").alias("listing"))
+
+
+@query("e8_generation_metadata", f"WITH {REC} SELECT record_type, list_sort(list(record_version_id)) AS versions, count(*) FILTER (WHERE serving = 'ineligible') AS failed FROM rec GROUP BY record_type")
+def generation_metadata(spark, sf_dir):
+    return A.records(spark, sf_dir).groupBy("record_type").agg(F.array_sort(F.collect_list("record_version_id")).alias("versions"), F.count_if(F.col("serving") == "ineligible").alias("failed"))
+
+
+@query("a8_active_sources", f"WITH {SRC} SELECT source_url, source_class FROM src WHERE is_active AND source_class NOT IN ('faculty')")
+def active_sources(spark, sf_dir):
+    return A.sources(spark, sf_dir).filter(F.col("is_active") & ~F.col("source_class").isin("faculty")).select("source_url", "source_class")
+
+
+@query("a3_snapshot_keys", "SELECT page_id, sha256(html) AS content_hash, lower(regexp_extract(url, '^[^:/?#]+://([^/?#:]*)', 1)) || '/' || substr(sha256(html), 1, 12) || '.html' AS storage_key FROM pages")
+def snapshot_keys(spark, sf_dir):
+    h = F.sha2("html", 256)
+    return A.table(spark, sf_dir, "pages").select("page_id", h.alias("content_hash"), F.concat(U.host(F.col("url")), F.lit("/"), F.substring(h, 1, 12), F.lit(".html")).alias("storage_key"))
+
+
+@query("h8_new_sources", f"WITH {SRC} SELECT source_url FROM src WHERE source_url NOT IN (SELECT source_url FROM src WHERE is_active)")
+def new_sources(spark, sf_dir):
+    s = A.sources(spark, sf_dir)
+    return s.select("source_url").dropDuplicates().join(s.filter("is_active").select("source_url"), "source_url", "left_anti")
+
+
+@query(
+    "j13_index_changes",
+    f"""
+WITH {REC} SELECT record_version_id, CASE serving WHEN 'eligible' THEN 'index' ELSE 'deindex' END AS operation, CASE WHEN row_number() OVER (ORDER BY fetched_at, record_version_id) <= 100 THEN 'claimed' ELSE 'pending' END AS status
+FROM rec WHERE serving IN ('eligible', 'pending_index')""",
+)
+def index_changes(spark, sf_dir):
+    return lifecycle.index_changes(A.records(spark, sf_dir), 100)
