@@ -62,7 +62,7 @@ def adjust_tier(tier: Column, url: Column, hint: Column) -> Column:
 
 
 def authority_decay(score: Column, tier: Column) -> Column:
-    return score * F.element_at(F.array(*map(F.lit, DECAY)), tier)
+    return score * F.element_at(F.array(*map(F.lit, DECAY)), tier.cast("int"))
 
 
 def min_score(df: DataFrame, least: float) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import records, retrieval, tables
+from . import records, retrieval, streams, tables
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (records, retrieval, tables):
+for _module in (records, retrieval, tables, streams):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 
