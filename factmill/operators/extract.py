@@ -12,7 +12,11 @@ from factmill.functions.text import strip
 from factmill.functions.urls import slugify
 
 # Fixed values.
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy")
+DATE_FORMATS = (
+    ("yyyy-MM-dd", r"\d{4}-\d{2}-\d{2}"), ("dd/MM/yyyy", r"\d{2}/\d{2}/\d{4}"), ("dd-MM-yyyy", r"\d{2}-\d{2}-\d{4}"), ("MMM d, yyyy", r"[A-Za-z]{3} \d{1,2}, \d{4}"),
+    ("MMMM d, yyyy", r"[A-Za-z]{4,9} \d{1,2}, \d{4}"), ("d MMM yyyy", r"\d{1,2} [A-Za-z]{3} \d{4}"), ("d MMMM yyyy", r"\d{1,2} [A-Za-z]{4,9} \d{4}"),
+    ("MMM d yyyy", r"[A-Za-z]{3} \d{1,2} \d{4}"), ("MMMM d yyyy", r"[A-Za-z]{4,9} \d{1,2} \d{4}"),
+)
 WEEKDAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
 BLOCKS = ("nav", "section", "article", "table", "footer")
 
@@ -126,9 +130,13 @@ def parse_pipe_tables(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def parse_date(text: Column) -> Column:
-    """First of nine formats that fits, weekday and ordinal endings left out."""
+    """By the one of nine formats that the text looks like, weekday and ordinal endings left out; so a parser that fails, which is slow,
+    is hardly ever run."""
     t = strip(F.regexp_replace(F.regexp_replace(text, rf"(?i)\b({WEEKDAYS})\b,?", ""), r"(?i)(\d)(st|nd|rd|th)\b", "$1"))
-    return F.coalesce(*(F.try_to_date(t, f) for f in DATE_FORMATS))
+    out = F.lit(None).cast("date")
+    for form, shape in DATE_FORMATS[::-1]:
+        out = F.when(t.rlike(f"^{shape}$"), F.try_to_date(t, form)).otherwise(out)
+    return out
 
 
 def normalize_milestones(df: DataFrame, text: Column, as_of: Column) -> DataFrame:
@@ -149,7 +157,8 @@ def normalize_milestones(df: DataFrame, text: Column, as_of: Column) -> DataFram
         ranked = F.transform(options, lambda o: F.struct(score(o).alias("score"), (-F.abs(o["d"] * 2 + F.when(o["d"] < 0, -1).otherwise(0))).alias("near"), o["date"].alias("date"), fit(o).alias("fits")))
         return F.array_max(F.filter(ranked, lambda o: o["date"].isNotNull()))
 
-    guessed = F.transform(parts, guess)
+    none = F.lit(None).cast("struct<score:int,near:int,date:date,fits:boolean>")
+    guessed = F.zip_with(parts, dated, lambda p, d: F.when(d.isNull(), guess(p)).otherwise(none))
     dates = F.zip_with(dated, guessed, lambda d, g: F.coalesce(d, g["date"]))
     levels = F.zip_with(dated, guessed, lambda d, g: F.when(d.isNotNull(), 3).when(g["fits"], 2).when(g["date"].isNotNull(), 1).otherwise(0))
     return df.withColumn("dates", dates).withColumn("confidence", F.element_at(F.array(*map(F.lit, ("unknown", "low", "medium", "high"))), F.array_min(levels) + 1))
