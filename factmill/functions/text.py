@@ -101,3 +101,30 @@ def token_list(text: Column) -> Column:
 def token_id(token: Column) -> Column:
     """A stable id from the first four bytes of the token's SHA-256."""
     return F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % 2147483000 + 1
+
+
+def semantic_identity(kind: Column, payload: Column, rendered: Column) -> Column:
+    """What makes two records of a type the same fact: a key of its payload (map<string,string>), else the normalised rendering."""
+    get = lambda k: semantic_normalize(F.coalesce(F.element_at(payload, k), F.lit("")))
+    key = lambda *names: F.concat_ws(":", *map(get, names))
+    return (
+        F.when(kind == "scholarship", key("scholarship_name")).when(kind == "admissions_cycle", key("calendar_scope", "milestone_name", "date_text"))
+        .when(kind == "program_fee_schedule", key("program_name", "audience", "table_kind", "cycle_label", "raw_table_text"))
+        .when(kind == "faculty_publication", key("raw_citation")).when(kind == "research_entity", key("subdomain_url")).otherwise(semantic_normalize(rendered))
+    )
+
+
+#: Keys whose presence tells a payload's type, in order.
+TYPE_KEYS = (
+    ("milestone_name", "admissions_cycle"), ("fee_table_markdown", "program_fee_schedule"), ("curriculum_table_text", "program_curriculum"), ("scholarship_name", "scholarship"),
+    ("merit_stage", "merit_list"), ("rule_text", "policy_rule"), ("raw_citation", "faculty_publication"), ("designation_text", "faculty_profile"), ("subdomain_url", "research_entity"),
+    ("program_name", "program"), ("document_url", "document_asset"), ("unit_type", "org_unit"),
+)
+
+
+def infer_record_type(payload: Column) -> Column:
+    """First key of the table that the payload (a map) holds, whatever its value."""
+    out = F.lit("general")
+    for key, kind in TYPE_KEYS[::-1]:
+        out = F.when(F.map_contains_key(payload, key), kind).otherwise(out)
+    return out

@@ -64,3 +64,29 @@ def grounding_mode(evidence: DataFrame, least: float = 0.5) -> DataFrame:
     return evidence.groupBy("query_id").agg(
         F.when(F.bool_or(F.col("record_type").isin(*RISKY_TYPES)) | (F.min("score") < least), "full").otherwise("skip").alias("mode")
     )
+
+
+def finalize_answers(gates: DataFrame, citations: DataFrame, grounding: DataFrame) -> DataFrame:
+    """Final status of each query: the gate's, else an invalid citation, else a failed grounding check, else answered."""
+    c, g = citations.select("query_id", F.col("status").alias("cited")), grounding.select("query_id", "passed", "mode")
+    joined = gates.join(c, "query_id", "left").join(g, "query_id", "left")
+    status = (
+        F.when(F.col("status") != "answerable", F.col("status")).when(F.coalesce("cited", F.lit("missing")) != "valid", "invalid_citation")
+        .when((F.col("mode") == "full") & ~F.coalesce("passed", F.lit(True)), "ungrounded").otherwise("answered")
+    )
+    return joined.select("query_id", status.alias("status"))
+
+
+def mixed_levels(fees: DataFrame) -> DataFrame:
+    """query_id, levels: degree prefixes of fee rows (slug) whose programme occurs with several; needs two rows."""
+    prefix = F.regexp_extract("slug", r"^(bs|ms|phd|mba|emba|be|me)[-_]", 1)
+    base = F.regexp_replace("slug", r"^(bs|ms|phd|mba|emba|be|me)[-_]", "")
+    rows = fees.withColumn("p", prefix).withColumn("b", base).filter("p <> ''")
+    per = rows.groupBy("query_id", "b").agg(F.collect_set("p").alias("ps")).filter(F.size("ps") > 1)
+    return per.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("ps", F.upper))))).alias("levels"))
+
+
+def audit_rendering(records: DataFrame, fields: list[str], rendered: str = "rendered") -> DataFrame:
+    """Rows with the fields whose text isn't in the rendering, without regard to case."""
+    missing = F.array_compact(F.array(*(F.when((F.coalesce(f, F.lit("")) != "") & ~F.contains(F.lower(rendered), F.lower(f)), F.lit(f)) for f in fields)))
+    return records.withColumn("missing", missing).filter(F.size("missing") > 0)

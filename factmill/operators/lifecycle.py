@@ -11,6 +11,15 @@ from .filters import can_serve
 REMOVABLE = ("faculty_profile", "faculty_publication", "faculty_award", "faculty_affiliation", "merit_list", "document_asset")
 
 
+def ensure_checkpoints(spark) -> None:
+    """The folder of spark.checkpoint.dir; a temporary one only where neither it nor a folder is set (tests, local runs)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
 def with_source(records: DataFrame, sources: DataFrame) -> DataFrame:
     """Class and legal status of each record's source; without a source the class is general. The planner broadcasts sources
     only while they are under its size limit."""
@@ -110,3 +119,49 @@ def index_changes(records: DataFrame, batch: int) -> DataFrame:
     )
     claimed = open_.orderBy("fetched_at", "record_version_id").limit(batch).select("record_version_id", F.lit("claimed").alias("status"))
     return open_.drop("fetched_at").join(claimed, "record_version_id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+
+
+def select_due_sources(sources: DataFrame, due: Column, limit: int) -> DataFrame:
+    """Crawlable sources that are due: high-risk classes first, then by URL; a bounded top-k."""
+    from factmill.functions.urls import HIGH_RISK
+
+    rank = F.when(F.col("source_class").isin(*HIGH_RISK), 0).otherwise(1)
+    return sources.filter(due).withColumn("rank", rank).orderBy("rank", "source_url").limit(limit)
+
+
+def latest_snapshot(snapshots: DataFrame) -> DataFrame:
+    return snapshots.groupBy("source_id").agg(F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id"))
+
+
+def review_queue(events: DataFrame, records: DataFrame) -> DataFrame:
+    """Pending reviews with what is known of their record."""
+    pending = events.filter("status = 'pending'")
+    return pending.join(records.select("record_version_id", "record_type", "source_url"), "record_version_id")
+
+
+def mark_indexed(records: DataFrame, indexed: DataFrame) -> DataFrame:
+    """indexed_active for versions in the new generation, deindexed for those that leave it."""
+    flag = indexed.select("record_version_id").distinct().withColumn("_in", F.lit(True))
+    out = records.join(flag, "record_version_id", "left")
+    status = F.when(F.col("_in"), "indexed_active").when(F.col("serving").isin("indexed_active", "pending_deindex"), "deindexed").otherwise(F.col("serving"))
+    return out.withColumn("new_serving", status).drop("_in")
+
+
+def recompute(records: DataFrame, keys: list[str], anchor: Column, as_of) -> DataFrame:
+    """Decide again everything linked with the anchor, rejected rows left out: they stay rejected."""
+    from .versions import decide
+
+    linked = affected_closure(records, keys, anchor)
+    decided = decide(linked.filter("verification <> 'rejected'"), as_of).select("record_version_id", "decision")
+    rejected = linked.filter("verification = 'rejected'").select("record_version_id", F.lit("rejected").alias("decision"))
+    return decided.unionByName(rejected)
+
+
+def build_generation(records: DataFrame, only_current: bool = True) -> DataFrame:
+    """Chunks of the records to serve: primaries of their dedupe keys, or with only_current=False every record."""
+    from .chunks import build_chunks
+
+    rows = records
+    if only_current:
+        rows = records.join(resolve_duplicates(records)[0].select("record_version_id"), "record_version_id", "left_semi")
+    return build_chunks(rows).join(records.select("record_version_id", "record_type"), "record_version_id")

@@ -128,3 +128,63 @@ def class_scores(hits: DataFrame, threshold: float = 0.6) -> DataFrame:
         "query_id", F.when(F.col("t.score") >= threshold, best).otherwise(-1).alias("label"), F.col("t.score").alias("score"),
         F.array_except("near", F.array(best)).alias("secondary"),
     )
+
+
+def expand_requests(queries: DataFrame) -> DataFrame:
+    """One row for each route and variant of a query."""
+    routes = queries.select("query_id", "variants", F.posexplode("routes").alias("route_no", "route"))
+    return routes.select("query_id", "route_no", "route", F.posexplode("variants").alias("variant_no", "variant"))
+
+
+def hydrate(points: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
+    """Points with their record's facts, late: only what was found is joined; sources that may not be used drop out, and the
+    content is the original text, else the chunk's, else the rendering."""
+    from .filters import source_allowed
+
+    rows = points.join(records, "record_version_id").join(sources.select("source_url", "legal_status"), "source_url", "left").filter(source_allowed(F.col("legal_status")))
+    empty = lambda c: F.nullif(F.col(c), F.lit(""))
+    return rows.withColumn("content", F.coalesce(empty("original_text"), empty("chunk_text"), empty("rendered"))).drop("legal_status")
+
+
+def final_select(evidence: DataFrame, limit: int, least: float = 0.1) -> DataFrame:
+    """Tier overrides, decay, minimum, primaries, diversity, type reservation, in this order."""
+    from .dedupe import select_primary_hits
+
+    e = evidence.withColumn("tier", adjust_tier(F.col("tier"), F.col("source_url"), F.col("source_hint")))
+    e = min_score(e.withColumn("score", F.round(authority_decay(F.col("score"), F.col("tier")), 6)), least)
+    return reserve_types(source_diversity(select_primary_hits(e), 1, max(limit, 3)).drop("place"), limit)
+
+
+def with_relaxed(hinted: DataFrame, free: DataFrame, least: float) -> DataFrame:
+    """Hits under the hint; for queries with none of at least `least`, the hits without it."""
+    answered = hinted.filter(F.col("score") >= least).select("query_id").distinct()
+    kept = hinted.join(answered, "query_id", "left_semi").withColumn("relaxed", F.lit(False))
+    return kept.unionByName(free.join(answered, "query_id", "left_anti").withColumn("relaxed", F.lit(True)))
+
+
+def embed(chunks: DataFrame, key: str, text: str, function) -> DataFrame:
+    """key, embedding, error: function(list of texts) -> list of vectors over Arrow batches; when a batch fails its rows are tried one by
+    one, and a row that fails has its error instead of a vector."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            texts = pdf[text].tolist()
+            try:
+                vectors, errors = list(function(texts)), [None] * len(texts)
+            except Exception:
+                vectors, errors = [], []
+                for t in texts:
+                    try:
+                        vectors.append(next(iter(function([t]))))
+                        errors.append(None)
+                    except Exception as e:
+                        vectors.append(None)
+                        errors.append(str(e))
+            yield pd.DataFrame({key: pdf[key], "embedding": vectors, "error": errors})
+
+    return chunks.select(key, text).mapInPandas(run, f"{key} {chunks.schema[key].dataType.simpleString()}, embedding array<double>, error string")
+
+
+def embedding_summary(embedded: DataFrame) -> DataFrame:
+    return embedded.agg(F.count_if(F.col("error").isNull()).alias("embedded"), F.count_if(F.col("error").isNotNull()).alias("failed"))

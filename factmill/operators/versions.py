@@ -155,3 +155,17 @@ def upsert_records(existing: DataFrame, incoming: DataFrame, as_of) -> DataFrame
         .otherwise(F.col("new_serving")),
     )
     return out.drop("closed")
+
+
+def decide_two_pass(df: DataFrame, as_of) -> DataFrame:
+    """Independent rows first; their outcome is the parents' state for dependent rows, which win only under an authoritative parent."""
+    dependent = F.col("record_type").isin(*PARENT_TYPES)
+    first = decide(df.filter(~dependent), as_of)
+    keys = first.select(
+        "record_id", "source_url", "fetched_at", "record_version_id", F.col("new_authoritative").alias("authoritative"), F.col("new_verification").alias("verification"),
+        F.col("new_freshness").alias("freshness"), F.col("new_serving").alias("serving"),
+    )
+    second = parent_state(df.filter(dependent), keys)
+    ok = F.coalesce("parent_authoritative", F.lit(False))
+    outcome = F.when(~F.col("parent_resolved"), "parent_unresolved").when(~ok, "parent_not_authoritative").otherwise("winner")
+    return first.select("record_version_id", "decision").unionByName(second.select("record_version_id", outcome.alias("decision")))

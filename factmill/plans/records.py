@@ -546,5 +546,6 @@ WITH RECURSIVE {REC}, e AS (SELECT record_version_id AS v, record_id AS k FROM r
 seen(v) AS (SELECT 'd1' UNION SELECT b.v FROM seen JOIN e a ON a.v = seen.v JOIN e b ON b.k = a.k) SELECT v AS record_version_id FROM seen""",
 )
 def closure(spark, sf_dir):
+    lifecycle.ensure_checkpoints(spark)
     r = A.records(spark, sf_dir)
     return lifecycle.affected_closure(r, ["record_id", "dedupe_key"], F.col("record_version_id") == "d1").select("record_version_id")
