@@ -75,6 +75,15 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
+def sliced(body: np.ndarray, offsets: np.ndarray, most: int):
+    """(first text, body, offsets) of runs of whole texts of about `most` bytes."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield a, body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)

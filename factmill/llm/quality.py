@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, utf8, word_bounds
+from .common import cut, mix, sliced, utf8, word_bounds
 
 FEATURES = 256
 MAX_TRAIN = 100_000
 BINS = 512
+#: Texts are measured in slices of about so many bytes, which bounds what the numbers for each byte take.
+SLICE_BYTES = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -97,7 +99,9 @@ def statistics(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _measure(batches):
     for batch in batches:
-        x = statistics(*utf8(batch.column("text")))
+        body, offsets = utf8(batch.column("text"))
+        parts = [statistics(b, o) for _, b, o in sliced(body, offsets, SLICE_BYTES)]
+        x = np.concatenate(parts) if parts else np.zeros((0, STATISTICS))
         flat = pa.array(x.ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * STATISTICS, pa.int32()), flat)
         yield pa.record_batch([batch.column("id"), lists], ["id", "x"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, merged_spans, mix, text_bytes, utf8, word_bounds
+from .common import buckets_for, merged_spans, mix, sliced, text_bytes, utf8, word_bounds
 from .positions import (
     BLOCKS,
     KEY_BYTES,
@@ -56,15 +56,6 @@ def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
-def sliced(body: np.ndarray, offsets: np.ndarray, most: int = SLICE_BYTES):
-    """(first text, body, offsets) of runs of whole texts of about `most` bytes."""
-    a = 0
-    while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
-        yield a, body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        a = b
-
-
 def windows_of(hashes: np.ndarray, of: np.ndarray, length: int):
     """(text, position within it, hash) of each run of `length` words inside one text."""
     runs = run_hashes(hashes, length)
@@ -87,7 +78,7 @@ def _anchors(buckets: int):
         for batch in batches:
             ids, tags, valid = _identity(batch)
             docs, places, keys = [], [], []
-            for first, body, offsets in sliced(*utf8(batch.column("text"))):
+            for first, body, offsets in sliced(*utf8(batch.column("text")), SLICE_BYTES):
                 starts, ends, of = word_bounds(body, offsets)
                 text, pos, h = windows_of(word_hashes(body, starts, ends), of, ANCHOR)
                 keep = cover[pos % PERIOD] & valid[first + text] & (np.diff(of)[text] >= WINDOW)
@@ -107,7 +98,7 @@ def _extended(buckets: int):
         for batch in batches:
             ids, tags, _ = _identity(batch)
             docs, places, one, two = [], [], [], []
-            for first, body, offsets in sliced(*utf8(batch.column("text"))):
+            for first, body, offsets in sliced(*utf8(batch.column("text")), SLICE_BYTES):
                 starts, ends, of = word_bounds(body, offsets)
                 hashes = word_hashes(body, starts, ends)
                 n = np.diff(of)

@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, mix, text_bytes, utf8
+from .common import buckets_for, mix, sliced, text_bytes, utf8
 from .positions import BLOCKS, FOUND, Entries, blocks_batch, by_document, found_batch, grouped, keyed_documents, meet, places_of, repeated, run_hashes, ship
-from .substring_dedup import _identity, sliced
+from .substring_dedup import _identity
 
 WINDOW, PIECE = 50, 24
 #: A segment is cut after so many windows, so that periodic texts give no long ones.
