@@ -1,6 +1,6 @@
 """Suffix-array deduplication by merging shard Burrows-Wheeler transforms.
 
-Byte strings of 50 that repeat between documents lie in segments: runs of window starts that share the least hash of a 24-byte
+Byte strings of 50 that repeat between documents lie in segments: runs of window starts that share the least hash of a 20-byte
 piece in the window. Equal windows have equal least hashes, so a segment whose hash no other document has holds nothing that
 repeats, and the others meet by hash. Segments are made distinct before they move.
 
@@ -24,7 +24,7 @@ from .common import buckets_for, mix, sliced, text_bytes, utf8
 from .positions import BLOCKS, FOUND, Entries, blocks_batch, by_document, found_batch, grouped, keyed_documents, meet, places_of, repeated, run_hashes, ship
 from .substring_dedup import _identity
 
-WINDOW, PIECE = 50, 24
+WINDOW, PIECE = 50, 20
 #: A segment is cut after so many windows, so that periodic texts give no long ones.
 MOST_WINDOWS = 64
 BUCKET_BYTES = 6 << 20
@@ -87,9 +87,11 @@ def _pair(places, windows):
 def _segments(buckets: int):
     """Candidate segments with their bytes. A segment that several documents of the batch hold goes out once, for the smallest;
     in the others all its windows repeat."""
+    import zstandard
     from xxhash import xxh64_intdigest
 
     def run(batches):
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids, tags, _ = _identity(batch)
             docs, places, keys, content, data = [], [], [], [], []
@@ -128,8 +130,10 @@ def _segments(buckets: int):
             edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
             for a, b in zip(edges, np.append(edges[1:], len(order))):
                 mine = at[order[a:b]]
-                head = e.take(mine).pack()
-                rows.append((int(bucket[order[a]]), False, len(head).to_bytes(8, "little") + head + b"".join([data[i] for i in mine.tolist()])))
+                part = e.take(mine)
+                part.keys = ()  # both hashes follow from the bytes
+                head = part.pack()
+                rows.append((int(bucket[order[a]]), False, len(head).to_bytes(8, "little") + head + packer.compress(b"".join([data[i] for i in mine.tolist()]))))
             yield blocks_batch(rows)
 
     return run
@@ -240,11 +244,20 @@ def repeated_intervals(strings: list[bytes], window: int = WINDOW, shard_bytes:
 
 
 def _split_payload(data: bytes):
+    """Entries with their hashes, and the bytes of each."""
+    import zstandard
+    from xxhash import xxh64_intdigest
+
     size = int.from_bytes(data[:8], "little")
     e = Entries.unpack(data[8 : 8 + size])
+    raw = zstandard.ZstdDecompressor().decompress(data[8 + size :]) if len(e.doc) else b""
     lengths = (e.pos & 127) + WINDOW - 1
-    at = np.cumsum(lengths) - lengths + 8 + size
-    return e, [data[a : a + n] for a, n in zip(at.tolist(), lengths.tolist())]
+    at = np.cumsum(lengths) - lengths
+    pieces = [raw[a : a + n] for a, n in zip(at.tolist(), lengths.tolist())]
+    runs = np.append(run_hashes(BYTE_HASH[np.frombuffer(raw, np.uint8)], PIECE), ~np.uint64(0))
+    least = np.minimum.reduceat(runs, np.stack([at, at + WINDOW - PIECE + 1], 1).ravel())[::2]
+    e.keys = (mix(least), np.fromiter(map(xxh64_intdigest, pieces), np.uint64, len(pieces)))
+    return e, pieces
 
 
 def _decide(group: pa.Table, buckets: int) -> pa.Table:
