@@ -1,14 +1,14 @@
 """Suffix-array deduplication by merging shard Burrows-Wheeler transforms.
 
-Byte strings of 50 that repeat between documents lie in segments: runs of window starts that share the least hash of a 20-byte
+Byte strings of 50 that repeat between documents lie in segments: runs of window starts that share the least hash of a 24-byte
 piece in the window. Equal windows have equal least hashes, so a segment whose hash no other document has holds nothing that
 repeats, and the others meet by hash. Segments are made distinct before they move.
 
 What meets is a collection of distinct segments. It is cut into shards; each shard's suffixes are sorted and give its
-Burrows-Wheeler transform. The transforms are merged by refining one interleave: reading every shard's next symbol in the
-present order and sorting stably by it orders the merged suffixes by one more symbol, without comparing suffixes again.
-Where two neighbours part in round k their common prefix is k long; after 50 rounds neighbours that never parted form the
-repeated intervals, each with its smallest document.
+Burrows-Wheeler transform. The transforms are merged by refining one interleave: reading every shard's next symbols in the
+present order and sorting stably by them orders the merged suffixes by that many more symbols, without comparing suffixes
+again. A round takes two symbols at once. The round in which two neighbours part gives their common prefix; after 50 symbols
+neighbours that never parted form the repeated intervals, each with its smallest document.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import buckets_for, mix, sliced, text_bytes, utf8
 from .positions import BLOCKS, FOUND, Entries, blocks_batch, by_document, found_batch, grouped, keyed_documents, meet, places_of, repeated, run_hashes, ship
 from .substring_dedup import _identity
 
-WINDOW, PIECE = 50, 20
+WINDOW, PIECE = 50, 24
 #: A segment is cut after so many windows, so that periodic texts give no long ones.
 MOST_WINDOWS = 64
 BUCKET_BYTES = 6 << 20
@@ -143,75 +143,79 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of END-closed strings by at least their first `depth` symbols; a suffix stops at its END, and
     ENDs rank by the string they close. Ranks of 8 symbols are doubled."""
     n = len(text)
-    room = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the suffix's END
+    closing = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
+    room = ends[closing] - np.arange(n)  # symbols before the suffix's END
     padded = np.append(text, np.zeros(8, np.uint8))
     word = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
     inside = np.minimum(room + 1, 8)  # END included, what follows isn't
-    word &= ~np.uint64(0) << ((8 - inside) * 8).astype(np.uint64) if n else word
-    closing = np.searchsorted(ends, np.arange(n))
-
-    def ranked(*keys):
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(n, bool)
-        for k in keys:
-            new[1:] |= k[order[1:]] != k[order[:-1]]
+    word &= ~np.uint64(0) << ((8 - inside) * 8).astype(np.uint64)
+
+    def ranked(key):
+        order = np.argsort(key)
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        rank[order] = np.cumsum(np.append(False, key[order[1:]] != key[order[:-1]]))
         return rank, order
 
-    rank, order = ranked(word, np.where(room < 8, closing, 0))
+    rank, order = ranked(word)
+    rank, order = ranked((rank << 31) + np.where(room < 8, closing, 0))
     size = 8
-    while size < depth:
+    while size < depth and rank[order[-1]] < n - 1:
         ahead = np.zeros(n, np.int64)
         far = np.flatnonzero(room >= size)
         ahead[far] = rank[far + size] + 1
-        rank, order = ranked(rank, ahead)
+        rank, order = ranked((rank << 31) + ahead)
         size *= 2
     return order
 
 
 class Shard:
-    """Strings with their suffix order and Burrows-Wheeler transform: the symbol before each suffix, END before a string."""
+    """Strings with their suffix order and Burrows-Wheeler transform: the `step` symbols before each suffix as one number, those
+    before a string's start being its last ones. All that begin with END count as one symbol, as END ranks by string."""
 
-    def __init__(self, strings: list[bytes], depth: int):
+    def __init__(self, strings: list[bytes], depth: int, step: int):
         self.text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
         self.begins = np.cumsum([0] + [len(s) + 1 for s in strings])[:-1]
         self.ends = np.append(self.begins[1:], len(self.text)) - 1
         self.order = suffix_array(self.text, self.ends, depth)
-        before = self.text[self.order - 1]
-        before[np.isin(self.order, self.begins)] = END
-        self.bwt = before
-
-
-def merge(shards: list[Shard], depth: int):
-    """Interleave of the shards' suffixes (shard of each merged place) and common prefix with the place before, up to depth."""
+        before = np.arange(-1, len(self.text) - 1)
+        before[self.begins] = self.ends
+        at = before[self.order]
+        self.bwt = self.text[at].astype(np.uint16)
+        if step == 2:
+            first = self.text[before[at]].astype(np.uint16)
+            self.bwt = np.where(first == END, END << 8, first << 8 | self.bwt).astype(np.uint16)
+
+
+def merge(shards: list[Shard], depth: int, step: int):
+    """Interleave of the shards' suffixes (shard of each merged place) and common prefix with the place before, in whole steps and
+    up to depth."""
     count = len(shards)
-    kind = np.min_scalar_type(max(count - 1, 1))
-    sizes = [len(s.bwt) for s in shards]
     symbols = np.concatenate([s.bwt for s in shards])
     total = len(symbols)
-    z = np.repeat(np.arange(count, dtype=kind), sizes)
-    closed = sum(len(s.begins) for s in shards)
-    ends = np.repeat(np.arange(count, dtype=kind), [len(s.begins) for s in shards])
-    block, prefix = np.zeros(total, np.int64), np.full(total, depth, np.int64)
-    prefix[:1] = 0
-    known = np.zeros(total, bool)
-    known[:1] = True
-    for k in range(depth):
-        by_shard = np.argsort(z, kind="stable")
-        read = np.empty(total, np.uint8)
-        read[by_shard] = symbols  # each shard's symbols in its own order
+    shard = np.repeat(np.arange(count, dtype=np.min_scalar_type(max(count - 1, 1))), [len(s.bwt) for s in shards])
+    head = np.sort(symbols, kind="stable")  # the first symbols of the merged suffixes: the same in every round
+    has_end = lambda x: ((x >> 8) == END) | ((x & 0xFF) == END) if step == 2 else x == END
+    closed, mine = np.flatnonzero(has_end(head)), has_end(symbols)
+    ends = shard[mine][np.lexsort((shard[mine], symbols[mine]))]  # suffixes that reach their END rank by string, so by shard
+    other = np.append(True, head[1:] != head[:-1])
+    other[closed] = True
+    z, block, prefix, known = shard, np.zeros(total, np.int32), np.full(total, depth, np.int32), np.zeros(total, bool)
+    read = np.empty(total, np.uint16)
+    for k in range(0, depth, step):
+        if count > 1:
+            read[np.argsort(z, kind="stable")] = symbols  # each shard's symbols in its own order
+        else:
+            read = symbols
         order = np.argsort(read, kind="stable")
-        z_next, from_block, head = z[order], block[order], read[order]
-        z_next[total - closed :] = ends  # suffixes that begin with END rank by string, so by shard
-        apart = np.ones(total, bool)
-        apart[1:] = (head[1:] != head[:-1]) | (from_block[1:] != from_block[:-1])
-        apart[total - closed :] = True
+        z_next, from_block = z[order], block[order]
+        z_next[closed] = ends
+        apart = other.copy()
+        apart[1:] |= from_block[1:] != from_block[:-1]
         fresh = apart & ~known
         prefix[fresh] = k
-        known |= fresh
-        next_block = np.cumsum(apart)
-        settled = k > 0 and (z_next == z).all() and (next_block == block).all()
+        known |= apart
+        next_block = np.cumsum(apart, dtype=np.int32)
+        settled = k > 0 and not fresh.any() and (z_next == z).all()
         z, block = z_next, next_block
         if settled:
             break
@@ -220,22 +224,22 @@ def merge(shards: list[Shard], depth: int):
 
 def repeated_intervals(strings: list[bytes], window: int = WINDOW, shard_bytes: int = SHARD_BYTES):
     """For each window of the strings: (string, place within it, interval), windows of one interval being equal."""
-    shards, waiting, held, base, first = [], [], 0, [], 0
+    shards, waiting, held, base, first, step = [], [], 0, [], 0, 2 - window % 2
     for i, s in enumerate(strings):
         waiting.append(s)
         held += len(s) + 1
         if held >= shard_bytes or i == len(strings) - 1:
-            shards.append(Shard(waiting, window))
+            shards.append(Shard(waiting, window, step))
             base.append(first)
             first, waiting, held = i + 1, [], 0
     if not shards:
         return (np.zeros(0, np.int64),) * 3
-    z, prefix = merge(shards, window)
+    z, prefix = merge(shards, window, step)
     interval = np.cumsum(prefix < window)
     string, place, of = [], [], []
     for k, s in enumerate(shards):
         mine = interval[z == k]
-        owner = np.searchsorted(s.ends, s.order)
+        owner = np.repeat(np.arange(len(s.ends)), np.diff(s.ends, prepend=-1))[s.order]
         whole = s.order + window <= s.ends[owner]
         string.append(base[k] + owner[whole])
         place.append((s.order - s.begins[owner])[whole])
