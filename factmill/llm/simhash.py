@@ -122,7 +122,7 @@ def _join(labels, a, b):
 
 def group_links(fps: np.ndarray, radius: int, spanning: bool):
     """Links in a group sorted by Gray rank. spanning: one edge to the smallest member of each component, so no component is
-    lost; else for each fingerprint an edge to its nearest and to its first predecessor within the radius."""
+    lost; else for each fingerprint an edge to its nearest predecessor within the radius."""
     index, labels, out = GrayIndex(fps), np.arange(len(fps)), []
     for begin in range(0, len(fps), SLICE):
         q, at, gone = index.search(fps[begin : begin + SLICE], radius)
@@ -132,10 +132,10 @@ def group_links(fps: np.ndarray, radius: int, spanning: bool):
         if spanning:
             _join(labels, q, at)
         elif len(q):
-            for order in (np.lexsort((at, q)), np.lexsort((at, gone, q))):
-                q1, at1 = q[order], at[order]
-                first = np.append(True, q1[1:] != q1[:-1])
-                out.append((q1[first], at1[first]))
+            order = np.lexsort((at, gone, q))
+            q, at = q[order], at[order]
+            first = np.append(True, q[1:] != q[:-1])
+            out.append((q[first], at[first]))
     if spanning:
         q = np.flatnonzero(labels != np.arange(len(fps)))
         return q, labels[q]
@@ -253,8 +253,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, root) for rows that belong to a group of near-duplicates of two or more; root is the group's smallest id.
 
     Candidates are texts of the same fingerprint, and pairs of fingerprints within NEAR_RADIUS bits that the index finds, each
-    fingerprint with its nearest and its first predecessor in every group of the index: their number grows with the texts, not with
-    pairs of copies. A candidate counts if the Jaccard similarity of the sets of word shingles is at least `similarity`.
+    fingerprint with its nearest predecessor in every group of the index: their number grows with the texts, not with pairs of
+    copies. A candidate counts if the Jaccard similarity of the sets of word shingles is at least `similarity`.
     Texts without words are never near-duplicates; rows without an id take no part.
     """
     some = df.filter(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
