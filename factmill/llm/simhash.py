@@ -5,6 +5,8 @@ bit masks, keyed by its masked bits: the index's upper nodes, spread over the cl
 by Gray rank, so that neighbours share bits; a leaf holds a run of them and the bits they all share, a node above holds the bits
 its children share, and children keep only what is not factored out. A search goes down with the differences summed so far
 and drops a whole node once they pass the radius.
+
+The pipeline's near-duplicates are decided on shingle sets instead, which meet at their rarest shingles: no fingerprint is between.
 """
 
 from __future__ import annotations
@@ -149,11 +151,6 @@ def pigeonhole_masks(radius: int, blocks: int) -> list[int]:
     return [sum(part[i] for i in keep) for keep in combinations(range(blocks), blocks - radius)]
 
 
-def sampled_masks(count: int, bits: int, seed: int = 11) -> list[int]:
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(count)]
-
-
 def links(distinct: DataFrame, radius: int, masks: list[int], spanning: bool) -> DataFrame:
     """distinct (fp) -> edges (u, v) of fingerprints within the radius that share a mask's bits."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -214,11 +211,16 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-#: Texts whose five-word shingles have a Jaccard similarity of 0.8 differ in about 7 of 64 bits of the fingerprint of three-word
-#: shingles, hardly ever in over 14, and then agree on 18 sampled bits for one of 96 masks (measured: 99 of 100 pairs are
-#: candidates; fingerprints of five-word shingles would be further apart). The exact similarity of the texts decides.
 NEAR_WIDTH, NEAR_SIMILARITY = 5, 0.8
-NEAR_FINGERPRINT, NEAR_RADIUS, NEAR_MASKS, NEAR_BITS = 3, 14, 96, 18
+#: Near-duplicates' sets share this part of the shingles at least among the first ones that are compared to begin with.
+NEAR_FIRST = 0.2
+#: Rounds that compare each group's members with one of them before the pairs still apart are compared.
+NEAR_ROUNDS = 2
+
+
+def _least(n, similarity):
+    """Shingles that a set of n has in common with any set of at least this similarity."""
+    return np.maximum(np.ceil(similarity * np.asarray(n) - 1e-9), 1).astype(np.int64)
 
 
 def _similar(similarity):
@@ -236,39 +238,158 @@ def _similar(similarity):
     return run
 
 
+def _each_set(batch, width):
+    body, at = utf8(batch.column("text"))
+    data = body.tobytes()
+    return [np.unique(shingle_hashes(data[a:b], width)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def _lists(sets):
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64), flat.view(np.int64)
+
+
+def _first_shingles(width, similarity):
+    """shingle, id, need: of n shingles, of which near-duplicates share m or more, the n - m + f smallest, f being NEAR_FIRST of n:
+    near-duplicates share f of the smaller set's at least."""
+
+    def run(batches):
+        for batch in batches:
+            sets = _each_set(batch, width)
+            n = np.array([len(s) for s in sets], np.int64)
+            least = _least(n, similarity)
+            first = np.minimum(n - least + _least(n, NEAR_FIRST), n)
+            need = _least(least, NEAR_FIRST)  # of the smallest set it can be similar to
+            _, flat = _lists([s[:k] for s, k in zip(sets, first.tolist())])
+            row = pa.array(np.repeat(np.arange(len(sets)), first))
+            yield pa.record_batch([pa.array(flat), batch.column("id").take(row), pa.array(need).take(row)], ["shingle", "id", "need"])
+
+    return run
+
+
+def _met_again(batches):
+    """Rows whose shingle, by which they are sorted, another row has too: id, need, n."""
+
+    def runs(table):
+        s = table.column("shingle").to_numpy()
+        same = s[1:] == s[:-1]
+        return np.append(False, same) | np.append(same, False)
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if last is not None:
+            rows = pa.concat_tables([last, rows])
+        met = runs(rows)
+        if last is not None:
+            met[0] |= held
+        last, held = rows.slice(rows.num_rows - 1), bool(met[-1])  # the next batch may have its shingle
+        met[-1] = False
+        found = rows.filter(pa.array(met)).group_by(["id", "need"]).aggregate([([], "count_all")]).rename_columns(["id", "need", "n"])
+        yield from found.combine_chunks().to_batches()
+    if last is not None and held:
+        yield from last.select(["id", "need"]).append_column("n", pa.array([1], pa.int64())).to_batches()
+
+
 def _shingle_sets(width):
+    """id, set (a hash of the whole set), n, shingles."""
+    from hashlib import md5
+
     def run(batches):
         for batch in batches:
-            body, at = utf8(batch.column("text"))
-            data = body.tobytes()
-            sets = [np.unique(shingle_hashes(data[a:b], width)).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "shingles"])
+            sets = _each_set(batch, width)
+            at, flat = _lists(sets)
+            name = np.frombuffer(b"".join(md5(s.tobytes()).digest()[:8] for s in sets), np.int64)
+            yield pa.record_batch(
+                [batch.column("id"), pa.array(name), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))],
+                ["id", "set", "n", "shingles"],
+            )
 
     return run
 
 
+def _can(similarity, a, b):
+    """Whether two sets that have a key in common can be similar: no shingle before the key is common to both at the first key they share,
+    so that at most the lesser rest is."""
+    most = F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest"))
+    return most * (1 + similarity) + 1e-6 >= similarity * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, x: set, n, rest, rare): of each set's shingles, the rarest first, as many as near-duplicates must share one of. rest counts
+    those from the key on that other sets have too."""
+    each = sets.select("set", "n", F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
+    held = each.join(often, "key").groupBy("set").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("held"))
+    least = F.greatest(F.ceil(F.lit(similarity) * F.col("n") - 1e-9), F.lit(1))
+    held = held.withColumn("m", F.size("held")).withColumn("take", (F.col("m") - least + 1).cast("int")).filter("take > 0")
+    rare = F.expr("(n - m + aggregate(held, 0D, (s, h) -> s + 1D / h.often)) / n")
+    return held.withColumn("rare", rare).select("set", "n", "m", "rare", F.posexplode(F.expr("slice(held, 1, take)")).alias("pos", "h")).select(
+        F.col("h.key").alias("key"), F.struct("set", "n", (F.col("m") - F.col("pos")).alias("rest"), "rare").alias("x")
+    )
+
+
+def set_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets (set, n, shingles), each once -> pairs (u, v) of sets at least so similar; of the pairs of a group joined by links, a spanning
+    part at least.
+
+    Sets meet at keys (_keys), which loses no pair. A pair is compared unless compared pairs that are similar join its sets already. In each
+    round every key's members are compared with the one of the commonest shingles; it is then done there. What is still apart is compared
+    pair by pair, members of a key's largest joined part against the rest alone.
+    """
+    keys, found, roots = cut(_keys(sets, similarity)), None, None
+
+    def opened():
+        """Keys whose members aren't all joined yet, with roots."""
+        if roots is None:
+            known = keys.withColumn("root", F.col("x.set"))
+        else:
+            known = keys.withColumn("set", F.col("x.set")).join(roots, "set", "left").select("key", "x", F.coalesce("root", "set").alias("root"))
+        apart = known.groupBy("key").agg(F.min_by(F.struct("x", "root"), F.struct("x.rare", "x.set")).alias("p"), F.min("root").alias("a"), F.max("root").alias("z"))
+        return known.join(apart.filter("a < z").select("key", F.col("p.x").alias("p"), F.col("p.root").alias("p_root")), "key")
+
+    def compared(pairs):
+        side = lambda k, v: sets.select(F.col("set").alias(k), F.col("shingles").alias(v))
+        near = pairs.distinct().join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+        return near.mapInArrow(_similar(similarity), "u long, v long")
+
+    for _ in range(NEAR_ROUNDS):
+        now = cut(opened())
+        pairs = now.filter(F.col("root") != F.col("p_root")).filter(_can(similarity, "x", "p")).select(F.col("x.set").alias("u"), F.col("p.set").alias("v"))
+        met = compared(pairs)
+        found = cut(met if found is None else found.union(met))
+        roots = cut(components(found).select(F.col("node").alias("set"), "root"))
+        keys = now.filter(F.col("x.set") != F.col("p.set")).select("key", "x")
+    now = cut(opened().select("key", "x", "root"))
+    sizes = now.groupBy("key", "root").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    a = now.join(most, "key").filter(F.col("root") != F.col("most"))
+    b = now.select("key", F.col("x").alias("y"), F.col("root").alias("y_root"))
+    once = (F.col("y_root") == F.col("most")) | (F.col("x.set") < F.col("y.set"))
+    rest = a.join(b, "key").filter((F.col("root") != F.col("y_root")) & once & _can(similarity, "x", "y"))
+    return found.union(compared(rest.select(F.col("x.set").alias("u"), F.col("y.set").alias("v"))))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """(id, root) for rows that belong to a group of near-duplicates of two or more; root is the group's smallest id.
 
-    Candidates are texts of the same fingerprint, and pairs of fingerprints within NEAR_RADIUS bits that the index finds, each
-    fingerprint with its nearest predecessor in every group of the index: their number grows with the texts, not with pairs of
-    copies. A candidate counts if the Jaccard similarity of the sets of word shingles is at least `similarity`.
+    Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of at least `similarity`, and what they link. No
+    such pair is left out: texts too few of whose first shingles occur again are set aside, as no other can be similar; sets of the
+    others meet at their rarest shingles (set_links).
     Texts without words are never near-duplicates; rows without an id take no part.
     """
     some = df.filter(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    made = cut(fingerprints(some, id_col, text_col, NEAR_FINGERPRINT))
-    first = cut(made.groupBy("fp").agg(F.min("id").alias("least")))
-    found = links(first.select("fp"), NEAR_RADIUS, sampled_masks(NEAR_MASKS, NEAR_BITS), False)
-    at = lambda c: first.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
-    across = found.join(at("u"), "u").join(at("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
-    within = made.join(first, "fp").filter("id > least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    pairs = cut(across.union(within).distinct())
-    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     kind = some.schema[id_col].dataType.simpleString()
-    texts = some.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(nodes.hint("shuffle_hash"), "id", "left_semi")
-    sets = texts.mapInArrow(_shingle_sets(width), f"id {kind}, shingles array<long>").dropDuplicates(["id"])
-    side = lambda k, v: sets.select(F.col("id").alias(k), F.col("shingles").alias(v))
-    near = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
-    return components(near.mapInArrow(_similar(similarity), f"u {kind}, v {kind}")).withColumnRenamed("node", id_col)
+    texts = some.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    first = texts.mapInArrow(_first_shingles(width, similarity), f"shingle long, id {kind}, need long")
+    again = first.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_met_again, f"id {kind}, need long, n long")
+    left = cut(again.groupBy("id", "need").agg(F.sum("n").alias("n")).filter("n >= need").select("id").distinct())
+    made = cut(texts.join(left.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_shingle_sets(width), f"id {kind}, set long, n long, shingles array<long>"))
+    least = cut(made.groupBy("set").agg(F.min("id").alias("least")))
+    pairs = set_links(cut(made.select("set", "n", "shingles").dropDuplicates(["set"])), similarity)
+    at = lambda c: least.select(F.col("set").alias(c), F.col("least").alias(f"{c}_id"))
+    across = pairs.join(at("u"), "u").join(at("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
+    within = made.select("id", "set").join(least, "set").filter("id > least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    return components(across.union(within)).withColumnRenamed("node", id_col)
