@@ -42,6 +42,29 @@ def test_unlike_texts_do_not_shield_near_copies(spark):
     assert dict(rows_of(simhash.near_duplicates(frame(spark, list(rows.items()))), "doc_id", "root")) == want
 
 
+@pytest.fixture(scope="module")
+def planted():
+    """Pairs of a similarity from 0.80 to 0.84: scattered edits, appended and prepended blocks, truncations."""
+    r, rows = random.Random(4), {}
+    for k in range(160):
+        n = r.randrange(80, 300)
+        a, extra = words(r, n), round(n * r.uniform(0.195, 0.245))
+        if k % 4 == 0:
+            b = list(a)
+            for i in r.sample(range(n), max(1, round(n * 0.02))):
+                b[i] = "edited"
+        else:
+            b = [a + words(r, extra), words(r, extra) + a, a[: round(n * 0.82)]][k % 4 - 1]
+        rows[1000 - 2 * k], rows[1001 - 2 * k] = " ".join(a), " ".join(b)
+    return rows
+
+
+def test_every_pair_at_the_limit_is_found(spark, planted):
+    near, want = brute(planted)
+    assert len(near) > 120
+    assert dict(rows_of(simhash.near_duplicates(frame(spark, list(planted.items()))), "doc_id", "root")) == want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_clusters_on_templates(spark, seed):
     """Copies of copies: links through others, groups that hold several components."""
