@@ -3,13 +3,13 @@
 States are contexts, arcs are smoothed n-grams, and each state has a failure arc to the state of its shorter context:
 
 * the root holds every training word with an absolutely discounted unigram probability, and one outcome for unknown words;
-* a word h with at least STATE_SHARE of all training tokens is a state of its own. Its arcs are the words w whose bigram
-  makes up at least ARC_SHARE of all training tokens, with P(w|h) = (c(h,w) - D) / c(h) + back(h) P(w); its failure arc to
-  the root weighs back(h) = 1 - sum over its arcs of (c(h,w) - D) / c(h), so that every state's probabilities sum to 1.
+* every training word h is a state of its own. Its arcs are all words w that follow it in the training part, with
+  P(w|h) = (c(h,w) - D) / c(h) + back(h) P(w); its failure arc to the root weighs back(h) = D arcs(h) / c(h), so that every state's
+  probabilities sum to 1.
 
-Shares add up to at most 1, so there are never more than 1 / STATE_SHARE states and 1 / ARC_SHARE arcs at any corpus size:
-these are broadcast. The root's other words are as many as the corpus has and are joined by word instead; a word
-below STATE_SHARE can't be a hot key.
+States and arcs are as many as the corpus has, so no task holds them: they are tables. The words and bigrams of the texts are joined
+with them. Words with at least STATE_SHARE of all training tokens, 1 / STATE_SHARE at most, are broadcast, as are bigrams with ARC_SHARE:
+they would be hot keys. Which ones these are changes no score.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import cut, utf8
 STATE_SHARE, ARC_SHARE, DISCOUNT = 2e-5, 1e-6, 0.5
 #: The end of a text; no word is empty.
 END = b""
+#: Between the words of a bigram where it is one key; no word has it.
+GAP = b" "
 
 
 def words_of(column: pa.Array):
@@ -49,7 +51,7 @@ def _count_words(batches):
 class Automaton:
     """The broadcast part: states for frequent words, their arcs, and what the root needs for any count."""
 
-    def __init__(self, words, counts, arc_keys, arc_counts, tokens, vocabulary, discount):
+    def __init__(self, words, counts, arc_keys, arc_counts, tokens, vocabulary, discount, back=None):
         self.words, self.tokens, self.vocabulary = words, tokens, vocabulary
         size = max(len(words), 1)
         self.size, self.discount = size, discount
@@ -60,7 +62,8 @@ class Automaton:
         self.arc_keys = arc_keys
         left, right = arc_keys // size, arc_keys % size
         share = (arc_counts - DISCOUNT) / counts[left] if len(arc_keys) else np.zeros(0)
-        back = np.maximum(1 - np.bincount(left, share, minlength=size), 1e-12)
+        if back is None:  # these are all arcs
+            back = np.maximum(1 - np.bincount(left, share, minlength=size), 1e-12)
         self.arc = np.log10(share + back[left] * root[right]) if len(arc_keys) else np.zeros(0)
         self.back = np.append(np.log10(back), 0.0)  # at -1: a word that is no state backs off to the root for nothing
 
@@ -71,7 +74,7 @@ class Automaton:
 
     def walk(self, ids):
         """One pass over a text's words and its end, from the state of an end: base score and log-probability of all but
-        what the root's own words add, and which words are the root's own."""
+        what the tables add, which words are in the table alone, and before which words so is the bigram."""
         before = np.append(self.end, ids[:-1])
         known = ids >= 0
         keys = np.where((before >= 0) & known, before * self.size + ids, -1)
@@ -79,9 +82,10 @@ class Automaton:
         at[at == len(self.arc_keys)] = 0
         taken = (self.arc_keys[at] == keys) if len(self.arc_keys) else np.zeros(len(ids), bool)
         own = ids[known]
-        fallen = known & ~taken
-        score = self.arc[at[taken]].sum() + self.back[before[~taken]].sum() + self.root[ids[fallen]].sum()
-        return float(self.base[own].sum()), float(score), ~known
+        # every word is left once, by its failure arc if no other: its own weight counts with it
+        score = (self.root[own] + self.back[own]).sum()
+        score += (self.arc[at[taken]] - self.back[before[taken]] - self.root[ids[taken]]).sum()
+        return float(self.base[own].sum()), float(score), ~known, ~taken
 
     @property
     def end(self):
@@ -90,40 +94,37 @@ class Automaton:
         return self._end
 
 
-def _arcs(model):
-    def count(batches):
-        for batch in batches:
-            m, keys = model.value, []
-            for words in words_of(batch.column("text")):
-                ids = m.ids([END, *words, END])
-                keys.append(np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * m.size + ids[1:], -1))
-            keys, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-            keep = keys >= 0
-            yield pa.record_batch([pa.array(keys[keep]), pa.array(n[keep])], ["arc", "n"])
-
-    return count
+def _count_bigrams(batches):
+    for batch in batches:
+        index, keys = {END: 0}, []
+        for words in words_of(batch.column("text")):
+            ids = np.fromiter((index.setdefault(w, len(index)) for w in (END, *words, END)), np.int64, len(words) + 2)
+            keys.append(ids[:-1] << 32 | ids[1:])
+        keys, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+        names = pa.array(list(index), pa.binary())
+        yield pa.record_batch([names.take(pa.array(keys >> 32)), names.take(pa.array(keys & 0xFFFFFFFF)), pa.array(n)], ["h", "word", "n"])
 
 
 def _walks(model):
     def score(batches):
         for batch in batches:
-            m, doc, word, times, rows = model.value, [], [], [], []
+            m, doc, item, times, rows = model.value, [], [], [], []
             for i, words in enumerate(words_of(batch.column("text"))):
                 words.append(END)
                 ids = m.ids(words)
-                base, total, other = m.walk(ids)
+                base, total, other, fallen = m.walk(ids)
                 rows.append((len(ids), int((~other).sum()), base, total))
-                if other.any():
-                    own = Counter([words[k] for k in np.flatnonzero(other).tolist()])
-                    doc += [i] * len(own)
-                    word += own
-                    times += own.values()
+                own = Counter([words[k] for k in np.flatnonzero(other).tolist()])
+                own.update([words[k - 1] + GAP + words[k] for k in np.flatnonzero(fallen).tolist()])  # words[-1] is the end
+                doc += [i] * len(own)
+                item += own
+                times += own.values()
             yield pa.record_batch(
                 [
                     pa.concat_arrays([batch.column(c).take(pa.array(doc, pa.int32())), batch.column(c)])
                     for c in ("id", "tag")
                 ]
-                + [pa.array(word + [None] * len(rows), pa.binary())]
+                + [pa.array(item + [None] * len(rows), pa.binary())]
                 + [
                     pa.array([*first, *(r[k] for r in rows)], kind)
                     for k, first, kind in (
@@ -133,7 +134,7 @@ def _walks(model):
                         (3, [0.0] * len(doc), pa.float64()),
                     )
                 ],
-                ["id", "tag", "word", "n", "known", "base", "score"],
+                ["id", "tag", "item", "n", "known", "base", "score"],
             )
 
     return score
@@ -156,39 +157,47 @@ def lm_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: str = "
     )
     discount = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
     frequent = counts.filter(F.col("n") >= STATE_SHARE * tokens)
-    states = sorted((bytes(w), n) for w, n in frequent.collect())  # at most 1 / STATE_SHARE rows
-    words, n = [w for w, _ in states], [n for _, n in states]
-    none = np.zeros(0, np.int64)
-    draft = spark.sparkContext.broadcast(Automaton(words, n, none, none, tokens, vocabulary, discount))
-    arcs = (
-        learn.mapInArrow(_arcs(draft), "arc long, n long")
-        .groupBy("arc")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= ARC_SHARE * tokens)
-        .toPandas()  # at most 1 / ARC_SHARE rows
-        .sort_values("arc")
+    bigrams = cut(learn.mapInArrow(_count_bigrams, "h binary, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("n")))
+    arcs = bigrams.groupBy("h").agg(F.count("*").alias("arcs")).withColumnRenamed("h", "word")
+    unigrams = cut(
+        counts.join(arcs, "word").select("word", "n", (DISCOUNT * F.col("arcs") / F.col("n")).alias("back"), ((F.col("n") - discount) / F.lit(float(max(tokens, 1)))).alias("root"))
     )
-    keys, m = arcs["arc"].to_numpy(np.int64), arcs["n"].to_numpy(np.float64)
-    model = spark.sparkContext.broadcast(Automaton(words, n, keys, m, tokens, vocabulary, discount))
+    frequent = unigrams.filter(F.col("n") >= STATE_SHARE * tokens)
+    states = sorted((bytes(r.word), r.n, r.back) for r in frequent.select("word", "n", "back").collect())  # at most 1 / STATE_SHARE rows
+    words, n, back = [s[0] for s in states], [s[1] for s in states], np.array([s[2] for s in states] or [1.0])
+    index = {w: i for i, w in enumerate(words)}
+    hot = [
+        (index[h] * max(len(words), 1) + index[w], k)
+        for h, w, k in ((bytes(r.h), bytes(r.word), r.n) for r in bigrams.filter(F.col("n") >= F.lit(ARC_SHARE * tokens)).toLocalIterator())  # at most 1 / ARC_SHARE rows
+        if h in index and w in index
+    ]
+    keys, m = (np.array(x, kind) for x, kind in zip(zip(*sorted(hot)) if hot else ((), ()), (np.int64, np.float64)))
+    model = spark.sparkContext.broadcast(Automaton(words, n, keys, m, tokens, vocabulary, discount, back))
     walked = df.select(
         F.col(id_col).alias("id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"),
         F.col(text_col).alias("text"),
-    ).mapInArrow(_walks(model), f"id {df.schema[id_col].dataType.simpleString()}, tag long, word binary, n long, known long, base double, score double")
+    ).mapInArrow(_walks(model), f"id {df.schema[id_col].dataType.simpleString()}, tag long, item binary, n long, known long, base double, score double")
+    left = unigrams.select(F.col("word").alias("h"), F.col("n").alias("c_h"), "back")
+    right = unigrams.select("word", "root")
+    fall = F.col("back") * F.col("root")
+    gains = bigrams.join(left, "h").join(right, "word").select(
+        F.concat("h", F.lit(GAP), "word").alias("item"),
+        F.lit(0).cast("long").alias("c"),
+        (F.log10((F.col("n") - DISCOUNT) / F.col("c_h") + fall) - F.log10(fall)).alias("weight"),
+    )
+    items = unigrams.select(F.col("word").alias("item"), F.col("n").alias("c"), F.log10(fall).alias("weight")).union(gains)
     times, c = F.col("n"), F.coalesce("c", F.lit(0))
-    rare = counts.filter(F.col("n") < STATE_SHARE * tokens).withColumnRenamed("n", "c")
     unknown = discount * vocabulary / tokens if tokens else 1.0
-    other = F.col("word").isNotNull()
-    joined = walked.join(rare, "word", "left").select(
+    table, word = F.col("item").isNotNull(), F.col("item").isNotNull() & (F.position(F.lit(GAP), F.col("item")) == 0)
+    joined = walked.join(items, "item", "left").select(
         "id",
         "tag",
-        F.when(other, 0).otherwise(1).alias("copies"),
-        F.when(~other, times).otherwise(0).alias("n_tokens"),
-        F.when(other & (c > 0), times).otherwise(F.col("known")).alias("n_known"),
-        F.when(other, times * F.log10((c + 1) / F.lit(float(tokens + vocabulary + 1)))).otherwise(F.col("base")).alias("base"),
-        F.when(other, times * F.log10(F.when(c > 0, (c - discount) / F.lit(float(max(tokens, 1)))).otherwise(unknown)))
-        .otherwise(F.col("score"))
-        .alias("score"),
+        F.when(table, 0).otherwise(1).alias("copies"),
+        F.when(~table, times).otherwise(0).alias("n_tokens"),
+        F.when(word & (c > 0), times).otherwise(F.col("known")).alias("n_known"),
+        F.when(word, times * F.log10((c + 1) / F.lit(float(tokens + vocabulary + 1)))).otherwise(F.col("base")).alias("base"),
+        F.when(table, times * F.coalesce("weight", F.when(word, F.log10(F.lit(unknown))).otherwise(0.0))).otherwise(F.col("score")).alias("score"),
     )
     sums = joined.groupBy("id", "tag").agg(*(F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base", "score")))
     each = lambda x: (F.col(x) / F.col("copies"))
