@@ -4,24 +4,56 @@ What the merges make of a byte string is fixed by its neighbouring pairs: a row
 pair of neighbours is what its own bytes merge to. So the last token of every prefix follows from earlier prefixes, and
 a boundary is settled once every way to go on passes it. A transducer state holds the last settled token and the bytes
 after it; an arc reads one byte, and emits the tokens that it settles. No token is longer than the longest vocabulary entry,
-which bounds the lookahead. States and arcs are made when first needed and forgotten when there are too many.
+which bounds the lookahead. States and arcs are made when first needed, for every piece; when there are too many, those not used
+since the last such time are forgotten.
+
+Stretches of text between blanks are made distinct in each Arrow batch, so the transducer reads each of them once; ids and texts
+are put together from them by Arrow. The decoder's state machine reads every byte but those of pieces that are ASCII as a whole,
+which leave its first state as it is; what a row of ids gives is remembered along with the stretch.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 80_000, 250_000, 600_000
+from .common import utf8
+
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 300_000, 400_000, 300_000
+#: Longer stretches are not remembered.
+LONG = 200
 BYTES = [bytes((b,)) for b in range(256)]
-TWO_BLANKS = re.compile(r"\s\s")
+#: White space beyond ASCII, as bytes.
+WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+class Memo(dict):
+    """make(key) for recent keys, in two generations, so that its size is bounded and frequent keys stay."""
+
+    def __init__(self, make, most, keep=lambda key: True):
+        super().__init__()
+        self.make, self.most, self.keep, self.old = make, most, keep, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if not self.keep(key):
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Vocabulary:
@@ -30,115 +62,118 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.open = {t[:k] for t in self.ranks for k in range(1, len(t))}  # what a longer token begins with
-        self.pairs: dict = {}
-
-    def merge(self, data: bytes) -> list[bytes]:
-        """Merge the pair of least rank, the leftmost first, until no pair has a rank."""
-        parts, none = [data[i : i + 1] for i in range(len(data))], 1 << 40
-        ranks = [self.ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
-        while ranks and (least := min(ranks)) < none:
+        self.halves: dict = {}
+        self.pairs = Memo(self._follow, MAX_PAIRS)
+
+    def parts(self, data: bytes, below: int) -> list[bytes]:
+        """Merge the pair of least rank, the leftmost first, until no pair has a rank under `below`."""
+        parts = [data[i : i + 1] for i in range(len(data))]
+        ranks = [self.ranks.get(data[i : i + 2], below) for i in range(len(data) - 1)]
+        while ranks and (least := min(ranks)) < below:
             i = ranks.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del ranks[i]
             if i:
-                ranks[i - 1] = self.ranks.get(parts[i - 1] + parts[i], none)
+                ranks[i - 1] = self.ranks.get(parts[i - 1] + parts[i], below)
             if i < len(ranks):
-                ranks[i] = self.ranks.get(parts[i] + parts[i + 1], none)
+                ranks[i] = self.ranks.get(parts[i] + parts[i + 1], below)
         return parts
 
-    def follow(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay as they are side by side; left is -1 at the start."""
-        key = (left << 32) + right
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > MAX_PAIRS:
-                self.pairs.clear()
-            before, after = self.tokens.get(left, b""), self.tokens[right]
-            known = self.pairs[key] = self.merge(before + after) == ([before, after] if before else [after])
-        return known
+    def half(self, token: int):
+        """The two tokens that merge last into this one; () for a byte, None for a token that merges never make."""
+        if token not in self.halves:
+            data = self.tokens[token]
+            parts = [self.ranks.get(p) for p in self.parts(data, token)]
+            self.halves[token] = () if len(data) == 1 else tuple(parts) if len(parts) == 2 else None
+        return self.halves[token]
+
+    def _follow(self, key: int) -> bool:
+        """Whether the tokens left and right (key: left << 32 | right; left is -1 at the start) stay as they are side by side.
+
+        Their merges are undone from the last one back, those of the right token first where ranks tie, since of equal pairs the leftmost
+        merges first. At each step, the pieces that face each other must not merge before what was undone. """
+        left, right = key >> 32, key & 0xFFFFFFFF
+        if self.half(right) is None:
+            return False
+        if left < 0:
+            return True
+        ranks, tokens, before = self.ranks, self.tokens, 1 << 40
+        while True:
+            if ranks.get(tokens[left] + tokens[right], before) < before:
+                return False
+            inner, outer = self.half(right), self.half(left)
+            if outer and (left > right or not inner):
+                left, before = outer[1], left
+            elif inner:
+                right, before = inner[0], right + 1
+            else:
+                return True
 
 
 class State:
     """settled: the last settled token. rest: the bytes after it. paths: each end in rest where a token may end, from small to
-    large, with the tokens from rest's start to there."""
+    large, with the tokens from rest's start to there. older: the same state of the generation before."""
 
-    __slots__ = ("arcs", "paths", "rest", "settled")
+    __slots__ = ("arcs", "older", "paths", "rest", "settled")
 
-    def __init__(self, settled: int, rest: bytes, paths: list):
-        self.settled, self.rest, self.paths, self.arcs = settled, rest, paths, {}
+    def __init__(self, settled: int, rest: bytes, paths: list, older=None):
+        self.settled, self.rest, self.paths, self.arcs, self.older = settled, rest, paths, {}, older
 
 
 class Transducer:
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.states: dict = {}
-        self.start = State(-1, b"", [(0, ())])
+    def __init__(self, vocabulary: Vocabulary, most: int = MAX_STATES):
+        self.v, self.most, self.made = vocabulary, most, 0
+        self.start, self.states, self.before = State(-1, b"", [(0, ())]), {}, {}
+
+    def state(self, settled: int, rest: bytes, paths: list) -> State:
+        key = (settled, rest)
+        if (found := self.states.get(key)) is None:
+            if len(self.states) >= self.most:
+                for s in self.states.values():
+                    s.older = None
+                self.start.older, self.before, self.states = None, self.states, {}
+                self.start = State(-1, b"", [(0, ())], self.start)
+            found = self.states[key] = State(settled, rest, paths, self.before.get(key))
+        return found
 
     def arc(self, state: State, byte: int):
+        """The arc of a state that has none for this byte yet."""
+        if state.older is not None and (known := state.older.arcs.get(byte)) is not None:
+            s = known[0]
+            state.arcs[byte] = found = (self.state(s.settled, s.rest, s.paths), known[1])
+            return found
+        self.made += 1
         v, rest, settled = self.v, state.rest + BYTES[byte], state.settled
-        ranks, wider, pairs, end, mine = v.ranks, v.open, v.pairs, len(rest), None
-        live = []
-        for begin, path in state.paths:
+        ranks, wider, pairs, end, mine, live = v.ranks, v.open, v.pairs, len(rest), None, []
+        for step in state.paths:
+            begin, path = step
             tail = rest[begin:]
-            if mine is None and (token := ranks.get(tail)) is not None:
-                left = path[-1] if path else settled
-                if (fits := pairs.get((left << 32) + token)) is None:
-                    fits = v.follow(left, token)
-                if fits:
-                    mine = (*path, token)
+            if mine is None and (token := ranks.get(tail)) is not None and pairs[((path[-1] if path else settled) << 32) + token]:
+                mine = (*path, token)
             if tail in wider:  # a longer token may still begin here
-                live.append((begin, path))
+                live.append(step)
         live.append((end, mine))
         out = live[0][1]
-        for _, path in live[1:]:
-            if out != path:
+        if out:
+            for _, path in live[1:]:
                 shared = min(len(out), len(path))
                 while out[:shared] != path[:shared]:
                     shared -= 1
                 out = out[:shared]
-        cut = 0
+                if not out:
+                    break
         if out:
             cut, settled, shared = sum([len(v.tokens[t]) for t in out]), out[-1], len(out)
             rest, live = rest[cut:], [(i - cut, path[shared:]) for i, path in live]
-        key = (settled, rest)
-        if (found := self.states.get(key)) is None:
-            if len(self.states) > MAX_STATES:
-                self.states.clear()
-                self.start.arcs.clear()
-            found = self.states[key] = State(settled, rest, live)
-        state.arcs[byte] = found = (found, out)
+        state.arcs[byte] = found = (self.state(settled, rest, live), out)
         return found
 
-    def undetermined(self, state: State, data: bytes) -> tuple:
-        """The tokens of what follows the settled ones, over all live paths at once and without making states."""
-        v, live, settled = self.v, state.paths, state.settled
-        ranks, wider, pairs, data = v.ranks, v.open, v.pairs, state.rest + data
-        for end in range(len(state.rest) + 1, len(data) + 1):
-            mine, next_live = None, []
-            for begin, path in live:
-                tail = data[begin:end]
-                if mine is None and (token := ranks.get(tail)) is not None:
-                    left = path[-1] if path else settled
-                    if (fits := pairs.get((left << 32) + token)) is None:
-                        fits = v.follow(left, token)
-                    if fits:
-                        mine = (*path, token)
-                if tail in wider:
-                    next_live.append((begin, path))
-            next_live.append((end, mine))
-            live = next_live
-        return live[-1][1]
-
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.v.ranks.get(piece)) is not None:
             return [whole]
         state, ids = self.start, []
-        for k, byte in enumerate(piece):
-            if (found := state.arcs.get(byte)) is None:
-                if byte not in state.arcs:  # an arc is made when it is needed for the second time
-                    state.arcs[byte] = None
-                    return [*ids, *self.undetermined(state, piece[k:])]
-                found = self.arc(state, byte)
-            state, out = found
+        for byte in piece:
+            state, out = state.arcs.get(byte) or self.arc(state, byte)
             if out:
                 ids += out
         return [*ids, *state.paths[-1][1]]
@@ -183,22 +218,37 @@ class StreamDecoder:
         return "".join(map(self.step, data))
 
 
-class Memo(dict):
-    """make(key) for recent keys, in two generations, so that its size is bounded and frequent keys stay."""
-
-    def __init__(self, make, most=MAX_PIECES):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+#: Of a byte: 1 for an ASCII letter, 2 for what is neither letter, digit, blank nor control character in ASCII.
+LETTER, MARK = 1, 2
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = MARK
+
+
+def cuts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where stretches begin, and the end of the last text: at each text, before a blank and on both sides of a line end, these
+    standing alone between other characters, and between an ASCII letter and a mark after it. A match of the pattern begins at each such
+    place whatever is around."""
+    white = (body == 32) | ((body >= 9) & (body <= 13))
+    for m in WIDE_BLANK.finditer(body):
+        white[m.start() : m.end()] = True
+    beside = np.zeros(len(body), bool)
+    beside[1:] = white[:-1]
+    inner = offsets[1:-1][offsets[1:-1] < len(body)]
+    beside[inner] = False
+    after = np.zeros(len(body), bool)
+    after[:-1] = white[1:]
+    after[inner[inner > 0] - 1] = False
+    alone = white & ~beside & ~after
+    line = np.flatnonzero(alone & (body == 10))
+    at = np.zeros(len(body) + 1, bool)
+    at[:-1] = alone & (body == 32)
+    at[line] = True
+    at[line + 1] = True
+    kind = KIND[body]
+    at[1:-1] |= (kind[:-1] == LETTER) & (kind[1:] == MARK)
+    at[offsets] = True
+    return np.flatnonzero(at)
 
 
 class Coder:
@@ -207,32 +257,49 @@ class Coder:
         self.machine = Transducer(self.v)
         # \s of the pattern is Unicode's White_Space
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.piece = Memo(lambda piece: ",".join(map(str, self.machine.encode(piece.encode()))))
-        self.chunk = Memo(lambda chunk: ",".join(map(self.piece.__getitem__, self.pattern.findall(chunk))))
-        self.back = Memo(self.text_of)
-
-    def text_of(self, ids: str) -> bytes:
-        decoder = StreamDecoder(self.v.tokens)
-        return (decoder.feed(map(int, ids.split(","))) + decoder.flush()).encode()
-
-    def encode(self, text: str) -> list[str]:
-        """The decimal ids of each stretch of text, joined by commas.
-
-        Where no two white-space characters follow each other, a blank begins a match of the pattern and a line end is one, so the
-        text may be cut there and stretches looked up; other texts are matched as a whole.
-        """
-        if "\0" in text or TWO_BLANKS.search(text):
-            return list(map(self.piece.__getitem__, self.pattern.findall(text)))
-        chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return list(map(self.chunk.__getitem__, filter(None, chunks)))
-
-    def decode(self, pieces: list[str]) -> bytes:
-        """A stretch of whole characters ends in the decoder's first state, so stretches are decoded one by one."""
-        return b"".join(map(self.back.__getitem__, pieces))
+        self.decoder = StreamDecoder(self.v.tokens)  # whole characters leave it in its first state
+        self.stretch = Memo(self._stretch, MAX_PIECES, lambda data: len(data) <= LONG)
+
+    def _stretch(self, data: bytes) -> tuple[bytes, bytes]:
+        """The decimal ids of a stretch, each with a comma after it, and what they decode to."""
+        if data.isalpha() or data[:1] == b" " and data[1:].isalpha():  # ASCII letters are one match
+            ids = self.machine.encode(data)
+        else:
+            ids = []
+            for piece in self.pattern.findall(data.decode()):
+                ids += self.machine.encode(piece.encode())
+        back = (self.decoder.feed(ids) + self.decoder.flush()).encode()
+        return "".join([f"{i}," for i in ids]).encode(), data if back == data else back
+
+    def batch(self, column: pa.Array):
+        """(ids with commas, how many, decoded bytes) of each text."""
+        body, offsets = utf8(column)
+        if not len(body):
+            yield from ((b"", 0, b""),) * (len(offsets) - 1)
+            return
+        at = cuts(body, offsets)
+        places = [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(body))]
+        all_ = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, places).dictionary_encode()
+        ids, back = zip(*[self.stretch[s] for s in all_.dictionary.to_pylist()])
+        first = np.searchsorted(at, offsets).tolist()
+        n = np.fromiter((i.count(b",") for i in ids), np.int64, len(ids))
+        count = np.append(0, np.cumsum(n[all_.indices.to_numpy()]))
+        joined, ends = _laid_out(ids, all_.indices)
+        back, back_ends = _laid_out(back, all_.indices)
+        for a, b in zip(first[:-1], first[1:]):
+            yield joined[ends[a] : max(ends[b] - 1, ends[a])], int(count[b] - count[a]), back[back_ends[a] : back_ends[b]]
+
+
+def _laid_out(values, indices) -> tuple[memoryview, np.ndarray]:
+    """The values at the indices, one after the other, and where each begins."""
+    out = pa.array(values, pa.large_binary()).take(indices)
+    _, offsets, data = out.buffers()
+    return memoryview(data), np.frombuffer(offsets, np.int64)[: len(out) + 1]
 
 
 @lru_cache(2)
 def coder(path: str, pattern: str) -> Coder:
+    gc.disable()  # states and pieces make no cycles; looking for some among so many takes longer than the rest
     return Coder(path, pattern)
 
 
@@ -242,7 +309,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches):
         c = coder(path, pattern)
         for batch in batches:
-            ids = [[int(i) for piece in c.encode(t or "") for i in piece.split(",")] for t in batch.column(1).to_pylist()]
+            ids = [list(map(int, bytes(i).split(b","))) if n else [] for i, n, _ in c.batch(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -276,12 +343,10 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         c = coder(path, pattern)
         for batch in batches:
             n, ids, back = [], [], []
-            for text in batch.column(1):
-                pieces = c.encode(text.as_py() or "")
-                joined = ",".join(pieces)
-                n.append(joined.count(",") + 1 if joined else 0)
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                back.append(hashlib.sha256(c.decode(pieces)).hexdigest())
+            for joined, count, decoded in c.batch(batch.column(1)):
+                n.append(count)
+                ids.append(hashlib.sha256(joined).hexdigest())
+                back.append(hashlib.sha256(decoded).hexdigest())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
             yield pa.record_batch(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
