@@ -18,6 +18,7 @@ import base64
 import gc
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import utf8
 
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 300_000, 400_000, 300_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 220_000, 300_000, 400_000
 #: Longer stretches are not remembered.
 LONG = 200
 BYTES = [bytes((b,)) for b in range(256)]
@@ -63,7 +64,9 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.open = {t[:k] for t in self.ranks for k in range(1, len(t))}  # what a longer token begins with
         self.halves: dict = {}
+        self.sorted = sorted(self.ranks)
         self.pairs = Memo(self._follow, MAX_PAIRS)
+        self.longer = Memo(self._longer, MAX_PAIRS)
 
     def parts(self, data: bytes, below: int) -> list[bytes]:
         """Merge the pair of least rank, the leftmost first, until no pair has a rank under `below`."""
@@ -87,6 +90,16 @@ class Vocabulary:
             self.halves[token] = () if len(data) == 1 else tuple(parts) if len(parts) == 2 else None
         return self.halves[token]
 
+    def _longer(self, key: tuple[int, bytes]) -> bool:
+        """Whether some token that is longer than these bytes and begins with them can follow the left one."""
+        left, tail = key
+        i = bisect_right(self.sorted, tail)
+        while i < len(self.sorted) and self.sorted[i].startswith(tail):
+            if self._follow((left << 32) + self.ranks[self.sorted[i]]):
+                return True
+            i += 1
+        return False
+
     def _follow(self, key: int) -> bool:
         """Whether the tokens left and right (key: left << 32 | right; left is -1 at the start) stay as they are side by side.
 
@@ -144,13 +157,13 @@ class Transducer:
             return found
         self.made += 1
         v, rest, settled = self.v, state.rest + BYTES[byte], state.settled
-        ranks, wider, pairs, end, mine, live = v.ranks, v.open, v.pairs, len(rest), None, []
+        ranks, wider, pairs, longer, end, mine, live = v.ranks, v.open, v.pairs, v.longer, len(rest), None, []
         for step in state.paths:
             begin, path = step
-            tail = rest[begin:]
-            if mine is None and (token := ranks.get(tail)) is not None and pairs[((path[-1] if path else settled) << 32) + token]:
+            tail, left = rest[begin:], path[-1] if path else settled
+            if mine is None and (token := ranks.get(tail)) is not None and pairs[(left << 32) + token]:
                 mine = (*path, token)
-            if tail in wider:  # a longer token may still begin here
+            if tail in wider and (end - begin < 2 or longer[left, tail]):  # a longer token may still begin here
                 live.append(step)
         live.append((end, mine))
         out = live[0][1]
