@@ -1,4 +1,4 @@
-"""Scores of the backoff automaton against a plain backoff model over all bigrams, whatever is broadcast."""
+"""Scores of the backoff automaton against a plain backoff model over all bigrams."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import collections
 import math
 import zlib
 
+import numpy as np
 import pytest
 
 from factmill.llm import lm_scoring
@@ -13,27 +14,32 @@ from factmill.llm import lm_scoring
 from .corpus import frame, texts
 
 
-@pytest.mark.parametrize("states, arcs", [(lm_scoring.STATE_SHARE, lm_scoring.ARC_SHARE), (0.02, 0.01), (2.0, 2.0)])
-def test_scores_are_those_of_a_plain_backoff_model(spark, monkeypatch, states, arcs):
-    monkeypatch.setattr(lm_scoring, "STATE_SHARE", states)
-    monkeypatch.setattr(lm_scoring, "ARC_SHARE", arcs)
-    rows = texts() + [(900, "never seen alpha words"), (901, "alpha of alpha of")]
+def plain_model(rows):
+    """log10 P(w|h) and the outcomes of a model counted row by row; rows with an id of the held-out remainder aren't learnt."""
     learns = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
-    split = lambda t: (t or "").encode().lower().split() + [b""]
     one, two = collections.Counter(), collections.Counter()
     for i, t in rows:
         if learns(i):
             one.update(split(t))
             two.update(zip([b"", *split(t)], split(t)))
-    n, follow = sum(one.values()), collections.Counter(h for h, _ in two)
-    once, twice = (sum(c == k for c in one.values()) for k in (1, 2))
-    d, step = min(0.9, max(0.1, once / max(once + 2 * twice, 1))), lm_scoring.DISCOUNT
+    n, d, m = sum(one.values()), lm_scoring.DISCOUNT, lm_scoring.PRIOR
 
     def log_p(h, w):
         root = (one[w] - d) / n if w in one else d * len(one) / n
-        back = step * follow[h] / one[h] if h in one else 1
-        return math.log10((max(two[h, w] - step, 0) / one[h] if h in one else 0) + back * root)
+        return math.log10((two[h, w] + m * root) / (one[h] + m) if h in one else root)
+
+    return log_p, one
+
 
+def split(t):
+    return [*(t or "").encode().lower().split(), b""]
+
+
+@pytest.mark.parametrize("bucket_bytes", [lm_scoring.BUCKET_BYTES, 200])
+def test_scores_are_those_of_a_plain_backoff_model(spark, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", bucket_bytes)
+    rows = texts() + [(900, "never seen alpha words"), (901, "alpha of alpha of")]
+    log_p, _ = plain_model(rows)
     want, got = collections.defaultdict(list), collections.defaultdict(list)
     for i, t in rows:
         want[i].append(sum(map(log_p, [b"", *split(t)], split(t))))
@@ -42,3 +48,23 @@ def test_scores_are_those_of_a_plain_backoff_model(spark, monkeypatch, states, a
     assert got.keys() == want.keys()
     for i in want:
         assert sorted(got[i]) == pytest.approx(sorted(want[i]), abs=1e-6)
+
+
+def test_states_sum_to_one():
+    rows = [(k, t) for k, t in enumerate(["a b a b c", "b b a", "c a b a"], 100)]
+    log_p, one = plain_model(rows)
+    for h in [*one, b"other"]:
+        assert sum(10 ** log_p(h, w) for w in [*one, b"unknown"]) == pytest.approx(1)
+
+
+def test_weights_of_no_training():
+    root, fall = lm_scoring.log_weights(np.zeros(3), 0, 0)
+    assert (root == 0).all() and (fall == 0).all()
+
+
+def test_numbers_come_back():
+    for kind in (np.uint32, np.uint64):
+        x = np.sort(np.random.default_rng(1).integers(0, np.iinfo(kind).max, 1000, kind))
+        for values in (x, x[:0]):
+            for steps in (False, True):
+                assert (lm_scoring.loosened(lm_scoring.squeezed(values, steps), kind, steps) == values).all()

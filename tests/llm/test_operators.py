@@ -320,20 +320,6 @@ def test_lm_scores(spark):
             assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6
 
 
-def test_lm_states_sum_to_one():
-    words, counts = [b"", b"a", b"b"], [4, 10, 6]
-    m = lm_scoring.Automaton(words, counts, np.array([1 * 3 + 2, 2 * 3 + 1]), np.array([5.0, 4.0]), 20, 3, 0.5)
-    unknown = 0.5 * 3 / 20
-    for before in range(3):
-        total = unknown * 10 ** m.back[before]
-        for w in range(3):
-            key = before * 3 + w
-            at = np.searchsorted(m.arc_keys, key)
-            arc = at < len(m.arc_keys) and m.arc_keys[at] == key
-            total += 10 ** m.arc[at] if arc else 10 ** (m.back[before] + m.root[w])
-        assert abs(total - 1) < 1e-9
-
-
 @pytest.mark.parametrize(
     "apply",
     [
