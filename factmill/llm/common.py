@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,6 +47,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files and checkpoints of finished steps; it waits for the driver's garbage collector, which
+    a driver with little to do hardly runs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def numbered(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one more column, a long that tells apart rows of different ids or texts, and sorts as they do by id.
+
+    It is the id itself where no id is missing or repeated. Else rows without an id come last, rows that share one are sorted by a 64-bit
+    hash of their texts, and rows that repeat an id and a text have one number.
+    """
+    some = df.select(F.col(id_col).alias("id"))
+    if some.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 OR id IS NULL").isEmpty():
+        return df.withColumn(name, F.col(id_col).cast("long"))
+    keys = [f"{name}_null", f"{name}_id", f"{name}_tag"]
+    parts = [F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
+    keyed = df.withColumns(dict(zip(keys, parts)))
+    # sorted by ranges, so that numbers grow with the partitions
+    order = cut(keyed.select(keys).distinct().orderBy(keys).withColumn(name, F.monotonically_increasing_id()))
+    return keyed.join(order.hint("shuffle_hash"), keys).drop(*keys)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

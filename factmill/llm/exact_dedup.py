@@ -43,11 +43,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = (
         hashed.groupBy("h128").agg(F.count("*").alias("n")).filter("n > 1").select("h128")
     )
-    members = hashed.join(repeated, "h128", "left_semi").select("id").distinct()
-    texts = df.select(F.col(id_col).alias("id"), norm.alias("norm"))
+    known = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("known")  # rows without an id are compared too
+    members = hashed.join(repeated, "h128", "left_semi").select(known).distinct()
+    texts = df.select(F.col(id_col).alias("id"), norm.alias("norm")).select(known, "norm")
     # Byte comparison: as many distinct texts as distinct hash pairs, else a hash hides a collision.
     compared = (
-        texts.join(members.hint("shuffle_hash"), "id", "left_semi")
+        texts.join(members.hint("shuffle_hash"), "known", "left_semi")
         .groupBy(F.unhex(F.md5("norm")).alias("h128"), "norm")
         .agg(F.count("*").alias("n"))
         .groupBy("h128", F.unhex(F.sha2("norm", 256)).alias("sha"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, tidy, utf8
 from .components import components
 
 LEAF, FAN, SLICE = 16, 8, 512
@@ -356,12 +356,14 @@ def set_links(sets: DataFrame, similarity: float) -> DataFrame:
         return near.mapInArrow(_similar(similarity), "u long, v long")
 
     for _ in range(NEAR_ROUNDS):
+        tidy(sets.sparkSession)
         now = cut(opened())
         pairs = now.filter(F.col("root") != F.col("p_root")).filter(_can(similarity, "x", "p")).select(F.col("x.set").alias("u"), F.col("p.set").alias("v"))
         met = compared(pairs)
         found = cut(met if found is None else found.union(met))
         roots = cut(components(found).select(F.col("node").alias("set"), "root"))
         keys = now.filter(F.col("x.set") != F.col("p.set")).select("key", "x")
+    tidy(sets.sparkSession)
     now = cut(opened().select("key", "x", "root"))
     sizes = now.groupBy("key", "root").agg(F.count("*").alias("n"))
     most = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
@@ -387,6 +389,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = first.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_met_again, f"id {kind}, need long, n long")
     left = cut(again.groupBy("id", "need").agg(F.sum("n").alias("n")).filter("n >= need").select("id").distinct())
     made = cut(texts.join(left.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_shingle_sets(width), f"id {kind}, set long, n long, shingles array<long>"))
+    del first, again
+    tidy(df.sparkSession)
     least = cut(made.groupBy("set").agg(F.min("id").alias("least")))
     pairs = set_links(cut(made.select("set", "n", "shingles").dropDuplicates(["set"])), similarity)
     at = lambda c: least.select(F.col("set").alias(c), F.col("least").alias(f"{c}_id"))

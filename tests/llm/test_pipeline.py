@@ -57,3 +57,29 @@ def test_stages(spark, corpus):
 def test_queries_are_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, corpus):
+    folder, rows, *_, passage = corpus
+    r = random.Random(9)
+    make = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    p, other = make(90), make(70)
+    near = " ".join([*p.split()[:-1], "zzz"])
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def frame(*pairs):
+        return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in pairs], schema)
+
+    def texts(name, df):
+        return sorted(((x.doc_id, x.text) for x in dict(corpus_pipeline.STAGES)[name](spark, df, folder).collect()), key=str)
+
+    same = frame((1, p), (2, p), (2, other), (None, other), (3, None), (3, None), (None, make(60)))
+    got = texts("exact", same)
+    assert (1, p) in got and (2, other) in got and (3, None) in got and len(got) == 4
+    got = texts("near", frame((1, p), (2, near), (2, other), (None, near + " q"), (3, None)))
+    assert got == sorted([(1, p), (2, other), (3, None)], key=str)
+    got = texts("substrings", frame((1, p), (2, "head " + p), (2, other), (None, other), (3, None)))
+    assert got == sorted([(1, p), (2, "head"), (2, other), (3, None)], key=str)
+    assert len(texts("quality", same)) <= 7
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        assert texts(name, frame().limit(0)) == []
