@@ -184,14 +184,12 @@ def fit(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, ridge:
     learnt from, spread over 8 partitions whose sums are added up. Without rows of both kinds every score is the share of
     ones, or 0.5."""
     spark = stats.sparkSession
-    rows = (
-        labels.filter("y is not null")
-        .join(stats, "id")
-        .select(F.col("y").cast("double"), "x", F.xxhash64("id").alias("at"))
-        .orderBy("at")
-        .limit(max_train)
-    )
-    rows = cut(rows.select("y", "x").repartition(8))
+    known = labels.filter("y is not null").join(stats, "id").select(F.col("y").cast("double"), "x", F.xxhash64("id").alias("at"))
+    n = known.count()
+    if n > max_train:  # a share of the hashes slightly larger than wanted, of which the smallest are taken
+        known = known.filter(F.col("at") < int((max_train * 1.05 / n - 0.5) * 2**64)) if max_train * 1.05 < n else known
+        known = known.orderBy("at").limit(max_train)
+    rows = cut(known.select("y", "x").repartition(8))
     spread = rows.select(F.posexplode("x")).groupBy("pos").agg(F.avg("col"), F.stddev_pop("col")).collect()
     share = rows.agg(F.avg("y"), F.count("*")).first()
     mean, deviation = np.zeros(STATISTICS), np.ones(STATISTICS)

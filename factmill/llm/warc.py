@@ -175,6 +175,7 @@ def fetch(folder: str, bundle: int, frame: int, frame_offset: int) -> tuple[dict
         return parse(zstandard.ZstdDecompressor().decompress(file.read_at(packed, at)), frame_offset)[:2]
 
 
+READ_BUNDLES = 2
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -212,7 +213,10 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
         if file:
             file.close()
 
-    entries = index.select("bundle", "frame", "frame_offset").repartition("bundle").sortWithinPartitions("bundle", "frame", "frame_offset")
+    bundles = index.agg(F.max("bundle")).first()[0]
+    # the index is small, what it points to isn't: a task reads about READ_BUNDLES bundles
+    tasks = -(-((bundles or 0) + 1) // READ_BUNDLES)
+    entries = index.select("bundle", "frame", "frame_offset").repartition(tasks, "bundle").sortWithinPartitions("bundle", "frame", "frame_offset")
     return entries.mapInArrow(read, READ)
 
 
