@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import utf8
 
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 220_000, 300_000, 400_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 170_000, 250_000, 300_000
 #: Longer stretches are not remembered.
 LONG = 200
 BYTES = [bytes((b,)) for b in range(256)]
