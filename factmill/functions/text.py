@@ -86,13 +86,27 @@ def extract_emails(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), F.lit(0))
 
 
-def strip_boilerplate(text: Column, footer: str = "(?:Quick Links|Contact Us|Follow Us)") -> Column:
-    """Cut what precedes the first top heading and what follows a footer heading; runs of blank lines become one."""
-    t = F.when(text.rlike(r"(?m)^# "), F.regexp_replace(text, r"(?s)\A.*?(?=^# )".replace("(?s)", "(?sm)"), "")).otherwise(text)
-    t = F.regexp_replace(t, rf"(?sm)^#+ *{footer}.*\z", "")
+# Lines that are no content, and what closes a page.
+NOISE_LINES = (
+    r"(?mi)^(?:[\uffe9\uffeb\u00d7x\s]*$|Previous\s+Next\s*$|\[Page load link\].*$|\[Go to Top\].*$|\[\s*Go to Top\s*\].*$|!\[\]\([^)]*Logo[^)]*\).*$|\[Skip to content\].*$)"
+)
+FOOTER = r"(?ms)^#{5}\s+Students\s*$.*"
+BYLINE = r"\A[^\n]*(?:By\s+)?\[[^\]]+\]\(https?://[^)]+/author/[^)]+\)[|]?\d{4}-\d{2}-\d{2}T[\d:+]+\s*\n?"
+BANNER = r"\s*\[?!\[[^\]]*\]\([^)]+\)\]?(?:\([^)]+\))?\s*\n?"
+
+
+def strip_boilerplate(text: Column) -> Column:
+    """Cut what precedes the first top heading and what follows the footer heading, drop noise lines; of three line ends or more two stay."""
+    t = F.when(text.rlike(r"(?m)^#\s+.+$"), F.regexp_replace(text, r"(?sm)\A.*?(?=^#\s+[^\n]+$)", "")).otherwise(text)
+    t = F.regexp_replace(F.regexp_replace(t, FOOTER, ""), NOISE_LINES, "")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
+def strip_wp_artifacts(body: Column) -> Column:
+    """Cut an author's byline off the beginning of a section, then all banner images there."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(body, BYLINE, ""), rf"\A(?:{BANNER})+", ""), r"\A\s+", "")
+
+
 def token_list(text: Column) -> Column:
     """Lower-case words of letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
@@ -103,28 +117,70 @@ def token_id(token: Column) -> Column:
     return F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % 2147483000 + 1
 
 
-def semantic_identity(kind: Column, payload: Column, rendered: Column) -> Column:
-    """What makes two records of a type the same fact: a key of its payload (map<string,string>), else the normalised rendering."""
-    get = lambda k: semantic_normalize(F.coalesce(F.element_at(payload, k), F.lit("")))
-    key = lambda *names: F.concat_ws(":", *map(get, names))
+def semantic_identity(kind: Column, payload: Column, rendered: Column, dates: Column | None = None) -> Column:
+    """What makes two records of a type the same fact: a key of its payload (map<string,string>), else the normalised rendering.
+
+    A scholarship is its name as a slug, without one its content; a milestone its scope, name and dates (array<string>; without
+    any the date text); a fee its labels and table; a research entity its URL, without one its name."""
+    from .urls import slugify, url_identity
+
+    raw = lambda k: F.coalesce(F.element_at(payload, k), F.lit(""))
+    first = lambda *names: F.coalesce(*(F.nullif(raw(n), F.lit("")) for n in names), F.lit(""))
+    joined = lambda *parts: semantic_normalize(F.concat_ws(":", *parts))
+    name, url = strip(raw("scholarship_name")), strip(first("subdomain_url", "canonical_center_url"))
+    days = F.filter(F.transform(dates, strip), lambda d: d != "") if dates is not None else F.array().cast("array<string>")
+    when = F.when(F.size(days) > 0, F.array_join(days, "|")).otherwise(raw("date_text"))
     return (
-        F.when(kind == "scholarship", key("scholarship_name")).when(kind == "admissions_cycle", key("calendar_scope", "milestone_name", "date_text"))
-        .when(kind == "program_fee_schedule", key("program_name", "audience", "table_kind", "cycle_label", "raw_table_text"))
-        .when(kind == "faculty_publication", key("raw_citation")).when(kind == "research_entity", key("subdomain_url")).otherwise(semantic_normalize(rendered))
-    )
+        F.when((kind == "scholarship") & (name != ""), slugify(F.translate(name, "–—―−", "----")))
+        .when(kind == "scholarship", semantic_normalize(raw("content")))
+        .when(kind == "admissions_cycle", joined(raw("calendar_scope"), raw("milestone_name"), when))
+        .when(kind == "program_fee_schedule", joined(raw("program_name"), raw("audience"), raw("table_kind"), raw("cycle_label"), first("raw_table_text", "fee_table_markdown")))
+        .when(kind == "faculty_publication", semantic_normalize(first("raw_citation", "value_text")))
+        .when((kind == "research_entity") & (url != ""), url_identity(url))
+        .when(kind == "research_entity", semantic_normalize(raw("name")))
+        .when(kind.isin("faculty_award", "faculty_affiliation"), semantic_normalize(raw("value_text")))
+        .otherwise(semantic_normalize(rendered))
+    )
 
 
-#: Keys whose presence tells a payload's type, in order.
-TYPE_KEYS = (
-    ("milestone_name", "admissions_cycle"), ("fee_table_markdown", "program_fee_schedule"), ("curriculum_table_text", "program_curriculum"), ("scholarship_name", "scholarship"),
-    ("merit_stage", "merit_list"), ("rule_text", "policy_rule"), ("raw_citation", "faculty_publication"), ("designation_text", "faculty_profile"), ("subdomain_url", "research_entity"),
-    ("program_name", "program"), ("document_url", "document_asset"), ("unit_type", "org_unit"),
-)
+#: What tells a payload's type, in order: of each group of keys one must be there.
+TYPE_RULES = (
+    ("admissions_cycle", (("milestone_name",), ("date_text",))),
+    ("program_curriculum", (("curriculum_table_text",),)),
+    ("program", (("program_name",), ("overview_text", "degree_level"))),
+    ("document_landing", (("linked_document_labels", "linked_document_urls"),)),
+    ("research_entity", (("subdomain_url", "main_site_url"),)),
+    ("policy_rule", (("rule_text", "rule_title"),)),
+    ("scholarship", (("scholarship_name", "benefit_text"),)),
+    ("program_fee_schedule", (("raw_table_text", "fee_table_markdown"),)),
+    ("faculty_profile", (("designation_text", "biography_text"),)),
+    ("faculty_publication", (("raw_citation",),)),
+    ("document_asset", (("document_url", "filename"),)),
+)
 
 
 def infer_record_type(payload: Column) -> Column:
-    """First key of the table that the payload (a map) holds, whatever its value."""
-    out = F.lit("general")
-    for key, kind in TYPE_KEYS[::-1]:
-        out = F.when(F.map_contains_key(payload, key), kind).otherwise(out)
+    """First rule that the keys of the payload (a map) meet, whatever their values; null if none does."""
+    keys, out = F.map_keys(payload), F.lit(None).cast("string")
+    for kind, groups in TYPE_RULES[::-1]:
+        met = None
+        for group in groups:
+            some = F.arrays_overlap(keys, F.array(*map(F.lit, group)))
+            met = some if met is None else met & some
+        out = F.when(met, kind).otherwise(out)
     return out
+
+
+def payload_hash(json: Column) -> Column:
+    """SHA-256 of a payload's JSON with sorted keys, at every level, and blanks after commas and colons; null is the empty object."""
+    import hashlib
+    import json as codec
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def hashed(texts: pd.Series) -> pd.Series:
+        form = lambda t: codec.dumps(codec.loads(t or "{}"), sort_keys=True)
+        return texts.map(lambda t: hashlib.sha256(form(t).encode()).hexdigest())
+
+    return hashed(json)

@@ -67,11 +67,12 @@ def duplicate_violations(df: DataFrame) -> DataFrame:
 
 
 def select_primary_hits(evidence: DataFrame) -> DataFrame:
-    """Per query and dedupe key: rows of the least tier; all of them if it holds several values, else those of the best record."""
+    """Per query and dedupe key: rows of the least tier; all of them if it holds several values, else those of the best record
+    (greatest score, then smallest id)."""
     key = ["query_id", "dedupe_key"]
     per = evidence.groupBy(*key, "tier").agg(
         F.min("effective_hash").alias("low"), F.max("effective_hash").alias("high"),
-        F.max(F.struct("score", F.col("record_version_id").alias("id"))).alias("best"),
+        F.min(F.struct((-F.col("score")).alias("minus"), F.col("record_version_id").alias("id"))).alias("best"),
     )
     top = per.groupBy(*key).agg(F.min_by(F.struct("tier", "low", "high", "best"), "tier").alias("t")).select(*key, "t.*")
     return evidence.join(top, [*key, "tier"]).filter("low <> high or record_version_id = best.id").drop("low", "high", "best")

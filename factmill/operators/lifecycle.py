@@ -112,15 +112,28 @@ def affected_closure(records: DataFrame, keys: list[str], anchor: Column, most_r
 
 
 def index_changes(records: DataFrame, batch: int) -> DataFrame:
-    """Changes of the index that are open, the oldest `batch` of them claimed. The claimed ones are a bounded top-k, so no global
-    order of all changes is made."""
-    open_ = records.filter(F.col("serving").isin("eligible", "pending_index")).select(
-        "record_version_id", F.when(F.col("serving") == "eligible", "index").otherwise("deindex").alias("operation"), "fetched_at"
+    """Changes of the index that are open, the oldest `batch` of them claimed (running): versions that are eligible or wait for the index,
+    and those that wait to leave it. The claimed ones are a bounded top-k, so no global order of all changes is made."""
+    open_ = records.filter(F.col("serving").isin("eligible", "pending_index", "pending_deindex")).select(
+        "record_version_id", F.when(F.col("serving") == "pending_deindex", "deindex").otherwise("index").alias("operation"), "fetched_at"
     )
-    claimed = open_.orderBy("fetched_at", "record_version_id").limit(batch).select("record_version_id", F.lit("claimed").alias("status"))
+    claimed = open_.orderBy("fetched_at", "record_version_id").limit(batch).select("record_version_id", F.lit("running").alias("status"))
     return open_.drop("fetched_at").join(claimed, "record_version_id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
 
 
+def finish_changes(changes: DataFrame, succeeded: bool, error: str | None = None) -> DataFrame:
+    """Claimed changes end with the build of the generation: all succeed or all fail with its error; the others still wait."""
+    running = F.col("status") == "running"
+    done = F.when(running, "succeeded" if succeeded else "failed").otherwise(F.col("status"))
+    return changes.withColumn("error", F.when(running, F.lit(None if succeeded else error).cast("string"))).withColumn("status", done)
+
+
+def reset_serving(records: DataFrame) -> DataFrame:
+    """Before the index is built anew: versions in it are eligible again, those that wait to leave it are ineligible."""
+    serving = F.col("serving")
+    return records.withColumn("new_serving", F.when(serving == "indexed_active", "eligible").otherwise(serving))
+
+
 def select_due_sources(sources: DataFrame, due: Column, limit: int) -> DataFrame:
     """Crawlable sources that are due: high-risk classes first, then by URL; a bounded top-k."""
     from factmill.functions.urls import HIGH_RISK

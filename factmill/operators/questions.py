@@ -6,31 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Term lists and synonym groups, in order.
-OUT_OF_SCOPE = "weather temperature forecast rain humidity stock share_price bitcoin crypto recipe restaurant movie football cricket nba nfl".split()
+OUT_OF_SCOPE = (
+    "weather", "temperature", "forecast", "rain", "humidity", "stock", "share price", "bitcoin", "crypto", "recipe", "restaurant", "movie", "football", "cricket",
+    "nba", "nfl",
+)
 INTENTS = (
-    ("news_event", "news event events seminar workshop conference convocation".split()),
-    ("faculty", "faculty professor dr publication publications research_interest research_interests expertise works_on".split()),
-    ("policy", "policy policies attendance probation threshold cgpa grade grading rule rules regulation regulations requirement".split()),
-    ("program_fee_schedule", "fee fees tuition".split()),
-    ("scholarship", "scholarship scholarships financial_aid financial_assistance".split()),
-    ("merit_list", "merit merit_list merit_lists".split()),
-    ("program", "eligibility eligible eligibility_criteria who_can_apply".split()),
-    ("admissions_cycle", "admission admissions apply application deadline intake".split()),
+    ("news_event", ("news", "event", "events", "seminar", "workshop", "conference", "convocation")),
+    ("faculty", ("faculty", "professor", "dr ", "dr.", "publication", "publications", "research interest", "research interests", "expertise", "works on")),
+    ("policy", ("policy", "policies", "attendance", "probation", "threshold", "cgpa", "grade", "grading", "rule", "rules", "regulation", "regulations", "requirement")),
+    ("program_fee_schedule", ("fee", "fees", "tuition")),
+    ("scholarship", ("scholarship", "scholarships", "financial aid", "financial assistance")),
+    ("merit_list", ("merit", "merit list", "merit lists")),
+    ("program", ("eligibility", "eligible", "eligibility criteria", "who can apply")),
+    ("admissions_cycle", ("admission", "admissions", "apply", "application", "deadline", "intake")),
 )
-IN_SCOPE = "university department program office student_service hostel placement campus".split()
+IN_SCOPE = ("university", "department", "program", "office", "student service", "hostel", "placement", "campus")
 ALIASES = {"faculty_profile": "faculty", "faculty_publication": "faculty", "policy_rule": "policy", "research_entity": "research_main"}
 SYNONYMS = (
-    "fee tuition charges cost", "admission enrollment entry intake", "faculty professor teacher instructor",
-    "complete completion graduate graduation degree_completion", "grading grade cgpa gpa", "attendance class_attendance attendance_policy",
-    "required requirement minimum needed", "program programme degree course_of_study", "scholarship financial_aid merit_scholarship need-based_aid",
-    "deadline last_date due_date closing_date", "requirement eligibility criteria prerequisite", "semester term session",
-    "campus university institute", "department school division",
-)
+    ("fee", "tuition", "charges", "cost"),
+    ("admission", "enrollment", "entry", "intake"),
+    ("faculty", "professor", "teacher", "instructor"),
+    ("complete", "completion", "graduate", "graduation", "degree completion"),
+    ("grading", "grade", "cgpa", "gpa"),
+    ("attendance", "class attendance", "attendance policy"),
+    ("required", "requirement", "minimum", "needed"),
+    ("program", "programme", "degree", "course of study"),
+    ("scholarship", "financial aid", "merit scholarship", "need-based aid"),
+    ("deadline", "last date", "due date", "closing date"),
+    ("requirement", "eligibility", "criteria", "prerequisite"),
+    ("semester", "term", "session"),
+    ("campus", "university", "institute"),
+    ("department", "school", "division"),
+)
+#: A keyword hint of these classes or types is not overruled by similarity.
+STRONG_CLASSES = ("policy", "fee", "scholarship", "admissions")
+STRONG_TYPES = ("program_fee_schedule", "scholarship", "admissions_cycle")
 
 
 def words_pattern(terms) -> str:
-    """One alternation of whole terms; works without lookaround."""
-    return "(^|[^a-z0-9])(" + "|".join(t.replace("_", " ") for t in terms) + ")([^a-z0-9]|$)"
+    """One alternation of whole terms; works without lookaround. A term that ends with a blank or a point has its own end."""
+    plain = [t for t in terms if t[-1].isalnum()]
+    ended = [t.replace(".", "[.]") for t in terms if not t[-1].isalnum()]
+    return "(^|[^a-z0-9])((" + "|".join(plain or ["$^"]) + ")([^a-z0-9]|$)" + "".join(f"|{t}" for t in ended) + ")"
 
 
 def has_terms(text: Column, terms) -> Column:
@@ -39,7 +56,7 @@ def has_terms(text: Column, terms) -> Column:
 
 def classify(text: Column) -> Column:
     """out_of_scope unless an in-scope term occurs too; else the first intent that matches; else entity lookup."""
-    inside = has_terms(text, [t for _, terms in INTENTS for t in terms] + IN_SCOPE)
+    inside = has_terms(text, [t for _, terms in INTENTS for t in terms] + list(IN_SCOPE))
     out = F.when(has_terms(text, OUT_OF_SCOPE) & ~inside, "out_of_scope")
     for name, terms in INTENTS:
         out = out.when(has_terms(text, terms), name)
@@ -74,27 +91,31 @@ def synonym_terms() -> list[tuple[str, list[str]]]:
     """Each term with the other terms of its first group, in order."""
     seen: dict[str, list[str]] = {}
     for group in SYNONYMS:
-        terms = [t.replace("_", " ") for t in group.split()]
-        for t in terms:
-            seen.setdefault(t, [x for x in terms if x != t])
+        for t in group:
+            seen.setdefault(t, [x for x in group if x != t])
     return list(seen.items())
 
 
 def expand_synonyms(text: Column, most: int = 3) -> Column:
-    """The query and up to most - 1 variants: for each term in it, in order, each synonym not in it put in the term's first place."""
+    """The query and up to most - 1 variants: for each term in it, in order, each synonym not in it put in the place of the term's first
+    occurrence as whole words."""
     low, variants = F.lower(text), []
     for term, others in synonym_terms():
         here = low.rlike(words_pattern([term]))
         for other in others:
-            swapped = F.concat(
-                F.substring_index(low, term, 1), F.lit(other), F.substring(low, F.instr(low, term) + len(term), 1_000_000)
-            )
+            swapped = F.regexp_replace(low, rf"(?s)^(.*?)(?<![a-z0-9]){term}(?![a-z0-9])", f"$1{other}")
             variants.append(F.when(here & ~low.rlike(words_pattern([other])), swapped))
     distinct = F.array_distinct(F.array_compact(F.array(*variants)))
     rest = F.filter(distinct, lambda v: v != low)
     return F.slice(F.concat(F.array(text), rest), 1, most)
 
 
+def reconcile(keyword: Column, semantic: Column) -> Column:
+    """Of two classifications (structs with source_class and record_type) the keyword one if its hint is strong, else the semantic one."""
+    strong = keyword["source_class"].isin(*STRONG_CLASSES) | keyword["record_type"].isin(*STRONG_TYPES)
+    return F.when(F.coalesce(strong, F.lit(False)), keyword).otherwise(semantic)
+
+
 def plan_routes(source_hint: Column, type_hint: Column, user_hint: Column, secondary: Column) -> Column:
     """A user's hint gives one strict route; else source hint, everything, type hint, and up to two secondary classes. Repeats of
     (class, type) are dropped, the first stays."""

@@ -57,8 +57,10 @@ def overlap_score(query: Column, text: Column) -> Column:
 
 
 def adjust_tier(tier: Column, url: Column, hint: Column) -> Column:
-    out = F.when((hint == "scholarship") & url.contains("scholarship"), tier - 2).when((hint == "policy") & url.contains("policy"), tier - 1).otherwise(tier)
-    return F.greatest(out, F.lit(1))
+    """A tier for this query: URLs that are about the hinted class rise; never above the first."""
+    aid, rule = url.rlike("(?i)financial-assistance|scholarship"), url.rlike("(?i)policy|policies|regulation|regulations")
+    out = F.when((hint == "scholarship") & aid, F.greatest(tier - 2, F.lit(1))).when((hint == "policy") & rule, F.greatest(tier - 1, F.lit(1)))
+    return out.otherwise(tier)
 
 
 def authority_decay(score: Column, tier: Column) -> Column:
@@ -70,7 +72,8 @@ def min_score(df: DataFrame, least: float) -> DataFrame:
 
 
 def source_diversity(evidence: DataFrame, most: int, target: int) -> DataFrame:
-    """By score: the first `most` distinct records of each URL with all their rows, the rest as overflow; `target` rows in all."""
+    """`target` rows by score: of each URL the first `most` distinct records with all their rows, then what overflows where those are
+    too few."""
     if target <= 0:
         return evidence.limit(0)
     order = [F.desc("score"), F.asc("record_version_id"), F.asc("chunk_id")]
@@ -81,21 +84,23 @@ def source_diversity(evidence: DataFrame, most: int, target: int) -> DataFrame:
         placed = placed.withColumn("_over", (F.col("_d") > most).cast("int")).drop("_f", "_d")
     else:
         placed = placed.withColumn("_over", F.lit(0))
-    w = Window.partitionBy("query_id").orderBy("_over", "_p")
-    return placed.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= target).drop("_p", "_over")
+    chosen = Window.partitionBy("query_id").orderBy("_over", "_p")
+    kept = placed.withColumn("_n", F.row_number().over(chosen)).filter(F.col("_n") <= target)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("_p"))).drop("_p", "_over", "_n")
 
 
-def reserve_types(evidence: DataFrame, limit: int, slots: int = 3) -> DataFrame:
-    """Up to `slots` of the best rows of the query's hinted type, then the rest by score without those records."""
+def reserve_types(evidence: DataFrame, limit: int, slots: int = 2) -> DataFrame:
+    """`limit` rows by score, of which up to `slots` are kept for the best of the query's hinted type; other rows of those records are
+    left out."""
     order = [F.desc("score"), F.asc("record_version_id"), F.asc("chunk_id")]
     hinted = F.coalesce(F.col("record_type") == F.col("type_hint"), F.lit(False))
     placed = evidence.withColumn("_h", F.row_number().over(Window.partitionBy("query_id", hinted).orderBy(*order)))
     placed = placed.withColumn("_r", (hinted & (F.col("_h") <= slots)).cast("int"))
     taken = placed.filter("_r = 1").select("query_id", "record_version_id").distinct()
     rest = placed.filter("_r = 0").join(taken, ["query_id", "record_version_id"], "left_anti")
-    w = Window.partitionBy("query_id").orderBy(F.desc("_r"), *order)
-    out = placed.filter("_r = 1").unionByName(rest).withColumn("place", F.row_number().over(w))
-    return out.filter(F.col("place") <= limit).drop("_h", "_r")
+    chosen = Window.partitionBy("query_id").orderBy(F.desc("_r"), *order)
+    kept = placed.filter("_r = 1").unionByName(rest).withColumn("_n", F.row_number().over(chosen)).filter(F.col("_n") <= limit)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).drop("_h", "_r", "_n")
 
 
 def adjacent_chunks(chunks: DataFrame, key: str = "record_version_id", index: str = "chunk_index", text: str = "text") -> DataFrame:

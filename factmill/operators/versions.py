@@ -20,53 +20,66 @@ def combine_scopes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
-def _order(*first: Column):
-    return [*first, F.desc_nulls_last("effective_from"), F.desc("fetched_at"), F.asc("tier")]
+def _newest(*last: str):
+    """Orders versions, the newest greatest: (effective_from, null first; fetched_at; least tier; ids)."""
+    return F.struct(F.coalesce("effective_from", F.lit("0001-01-01").cast("date")).alias("e"), F.col("fetched_at").alias("f"), (-F.col("tier")).alias("t"), *last)
 
 
 def latest_version(df: DataFrame, keys=("scope", "record_type")) -> DataFrame:
     """Adds is_latest and reason: the newest by (effective_from, fetched_at, -tier, version id); an older row of the winner's
-    hash is a duplicate. A null effective_from is the oldest."""
-    w = Window.partitionBy(*keys).orderBy(*_order(), F.desc("record_version_id"))
-    place = F.row_number().over(w)
-    winner = F.first("effective_hash").over(w)
-    return df.withColumns(
-        {
-            "is_latest": place == 1,
-            "reason": F.when(place == 1, "latest").when(F.col("effective_hash") == winner, "newer_duplicate").otherwise("newer_exists"),
-        }
-    )
+    hash is a duplicate. A null effective_from is the oldest. Winners are aggregates, joined back, so a hot scope is combined first."""
+    top = df.groupBy(*keys).agg(F.max_by(F.struct("record_version_id", "effective_hash"), _newest("record_version_id")).alias("_top"))
+    first = F.col("record_version_id") == F.col("_top.record_version_id")
+    same = F.col("effective_hash") == F.col("_top.effective_hash")
+    out = df.join(top, list(keys)).withColumns({"is_latest": first, "reason": F.when(first, "latest").when(same, "newer_duplicate").otherwise("newer_exists")})
+    return out.select(*df.columns, "is_latest", "reason")
 
 
 def latest_cycle(df: DataFrame) -> DataFrame:
     """Winner of each (scope, type) among cycle rows of a certain year; the version id is the last key, so there is one winner.
     Rows of an ambiguous year are pending."""
-    ambiguous = F.col("year_confidence").isin("low", "unknown")
-    w = Window.partitionBy("scope", "record_type", ambiguous).orderBy(*_order(), F.desc("record_id"), F.desc("record_version_id"))
-    place = F.row_number().over(w)
-    return df.filter(F.col("record_type").isin(*CYCLE_TYPES)).withColumn(
-        "outcome", F.when(ambiguous, "pending").when(place == 1, "current").otherwise("stale")
-    )
+    rows, ambiguous = df.filter(F.col("record_type").isin(*CYCLE_TYPES)), F.col("year_confidence").isin("low", "unknown")
+    top = rows.filter(~ambiguous).groupBy("scope", "record_type").agg(F.max_by("record_version_id", _newest("record_id", "record_version_id")).alias("_top"))
+    first = F.col("record_version_id") == F.col("_top")
+    out = rows.join(top, ["scope", "record_type"], "left").withColumn("outcome", F.when(ambiguous, "pending").when(first, "current").otherwise("stale"))
+    return out.select(*df.columns, "outcome")
+
+
+CONFLICT_KEYS = ["scope", "tier", "record_type"]
+
+
+def _others(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Of each group its value of the greatest rank, and the greatest rank of any other value."""
+    per = rows.groupBy(*keys, F.col("effective_hash").alias("h")).agg(F.max("_rank").alias("r"))
+    best = per.groupBy(*keys).agg(F.max(F.struct("r", "h")).alias(f"{name}_best"))
+    second = per.join(best, keys).filter(F.col("h") != F.col(f"{name}_best.h")).groupBy(*keys).agg(F.max("r").alias(f"{name}_second"))
+    return best.join(second, keys, "left")
+
+
+def _contradicted(df: DataFrame) -> DataFrame:
+    """Rows that another version contradicts: same scope, tier and type, another effective hash. Cycle rows of two known cycles don't;
+    one without a cycle contradicts those of all. Latest-only types never do. A milestone stands against its contradictions if it is
+    above them all by (specificity of its URL, effective_from, fetched_at). Aggregates only: rows join what is known of their group."""
+    from factmill.functions.urls import source_specificity
+
+    rank = F.struct(source_specificity(F.col("source_url")).alias("s"), F.coalesce("effective_from", F.lit("0001-01-01").cast("date")).alias("e"), F.col("fetched_at").alias("f"))
+    cycle = F.when(F.col("record_type").isin(*CYCLE_TYPES), F.col("cycle_label"))
+    rows = df.filter(~F.col("record_type").isin(*LATEST_ONLY)).withColumns({"_cycle": cycle, "_rank": rank})
+    bare = F.col("_cycle").isNull()
+    known = rows.join(_others(rows, CONFLICT_KEYS, "_whole"), CONFLICT_KEYS)
+    known = known.join(_others(rows.filter(bare), CONFLICT_KEYS, "_bare"), CONFLICT_KEYS, "left")
+    known = known.join(_others(rows.filter(~bare), [*CONFLICT_KEYS, "_cycle"], "_own"), [*CONFLICT_KEYS, "_cycle"], "left")
+    other = lambda n: F.when(F.col(f"{n}_best.h") != F.col("effective_hash"), F.col(f"{n}_best.r")).otherwise(F.col(f"{n}_second"))
+    highest = F.when(bare, other("_whole")).otherwise(F.greatest(other("_bare"), other("_own")))
+    out = known.withColumn("_other", highest).filter(F.col("_other").isNotNull())
+    return out.filter((F.col("record_type") != "admissions_cycle") | (F.col("_rank") <= F.col("_other"))).select(*df.columns, "_cycle")
 
 
 def same_tier_conflicts(df: DataFrame) -> DataFrame:
-    """record_version_id, conflict_ids: other versions of the same scope, tier and type with another effective hash. Cycle rows
-    conflict only within one cycle; latest-only types never do. Scopes with a single hash are left out before the self-join,
-    so the join's size follows real conflicts."""
-    kept = df.filter(~F.col("record_type").isin(*LATEST_ONLY)).withColumn(
-        "cycle", F.when(F.col("record_type").isin(*CYCLE_TYPES), F.coalesce("cycle_label", F.lit(""))).otherwise("")
-    )
-    keys = ["scope", "tier", "record_type", "cycle"]
-    several = kept.groupBy(*keys).agg(F.min("effective_hash").alias("a"), F.max("effective_hash").alias("b")).filter("a <> b").select(*keys)
-    rows = kept.join(several, keys, "left_semi").select(*keys, "record_version_id", "effective_hash")
-    per_hash = rows.groupBy(*keys, "effective_hash").agg(F.array_sort(F.collect_list("record_version_id")).alias("ids"))
-    other = per_hash.select(*keys, F.col("effective_hash").alias("other"), "ids")
-    return (
-        rows.join(other, keys)
-        .filter("other <> effective_hash")
-        .groupBy("record_version_id")
-        .agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("conflict_ids"))
-    )
+    """scope, tier, record_type, cycle, effective_hash, ids: of each group with contradictions, the contradicted versions by value. A
+    version is contradicted by the ids of other values in its group; so many ids as versions, never their pairs."""
+    rows = _contradicted(df)
+    return rows.groupBy(*CONFLICT_KEYS, F.col("_cycle").alias("cycle"), "effective_hash").agg(F.array_sort(F.collect_list("record_version_id")).alias("ids"))
 
 
 def best_parent_state(df: DataFrame, key: str) -> DataFrame:
@@ -117,7 +130,7 @@ def decide(df: DataFrame, as_of, blocked: Column | None = None) -> DataFrame:
     decision, new_verification, new_freshness, new_serving, new_authoritative and review."""
     latest = latest_version(df).select("record_version_id", "is_latest")
     cycle = latest_cycle(df).select("record_version_id", "outcome")
-    conflicts = same_tier_conflicts(df).select("record_version_id", F.lit(True).alias("conflict"))
+    conflicts = _contradicted(df).select("record_version_id", F.lit(True).alias("conflict"))
     all_ = df.join(latest, "record_version_id").join(cycle, "record_version_id", "left").join(conflicts, "record_version_id", "left")
     cyclic = F.col("record_type").isin(*CYCLE_TYPES)
     newest_wins = F.col("record_type").isin(*VERSION_TYPES)
@@ -144,7 +157,7 @@ def decide(df: DataFrame, as_of, blocked: Column | None = None) -> DataFrame:
 
 def upsert_records(existing: DataFrame, incoming: DataFrame, as_of) -> DataFrame:
     """Decide all rows of the touched scopes again, and fail closed: where an incoming row needs review, no row of its scope stays
-    eligible. Rows of other scopes are returned as they are."""
+    eligible. Rows of other scopes are returned as they are, without a decision."""
     both = combine_scopes(existing, incoming)
     decided = decide(both, as_of)
     closed = decided.filter("side = 1 and review is not null").select("scope").distinct().withColumn("closed", F.lit(True))
@@ -154,7 +167,8 @@ def upsert_records(existing: DataFrame, incoming: DataFrame, as_of) -> DataFrame
         .when(F.coalesce("closed", F.lit(False)), "ineligible")
         .otherwise(F.col("new_serving")),
     )
-    return out.drop("closed")
+    others = existing.join(incoming.select("scope").distinct(), "scope", "left_anti").withColumn("new_serving", F.col("serving"))
+    return out.drop("closed").unionByName(others, allowMissingColumns=True)
 
 
 def decide_two_pass(df: DataFrame, as_of) -> DataFrame:

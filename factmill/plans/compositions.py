@@ -98,13 +98,14 @@ def generation(spark, sf_dir):
 WITH {R.EV}, k AS (SELECT * REPLACE (sha256(source || doc_id % 3) AS dedupe_key, CAST(greatest(CASE WHEN contains(source_url, 'policy') THEN tier - 1 ELSE tier END, 1) AS INTEGER) AS tier) FROM ev),
 s AS (SELECT * REPLACE (round(score * [1.0, 0.99, 0.97, 0.95, 0.92][tier], 6) AS score) FROM k WHERE round(score * [1.0, 0.99, 0.97, 0.95, 0.92][tier], 6) >= 0.1),
 m AS (SELECT *, min(tier) OVER (PARTITION BY query_id, dedupe_key) AS least FROM s),
-p AS (SELECT query_id, dedupe_key, min(effective_hash) <> max(effective_hash) AS torn, arg_max(record_version_id, (score, record_version_id)) AS best FROM m WHERE tier = least GROUP BY ALL),
+p AS (SELECT query_id, dedupe_key, min(effective_hash) <> max(effective_hash) AS torn, arg_min(record_version_id, (-score, record_version_id)) AS best FROM m WHERE tier = least GROUP BY ALL),
 h AS (SELECT m.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id, chunk_id) AS pp FROM m JOIN p USING (query_id, dedupe_key) WHERE tier = least AND (torn OR record_version_id = best)),
 d AS (SELECT *, dense_rank() OVER (PARTITION BY query_id, source_url ORDER BY pp) AS dd FROM h),
 v AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dd > 1, pp) <= 8),
 n AS (SELECT *, coalesce(record_type = type_hint, false) AS hinted FROM v),
-r AS (SELECT *, hinted AND row_number() OVER (PARTITION BY query_id, hinted ORDER BY score DESC, record_version_id, chunk_id) <= 3 AS r FROM n)
-SELECT query_id, record_version_id, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, score DESC, record_version_id) AS place FROM r QUALIFY place <= 8""",
+r AS (SELECT *, hinted AND row_number() OVER (PARTITION BY query_id, hinted ORDER BY score DESC, record_version_id, chunk_id) <= 2 AS r FROM n)
+SELECT query_id, record_version_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id) AS place
+FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC, score DESC, record_version_id) <= 8)""",
 )
 def final_select(spark, sf_dir):
     e = R._evidence(spark, sf_dir).withColumns({"dedupe_key": F.sha2(F.concat("source", F.col("doc_id") % 3), 256), "source_hint": F.lit("policy")})
@@ -192,12 +193,28 @@ def finalize_answers(spark, sf_dir):
 @query(
     "c24_semantic_identity",
     f"""
-WITH {REC} SELECT record_version_id, CASE WHEN record_type = 'program' THEN lower(source) WHEN record_type = 'merit_list' THEN lower(source) || ':' || lang || ':' ELSE lower(lang) END AS identity,
-  ['policy_rule', 'scholarship', 'admissions_cycle', 'general', 'general'][doc_id % 5 + 1] AS inferred FROM rec""",
+WITH {REC} SELECT record_version_id, CASE doc_id % 10
+    WHEN 0 THEN source || '-aid-2' WHEN 1 THEN 'no name here' WHEN 2 THEN lower(lang) || ':fall dates:2024-01-05|2024-02-01' WHEN 3 THEN lower(lang) || ':fall dates:january - may'
+    WHEN 4 THEN source || ':local:' || '::| a | b |' WHEN 5 THEN 'cited - ' || lower(source) WHEN 6 THEN 'https://lab.x.edu/a/' WHEN 7 THEN 'the ' || source || ' lab' WHEN 8 THEN 'prize of ' || lower(lang) ELSE lower(lang) END AS identity,
+  [NULL, 'admissions_cycle', 'program_curriculum', NULL, 'program', 'document_landing', 'research_entity', 'policy_rule', 'scholarship', 'program_fee_schedule', 'faculty_profile', 'faculty_publication', 'document_asset', 'program'][doc_id % 14 + 1] AS inferred FROM rec""",
 )
 def semantic_identity(spark, sf_dir):
-    r = A.records(spark, sf_dir)
-    kind = F.when(F.col("record_type") == "program", "scholarship").when(F.col("record_type") == "merit_list", "admissions_cycle").otherwise(F.col("record_type"))
-    payload = F.create_map(F.lit("scholarship_name"), F.concat("source", F.lit(" . ")), F.lit("calendar_scope"), F.col("source"), F.lit("milestone_name"), F.col("lang"))
-    keys = F.element_at(F.array(*map(F.lit, ("rule_text", "scholarship_name", "milestone_name", "name", "content"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    return r.select("record_version_id", T.semantic_identity(kind, payload, F.col("lang")).alias("identity"), T.infer_record_type(F.create_map(keys, F.lit(None).cast("string"))).alias("inferred"))
+    """One of ten payloads, and of fourteen sets of keys, by the document's number."""
+    r, l, o = A.records(spark, sf_dir), F.lit, F.col("source")
+    of = lambda **kw: F.create_map(*(x for k, v in kw.items() for x in (l(k), v if not isinstance(v, str) else l(v))))
+    made = [
+        ("scholarship", of(scholarship_name=F.concat(o, l(" Aid – 2 ! ")), content="other")), ("scholarship", of(scholarship_name="  ", content="No  name * here.")),
+        ("admissions_cycle", of(calendar_scope=F.col("lang"), milestone_name="Fall Dates", date_text="unused")), ("admissions_cycle", of(calendar_scope=F.col("lang"), milestone_name="Fall Dates", date_text="January — May.")),
+        ("program_fee_schedule", of(program_name=o, audience="Local", fee_table_markdown="| a | b |")), ("faculty_publication", of(value_text=F.concat(l("Cited – "), o))),
+        ("research_entity", of(canonical_center_url="HTTPS://Lab.X.edu/a?q=1", name="unused")), ("research_entity", of(name=F.concat(l("The "), o, l(" Lab")))),
+        ("faculty_award", of(value_text=F.concat(l("Prize of "), F.col("lang")))), ("policy_rule", of(rule_text="unused")),
+    ]
+    pick = lambda items, n: F.element_at(F.array(*items), (F.col("doc_id") % n + 1).cast("int"))
+    dates = F.when(F.col("doc_id") % 10 == 2, F.array(l("2024-01-05"), l(" "), l(" 2024-02-01"))).otherwise(F.array().cast("array<string>"))
+    sets = (
+        ("program_name",), ("date_text", "milestone_name"), ("curriculum_table_text", "rule_text"), ("milestone_name",), ("program_name", "degree_level"), ("linked_document_urls", "rule_text"),
+        ("main_site_url",), ("rule_title", "scholarship_name"), ("benefit_text",), ("fee_table_markdown",), ("biography_text",), ("raw_citation", "filename"), ("filename",), ("overview_text", "program_name"),
+    )
+    keys = pick([of(**{k: F.lit(None).cast("string") for k in ks}) for ks in sets], 14)
+    identity = T.semantic_identity(pick([l(k) for k, _ in made], 10), pick([m for _, m in made], 10), F.col("lang"), dates)
+    return r.select("record_version_id", identity.alias("identity"), T.infer_record_type(keys).alias("inferred"))

@@ -38,25 +38,38 @@ def url_identity(spark, sf_dir):
 
 
 LINKS = "'https://x.edu/' || source || CASE doc_id % 9 WHEN 0 THEN '/fee-structure' WHEN 1 THEN '/merit/list' WHEN 2 THEN '/admissions/bs-cs' WHEN 3 THEN '/admissions/eligibility' WHEN 4 THEN '/files/rules.PDF' WHEN 5 THEN '/faculty/x' WHEN 6 THEN '/coffee' WHEN 7 THEN '/policy/attendance' ELSE '' END"
-CLASSES = " ".join(
-    f"WHEN regexp_matches(lower({PATH}), '{p}')" + (f" AND NOT regexp_matches(lower({PATH}), '{U.PROGRAM_EXCEPTIONS}')" if n == "program" else "") + f" THEN '{n}'"
-    for p, n in U.CLASS_RULES
-)
+#: Paths with the class that the rule gives each, written by hand.
+PATH_CLASSES = (
+    ("/", "general"), ("", "general"), ("/admissions/", "admissions_cycle"), ("/admissions/bs-cs", "program"), ("/Admissions/BS-CS", "program"), ("/admissions/apply-now", "admissions_cycle"),
+    ("/x/admissions/bs", "admissions_cycle"), ("/admissions/fee-refund", "program_fee_schedule"), ("/admissions/eligibility", "admissions_cycle"), ("/fee-structure", "program_fee_schedule"),
+    ("/coffee", "general"), ("/fees", "general"), ("/my_fee_page", "general"), ("/tuition/2024", "program_fee_schedule"), ("/merit/list", "merit_list"), ("/emeritus", "merit_list"),
+    ("/scholarships", "scholarship"), ("/financial-aid/x", "scholarship"), ("/faculty/dr-kafeel", "faculty"), ("/research/", "research_main"), ("/research/labs", "research_main"),
+    ("/library/research/a", "library"), ("/research", "general"), ("/newsroom", "news_event"), ("/events/1", "news_event"), ("/policy/attendance", "policy"), ("/regulations", "policy"),
+    ("/student-services", "student_service"), ("/placement", "student_service"), ("/library", "library"), ("/about-us", "university_info"), ("/academic-calendar", "university_info"),
+    ("/vision", "university_info"), ("/files/rules.PDF", "document_asset"), ("/files/a.docx", "document_asset"), ("/files/a.txt", "general"), ("/.pdf", "general"), ("/admissions/plan.xlsx", "document_asset"),
+)
+CLASS_ROWS = ", ".join(f"({i}, '{p}', '{c}')" for i, (p, c) in enumerate(PATH_CLASSES))
 
 
 @query(
     "c4_source_policy",
     f"""
+WITH c(i, path, source_class) AS (VALUES {CLASS_ROWS})
 SELECT doc_id, source_class, source_class IN ('admissions_cycle', 'program_fee_schedule', 'merit_list') AS is_high_risk, suffix,
-  CASE suffix WHEN '.pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS media_type
-FROM (SELECT doc_id, CASE {CLASSES} ELSE 'general' END AS source_class,
-  coalesce(nullif(regexp_extract(lower({PATH}), '\\.(pdf|docx?|xlsx?|csv|pptx?)$', 0), ''), '.bin') AS suffix
-  FROM (SELECT doc_id, {LINKS} AS url FROM documents))""",
+  CASE suffix WHEN '.pdf' THEN 'application/pdf' WHEN '.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
+    WHEN '.xlsx' THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' ELSE 'application/octet-stream' END AS media_type,
+  CASE WHEN source_class IN ('admissions_cycle', 'program', 'program_fee_schedule', 'merit_list') THEN 'admissions' END AS family,
+  CASE WHEN source_class = 'document_asset' THEN 'document' ELSE 'page' END AS parser_target
+FROM (SELECT doc_id, source_class, coalesce(nullif(regexp_extract(lower(path), '[.](pdf|docx?|xlsx?|csv|pptx?)$', 0), ''), '.bin') AS suffix
+  FROM documents JOIN c ON i = doc_id % {len(PATH_CLASSES)})""",
 )
 def source_policy(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").withColumn("url", F.expr(LINKS))
+    paths = F.array(*(F.lit(p) for p, _ in PATH_CLASSES))
+    link = F.concat(F.lit("https://x.edu"), F.element_at(paths, (F.col("doc_id") % len(PATH_CLASSES) + 1).cast("int")), F.when(F.col("doc_id") % 5 == 0, "?q=fee").otherwise(""))
+    d = A.table(spark, sf_dir, "documents").withColumn("url", link)
     return d.select("doc_id", U.source_policy(F.col("url")).alias("p"), U.document_suffix(F.col("url")).alias("suffix"), U.media_type(F.col("url")).alias("media_type")).select(
-        "doc_id", "p.source_class", "p.is_high_risk", "suffix", "media_type"
+        "doc_id", "p.source_class", "p.is_high_risk", "suffix", "media_type", U.source_family(F.col("p.source_class")).alias("family"),
+        U.parser_target(F.col("p.source_class"), F.col("p.canonical_url")).alias("parser_target"),
     )
 
 
@@ -250,12 +263,19 @@ def combine_scopes(spark, sf_dir):
 @query(
     "d2_same_tier_conflict",
     f"""
-WITH {REC}, k AS (SELECT *, CASE WHEN record_type = 'merit_list' THEN cycle_label ELSE '' END AS cycle FROM rec WHERE record_type <> 'faculty_profile')
-SELECT a.record_version_id, list_sort(list(b.record_version_id)) AS conflict_ids FROM k a JOIN k b
-ON a.scope = b.scope AND a.tier = b.tier AND a.record_type = b.record_type AND a.cycle = b.cycle AND a.effective_hash <> b.effective_hash GROUP BY 1""",
+WITH {REC}, k AS (SELECT * REPLACE (CASE record_type WHEN 'policy_rule' THEN 'admissions_cycle' ELSE record_type END AS record_type, source_url || CASE WHEN doc_id % 15 = 0 THEN '/policy/a' ELSE '' END AS source_url),
+    CASE WHEN record_type IN ('merit_list', 'policy_rule') AND doc_id % 9 <> 2 THEN cycle_label END AS cycle, len(list_filter(string_split(lang || CASE WHEN doc_id % 15 = 0 THEN '/policy/a' ELSE '' END, '/'), lambda x: x <> '')) + CASE WHEN doc_id % 15 = 0 THEN 2 ELSE 0 END AS spec FROM rec),
+w AS (SELECT *, (spec, coalesce(effective_from, DATE '0001-01-01'), fetched_at) AS rank FROM k WHERE record_type <> 'faculty_profile'),
+p AS (SELECT a.record_version_id, max(b.rank) AS other FROM w a JOIN w b ON a.scope = b.scope AND a.tier = b.tier AND a.record_type = b.record_type AND a.effective_hash <> b.effective_hash
+  AND (a.cycle IS NULL OR b.cycle IS NULL OR a.cycle = b.cycle) GROUP BY 1)
+SELECT scope, tier, record_type, cycle, effective_hash, list_sort(list(record_version_id)) AS ids FROM w JOIN p USING (record_version_id) WHERE record_type <> 'admissions_cycle' OR rank <= other GROUP BY ALL""",
 )
 def same_tier_conflict(spark, sf_dir):
-    return versions.same_tier_conflicts(A.records(spark, sf_dir))
+    """Policies count as milestones here, a ninth of rows have no cycle, a fifteenth a more specific URL."""
+    r, i = A.records(spark, sf_dir), F.col("doc_id")
+    kind = F.when(F.col("record_type") == "policy_rule", "admissions_cycle").otherwise(F.col("record_type"))
+    url = F.concat("source_url", F.when(i % 15 == 0, "/policy/a").otherwise(""))
+    return versions.same_tier_conflicts(r.withColumns({"record_type": kind, "cycle_label": F.when(i % 9 != 2, F.col("cycle_label")), "source_url": url}))
 
 
 LATEST = "ORDER BY effective_from DESC NULLS LAST, fetched_at DESC, tier, record_version_id DESC"
@@ -370,14 +390,15 @@ def decide(spark, sf_dir):
 @query(
     "j3_upsert_records",
     f"""
-WITH {REC}, base AS (SELECT *, CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS side FROM rec WHERE scope IN (SELECT scope FROM rec WHERE doc_id % 10 = 1)), {DECIDE},
+WITH {REC}, base AS (SELECT *, CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS side FROM rec WHERE scope IN (SELECT scope FROM rec WHERE doc_id % 10 = 1 AND lang <> 'de')), {DECIDE},
 closed AS (SELECT DISTINCT scope FROM decided WHERE side = 1 AND decision IN ('conflict', 'ambiguous'))
 SELECT record_version_id, decision, CASE WHEN scope IN (SELECT scope FROM closed) THEN CASE WHEN serving IN ('pending_index', 'indexed_active') THEN 'pending_deindex' ELSE 'ineligible' END
-  WHEN decision = 'winner' THEN 'eligible' ELSE 'ineligible' END AS new_serving FROM decided""",
+  WHEN decision = 'winner' THEN 'eligible' ELSE 'ineligible' END AS new_serving FROM decided
+UNION ALL SELECT record_version_id, NULL, serving FROM rec WHERE scope NOT IN (SELECT scope FROM base)""",
 )
 def upsert_records(spark, sf_dir):
     r = A.records(spark, sf_dir)
-    return versions.upsert_records(r.filter("doc_id % 10 <> 1"), r.filter("doc_id % 10 = 1"), F.lit("2024-07-01").cast("date")).select(
+    return versions.upsert_records(r.filter("NOT (doc_id % 10 = 1 AND lang <> 'de')"), r.filter("doc_id % 10 = 1 AND lang <> 'de'"), F.lit("2024-07-01").cast("date")).select(
         "record_version_id", "decision", "new_serving"
     )
 

@@ -97,7 +97,7 @@ EV = f"{REC}, ev AS (SELECT *, doc_id % 40 AS query_id, round((doc_id * 7919 % 1
     "e3_primary_hits",
     f"""
 WITH {EV}, k AS (SELECT * REPLACE (sha256(source) AS dedupe_key) FROM ev), m AS (SELECT *, min(tier) OVER (PARTITION BY query_id, dedupe_key) AS least FROM k),
-p AS (SELECT query_id, dedupe_key, min(effective_hash) <> max(effective_hash) AS torn, arg_max(record_version_id, (score, record_version_id)) AS best FROM m WHERE tier = least GROUP BY ALL)
+p AS (SELECT query_id, dedupe_key, min(effective_hash) <> max(effective_hash) AS torn, arg_min(record_version_id, (-score, record_version_id)) AS best FROM m WHERE tier = least GROUP BY ALL)
 SELECT query_id, record_version_id, score FROM m JOIN p USING (query_id, dedupe_key) WHERE tier = least AND (torn OR record_version_id = best)""",
 )
 def primary_hits(spark, sf_dir):
@@ -110,7 +110,7 @@ def primary_hits(spark, sf_dir):
     f"""
 WITH {EV}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id, chunk_id) AS p FROM ev),
 d AS (SELECT *, dense_rank() OVER (PARTITION BY query_id, source_url ORDER BY p) AS d FROM p)
-SELECT query_id, record_version_id, row_number() OVER (PARTITION BY query_id ORDER BY d > 1, p) AS place FROM d QUALIFY place <= 12""",
+SELECT query_id, record_version_id, row_number() OVER (PARTITION BY query_id ORDER BY p) AS place FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d > 1, p) <= 12)""",
 )
 def source_diversity(spark, sf_dir):
     return search.source_diversity(_evidence(spark, sf_dir), 1, 12).select("query_id", "record_version_id", "place")
@@ -120,8 +120,9 @@ def source_diversity(spark, sf_dir):
     "f8_reserve_types",
     f"""
 WITH {EV}, h AS (SELECT *, coalesce(record_type = type_hint, false) AS hinted FROM ev),
-n AS (SELECT *, hinted AND row_number() OVER (PARTITION BY query_id, hinted ORDER BY score DESC, record_version_id, chunk_id) <= 3 AS r FROM h)
-SELECT query_id, record_version_id, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, score DESC, record_version_id) AS place FROM n QUALIFY place <= 8""",
+n AS (SELECT *, hinted AND row_number() OVER (PARTITION BY query_id, hinted ORDER BY score DESC, record_version_id, chunk_id) <= 2 AS r FROM h)
+SELECT query_id, record_version_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id) AS place
+FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC, score DESC, record_version_id) <= 8)""",
 )
 def reserve_types(spark, sf_dir):
     return search.reserve_types(_evidence(spark, sf_dir), 8).select("query_id", "record_version_id", "place")
@@ -130,12 +131,12 @@ def reserve_types(spark, sf_dir):
 @query(
     "g7_authority_decay",
     f"""
-WITH {EV}, a AS (SELECT *, CAST(greatest(CASE WHEN contains(source_url, 'src1') THEN tier - 1 ELSE tier END, 1) AS INTEGER) AS t FROM ev)
+WITH {EV}, a AS (SELECT *, CAST(greatest(CASE WHEN contains(source_url, 'src1') OR contains(source_url, 'src2') THEN tier - 1 ELSE tier END, 1) AS INTEGER) AS t FROM ev)
 SELECT query_id, record_version_id, t AS tier, round(score * [1.0, 0.99, 0.97, 0.95, 0.92][t], 6) AS score FROM a WHERE score * [1.0, 0.99, 0.97, 0.95, 0.92][t] >= 0.1""",
 )
 def authority_decay(spark, sf_dir):
     e = _evidence(spark, sf_dir)
-    url = F.replace("source_url", F.lit("src1"), F.lit("policy"))
+    url = F.replace(F.replace("source_url", F.lit("src1"), F.lit("Policies")), F.lit("src2"), F.lit("REGULATION"))
     t = e.withColumn("tier", search.adjust_tier(F.col("tier"), url, F.lit("policy")))
     out = t.withColumn("score", search.authority_decay(F.col("score"), F.col("tier")))
     return search.min_score(out, 0.1).select("query_id", "record_version_id", "tier", F.round("score", 6).alias("score"))
@@ -200,7 +201,7 @@ def semantic_class(spark, sf_dir):
 TEXTS = (
     "What is the fee for BS Computer Science", "who can apply for the merit scholarship", "weather in the city today", "stock policy of the library department",
     "Latest news and events", "publications of dr khan", "attendance policy rules", "admission deadline for fall", "hostel location on campus", "merit list for MBA",
-    "how do I graduate", "tuition charges and grading rules", "football match", "faculty research interests", "where is the office", "minimum cgpa requirement",
+    "how do I graduate", "tuition charges and grading rules", "football match", "faculty research interests", "where is the office", "minimum cgpa requirement", "coffee fee at the fees desk", "dr. khan publications", "undergraduate graduate school",
 )
 Q_SQL = "q AS (SELECT doc_id, [" + ", ".join(f"'{t}'" for t in TEXTS) + f"][doc_id % {len(TEXTS)} + 1] || ' ' || lower(source) AS text, CASE WHEN doc_id % 7 = 0 THEN ' Policy_Rule ' END AS hint FROM documents)"
 
@@ -215,7 +216,7 @@ def _m(terms):
 
 
 CLASS_SQL = (
-    f"CASE WHEN {_m(questions.OUT_OF_SCOPE)} AND NOT {_m([t for _, x in questions.INTENTS for t in x] + questions.IN_SCOPE)} THEN 'out_of_scope' "
+    f"CASE WHEN {_m(questions.OUT_OF_SCOPE)} AND NOT {_m([t for _, x in questions.INTENTS for t in x] + list(questions.IN_SCOPE))} THEN 'out_of_scope' "
     + " ".join(f"WHEN {_m(t)} THEN '{n}'" for n, t in questions.INTENTS)
     + " ELSE 'entity_lookup' END"
 )
@@ -245,7 +246,9 @@ def route_plan(spark, sf_dir):
 
 
 def _variant(term, other):
-    return f"CASE WHEN regexp_matches(low, '{questions.words_pattern([term])}') AND NOT regexp_matches(low, '{questions.words_pattern([other])}') THEN substr(low, 1, instr(low, '{term}') - 1) || '{other}' || substr(low, instr(low, '{term}') + {len(term)}) END"
+    found = f"(^|[^a-z0-9]){term}([^a-z0-9]|$)"
+    other_found = f"(^|[^a-z0-9]){other}([^a-z0-9]|$)"
+    return f"CASE WHEN regexp_matches(low, '{found}') AND NOT regexp_matches(low, '{other_found}') THEN regexp_replace(low, '{found}', '\\1{other}\\2') END"
 
 
 VARIANTS = "[" + ", ".join(_variant(t, o) for t, others in questions.synonym_terms() for o in others) + "]"

@@ -336,8 +336,11 @@ def new_sources(spark, sf_dir):
 @query(
     "j13_index_changes",
     f"""
-WITH {REC} SELECT record_version_id, CASE serving WHEN 'eligible' THEN 'index' ELSE 'deindex' END AS operation, CASE WHEN row_number() OVER (ORDER BY fetched_at, record_version_id) <= 100 THEN 'claimed' ELSE 'pending' END AS status
-FROM rec WHERE serving IN ('eligible', 'pending_index')""",
+WITH {REC}, s AS (SELECT * REPLACE (CASE WHEN doc_id % 4 = 1 THEN 'pending_deindex' ELSE serving END AS serving) FROM rec),
+o AS (SELECT record_version_id, CASE serving WHEN 'pending_deindex' THEN 'deindex' ELSE 'index' END AS operation, row_number() OVER (ORDER BY fetched_at, record_version_id) <= 100 AS mine
+  FROM s WHERE serving IN ('eligible', 'pending_index', 'pending_deindex'))
+SELECT record_version_id, operation, CASE WHEN mine THEN 'failed' ELSE 'pending' END AS status, CASE WHEN mine THEN 'no vectors' END AS error FROM o""",
 )
 def index_changes(spark, sf_dir):
-    return lifecycle.index_changes(A.records(spark, sf_dir), 100)
+    r = A.records(spark, sf_dir).withColumn("serving", F.when(F.col("doc_id") % 4 == 1, "pending_deindex").otherwise(F.col("serving")))
+    return lifecycle.finish_changes(lifecycle.index_changes(r, 100), False, "no vectors")
