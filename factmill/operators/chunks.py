@@ -1,4 +1,4 @@
-"""Rendering payloads, and cutting texts into chunks."""
+"""Cutting records into chunks: by section, whole, or as prose, each part under what names its record."""
 
 from __future__ import annotations
 
@@ -6,84 +6,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factmill.functions.rendering import let, render_prefix, render_sections
+
+# Fixed values.
 MAX_CHARS, OVERLAP = 2000, 200
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", " ")
 
-#: How a payload of each type reads: (kind, key, label), in order. `line` is the value alone, `field` "Label: value", `list` bullet lines.
-RENDER = {
-    "policy_rule": (("line", "rule_title", ""), ("field", "policy_area", "Policy Area"), ("line", "rule_text", "")),
-    "program": (("line", "program_name", ""), ("field", "degree_level", "Degree Level"), ("line", "overview_text", ""), ("field", "credit_hours", "Credit Hours")),
-    "merit_list": (("line", "title", ""), ("field", "program_name", "Program"), ("field", "merit_stage", "Stage"), ("line", "content", "")),
-    "faculty_profile": (("line", "name", ""), ("field", "designation_text", "Designation"), ("field", "email", "Email"), ("line", "biography_text", "")),
-    "university_info": (("line", "title", ""), ("line", "faq_question", ""), ("line", "faq_answer", ""), ("line", "content", "")),
-}
-
-
-def scalar(value: Column) -> Column:
-    """Stripped text; empty counts as missing."""
-    return F.nullif(F.regexp_replace(value.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
-
-
-def list_inline(label: str, values: Column) -> Column:
-    items = F.filter(F.transform(values, scalar), lambda x: x.isNotNull())
-    return F.when(F.size(items) > 0, F.concat(F.lit(f"{label}: "), F.array_join(items, "; ")))
-
-
-def list_lines(label: str, values: Column) -> Column:
-    items = F.filter(F.transform(values, scalar), lambda x: x.isNotNull())
-    return F.when(F.size(items) > 0, F.concat(F.lit(f"{label}:\n- "), F.array_join(items, "\n- ")))
-
-
-def render(kind: str, payload: Column) -> Column:
-    """Search text of a payload (map<string,string>): its parts with a blank line between; missing parts are skipped."""
-    parts = []
-    for form, key, label in RENDER[kind]:
-        v = scalar(F.element_at(payload, key))
-        parts.append(v if form == "line" else F.when(v.isNotNull(), F.concat(F.lit(f"{label}: "), v)))
-    return F.concat_ws("\n\n", *parts)
 
-
-def render_search_text(kind: Column, payload: Column) -> Column:
-    out = F.lit("")
-    for name in RENDER:
-        out = F.when(kind == name, render(name, payload)).otherwise(out)
-    return out
-
-
-def render_prefix(kind: Column, name: Column) -> Column:
-    return F.when(scalar(name).isNotNull(), F.concat_ws(" — ", F.initcap(F.replace(kind, F.lit("_"), F.lit(" "))), scalar(name))).otherwise(F.concat(F.lit("Source: "), kind))
-
-
-def _cut(text: str, room: int, level: int = 0) -> list[str]:
-    """Pieces of at most `room` characters at the coarsest separator that works."""
+def _pieces(text: str, room: int, separators):
+    """Stripped pieces of at most `room` characters, cut at the first separator that occurs; what is still too long at finer ones."""
+    text = text.strip()
+    finer = iter(separators)
+    mark = next((s for s in finer if s in text), None) if len(text) > room else None
     if len(text) <= room:
-        return [text] if text.strip() else []
-    if level == len(SEPARATORS):
-        return [text[i : i + room] for i in range(0, len(text), room)]
-    parts, sep, out, held = text.split(SEPARATORS[level]), SEPARATORS[level], [], ""
-    for k, part in enumerate(parts):
-        part = part + (sep if k < len(parts) - 1 else "")
-        if len(held) + len(part) <= room:
-            held += part
-            continue
-        if held.strip():
-            out.append(held)
-        held = ""
-        if len(part) <= room:
-            held = part
-        else:
-            *whole, held = _cut(part, room, level + 1) or [""]
-            out += whole
-    return [*out, held] if held.strip() else out
+        yield text
+    elif mark is None:
+        yield from (text[i : i + room].strip() for i in range(0, len(text), room))
+    else:
+        finer, held = tuple(finer), ""
+        *heads, tail = text.split(mark)
+        for part in [h + mark for h in heads if h] + [t for t in (tail.strip(),) if t]:
+            if len(held) + len(part) <= room:
+                held += part
+                continue
+            if held:
+                yield held.strip()
+            held = part if len(part) <= room else ""
+            if not held:
+                yield from _pieces(part, room, finer)
+        if held:
+            yield held.strip()
 
 
 def split_one(text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str]:
-    """Pieces of at most `most` characters; each begins with up to `overlap` last characters of the piece before."""
-    pieces = _cut(text, most)
-    out = pieces[:1]
-    for piece in pieces[1:]:
-        room = min(overlap, most - len(piece))
-        out.append((out[-1][-room:] if room > 0 else "") + piece)
+    """Pieces of at most `most` characters. Each begins with up to `overlap` last characters of the one before and a blank line, as far as
+    there is room; a text that is short enough stays as it is."""
+    if len(text) <= most:
+        return [text]
+    out: list[str] = []
+    for piece in _pieces(text, most, SEPARATORS):
+        shared = min(overlap, most - len(piece) - 2)
+        before = out[-1][-shared:].strip() if out and shared > 0 else ""
+        out.append(f"{before}\n\n{piece}".strip() if before else piece.strip())
     return out
 
 
@@ -94,15 +58,47 @@ def split_text(text: Column, most: int = MAX_CHARS, overlap: int = OVERLAP) -> C
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_one(t, most, overlap) if t else [])
 
-    return F.when(F.length(text) <= most, F.filter(F.array(text), lambda t: F.trim(t) != "")).otherwise(cut(F.when(F.length(text) > most, text)))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(cut(F.when(F.length(text) > most, text)))
+
+
+def _under(head: str, text: str, most: int) -> list[str]:
+    """Parts of a section, each under its head, the head counted within the limit."""
+    room = most - len(head) - 2
+    if not text or room <= 0:
+        return split_one(f"{head}\n\n{text}" if text else head, most)
+    return [f"{head}\n\n{part}" for part in split_one(text, room)]
+
+
+def build_chunks(
+    records: DataFrame, text: str = "text", most: int = MAX_CHARS, payload: Column | None = None, lists: Column | None = None, locator: str = "source_url"
+) -> DataFrame:
+    """record_version_id, chunk_id, chunk_index, chunk_count, chunk_text.
+
+    Records of types with sections are cut by section first, the others stay whole; what is longer than `most` characters with its head
+    is split, each part under the head. The head is the record's identity, its locator and cycle, and the section's label. Without a
+    payload the text column is the content. A record without content is its head alone."""
+    kind = F.col("record_type")
+    if payload is None:
+        sections = F.array(F.struct(F.lit("").alias("label"), F.coalesce(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("")).alias("text")))
+        first = F.concat(F.lit("Source: "), kind)
+    else:
+        none = F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("text")))
+        sections = let(render_sections(kind, payload, lists), lambda made: F.when(F.size(made) > 0, made).otherwise(none))
+        first = render_prefix(kind, payload)
+    named = lambda word, c: F.concat(F.lit(f"{word}: "), F.nullif(F.col(c), F.lit("")))
+    head = F.concat_ws("\n", first, named("Source Locator", locator), named("Cycle", "cycle_label"))
+    rows = records.select("record_version_id", head.alias("_head"), sections.alias("_s"))
+    heads = F.transform("_s", lambda s: F.when(s["label"] != "", F.concat("_head", F.lit("\nSection: "), s["label"])).otherwise(F.col("_head")))
+    rows = rows.withColumns({"_heads": heads, "_texts": F.col("_s.text")})
 
-
-def build_chunks(records: DataFrame, text: str = "text", most: int = MAX_CHARS) -> DataFrame:
-    """record_version_id, chunk_id, chunk_index, chunk_count, chunk_text: each part under its prefix lines."""
-    pieces = records.withColumn("_parts", split_text(F.col(text), most))
-    rows = pieces.select("*", F.size("_parts").alias("chunk_count"), F.posexplode("_parts").alias("chunk_index", "_part"))
-    head = F.concat_ws("\n", render_prefix(F.col("record_type"), F.col("record_id")), F.concat(F.lit("Source Locator: "), "source_url"), F.concat(F.lit("Cycle: "), "cycle_label"))
-    return rows.select(
-        "record_version_id", F.concat_ws(":", "record_version_id", F.lit("chunk"), "chunk_index").alias("chunk_id"), "chunk_index", "chunk_count",
-        F.concat_ws("\n\n", head, "_part").alias("chunk_text"),
-    )
+    @F.pandas_udf("array<string>")
+    def cut(tops: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else [p for h, t in zip(a, b) for p in _under(h, t, most)] for a, b in zip(tops, texts)], dtype=object)
+
+    whole = F.zip_with("_heads", "_texts", lambda h, t: F.when(t == "", h).otherwise(F.concat(h, F.lit("\n\n"), t)))
+    short = F.forall(whole, lambda x: F.length(x) <= most)
+    long = lambda c: F.when(~short, F.col(c))
+    parts = F.when(short, whole).otherwise(cut(long("_heads"), long("_texts")))
+    pieces = rows.withColumn("_parts", parts)
+    out = pieces.select("record_version_id", F.size("_parts").alias("chunk_count"), F.posexplode("_parts").alias("chunk_index", "chunk_text"))
+    return out.select("record_version_id", F.concat_ws(":", "record_version_id", F.lit("chunk"), "chunk_index").alias("chunk_id"), "chunk_index", "chunk_count", "chunk_text")

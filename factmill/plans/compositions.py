@@ -84,12 +84,11 @@ def recompute(spark, sf_dir):
 
 @query(
     "j10_generation",
-    f"WITH {REC}, {TOP} SELECT first AS record_version_id, count(*) AS chunks FROM top JOIN rec ON record_version_id = first WHERE low = high AND length(text) <= 2000 AND trim(text) <> '' GROUP BY first",
+    f"WITH {REC}, {TOP} SELECT first AS record_version_id, length('Source: ' || record_type || '_Source Locator: ' || source_url || '_Cycle: ' || cycle_label || '__' || trim(text, ' ' || chr(10) || chr(9))) > 2000 AS split FROM top JOIN rec ON record_version_id = first WHERE low = high",
 )
 def generation(spark, sf_dir):
     r = A.records(spark, sf_dir)
-    out = lifecycle.build_generation(r).join(r.filter(F.length("text") <= 2000).select("record_version_id"), "record_version_id", "left_semi")
-    return out.groupBy("record_version_id").agg(F.count("*").alias("chunks"))
+    return lifecycle.build_generation(r).groupBy("record_version_id").agg((F.max("chunk_index") > 0).alias("split"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factmill.functions import rendering
 from factmill.operators import answers, chunks, dedupe, questions, search
 
 from . import adapters as A
@@ -283,11 +284,11 @@ def answer_gates(spark, sf_dir):
 @query(
     "k8_answer_extractive",
     f"""
-WITH {EV} SELECT query_id, string_agg(left(text, 40) || ' [' || n || ']', chr(10) ORDER BY n) AS answer, max(n) AS citations
+WITH {EV} SELECT query_id, string_agg(text || ' [' || n || ']', chr(10) ORDER BY n) AS answer, max(n) AS citations
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id) AS n FROM ev) GROUP BY query_id""",
 )
 def answer_extractive(spark, sf_dir):
-    return answers.answer_extractive(_evidence(spark, sf_dir).withColumn("text", F.left("text", F.lit(40))), [F.desc("score"), F.asc("record_version_id")])
+    return answers.answer_extractive(_evidence(spark, sf_dir), [F.desc("score"), F.asc("record_version_id")])
 
 
 @query(
@@ -315,35 +316,72 @@ def grounding(spark, sf_dir):
     return s.join(answers.grounding_mode(e), "query_id")
 
 
-@query(
-    "c31_render_text",
-    f"""
-WITH {REC}, p AS (SELECT *, trim(split_part(text, chr(10), 1), ' ') AS t FROM rec) SELECT record_version_id,
-  CASE record_type WHEN 'policy_rule' THEN concat_ws(chr(10) || chr(10), nullif(t, ''), 'Policy Area: ' || lang) WHEN 'program' THEN concat_ws(chr(10) || chr(10), nullif(t, ''))
-    WHEN 'merit_list' THEN concat_ws(chr(10) || chr(10), nullif(t, '')) WHEN 'faculty_profile' THEN concat_ws(chr(10) || chr(10), nullif(t, ''), 'Designation: ' || source) ELSE concat_ws(chr(10) || chr(10), nullif(t, '')) END AS rendered,
-  CASE WHEN t = '' THEN 'Source: ' || record_type ELSE ['Policy Rule', 'Program', 'Merit List', 'Faculty Profile', 'University Info'][doc_id % 5 + 1] || ' — ' || t END AS prefix FROM p""",
-)
+#: A payload for each type, whose main text is the document's, and the same as SQL: text, prefix, labelled sections.
+PAYLOADS = {
+    "policy_rule": {"policy_area": "lang", "rule_title": "record_id", "rule_text": "text"},
+    "program": {"program_name": "record_id", "degree_level": "lang", "overview_text": "text", "eligibility_summary": "source"},
+    "merit_list": {"title": "source", "program_name": "record_id", "cycle_label": "lang", "content": "text"},
+    "faculty_profile": {"name": "record_id", "designation_text": "source", "biography_text": "text", "email": "lang"},
+    "university_info": {"title": "record_id", "faq_question": "source", "content": "text"},
+}
+RENDERED = f"""{REC}, w AS (SELECT *, chr(10) || chr(10) AS g, regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS t FROM rec),
+p AS (SELECT *, CASE record_type
+    WHEN 'policy_rule' THEN lang || ' — ' || record_id || g || t
+    WHEN 'program' THEN record_id || ' — ' || lang || g || t || g || source || g || 'Test Options: SAT; own test'
+    WHEN 'merit_list' THEN source || g || record_id || g || lang || g || t
+    WHEN 'faculty_profile' THEN record_id || ' — ' || source || g || 'Research Interests: SAT; own test' || g || t || g || lang
+    ELSE record_id || g || source || g || t END AS rendered,
+  CASE record_type WHEN 'policy_rule' THEN 'Policy: ' || lang || ' — ' || record_id WHEN 'program' THEN 'Program: ' || record_id || ' — ' || lang
+    WHEN 'merit_list' THEN 'Merit List: ' || record_id || ' — ' || lang WHEN 'faculty_profile' THEN 'Faculty: ' || record_id || ' — ' || source ELSE 'Info: ' || record_id END AS prefix FROM w),
+c AS (SELECT *, CASE record_type
+    WHEN 'program' THEN [{{'label': 'Overview', 'text': record_id || ' — ' || lang || g || t}}, {{'label': 'Eligibility', 'text': source || g || 'Test Options: SAT; own test'}}]
+    WHEN 'faculty_profile' THEN [{{'label': 'Profile', 'text': record_id || ' — ' || source || g || lang}}, {{'label': 'Biography', 'text': t}}, {{'label': 'Research', 'text': 'Research Interests: SAT; own test'}}]
+    WHEN 'university_info' THEN [{{'label': '', 'text': record_id || g || source}}, {{'label': 'Details', 'text': t}}]
+    ELSE [{{'label': '', 'text': rendered}}] END AS sections FROM p)"""
+
+
+def _payloads(spark, sf_dir):
+    """Records with payload and lists."""
+    r, out = A.records(spark, sf_dir), None
+    for kind, keys in PAYLOADS.items():
+        made = F.create_map(*(x for k, c in keys.items() for x in (F.lit(k), F.col(c).cast("string"))))
+        out = F.when(F.col("record_type") == kind, made) if out is None else out.when(F.col("record_type") == kind, made)
+    tests = F.array(F.lit("SAT"), F.lit(" "), F.lit("own test"))
+    return r.withColumns({"payload": out, "lists": F.create_map(F.lit("test_options"), tests, F.lit("research_interests"), tests)})
+
+
+@query("c31_render_text", f"WITH {RENDERED} SELECT record_version_id, rendered, prefix FROM c")
 def render_text(spark, sf_dir):
-    r = A.records(spark, sf_dir).withColumn("t", F.split_part("text", F.lit("\n"), F.lit(1)))
-    keys = {"rule_title": F.col("t"), "program_name": F.when(F.col("record_type") == "program", F.col("t")), "title": F.col("t"), "name": F.col("t"), "policy_area": F.col("lang"), "designation_text": F.col("source"), "email": F.lit(" ")}
-    payload = F.create_map(*(x for k, v in keys.items() for x in (F.lit(k), v)))
-    return r.select("record_version_id", chunks.render_search_text(F.col("record_type"), payload).alias("rendered"), chunks.render_prefix(F.col("record_type"), F.col("t")).alias("prefix"))
+    kind, p, lists = F.col("record_type"), F.col("payload"), F.col("lists")
+    return _payloads(spark, sf_dir).select("record_version_id", rendering.render_search_text(kind, p, lists).alias("rendered"), rendering.render_prefix(kind, p).alias("prefix"))
+
+
+@query("c32_render_sections", f"WITH {RENDERED} SELECT record_version_id, list_transform(list_filter(sections, lambda s: s.text <> ''), lambda s: s.label || '|' || s.text) AS sections FROM c")
+def render_sections(spark, sf_dir):
+    made = rendering.render_sections(F.col("record_type"), F.col("payload"), F.col("lists"))
+    return _payloads(spark, sf_dir).select("record_version_id", F.transform(made, lambda s: F.concat_ws("|", s["label"], s["text"])).alias("sections"))
 
 
 @query(
-    "k1_chunks_short",
+    "k1_chunks",
     f"""
-WITH {REC} SELECT record_version_id, record_version_id || ':chunk:0' AS chunk_id, ['Policy Rule', 'Program', 'Merit List', 'Faculty Profile', 'University Info'][doc_id % 5 + 1] || ' — ' || record_id || chr(10) || 'Source Locator: ' || source_url || chr(10) || 'Cycle: ' || cycle_label || chr(10) || chr(10) || text AS chunk_text
-FROM rec WHERE length(text) <= 2000 AND trim(text) <> ''""",
+WITH {RENDERED}, h AS (SELECT *, prefix || chr(10) || 'Source Locator: ' || source_url || chr(10) || 'Cycle: ' || cycle_label AS head FROM c),
+a AS (SELECT record_version_id, list_transform(list_filter(sections, lambda s: s.text <> ''), lambda s: head || CASE WHEN s.label <> '' THEN chr(10) || 'Section: ' || s.label ELSE '' END || g || s.text) AS chunks FROM h)
+SELECT record_version_id, CASE WHEN len(list_filter(chunks, lambda x: length(x) > 2000)) = 0 THEN chunks END AS chunks, len(list_filter(chunks, lambda x: length(x) > 2000)) > 0 AS split FROM a""",
 )
-def chunks_short(spark, sf_dir):
-    r = A.records(spark, sf_dir).filter(F.length("text") <= 2000)
-    return chunks.build_chunks(r).select("record_version_id", "chunk_id", "chunk_text")
+def chunks_of_records(spark, sf_dir):
+    """Chunks of every record; of those whose sections all fit, the texts (SQL can't split the others, see k2_chunk_split)."""
+    r = _payloads(spark, sf_dir)
+    sections = F.size(rendering.render_sections(F.col("record_type"), F.col("payload"), F.col("lists"))).alias("sections")
+    made = chunks.build_chunks(r, payload=F.col("payload"), lists=F.col("lists"))
+    grouped = made.groupBy("record_version_id").agg(F.max("chunk_count").alias("n"), F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("c"))
+    split = F.col("n") > F.col("sections")
+    return grouped.join(r.select("record_version_id", sections), "record_version_id").select("record_version_id", F.when(~split, F.col("c.chunk_text")).alias("chunks"), split.alias("split"))
 
 
 @query("k2_chunk_split")
 def chunk_split(spark, sf_dir):
-    return chunks.build_chunks(A.records(spark, sf_dir))
+    return chunks.build_chunks(_payloads(spark, sf_dir), payload=F.col("payload"), lists=F.col("lists"))
 
 
 @query("question_answering")

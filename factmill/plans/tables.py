@@ -304,16 +304,19 @@ def serving_state(spark, sf_dir):
     return A.records(spark, sf_dir).groupBy("serving", "freshness").agg(F.count("*").alias("records"))
 
 
-@query("e13_concat_listings", "SELECT conv_id, role, string_agg(left(text, 30), chr(10) ORDER BY turn, text) AS listing FROM conversations GROUP BY ALL")
+@query("e13_concat_listings", "SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn, text) AS listing FROM conversations GROUP BY ALL")
 def concat_listings(spark, sf_dir):
     c = A.table(spark, sf_dir, "conversations")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.left(x["text"], F.lit(30)))
+    rows = F.array_sort(F.collect_list(F.struct("turn", "text")))["text"]
     return c.groupBy("conv_id", "role").agg(F.array_join(rows, "\n").alias("listing"))
 
 
-@query("e8_generation_metadata", f"WITH {REC} SELECT record_type, list_sort(list(record_version_id)) AS versions, count(*) FILTER (WHERE serving = 'ineligible') AS failed FROM rec GROUP BY record_type")
+@query("e8_generation_metadata", f"WITH {REC} SELECT record_type, record_version_id, count(*) OVER (PARTITION BY record_type) AS versions, count(*) FILTER (WHERE serving = 'ineligible') OVER (PARTITION BY record_type) AS failed FROM rec")
 def generation_metadata(spark, sf_dir):
-    return A.records(spark, sf_dir).groupBy("record_type").agg(F.array_sort(F.collect_list("record_version_id")).alias("versions"), F.count_if(F.col("serving") == "ineligible").alias("failed"))
+    """A row for each version of a generation with its type's counts: ids of a type are never gathered in one row."""
+    r = A.records(spark, sf_dir).select("record_type", "record_version_id", "serving")
+    counts = r.groupBy("record_type").agg(F.count("*").alias("versions"), F.count_if(F.col("serving") == "ineligible").alias("failed"))
+    return r.select("record_type", "record_version_id").join(counts, "record_type")
 
 
 @query("a8_active_sources", f"WITH {SRC} SELECT source_url, source_class FROM src WHERE is_active AND source_class NOT IN ('faculty')")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factmill.functions import text as T
 from factmill.functions import urls as U
+from factmill.functions import rendering
 from factmill.operators import answers, chunks, dedupe, extract, filters, joins, lifecycle, questions, search, versions
 from factmill.sources import generations, records
 
@@ -129,16 +130,51 @@ def test_split_text_keeps_every_word_and_the_limit(spark):
     text = "\n\n".join(" ".join(f"word{i}-{k}." for i in range(60)) for k in range(12)) + "x" * 5000
     parts = chunks.split_one(text)
     assert all(len(p) <= 2000 for p in parts) and all(f"word{i}-{k}." in " ".join(parts) for i in range(60) for k in range(12))
-    short = [p for p in chunks.split_one('. '.join('w' * 150 for _ in range(40)), 1000, 200)]
-    assert all(b.startswith(a[-min(200, 1000 - 152) :][-100:]) or a[-40:] in b for a, b in zip(short, short[1:]))
-    assert one(spark, chunks.split_text(F.col("t")), t="short") == ["short"] and one(spark, chunks.split_text(F.col("t")), t="  ") == []
+    assert one(spark, chunks.split_text(F.col("t")), t="short") == ["short"]
+
+
+@pytest.mark.parametrize(
+    "text, most, want",
+    [
+        ("a b", 10, ["a b"]),
+        (" one two. three four. five ", 12, ["one two.", "three four.", "five"]),
+        ("aaaa\n\nbbbb\n\ncc", 8, ["aaaa", "bbbb\n\ncc"]),
+        ("aaaa bbbb\ncccc dddd", 9, ["aaaa bbbb", "cccc dddd"]),
+        ("abcdefghij", 4, ["abcd", "efgh", "ij"]),
+        ("why? no! yes it is so", 6, ["why?", "no!", "yes it", "is so"]),
+    ],
+)
+def test_split_text_by_separators(spark, text, most, want):
+    assert chunks.split_one(text, most, 0) == want
+
+
+def test_split_parts_overlap_where_there_is_room():
+    assert chunks.split_one("aaaaaaa\n\nbb", 10) == ["aaaaaaa", "aaaaaa\n\nbb"]
+    assert chunks.split_one("abcdefghijkl mn", 12, 3) == ["abcdefghijkl", "jkl\n\nmn"]
+
+
+def test_split_parts_fit_with_their_head(spark):
+    rows = [("v1", "policy_rule", "u", "c", "word " * 900), ("v2", "policy_rule", "u", "c", " "), ("v3", "policy_rule", None, "", "short")]
+    df = spark.createDataFrame(rows, "record_version_id string, record_type string, source_url string, cycle_label string, text string")
+    out = sorted(map(tuple, chunks.build_chunks(df).collect()))
+    head = "Source: policy_rule\nSource Locator: u\nCycle: c"
+    assert all(len(t) <= 2000 and (v != "v1" or t.startswith(head + "\n\nword")) for v, *_, t in out) and len(out) == 5
+    assert out[-2][4] == head and out[-1][4] == "Source: policy_rule\n\nshort"
 
 
 def test_renderers(spark):
     payload = F.from_json(F.col("p"), "map<string,string>")
-    assert one(spark, chunks.render("policy_rule", payload), p='{"rule_title": " A ", "policy_area": "", "rule_text": "B"}') == "A\n\nB"
-    assert one(spark, chunks.list_inline("L", F.from_json(F.col("p"), "array<string>")), p='["a", " ", "b"]') == "L: a; b"
-    assert one(spark, chunks.list_lines("L", F.from_json(F.col("p"), "array<string>")), p="[]") is None
+    text = lambda kind: rendering.render_search_text(F.lit(kind), payload)
+    assert one(spark, text("policy_rule"), p='{"rule_title": " A ", "policy_area": "", "rule_text": "B"}') == "A\n\nB"
+    assert one(spark, text("admissions_cycle"), p='{"content": "C"}') == "C" and one(spark, text("other"), p='{"name": "N", "faculty_label": "F"}') == "N — F"
+    assert one(spark, text("org_unit"), p='{"name": "N", "section_variant": "directory", "content": "C"}') == "N — [directory]\n\nC"
+    assert one(spark, text("research_entity"), p='{"subdomain_url": "https://a.b/c"}') == "https://a.b/c\n\na.b"
+    label = rendering.render_sections(F.lit("org_unit"), payload)["label"]
+    assert one(spark, label, p='{"name": "N", "section_variant": "directory"}') == ["Directory"] and one(spark, label, p='{"content": "C"}') == ["About"]
+    assert one(spark, rendering.render_prefix(F.lit("org_unit"), payload), p='{"name": "N", "section_variant": "map"}') == "Unit: N (map)"
+    assert one(spark, rendering.render_prefix(F.lit("merit_list"), payload), p="{}") == "Source: merit_list"
+    assert one(spark, rendering.list_inline("L", F.from_json(F.col("p"), "array<string>")), p='["a", " ", "b"]') == "L: a; b"
+    assert one(spark, rendering.list_lines("L", F.from_json(F.col("p"), "array<string>")), p="[]") is None
 
 
 @pytest.mark.parametrize(
