@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidy, utf8
+from .common import cut, fresh_path, tidy, utf8
 from .components import components
 
 LEAF, FAN, SLICE = 16, 8, 512
@@ -392,8 +392,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     del first, again
     tidy(df.sparkSession)
     least = cut(made.groupBy("set").agg(F.min("id").alias("least")))
-    pairs = set_links(cut(made.select("set", "n", "shingles").dropDuplicates(["set"])), similarity)
+    # texts of one set: written, so that the planner knows how few they are before it moves the sets for them
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "copies")
+    made.select("id", "set").join(least, "set").filter("id > least").select("id", "least").write.parquet(path)
+    copies = spark.read.parquet(path)
+    pairs = set_links(made.join(copies.select("id"), "id", "left_anti").select("set", "n", "shingles"), similarity)
     at = lambda c: least.select(F.col("set").alias(c), F.col("least").alias(f"{c}_id"))
     across = pairs.join(at("u"), "u").join(at("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
-    within = made.select("id", "set").join(least, "set").filter("id > least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    within = copies.select(F.col("id").alias("u"), F.col("least").alias("v"))
     return components(across.union(within)).withColumnRenamed("node", id_col)
