@@ -27,7 +27,7 @@ from .positions import blend
 
 #: D and M above.
 DISCOUNT, PRIOR = 0.5, 100.0
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 #: The end of a text, and what stands before its first word; no word is empty.
 END = b""
 #: Rows between batches and buckets. bucket is -1 where a batch's own texts pass through.
@@ -104,6 +104,7 @@ def _ask(buckets: int):
             count = np.zeros(len(distinct), np.uint32)
             count[np.searchsorted(distinct, seen)] = times
             key, count = key[order], count[order]
+            del pair, distinct, seen, times, order
             by_word = np.argsort(hashes, kind="stable")
             word_key, ordered = hashes[by_word], words.take(pa.array(by_word))
             own = own[by_word].astype(np.uint32)

@@ -24,7 +24,7 @@ def op6_exact_dedup(spark, sf_dir):
 
 
 def op10_lm_scoring(spark, sf_dir):
-    bounded_batches(spark)
+    bounded_batches(spark, 12 << 20)
     return lm_scores(table(spark, sf_dir, "documents"), training_rows())
 
 
