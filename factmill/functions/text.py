@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json as codec
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -173,11 +177,6 @@ def infer_record_type(payload: Column) -> Column:
 
 def payload_hash(json: Column) -> Column:
     """SHA-256 of a payload's JSON with sorted keys, at every level, and blanks after commas and colons; null is the empty object."""
-    import hashlib
-    import json as codec
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def hashed(texts: pd.Series) -> pd.Series:
         form = lambda t: codec.dumps(codec.loads(t or "{}"), sort_keys=True)

@@ -25,24 +25,44 @@ def attach_provenance(records: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def normal_name(name):
+    """Upper case without ampersands and the word AND, blanks to one."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.upper(name), r"&|\bAND\b", " "), r"\s+", " "))
 
 
+DEGREES = ("BS ", "MS ", "PHD ")
+
+
+def _letters(c):
+    """How often each character occurs, as a map."""
+    each = F.split(c, "")
+    return F.map_from_entries(F.transform(F.array_distinct(each), lambda x: F.struct(x, F.size(F.filter(each, lambda y: y == x)))))
+
+
 def fuzzy_lookup(names: DataFrame, table: DataFrame, similar: bool = True) -> DataFrame:
-    """names (name) with target and stage from table (key, target): equal, equal without case and blanks, equal after normalising, longest
-    key that begins the name, then similarity of 0.85. A stage sees only what earlier ones left; names under 6 characters never match.
-    The last stage compares within the normalised first letter and a length band, never all pairs."""
-    left = names.select("name").distinct().filter(F.length("name") >= LEAST_NAME)
+    """names (name) with target and stage from table (key, target), upper case against upper case: equal; equal without a degree in front;
+    equal without ampersands; the longest key of six characters or more that begins the name or that the name begins; then the greatest
+    similarity of 0.85 or more. A stage sees only what earlier ones left, equal claims go to the smaller key; names under six characters
+    never match.
+
+    Similarity is twice the matching characters over both lengths. To reach 0.85, lengths must be near (17 to 23 at most), and names
+    share a run of three characters (short ones of two), as so few others lie between the matching ones. Candidates meet by such runs, never by all pairs, and shared character counts bound the similarity before it is computed."""
+    left = names.select("name").distinct().withColumn("u", F.upper("name")).filter(F.length("u") >= LEAST_NAME)
+    keys = table.select(F.upper("key").alias("k"), "target").groupBy("k").agg(F.min("target").alias("target"))
+    bare = F.col("u")
+    for d in DEGREES:
+        bare = F.when(F.startswith("u", F.lit(d)), F.substring("u", len(d) + 1, 1_000_000)).otherwise(bare)
+    normal = keys.groupBy(normal_name(F.col("k")).alias("k")).agg(F.min_by("target", "k").alias("target"))
     found = []
-    for stage, key in (("equal", lambda c: c), ("stripped", lambda c: F.lower(F.trim(c))), ("normal", normal_name)):
-        keys = table.groupBy(key(F.col("key")).alias("k")).agg(F.min("target").alias("target"))
-        hit = left.withColumn("k", key(F.col("name"))).join(keys, "k").select("name", "target", F.lit(stage).alias("stage"))
+    for stage, own, known in (("equal", F.col("u"), keys), ("degree", bare, keys), ("normal", normal_name(F.col("u")), normal)):
+        hit = left.withColumn("k", own).join(known, "k").select("name", "target", F.lit(stage).alias("stage"))
         found.append(hit)
         left = left.join(hit.select("name"), "name", "left_anti")
-    words = F.split(normal_name(F.col("name")), " ")
-    heads = left.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("k"))
-    keys = table.filter(F.length("key") >= LEAST_NAME).groupBy(normal_name(F.col("key")).alias("k")).agg(F.min("target").alias("target"))
-    hit = heads.join(keys, "k").groupBy("name").agg(F.max_by("target", F.struct(F.length("k"), "k")).alias("target")).withColumn("stage", F.lit("prefix"))
+    # one begins the other: equal on the shorter one's length
+    long_keys = keys.filter(F.length("k") >= LEAST_NAME)
+    heads = lambda df, c, *more: df.select(*more, F.explode(F.transform(F.sequence(F.lit(LEAST_NAME), F.length(c)), lambda n: F.left(F.col(c), n))).alias("h"))
+    down = heads(left, "u", "name").join(long_keys.withColumnRenamed("k", "h"), "h").select("name", F.col("h").alias("k"), "target")
+    up = heads(long_keys, "k", "k", "target").join(left.select("name", F.col("u").alias("h")), "h").select("name", "k", "target")
+    hit = down.union(up).groupBy("name").agg(F.min_by("target", F.struct(-F.length("k"), "k")).alias("target")).withColumn("stage", F.lit("prefix"))
     found.append(hit)
     if similar:
         left = left.join(hit.select("name"), "name", "left_anti")
@@ -51,11 +71,16 @@ def fuzzy_lookup(names: DataFrame, table: DataFrame, similar: bool = True) -> Da
         def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
-        band = lambda n, d: (F.floor(F.log(F.length(n).cast("double")) * 4) + d).cast("int")
-        a = left.withColumn("n", normal_name(F.col("name"))).withColumn("f", F.left("n", F.lit(1))).withColumn("b", F.explode(F.array(*(band(F.col("n"), d) for d in (-1, 0, 1)))))
-        b = keys.withColumn("f", F.left("k", F.lit(1))).withColumn("b", band(F.col("k"), 0))
-        close = a.join(b, ["f", "b"]).withColumn("r", ratio("n", "k")).filter(F.col("r") >= RATIO)
-        found.append(close.groupBy("name").agg(F.max_by("target", F.struct("r", "k")).alias("target")).withColumn("stage", F.lit("similar")))
+        # of m + n characters at most 0.15 (m + n) don't match and part the others, which leaves a matching run of 3; of 2 where m + n is 14
+        runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substr(F.col(c), i, F.lit(k)))
+        grams = lambda df, c, *more: df.select(*more, F.explode(F.array_distinct(F.concat(runs(c, 3), F.when(F.length(c).between(6, 8), runs(c, 2)).otherwise(F.array().cast("array<string>"))))).alias("g"))
+        near = lambda a, b: F.least(F.length(a), F.length(b)) * 2 >= RATIO * (F.length(a) + F.length(b))
+        met = grams(left, "u", "name", "u").join(grams(keys.filter(F.length("k") >= 3), "k", "k", "target"), "g").filter(near("u", "k"))
+        pairs = met.groupBy("name", "u", "k").agg(F.min("target").alias("target"))
+        counts = pairs.withColumns({"_a": _letters(F.col("u")), "_b": _letters(F.col("k"))})
+        shared = F.aggregate(F.map_entries("_a"), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.element_at("_b", e["key"]), F.lit(0))).cast("int"))
+        close = counts.filter(2 * shared >= RATIO * (F.length("u") + F.length("k"))).withColumn("r", ratio("u", "k")).filter(F.col("r") >= RATIO)
+        found.append(close.groupBy("name").agg(F.min_by("target", F.struct(-F.col("r"), "k")).alias("target")).withColumn("stage", F.lit("similar")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

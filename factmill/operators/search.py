@@ -12,10 +12,16 @@ RRF_K, DECAY = 60, (1.0, 0.99, 0.97, 0.95, 0.92)
 
 
 def token_weights(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token_id, weight = round(1 + ln(1 + n), 6) of each token; a text without tokens has (1, 1.0)."""
-    words = df.select(key, F.explode_outer(token_list(F.col(text))).alias("token"))
-    counted = words.groupBy(key, F.coalesce(token_id(F.col("token")), F.lit(1)).alias("token_id")).agg(F.count("token").alias("n"))
-    return counted.select(key, "token_id", F.when(F.col("n") == 0, 1.0).otherwise(F.round(1 + F.log1p("n"), 6)).alias("weight"))
+    """key, token_id, weight = round(1 + ln(1 + n), 6) of each token; a text without tokens has (1, 1.0). Counted within the row, so that no
+    token is a key of a shuffle."""
+    ids = F.array_sort(F.transform(token_list(F.col(text)), token_id))
+    # runs of the sorted ids: where each begins, and where the next one does
+    rows = df.select(key, ids.alias("_ids"))
+    starts = F.filter(F.transform("_ids", lambda x, i: F.when((i == 0) | (x != F.get("_ids", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_at", starts).withColumn("_end", F.concat(F.slice("_at", 2, F.greatest(F.size("_at") - 1, F.lit(1))), F.array(F.size("_ids"))))
+    counted = F.zip_with("_at", "_end", lambda a, e: F.struct(F.get("_ids", a).alias("token_id"), F.round(1 + F.log1p((e - a).cast("double")), 6).alias("weight")))
+    none = F.array(F.struct(F.lit(1).cast("long").alias("token_id"), F.lit(1.0).alias("weight")))
+    return rows.select(key, F.inline(F.when(F.coalesce(F.size("_ids"), F.lit(0)) > 0, counted).otherwise(none)))
 
 
 def _best(scored: DataFrame, query: str, item: str, k: int) -> DataFrame:
@@ -167,6 +173,45 @@ def with_relaxed(hinted: DataFrame, free: DataFrame, least: float) -> DataFrame:
     return kept.unionByName(free.join(answered, "query_id", "left_anti").withColumn("relaxed", F.lit(True)))
 
 
+def in_generation(df: DataFrame, active: Column, column: str = "generation_id") -> DataFrame:
+    """Rows of the active generation; a missing id is the empty one."""
+    return df.filter(F.coalesce(F.col(column), F.lit("")) == F.coalesce(active, F.lit("")))
+
+
+def route_filter(chunks: DataFrame, routes: DataFrame, active: Column) -> DataFrame:
+    """Chunks that each route (query_id, route, source_class, record_type) may search: of the active generation, current, of a class
+    that the hint covers, of the hinted type. A hint that is null asks for nothing. Routes of equal hints meet the chunks once."""
+    live = in_generation(chunks, active).filter("freshness = 'current'")
+    hints = routes.select(F.col("source_class").alias("_class"), F.col("record_type").alias("_type")).distinct()
+    kinds = live.select("source_class", "record_type").distinct()  # as many rows as classes and types
+    allowed = kinds.join(hints, _covers() & (F.col("_type").isNull() | (F.col("_type") == F.col("record_type"))))
+    asked = routes.select("query_id", "route", F.col("source_class").alias("_class"), F.col("record_type").alias("_type"))
+    same = lambda c: asked[c].eqNullSafe(allowed[c])
+    wanted = asked.join(allowed, same("_class") & same("_type")).select("query_id", "route", "source_class", "record_type")
+    return live.join(wanted, ["source_class", "record_type"])
+
+
+def _covers() -> Column:
+    """Whether the hint _class covers source_class: its own, and documents for policies."""
+    from .filters import source_class_matches
+
+    return F.col("_class").isNull() | source_class_matches(F.col("source_class"), F.col("_class"))
+
+
+def rerank(evidence: DataFrame, scores: DataFrame) -> DataFrame:
+    """Evidence by the scores (query_id, chunk_id, score) of any reranker; what it didn't score has 0."""
+    given = scores.groupBy("query_id", "chunk_id").agg(F.max("score").alias("_score"))
+    out = evidence.join(given, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("_score", F.lit(0.0))).drop("_score")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return out.withColumn("place", F.row_number().over(w))
+
+
+def hybrid_topk(sparse: DataFrame, dense: DataFrame, k: int, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
+    """Fusion of a sparse and a dense ranking (query, item, rank), the k best of each query."""
+    fused = rrf(sparse.select(query, item, "rank").unionByName(dense.select(query, item, "rank")), query, item)
+    return _best(fused, query, item, k)
+
+
 def embed(chunks: DataFrame, key: str, text: str, function) -> DataFrame:
     """key, embedding, error: function(list of texts) -> list of vectors over Arrow batches; when a batch fails its rows are tried one by
     one, and a row that fails has its error instead of a vector."""

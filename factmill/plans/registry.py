@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import compositions, records, retrieval, streams, tables
+from . import compositions, records, retrieval, serving, streams, tables
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (records, retrieval, tables, compositions, streams):
+for _module in (records, retrieval, tables, compositions, serving, streams):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 

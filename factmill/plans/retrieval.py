@@ -72,15 +72,19 @@ def dense_topk(spark, sf_dir):
     "g3_hybrid_rrf",
     f"""
 WITH {DOC_TOKENS}, {BENCH_TOKENS}, {SPARSE},
-o AS (SELECT item_id, doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')), regexp_extract_all(lower(d.text), '[a-z0-9]+'))) / greatest(len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+'))), 1)
-  + CASE WHEN contains(lower(d.text), lower(b.text)) THEN 0.25 ELSE 0.0 END, 6) AS score FROM sr JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
-l AS (SELECT item_id, doc_id, rank FROM sr UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) FROM o)
-SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM l GROUP BY ALL""",
+ds AS (SELECT q.vec_id AS item_id, c.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+dr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ds QUALIFY rank <= 20),
+l AS (SELECT item_id, doc_id, rank FROM sr UNION ALL SELECT item_id, doc_id, rank FROM dr),
+f AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM l GROUP BY ALL)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",
 )
 def hybrid_rrf(spark, sf_dir):
-    sparse = _sparse(spark, sf_dir)
-    dense = search._best(token_overlap(spark, sf_dir), "item_id", "doc_id", 20)
-    return search.rrf(sparse.select("item_id", "doc_id", "rank").unionByName(dense.select("item_id", "doc_id", "rank")), "item_id", "doc_id")
+    """Questions and documents by their words and, where they have a vector of their number, by it: two legs, fused."""
+    e = A.table(spark, sf_dir, "embeddings")
+    asked = e.join(A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "item_id")
+    dense = search.dense_topk(asked, e.withColumnRenamed("vec_id", "doc_id"), 20, "label", "item_id", "doc_id")
+    return search.hybrid_topk(_sparse(spark, sf_dir), dense, 10, "item_id", "doc_id")
 
 
 def _evidence(spark, sf_dir):

@@ -194,14 +194,14 @@ def provenance(spark, sf_dir):
     "d10_fuzzy_lookup",
     """
 WITH k AS (SELECT DISTINCT p_name AS key FROM part WHERE length(p_name) >= 6),
-n AS (SELECT DISTINCT key, CASE p % 4 WHEN 0 THEN key WHEN 1 THEN ' ' || upper(key) WHEN 2 THEN replace(key, ' ', ' and ') ELSE key || ' extra words' END AS name, p % 4 AS m FROM (SELECT p_name AS key, p_partkey AS p FROM part) WHERE length(key) >= 6)
-SELECT name, upper(key) AS target, ['equal', 'stripped', 'normal', 'prefix'][m + 1] AS stage FROM n""",
+n AS (SELECT DISTINCT key, CASE p % 4 WHEN 0 THEN key WHEN 1 THEN 'ms ' || upper(key) WHEN 2 THEN replace(key, ' ', ' and ') ELSE key || ' extra words' END AS name, p % 4 AS m FROM (SELECT p_name AS key, p_partkey AS p FROM part) WHERE length(key) >= 6)
+SELECT name, upper(key) AS target, ['equal', 'degree', 'normal', 'prefix'][m + 1] AS stage FROM n""",
 )
 def fuzzy_lookup(spark, sf_dir):
     p = A.table(spark, sf_dir, "part").filter(F.length("p_name") >= 6)
     m, key = F.col("p_partkey") % 4, F.col("p_name")
     names = p.select(
-        F.when(m == 0, key).when(m == 1, F.concat(F.lit(" "), F.upper(key))).when(m == 2, F.replace(key, F.lit(" "), F.lit(" and "))).otherwise(F.concat(key, F.lit(" extra words"))).alias("name")
+        F.when(m == 0, key).when(m == 1, F.concat(F.lit("ms "), F.upper(key))).when(m == 2, F.replace(key, F.lit(" "), F.lit(" and "))).otherwise(F.concat(key, F.lit(" extra words"))).alias("name")
     )
     return joins.fuzzy_lookup(names, p.select(key.alias("key"), F.upper(key).alias("target")).distinct(), similar=False)
 
@@ -209,7 +209,9 @@ def fuzzy_lookup(spark, sf_dir):
 @query("d10_similar_names")
 def similar_names(spark, sf_dir):
     p = A.table(spark, sf_dir, "part").filter(F.length("p_name") >= 6)
-    names = p.select(F.concat(F.left("p_name", F.lit(3)), F.lit("x"), F.substring("p_name", 4, 100)).alias("name"))
+    """Every name with its first letter wrong, or a letter too many."""
+    wrong = F.concat(F.lit("X"), F.substring("p_name", 2, 100))
+    names = p.select(F.when(F.col("p_partkey") % 2 == 0, wrong).otherwise(F.concat(F.left("p_name", F.lit(3)), F.lit("x"), F.substring("p_name", 4, 100))).alias("name"))
     return joins.fuzzy_lookup(names, p.select(F.col("p_name").alias("key"), F.upper("p_name").alias("target")).distinct())
 
 

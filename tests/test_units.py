@@ -117,12 +117,13 @@ def test_parent_by_id_then_url(spark):
 
 
 def test_fuzzy_stages(spark):
-    table = spark.createDataFrame([("Computer Science", "CS"), ("Business & Law", "BL"), ("Electrical Engineering", "EE")], "key string, target string")
-    names = spark.createDataFrame([(n,) for n in ("Computer Science", " computer science ", "BUSINESS AND LAW", "Computer Science Lahore", "Electricel Enginering", "CS", "Botany things")], "name string")
+    table = spark.createDataFrame([("Computer Science", "CS"), ("Business & Law", "BL"), ("Electrical Engineering", "EE"), ("MS Public Policy & Society", "PP")], "key string, target string")
+    names = spark.createDataFrame([(n,) for n in ("Computer Science", " computer science ", "BUSINESS AND LAW", "Computer Science Lahore", "Electricel Enginering", "CS", "Botany things", "ms computer science", "MS PUBLIC POLICY", "Xomputer Science")], "name string")
     got = {r.name: (r.target, r.stage) for r in joins.fuzzy_lookup(names, table).collect()}
     assert got == {
-        "Computer Science": ("CS", "equal"), " computer science ": ("CS", "stripped"), "BUSINESS AND LAW": ("BL", "normal"),
-        "Computer Science Lahore": ("CS", "prefix"), "Electricel Enginering": ("EE", "similar"),
+        "Computer Science": ("CS", "equal"), " computer science ": ("CS", "normal"), "BUSINESS AND LAW": ("BL", "normal"),
+        "Computer Science Lahore": ("CS", "prefix"), "Electricel Enginering": ("EE", "similar"), "ms computer science": ("CS", "degree"),
+        "MS PUBLIC POLICY": ("PP", "prefix"), "Xomputer Science": ("CS", "similar"),
     }
 
 
