@@ -4,7 +4,8 @@ Byte strings of 50 that repeat between documents lie in segments: runs of window
 piece in the window. Equal windows have equal least hashes, so a segment whose hash no other document has holds nothing that
 repeats, and the others meet by hash. Segments are made distinct before they move.
 
-What meets is a collection of distinct segments. It is cut into shards; each shard's suffixes are sorted and give its
+Hashes only route: segments count as equal by their bytes, and everything else that repeats is read from the transforms. What meets is
+a collection of distinct segments. It is cut into shards; each shard's suffixes are sorted and give its
 Burrows-Wheeler transform. The transforms are merged by refining one interleave: reading every shard's next symbols in the
 present order and sorting stably by them orders the merged suffixes by that many more symbols, without comparing suffixes
 again. A round takes two symbols at once. The round in which two neighbours part gives their common prefix; after 50 symbols
@@ -88,13 +89,12 @@ def _segments(buckets: int):
     """Candidate segments with their bytes. A segment that several documents of the batch hold goes out once, for the smallest;
     in the others all its windows repeat."""
     import zstandard
-    from xxhash import xxh64_intdigest
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids, tags, _ = _identity(batch)
-            docs, places, keys, content, data = [], [], [], [], []
+            docs, places, keys, content, data, number = [], [], [], [], [], {}
             for first, body, offsets in sliced(*utf8(batch.column("text")), SLICE_BYTES):
                 text, at, size, least = segments(body, offsets)
                 wanted = np.zeros(len(text), bool)
@@ -109,7 +109,7 @@ def _segments(buckets: int):
                 docs.append(first + text)
                 places.append(_pair(at, size))
                 keys.append(mix(least))
-                content.append(np.fromiter(map(xxh64_intdigest, pieces), np.uint64, len(pieces)))
+                content.append(_numbers(pieces, number))
                 data += pieces
             if not docs:
                 continue
@@ -131,7 +131,7 @@ def _segments(buckets: int):
             for a, b in zip(edges, np.append(edges[1:], len(order))):
                 mine = at[order[a:b]]
                 part = e.take(mine)
-                part.keys = ()  # both hashes follow from the bytes
+                part.keys = ()  # the hash follows from the bytes
                 head = part.pack()
                 rows.append((int(bucket[order[a]]), False, len(head).to_bytes(8, "little") + head + packer.compress(b"".join([data[i] for i in mine.tolist()]))))
             yield blocks_batch(rows)
@@ -247,10 +247,14 @@ def repeated_intervals(strings: list[bytes], window: int = WINDOW, shard_bytes:
     return tuple(map(np.concatenate, (string, place, of)))
 
 
+def _numbers(pieces: list[bytes], number: dict) -> np.ndarray:
+    """A number for each piece, the same for equal bytes alone."""
+    return np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.uint64, len(pieces))
+
+
 def _split_payload(data: bytes):
-    """Entries with their hashes, and the bytes of each."""
+    """Entries with the hash that brought them together, and the bytes of each."""
     import zstandard
-    from xxhash import xxh64_intdigest
 
     size = int.from_bytes(data[:8], "little")
     e = Entries.unpack(data[8 : 8 + size])
@@ -260,11 +264,11 @@ def _split_payload(data: bytes):
     pieces = [raw[a : a + n] for a, n in zip(at.tolist(), lengths.tolist())]
     runs = np.append(run_hashes(BYTE_HASH[np.frombuffer(raw, np.uint8)], PIECE), ~np.uint64(0))
     least = np.minimum.reduceat(runs, np.stack([at, at + WINDOW - PIECE + 1], 1).ravel())[::2]
-    e.keys = (mix(least), np.fromiter(map(xxh64_intdigest, pieces), np.uint64, len(pieces)))
+    e.keys = (mix(least),)
     return e, pieces
 
 
-def _decide(group: pa.Table, buckets: int) -> pa.Table:
+def _decide(group: pa.Table, buckets: int, shard_bytes: int) -> pa.Table:
     """Segments of a bucket -> windows that a smaller document holds, as runs (start, windows)."""
     direct, parts, content = [], [], []
     for passes, payload in zip(group.column("direct").to_pylist(), group.column("payload")):
@@ -277,6 +281,7 @@ def _decide(group: pa.Table, buckets: int) -> pa.Table:
     if not parts:
         return found_batch(direct, buckets)
     e = Entries.concat(parts)
+    e.keys = (e.keys[0], _numbers(content, {}))
     order, group_of, smallest, _, begins = grouped(e)
     out = e.take(np.sort(order[~smallest]))  # all windows of an equal segment of a smaller document
     direct.append(out)
@@ -295,7 +300,7 @@ def _decide(group: pa.Table, buckets: int) -> pa.Table:
             strings = [content[order[begins[g]]] for g in waiting]
             least = np.array([e.ids[e.doc[order[begins[g]]]] for g in waiting])
             least = np.array([e.ids[e.doc[own[edges[g]]]] for g in waiting]) if len(own) else least
-            string, place, of = repeated_intervals(strings)
+            string, place, of = repeated_intervals(strings, WINDOW, shard_bytes)
             by = np.argsort(of, kind="stable")
             string, place, of = string[by], place[by], of[by]
             head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
@@ -359,7 +364,8 @@ def drop_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = meet(docs.mapInArrow(_candidates(buckets), BLOCKS), repeated, buckets)
     placed = docs.repartition("key", "tag")
     hit = placed.join(by_document(found).hint("shuffle_hash"), ["key", "tag"])
-    windows = hit.mapInArrow(_segments(buckets), BLOCKS).groupBy("bucket").applyInArrow(lambda group: _decide(group, buckets), FOUND)
+    shard_bytes = SHARD_BYTES
+    windows = hit.mapInArrow(_segments(buckets), BLOCKS).groupBy("bucket").applyInArrow(lambda group: _decide(group, buckets, shard_bytes), FOUND)
     marked = placed.join(by_document(windows).hint("shuffle_hash"), ["key", "tag"], "left")
     out = marked.mapInArrow(_removed(with_bytes), KEPT)
     return (out if with_bytes else out.drop("kept")).withColumnRenamed("doc_id", id_col)

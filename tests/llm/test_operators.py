@@ -36,7 +36,7 @@ def sha(data: bytes) -> str:
 def covered(units, length, first, doc):
     gone = bytearray(len(units))
     for p in range(len(units) - length + 1):
-        if doc is not None and first[tuple(units[p : p + length])] < doc:
+        if doc is not None and first[units[p : p + length] if isinstance(units, bytes) else tuple(units[p : p + length])] < doc:
             gone[p : p + length] = b"\1" * length
     return gone
 
@@ -47,13 +47,19 @@ def first_holders(rows, length, split):
         if i is not None:
             units = split(t)
             for p in range(len(units) - length + 1):
-                k = tuple(units[p : p + length])
+                k = units[p : p + length] if isinstance(units, bytes) else tuple(units[p : p + length])
                 first[k] = min(first.get(k, i), i)
     return first
 
 
-def test_suffix_dedup(spark):
-    rows = [(i, t) for i, t in texts() if not t or len(t) < 4000]
+@pytest.mark.parametrize("shard, bucket", [(suffix_dedup.SHARD_BYTES, suffix_dedup.BUCKET_BYTES), (2000, 6 << 20)])
+def test_suffix_dedup(spark, monkeypatch, shard, bucket):
+    """Long texts too; with small shards many transforms are merged in each collection."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket)
+    r = np.random.default_rng(5)
+    big = "".join(r.choice(list("abcdefgh "), 1_000_000))
+    rows = [*texts(), (700, big[:300_000]), (701, "x" + big[250_000:250_400] + "y" + big[100:160]), (702, big[299_000:301_000]), (703, "ab" * 3000)]
     split = lambda t: (t or "").encode()
     first, want = first_holders(rows, 50, split), []
     for i, t in rows:
