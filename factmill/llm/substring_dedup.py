@@ -42,12 +42,12 @@ SLICE_BYTES = 4 << 20
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, eight bytes at a time."""
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0x51ED270B) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time; independent for other seeds."""
     padded = np.append(body, np.zeros(8, np.uint8))
     load = np.ndarray((len(body) + 1,), "<u8", padded, strides=(1,))
     size = ends - starts
-    h, at, k = mix(size.astype(np.uint64) + np.uint64(0x51ED270B)), np.arange(len(starts)), 0
+    h, at, k = mix(size.astype(np.uint64) + np.uint64(seed)), np.arange(len(starts)), 0
     while len(at):
         left = np.minimum(size[at] - k, 8)
         h[at] = mix(h[at] ^ (load[starts[at] + k] & MASKS[left]))
@@ -114,7 +114,7 @@ def _extended(buckets: int):
                 docs.append(first + text[keep])
                 places.append(pos[keep])
                 one.append(h[keep])
-                two.append(windows_of(mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)), of, WINDOW)[2][keep])
+                two.append(windows_of(word_hashes(body, starts, ends, 0x2545F4914F6CDD1D), of, WINDOW)[2][keep])
             if docs:
                 yield blocks_batch(ship(Entries(ids, tags, *map(np.concatenate, (docs, places)), tuple(map(np.concatenate, (one, two)))), buckets))
 
