@@ -388,7 +388,21 @@ def chunk_split(spark, sf_dir):
     return chunks.build_chunks(_payloads(spark, sf_dir), payload=F.col("payload"), lists=F.col("lists"))
 
 
-@query("question_answering")
+@query(
+    "question_answering",
+    f"""
+WITH {REC}, {DOC_TOKENS}, {BENCH_TOKENS}, {SPARSE},
+w AS (SELECT item_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t, contains(lower(d.text), lower(b.text)) AS whole
+  FROM sr JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
+o AS (SELECT item_id AS query_id, doc_id, round(len(list_intersect(q, t)) / greatest(len(q), 1) + CASE WHEN whole THEN 0.25 ELSE 0.0 END, 6) AS score FROM w),
+e AS (SELECT o.query_id, o.score, rec.* FROM o JOIN rec USING (doc_id) WHERE freshness = 'current'),
+m AS (SELECT *, min(tier) OVER (PARTITION BY query_id, dedupe_key) AS least FROM e),
+best AS (SELECT query_id, dedupe_key, min(effective_hash) <> max(effective_hash) AS torn, arg_min(record_version_id, (-score, record_version_id)) AS first FROM m WHERE tier = least GROUP BY ALL),
+h AS (SELECT m.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id) AS p FROM m JOIN best USING (query_id, dedupe_key) WHERE tier = least AND (torn OR record_version_id = first)),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY query_id, source_url ORDER BY p) AS d FROM h),
+k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d > 1, p) <= 5)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY p) AS place, record_version_id, source_url, score FROM k""",
+)
 def question_answering(spark, sf_dir):
     """Current, non-duplicate records, best for each benchmark text: sparse top-k, overlap rerank, primaries, diversity."""
     hits = token_overlap(spark, sf_dir).withColumnRenamed("item_id", "query_id")
