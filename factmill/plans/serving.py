@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factmill.functions import text as T
 from factmill.functions import urls as U
-from factmill.operators import filters, lifecycle, questions, search, sources
+from factmill.operators import cycle, filters, lifecycle, questions, search, sources
 
 from . import adapters as A
 from . import retrieval as R
@@ -208,3 +208,16 @@ def contextualize(spark, sf_dir):
 
     out = sources.contextualize(d, cache, made)
     return out.select("doc_id", T.strip_nul(F.col("text")).alias("text"), T.strip_nul(F.col("original_text")).alias("original_text"))
+
+
+@query("j14_update_cycle")
+def update_cycle(spark, sf_dir):
+    """A cycle over all records, a tenth of them incoming: the state that each version ends in (tests hold the steps, and this as a whole)."""
+    r = A.records(spark, sf_dir).withColumn("source_id", F.concat(F.lit("s"), F.col("doc_id") % 200))
+    s, new = A.sources(spark, sf_dir), F.col("doc_id") % 10 == 1
+    pages = r.select("source_url", F.col("source").alias("parent")).distinct()
+    done = cycle.update_cycle(
+        r.filter(~new), s, r.filter(new), s.filter("source_class = 'policy'"), A.visits(spark, sf_dir), pages, pages.select("parent"), r.filter("doc_id % 31 <> 5").select("source_url"),
+        F.lit("2024-07-01").cast("date"), F.lit("2024-02-15").cast("timestamp_ntz"),
+    )
+    return done.records.select("record_version_id", "freshness", "serving", "verification", "authoritative")

@@ -47,12 +47,12 @@ def stream_health(spark, sf_dir):
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    run = out.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start()
+    run = out.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start()
     run.awaitTermination()
-    result = spark.read.parquet(f"{folder}/out")
-    last = result.agg(F.max("batch")).first()[0]
-    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return result.filter(F.col("batch") == last).select("source_id", ntz("day"), ntz("last_success_at"), ntz("last_seen_at"), "failures")
+    state = F.max_by(F.struct("last_success_at", "last_seen_at", "failures"), "batch").alias("s")  # each batch has what it changed
+    ntz = lambda c, name: F.col(c).cast("timestamp_ntz").alias(name)
+    result = spark.read.parquet(f"{folder}/out").groupBy("source_id", "day").agg(state)
+    return result.select("source_id", ntz("day", "day"), ntz("s.last_success_at", "last_success_at"), ntz("s.last_seen_at", "last_seen_at"), "s.failures")
 
 
 @query(

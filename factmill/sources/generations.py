@@ -34,6 +34,11 @@ def generation_states(spark: SparkSession, root: str, labels: DataFrame) -> Data
     return out.select("label", F.when(F.col("label") == active, "active").when(F.col("at").isNotNull(), "retired").otherwise("staged").alias("status"))
 
 
+def recover(states: DataFrame) -> DataFrame:
+    """After a crash: generations that were never activated have failed; the manifest's last entry stays the active one."""
+    return states.withColumn("status", F.when(F.col("status") == "staged", "failed").otherwise(F.col("status")))
+
+
 def delete_points(df: DataFrame, ids: DataFrame | None = None, equal: dict | None = None) -> DataFrame:
     """The rows that stay after deleting by chunk id, or by equality of columns; no filter deletes nothing."""
     if ids is not None:
