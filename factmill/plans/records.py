@@ -37,7 +37,6 @@ def url_identity(spark, sf_dir):
     )
 
 
-LINKS = "'https://x.edu/' || source || CASE doc_id % 9 WHEN 0 THEN '/fee-structure' WHEN 1 THEN '/merit/list' WHEN 2 THEN '/admissions/bs-cs' WHEN 3 THEN '/admissions/eligibility' WHEN 4 THEN '/files/rules.PDF' WHEN 5 THEN '/faculty/x' WHEN 6 THEN '/coffee' WHEN 7 THEN '/policy/attendance' ELSE '' END"
 #: Paths with the class that the rule gives each, written by hand.
 PATH_CLASSES = (
     ("/", "general"), ("", "general"), ("/admissions/", "admissions_cycle"), ("/admissions/bs-cs", "program"), ("/Admissions/BS-CS", "program"), ("/admissions/apply-now", "admissions_cycle"),
