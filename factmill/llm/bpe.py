@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import utf8
 
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 170_000, 250_000, 300_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 220_000, 300_000, 400_000
 #: Longer stretches are not remembered.
 LONG = 200
 BYTES = [bytes((b,)) for b in range(256)]
@@ -273,8 +273,8 @@ class Coder:
         self.decoder = StreamDecoder(self.v.tokens)  # whole characters leave it in its first state
         self.stretch = Memo(self._stretch, MAX_PIECES, lambda data: len(data) <= LONG)
 
-    def _stretch(self, data: bytes) -> tuple[bytes, bytes]:
-        """The decimal ids of a stretch, each with a comma after it, and what they decode to."""
+    def _stretch(self, data: bytes) -> bytes | tuple[bytes, bytes]:
+        """The decimal ids of a stretch, each with a comma after it; and what they decode to, where that isn't the stretch."""
         if data.isalpha() or data[:1] == b" " and data[1:].isalpha():  # ASCII letters are one match
             ids = self.machine.encode(data)
         else:
@@ -282,7 +282,8 @@ class Coder:
             for piece in self.pattern.findall(data.decode()):
                 ids += self.machine.encode(piece.encode())
         back = (self.decoder.feed(ids) + self.decoder.flush()).encode()
-        return "".join([f"{i}," for i in ids]).encode(), data if back == data else back
+        coded = "".join([f"{i}," for i in ids]).encode()
+        return coded if back == data else (coded, back)
 
     def batch(self, column: pa.Array):
         """(ids with commas, how many, decoded bytes) of each text."""
@@ -293,7 +294,11 @@ class Coder:
         at = cuts(body, offsets)
         places = [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(body))]
         all_ = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, places).dictionary_encode()
-        ids, back = zip(*[self.stretch[s] for s in all_.dictionary.to_pylist()])
+        back = all_.dictionary.to_pylist()
+        ids = [self.stretch[s] for s in back]
+        for k, value in enumerate(ids):
+            if type(value) is tuple:
+                ids[k], back[k] = value
         first = np.searchsorted(at, offsets).tolist()
         n = np.fromiter((i.count(b",") for i in ids), np.int64, len(ids))
         count = np.append(0, np.cumsum(n[all_.indices.to_numpy()]))

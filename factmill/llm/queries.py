@@ -65,7 +65,7 @@ def op8_substring_dedup(spark, sf_dir):
 
 
 def op9_byte_bpe(spark, sf_dir):
-    bounded_batches(spark)
+    bounded_batches(spark, 8 << 20)  # the transducer's states take most of a worker's memory
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
