@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -10,10 +13,13 @@ from .common import bounded_batches, fresh_path, table
 from .exact_dedup import exact_groups
 from .lm_scoring import lm_scores, training_rows
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .quality import quality_scores
+from .quality_rules import COUNTS, quality_rules
 from .simhash import simhash_components
 from .substring_dedup import drop_repeated_windows
 from .suffix_dedup import drop_repeated_bytes
+from .token_alignment import token_alignment
 from .topk_search import top_k
 from .warc import archive, read_bundles
 
@@ -70,7 +76,47 @@ def op9_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_simhash, op4_packing, op5_topk_search, op6_exact_dedup, op7_warc, op8_substring_dedup, op9_byte_bpe, op10_lm_scoring)}
+def rewritten(doc_id, n: int):
+    """The places of the words that a document's n words are taken from, or None where it stays as it is (as one without an id does)."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    moved = np.arange(n)
+    moved[a:] = a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return moved
+
+
+def op11_periodic_runs(spark, sf_dir):
+    bounded_batches(spark)
+    found = periodic_runs(table(spark, sf_dir, "documents"), arrange=rewritten)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"), F.floor(-1000 * F.col("best.less") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", line), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_quality_rules(spark, sf_dir):
+    bounded_batches(spark)
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
+
+
+def op13_token_alignment(spark, sf_dir):
+    bounded_batches(spark)
+    return token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_quality, op3_simhash, op4_packing, op5_topk_search, op6_exact_dedup, op7_warc, op8_substring_dedup, op9_byte_bpe, op10_lm_scoring,
+        op11_periodic_runs, op12_quality_rules, op13_token_alignment,
+    )
+}
 
 ORACLE = {
     "op7_warc": """
