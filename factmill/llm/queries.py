@@ -106,7 +106,7 @@ def op12_quality_rules(spark, sf_dir):
 
 
 def op13_token_alignment(spark, sf_dir):
-    bounded_batches(spark)
+    bounded_batches(spark, 8 << 20)
     return token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 

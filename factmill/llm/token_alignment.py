@@ -21,6 +21,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from .word_ids import binaries
 #: White space beyond ASCII, as bytes; a stretch doesn't begin after it.
 WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf|[\x1c-\x1f]")
 SLICE_BYTES = 8 << 20
+AT_A_TIME = 20_000
 #: An id pair as one number: A's id above so many bits of B's.
 B_BITS = 20
 
@@ -86,15 +88,47 @@ class Pieces:
         return [i if p else i[len(self.head) :] for i, p in zip(ids, plain)]
 
 
+class Pair:
+    """Both tokenizers, and what is looked up by id: bytes, and how an id is written after each separator."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.first, self.second = ByteLevel(path_a), Pieces(path_b)
+        self.data = [pa.array(t.data, pa.large_binary()) for t in (self.first, self.second)]
+        self.sizes = [np.array([len(x) for x in t.data], np.int64) for t in (self.first, self.second)]
+        n, m = map(len, self.sizes)
+        self.spelled = pa.array([f"{c}{i}".encode() for c, k in ((";", n), (",", n), ("|", m), (",", m)) for i in range(k)], pa.large_binary())
+        self.spelled_at = 0, n, 2 * n, 2 * n + m
+
+
 @lru_cache(2)
-def pair_of(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(path_a), Pieces(path_b)
+def pair_of(path_a: str, path_b: str) -> Pair:
+    return Pair(path_a, path_b)
+
+
+def _coded(tokenizer, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all stretches in order, and where each stretch begins (rows + 1). Few are with the tokenizer at a time, whose answers are large."""
+    ids, sizes = [], []
+    for at in range(0, len(stretches), AT_A_TIME):
+        lists = tokenizer.encode([x.decode() for x in stretches.slice(at, AT_A_TIME).to_pylist()])
+        sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        ids.append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return join(ids, np.int32), np.concatenate([np.zeros(1, np.int64), np.cumsum(join(sizes, np.int64))])
+
+
+def _laid(values: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte strings of these rows one after the other, and where each begins (rows + 1)."""
+    return utf8(values.take(pa.array(rows)))
 
 
-def _ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers in order, and where each list begins (lists + 1)."""
-    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
-    return np.fromiter((i for x in lists for i in x), np.int64, int(at[-1])), at
+def _same(body: np.ndarray, at: np.ndarray, other: np.ndarray, other_at: np.ndarray) -> np.ndarray:
+    """Which byte strings of one row equal those of the other."""
+    same = np.diff(at) == np.diff(other_at)
+    rows = np.flatnonzero(same)
+    differ = np.concatenate([np.zeros(1, np.int64), np.cumsum(body[_picked(at, rows)] != other[_picked(other_at, rows)])])
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.diff(at)[rows])])
+    same[rows] = np.diff(differ[ends]) == 0
+    return same
 
 
 def _picked(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -140,52 +174,58 @@ def align(a_start, a_end, b_start, b_end) -> tuple[np.ndarray, np.ndarray, np.nd
 class Aligned:
     """What the distinct stretches of a slice give: ids, whether both tokenizers give their bytes back, groups, links, and how they are written."""
 
-    def __init__(self, distinct: pa.Array, path_a: str, path_b: str):
-        first, second = pair_of(path_a, path_b)
-        texts = [s.decode() for s in distinct.to_pylist()]
-        (self.a, self.a_at), (self.b, self.b_at) = _ragged(first.encode(texts)), _ragged(second.encode(texts))
-        whole = distinct.to_pylist()
-        back = [[b"".join(map(data.__getitem__, ids[i:j])) for i, j in zip(at[:-1].tolist(), at[1:].tolist())] for data, ids, at in ((first.data, self.a.tolist(), self.a_at), (second.data, self.b.tolist(), self.b_at))]
-        self.good = np.array([x == y == z for x, y, z in zip(whole, *back)], bool)
-        # bytes are counted through, over the good ones alone
-        keep_a, keep_b = np.repeat(self.good, np.diff(self.a_at)), np.repeat(self.good, np.diff(self.b_at))
-        self.a, self.b = self.a[keep_a], self.b[keep_b]
-        self.a_at, self.b_at = (np.concatenate([np.zeros(1, np.int64), np.cumsum(np.diff(at) * self.good)]) for at in (self.a_at, self.b_at))
-        end_a, end_b = (np.cumsum(np.array([len(x) for x in data], np.int64)[ids]) if len(ids) else np.zeros(0, np.int64) for data, ids in ((first.data, self.a), (second.data, self.b)))
-        begin = lambda end: np.concatenate([np.zeros(1, np.int64), end[:-1]]) if len(end) else end
-        group_a, group_b, link_a, link_b = align(begin(end_a), end_a, begin(end_b), end_b)
+    def __init__(self, distinct: pa.Array, pair: Pair):
+        body, body_at = utf8(distinct)
+        ids, at, self.good = [], [], np.ones(len(distinct), bool)
+        for k, t in enumerate((pair.first, pair.second)):
+            found, begins = _coded(t, distinct)
+            back, back_at = _laid(pair.data[k], found)
+            self.good &= _same(back, back_at[begins], body, body_at)
+            ids.append(found)
+            at.append(begins)
+        # stretches that don't come back have no tokens; bytes are counted through the others
+        ids = [i[np.repeat(self.good, np.diff(x))] for i, x in zip(ids, at)]
+        self.a_at, self.b_at = at = [np.concatenate([np.zeros(1, np.int64), np.cumsum(np.diff(x) * self.good)]) for x in at]
+        ends = [np.cumsum(size[i]) for size, i in zip(pair.sizes, ids)]
+        starts = [e - size[i] for e, size, i in zip(ends, pair.sizes, ids)]
+        group_a, group_b, link_a, link_b = align(starts[0], ends[0], starts[1], ends[1])
         self.group_at, self.link_at = np.searchsorted(group_a, self.a_at), np.searchsorted(link_a, self.a_at)
-        self.links = self.a[link_a] << B_BITS | self.b[link_b]
-        bounds = list(zip(group_a.tolist(), [*group_a[1:].tolist(), len(self.a)], group_b.tolist(), [*group_b[1:].tolist(), len(self.b)]))
-        words_a, words_b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        groups = [f"{','.join(words_a[i:j])}|{','.join(words_b[k:m])};" for i, j, k, m in bounds]
-        self.written = [("".join(groups[i:j])).encode() for i, j in zip(self.group_at[:-1].tolist(), self.group_at[1:].tolist())]
+        self.links = ids[0][link_a].astype(np.int64) << B_BITS | ids[1][link_b]
+        # a group's tokens of A stand before its tokens of B
+        place = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        for side, (mine, i) in enumerate(zip((group_a, group_b), ids)):
+            opens = np.zeros(len(i), np.int64)
+            opens[mine] = 1
+            group = np.cumsum(opens) - 1
+            before = group_b[group] if side == 0 else np.append(group_a[1:], len(ids[0]))[group]
+            place[np.arange(len(i)) + before] = np.where(opens == 1, pair.spelled_at[2 * side], pair.spelled_at[2 * side + 1]) + i
+        text, text_at = _laid(pair.spelled, place)
+        self.written = binaries(text, np.diff(text_at[self.a_at + self.b_at]))
 
 
 def _slices(path_a: str, path_b: str, slice_bytes: int):
     names = ["slice", "ids", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "texts", "held_at", "held", "times"]
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        number, pair = TaskContext.get().partitionId() << 32, pair_of(path_a, path_b)
         for batch in batches:
             keys = batch.column(0)
             for first, part, at in sliced(*utf8(batch.column(1)), slice_bytes):
                 docs = len(at) - 1
-                whole, of = stretches(part, at, pair_of(path_a, path_b)[1].joined)
+                whole, of = stretches(part, at, pair.second.joined)
                 coded = whole.dictionary_encode()
                 code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                got = Aligned(coded.dictionary, path_a, path_b)
+                got = Aligned(coded.dictionary, pair)
                 doc = np.repeat(np.arange(docs), np.diff(of))
                 good = np.ones(docs, bool)
                 good[doc[~got.good[code]]] = False
                 kept = good[doc]
                 code, doc = code[kept], doc[kept]
                 sizes = [np.bincount(doc, np.diff(x)[code], docs).astype(np.int64) for x in (got.a_at, got.b_at, got.group_at, got.link_at)]
-                ends, spelled = np.searchsorted(doc, np.arange(docs + 1)).tolist(), code.tolist()
-                digests = []
-                for i, j in zip(ends[:-1], ends[1:]):
-                    data = b"".join([got.written[c] for c in spelled[i:j]])
-                    digests.append(hashlib.sha256(data[:-1]).hexdigest() if data else "")
+                text, text_at = _laid(got.written, code)
+                ends = text_at[np.searchsorted(doc, np.arange(docs + 1))].tolist()
+                digests = [hashlib.sha256(text[i + 1 : j]).hexdigest() if j > i else "" for i, j in zip(ends[:-1], ends[1:])]
+                del text
                 # each text's distinct stretches, then its distinct pairs, with how often
                 uses, times = np.unique(doc * max(len(got.written), 1) + code, return_counts=True)
                 owner, used = uses // max(len(got.written), 1), uses % max(len(got.written), 1)
