@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .dedupe import has_contradiction
 from .filters import drop_uncertain, expects_numeric
 
+# Fixed values.
 RISKY_TYPES = ("program_fee_schedule", "admissions_cycle", "scholarship", "merit_list")
+RISKY_CLASSES = ("policy", "admissions_cycle", "scholarship", "merit_list")
 
 
 def answer_gates(queries: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -60,10 +62,9 @@ def grounding_score(claims: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def grounding_mode(evidence: DataFrame, least: float = 0.5) -> DataFrame:
-    """full if any row is of a risky type or scores under the limit, else skip."""
-    return evidence.groupBy("query_id").agg(
-        F.when(F.bool_or(F.col("record_type").isin(*RISKY_TYPES)) | (F.min("score") < least), "full").otherwise("skip").alias("mode")
-    )
+    """full if any row is of a risky type or source class or scores under the limit, else skip."""
+    risky = F.coalesce(F.col("record_type").isin(*RISKY_TYPES), F.lit(False)) | F.coalesce(F.col("source_class").isin(*RISKY_CLASSES), F.lit(False))
+    return evidence.groupBy("query_id").agg(F.when(F.bool_or(risky) | (F.min("score") < least), "full").otherwise("skip").alias("mode"))
 
 
 def finalize_answers(gates: DataFrame, citations: DataFrame, grounding: DataFrame) -> DataFrame:

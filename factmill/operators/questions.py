@@ -5,23 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Term lists and synonym groups, in order.
+# Term lists, the class and the hints that they give, the order of further intents, names of classes.
 OUT_OF_SCOPE = (
     "weather", "temperature", "forecast", "rain", "humidity", "stock", "share price", "bitcoin", "crypto", "recipe", "restaurant", "movie", "football", "cricket",
     "nba", "nfl",
 )
-INTENTS = (
-    ("news_event", ("news", "event", "events", "seminar", "workshop", "conference", "convocation")),
-    ("faculty", ("faculty", "professor", "dr ", "dr.", "publication", "publications", "research interest", "research interests", "expertise", "works on")),
-    ("policy", ("policy", "policies", "attendance", "probation", "threshold", "cgpa", "grade", "grading", "rule", "rules", "regulation", "regulations", "requirement")),
-    ("program_fee_schedule", ("fee", "fees", "tuition")),
-    ("scholarship", ("scholarship", "scholarships", "financial aid", "financial assistance")),
-    ("merit_list", ("merit", "merit list", "merit lists")),
-    ("program", ("eligibility", "eligible", "eligibility criteria", "who can apply")),
-    ("admissions_cycle", ("admission", "admissions", "apply", "application", "deadline", "intake")),
-)
+TERMS = {
+    "news": ("news", "event", "events", "seminar", "workshop", "conference", "convocation"),
+    "faculty": ("faculty", "professor", "dr ", "dr.", "publication", "publications", "research interest", "research interests", "expertise", "works on"),
+    "policy": ("policy", "policies", "attendance", "probation", "threshold", "cgpa", "grade", "grading", "rule", "rules", "regulation", "regulations", "requirement"),
+    "fee": ("fee", "fees", "tuition"),
+    "scholarship": ("scholarship", "scholarships", "financial aid", "financial assistance"),
+    "merit": ("merit", "merit list", "merit lists"),
+    "eligibility": ("eligibility", "eligible", "eligibility criteria", "who can apply"),
+    "admissions": ("admission", "admissions", "apply", "application", "deadline", "intake"),
+}
+#: Intent -> query class, source class and record type; the first intent that matches is a query's own.
+INTENTS = {
+    "news": ("news_or_event", "news_event", "news_event"),
+    "faculty": ("faculty_expertise_or_publication", "faculty", None),
+    "policy": ("policy_or_threshold", "policy", None),
+    "fee": ("fee_or_admissions_cycle", None, "program_fee_schedule"),
+    "scholarship": ("fee_or_admissions_cycle", "scholarship", "scholarship"),
+    "merit": ("fee_or_admissions_cycle", "merit_list", "merit_list"),
+    "eligibility": ("fee_or_admissions_cycle", None, None),
+    "admissions": ("fee_or_admissions_cycle", "admissions_cycle", "admissions_cycle"),
+}
+#: Further intents in the order in which they get a route.
+SECONDARY = ("fee", "scholarship", "admissions", "merit", "faculty", "policy", "news", "eligibility")
+PUBLICATIONS = ("publication", "publications")
 IN_SCOPE = ("university", "department", "program", "office", "student service", "hostel", "placement", "campus")
 ALIASES = {"faculty_profile": "faculty", "faculty_publication": "faculty", "policy_rule": "policy", "research_entity": "research_main"}
+HINTS = (
+    "faculty", "policy", "news_event", "scholarship", "merit_list", "admissions_cycle", "research_main", "general", "program", "program_fee_schedule", "library",
+    "university_info", "student_service", "org_unit", "document_asset",
+)
 SYNONYMS = (
     ("fee", "tuition", "charges", "cost"),
     ("admission", "enrollment", "entry", "intake"),
@@ -50,41 +68,61 @@ def words_pattern(terms) -> str:
     return "(^|[^a-z0-9])((" + "|".join(plain or ["$^"]) + ")([^a-z0-9]|$)" + "".join(f"|{t}" for t in ended) + ")"
 
 
+def normalized(text: Column) -> Column:
+    """Lower case, outer blanks off, every run of white space one blank."""
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)[\s\x1c-\x1f]+", " "))
+
+
 def has_terms(text: Column, terms) -> Column:
-    return F.lower(text).rlike(words_pattern(terms))
+    return normalized(text).rlike(words_pattern(terms))
 
 
-def classify(text: Column) -> Column:
-    """out_of_scope unless an in-scope term occurs too; else the first intent that matches; else entity lookup."""
-    inside = has_terms(text, [t for _, terms in INTENTS for t in terms] + list(IN_SCOPE))
-    out = F.when(has_terms(text, OUT_OF_SCOPE) & ~inside, "out_of_scope")
-    for name, terms in INTENTS:
-        out = out.when(has_terms(text, terms), name)
-    return out.otherwise("entity_lookup")
+def _hints(source: str | None, kind: str | None) -> Column:
+    return F.struct(F.lit(source).cast("string").alias("source_class"), F.lit(kind).cast("string").alias("record_type"))
 
 
-def secondary_hints(text: Column, primary: Column) -> Column:
-    """Other intents that match, in table order."""
-    hits = F.array_compact(F.array(*(F.when(has_terms(text, terms), F.lit(name)) for name, terms in INTENTS)))
-    return F.array_except(hits, F.array(primary))
+def classify(text: Column) -> Column:
+    """Struct of query_class, source_class and record_type: out_of_scope unless an in-scope term occurs too; else the first intent that
+    matches; else entity_lookup. Faculty questions about publications ask for that type."""
+    low = normalized(text)
+    has = lambda terms: low.rlike(words_pattern(terms))
+    made = lambda name, source, kind: F.struct(F.lit(name).alias("query_class"), F.lit(source).cast("string").alias("source_class"), kind.cast("string").alias("record_type"))
+    out = F.when(has(OUT_OF_SCOPE) & ~has([t for terms in TERMS.values() for t in terms] + list(IN_SCOPE)), made("out_of_scope", None, F.lit(None)))
+    for intent, (name, source, kind) in INTENTS.items():
+        out = out.when(has(TERMS[intent]), made(name, source, F.when(has(PUBLICATIONS), "faculty_publication") if intent == "faculty" else F.lit(kind)))
+    return out.otherwise(made("entity_lookup", None, F.lit(None)))
 
 
-def record_type_hint(text: Column, primary: Column) -> Column:
-    return F.when((primary == "faculty") & has_terms(text, ["publication", "publications"]), "faculty_publication").when(
-        (primary == "policy") & has_terms(text, ["rule", "rules"]), "policy_rule"
+def secondary_hints(text: Column, primary: Column) -> Column:
+    """Pairs (source_class, record_type) of all intents that match, in their order, but the primary's own pair."""
+    low = normalized(text)
+    pairs = F.array_compact(F.array(*(F.when(low.rlike(words_pattern(TERMS[i])), _hints(*INTENTS[i][1:])) for i in SECONDARY)))
+    return F.filter(pairs, lambda p: ~(p["source_class"].eqNullSafe(primary["source_class"]) & p["record_type"].eqNullSafe(primary["record_type"])))
+
+
+def record_type_hint(text: Column, query_class: Column) -> Column:
+    """The type that the words ask for within a class that another classifier gave: of fees and admissions the first intent among fee,
+    scholarship, merit, eligibility (none) and admissions; of faculty, publications."""
+    low = normalized(text)
+    kind = F.lit(None).cast("string")
+    for intent in ("admissions", "eligibility", "merit", "scholarship", "fee"):
+        kind = F.when(low.rlike(words_pattern(TERMS[intent])), F.lit(INTENTS[intent][2])).otherwise(kind)
+    return F.when(query_class == "fee_or_admissions_cycle", kind).when(
+        (query_class == "faculty_expertise_or_publication") & low.rlike(words_pattern(PUBLICATIONS)), "faculty_publication"
     )
 
 
 def normalize_hint(hint: Column) -> Column:
-    h = F.lower(F.trim(F.regexp_replace(hint, r"[\x00-\x1F]", "")))
+    """A known class name, aliases resolved; null for anything else."""
+    h = F.lower(F.regexp_replace(F.regexp_replace(hint, r"[\x00-\x1F]", ""), r"(?U)^\s+|\s+$", ""))
     for old, new in ALIASES.items():
         h = F.when(h == old, new).otherwise(h)
-    return F.nullif(h, F.lit(""))
+    return F.when(h.isin(*HINTS), h)
 
 
 def effective_hint(classified: Column, given: Column) -> Column:
     """The classified hint wins over the user's."""
-    return F.coalesce(classified, normalize_hint(given))
+    return F.coalesce(normalize_hint(classified), normalize_hint(given))
 
 
 def synonym_terms() -> list[tuple[str, list[str]]]:
@@ -116,29 +154,43 @@ def reconcile(keyword: Column, semantic: Column) -> Column:
     return F.when(F.coalesce(strong, F.lit(False)), keyword).otherwise(semantic)
 
 
-def plan_routes(source_hint: Column, type_hint: Column, user_hint: Column, secondary: Column) -> Column:
-    """A user's hint gives one strict route; else source hint, everything, type hint, and up to two secondary classes. Repeats of
-    (class, type) are dropped, the first stays."""
+def plan_routes(source_hint: Column, type_hint: Column, given: Column, secondary: Column) -> Column:
+    """Where the user gave a hint (given), one strict route by what is known of class and type; else class, everything, type. Then up to
+    two secondary pairs. Of equal (class, type) the first route stays. A question without any route searches everything."""
     null = F.lit(None).cast("string")
     route = lambda name, c, t: F.struct(F.lit(name).alias("route"), c.alias("source_class"), t.alias("record_type"))
-    single = F.array(route("strict", user_hint, null))
-    base = F.array_compact(
-        F.array(
-            F.when(source_hint.isNotNull(), route("source", source_hint, null)),
-            route("global", null, null),
-            F.when(type_hint.isNotNull(), route("type", null, type_hint)),
-        )
-    )
-    more = F.transform(F.slice(secondary, 1, 2), lambda c: route("secondary", c, null))
-    fresh = F.filter(more, lambda r: ~F.exists(base, lambda b: b["source_class"].eqNullSafe(r["source_class"]) & b["record_type"].eqNullSafe(r["record_type"])))
-    return F.when(user_hint.isNotNull(), single).otherwise(F.concat(base, fresh))
-
+    both = source_hint.isNotNull() & type_hint.isNotNull()
+    strict = F.array(
+        F.when(both, route("strict_source_and_type", source_hint, type_hint)).when(source_hint.isNotNull(), route("strict_source", source_hint, null))
+        .when(type_hint.isNotNull(), route("strict_record_type", null, type_hint))
+    )
+    free = F.array(F.when(source_hint.isNotNull(), route("source_hint", source_hint, null)), route("global", null, null), F.when(type_hint.isNotNull(), route("record_type", null, type_hint)))
+    more = F.transform(F.slice(secondary, 1, 2), lambda p: route("secondary_intent", p["source_class"], p["record_type"]))
+    every = F.concat(F.array_compact(F.when(given.isNotNull(), strict).otherwise(free)), more)
+    key = lambda r: F.concat(F.coalesce(r["source_class"], F.lit("")), F.lit("|"), F.coalesce(r["record_type"], F.lit("")))
+    keys = F.transform(every, key)
+    first = F.filter(every, lambda r, i: F.array_position(keys, key(r)) == i + 1)
+    return F.when(F.size(first) == 0, F.array(route("global", null, null))).otherwise(first)
+
+
+def prepare(df: DataFrame, text: str = "text", given: str = "hint", semantic: Column | None = None, rewrite=None) -> DataFrame:
+    """Adds class, source_hint, type_hint, secondary, abstain, retrieval_text and routes (none where a question is out of scope).
+
+    semantic, if given, is another classifier's struct (query_class, source_class, record_type), which the words' own hints overrule where
+    they are strong. rewrite, if given, is a function from Column to Column whose rewritten question is searched for where the gate lets it."""
+    from .filters import rewrite_gate
 
-def prepare(df: DataFrame, text: str = "text", given: str = "hint") -> DataFrame:
-    """Adds class, type_hint, secondary, source_hint, abstain and routes."""
     t = F.col(text)
-    out = df.withColumn("class", classify(t))
-    out = out.withColumns({"type_hint": record_type_hint(t, F.col("class")), "secondary": secondary_hints(t, F.col("class")), "abstain": F.col("class") == "out_of_scope"})
-    known = F.when(~F.col("class").isin("out_of_scope", "entity_lookup"), F.col("class"))
-    out = out.withColumn("source_hint", effective_hint(known, F.col(given)))
-    return out.withColumn("routes", plan_routes(F.col("source_hint"), F.col("type_hint"), normalize_hint(F.col(given)), F.col("secondary")))
+    kept = df.withColumn("_own", classify(t))
+    kept = kept.withColumn("_c", F.col("_own") if semantic is None else reconcile(F.col("_own"), semantic))
+    out_of_scope = F.col("_c.query_class") == "out_of_scope"
+    out = kept.withColumns(
+        {
+            "class": F.col("_c.query_class"), "abstain": out_of_scope, "type_hint": F.col("_c.record_type"),
+            "source_hint": F.when(~out_of_scope, effective_hint(F.col("_c.source_class"), F.col(given))),
+            "secondary": F.when(out_of_scope, F.array().cast("array<struct<source_class:string,record_type:string>>")).otherwise(secondary_hints(t, F.col("_c"))),
+            "retrieval_text": t if rewrite is None else rewrite_gate(t, rewrite(t)),
+        }
+    ).drop("_own", "_c")
+    planned = plan_routes(F.col("source_hint"), F.col("type_hint"), F.col(given), F.col("secondary"))
+    return out.withColumn("routes", F.when(~F.col("abstain"), planned).otherwise(F.array().cast("array<struct<route:string,source_class:string,record_type:string>>")))

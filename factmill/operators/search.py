@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factmill.functions.text import token_id, token_list
+from factmill.functions.text import strip, token_id, token_list
 
 # Fixed values.
 RRF_K, DECAY = 60, (1.0, 0.99, 0.97, 0.95, 0.92)
@@ -56,10 +56,10 @@ def rrf(ranked: DataFrame, query: str = "query_id", item: str = "chunk_id", k: i
 
 
 def overlap_score(query: Column, text: Column) -> Column:
-    """Share of the query's distinct tokens in the text, plus 0.25 if the text holds the whole query."""
+    """Share of the query's distinct tokens in the text, plus 0.25 if the text holds the whole query, which a blank one never is."""
     q = F.array_distinct(token_list(query))
     share = F.size(F.array_intersect(q, token_list(text))) / F.greatest(F.size(q), F.lit(1))
-    return F.round(share + F.when(F.contains(F.lower(text), F.lower(query)), 0.25).otherwise(0.0), 6)
+    return F.round(share + F.when((strip(query) != "") & F.contains(F.lower(text), F.lower(query)), 0.25).otherwise(0.0), 6)
 
 
 def adjust_tier(tier: Column, url: Column, hint: Column) -> Column:
@@ -70,7 +70,8 @@ def adjust_tier(tier: Column, url: Column, hint: Column) -> Column:
 
 
 def authority_decay(score: Column, tier: Column) -> Column:
-    return score * F.element_at(F.array(*map(F.lit, DECAY)), tier.cast("int"))
+    """A tier that is out of range decays like the last one."""
+    return score * F.coalesce(F.get(F.array(*map(F.lit, DECAY)), tier.cast("int") - 1), F.lit(DECAY[-1]))
 
 
 def min_score(df: DataFrame, least: float) -> DataFrame:
@@ -79,15 +80,16 @@ def min_score(df: DataFrame, least: float) -> DataFrame:
 
 def source_diversity(evidence: DataFrame, most: int, target: int) -> DataFrame:
     """`target` rows by score: of each URL the first `most` distinct records with all their rows, then what overflows where those are
-    too few."""
+    too few. A record without a URL is a source of its own."""
     if target <= 0:
         return evidence.limit(0)
     order = [F.desc("score"), F.asc("record_version_id"), F.asc("chunk_id")]
     placed = evidence.withColumn("_p", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     if most > 0:
-        first = F.min("_p").over(Window.partitionBy("query_id", "source_url", "record_version_id"))
-        placed = placed.withColumn("_f", first).withColumn("_d", F.dense_rank().over(Window.partitionBy("query_id", "source_url").orderBy("_f")))
-        placed = placed.withColumn("_over", (F.col("_d") > most).cast("int")).drop("_f", "_d")
+        placed = placed.withColumn("_u", F.coalesce(F.nullif("source_url", F.lit("")), "record_version_id"))
+        first = F.min("_p").over(Window.partitionBy("query_id", "_u", "record_version_id"))
+        placed = placed.withColumn("_f", first).withColumn("_d", F.dense_rank().over(Window.partitionBy("query_id", "_u").orderBy("_f")))
+        placed = placed.withColumn("_over", (F.col("_d") > most).cast("int")).drop("_u", "_f", "_d")
     else:
         placed = placed.withColumn("_over", F.lit(0))
     chosen = Window.partitionBy("query_id").orderBy("_over", "_p")

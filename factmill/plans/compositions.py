@@ -94,12 +94,13 @@ def generation(spark, sf_dir):
 @query(
     "g9_final_select",
     f"""
-WITH {R.EV}, k AS (SELECT * REPLACE (sha256(source || doc_id % 3) AS dedupe_key, CAST(greatest(CASE WHEN contains(source_url, 'policy') THEN tier - 1 ELSE tier END, 1) AS INTEGER) AS tier) FROM ev),
-s AS (SELECT * REPLACE (round(score * [1.0, 0.99, 0.97, 0.95, 0.92][tier], 6) AS score) FROM k WHERE round(score * [1.0, 0.99, 0.97, 0.95, 0.92][tier], 6) >= 0.1),
+WITH {R.EV}, k AS (SELECT * REPLACE (sha256(source || doc_id % 3) AS dedupe_key, CAST(CASE WHEN contains(source_url, 'policy') THEN greatest(tier - 1, 1) ELSE tier END AS INTEGER) AS tier) FROM ev),
+f AS (SELECT *, CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.99 WHEN 3 THEN 0.97 WHEN 4 THEN 0.95 ELSE 0.92 END AS f FROM k),
+s AS (SELECT * EXCLUDE (f) REPLACE (round(score * f, 6) AS score) FROM f WHERE round(score * f, 6) >= 0.1),
 m AS (SELECT *, min(tier) OVER (PARTITION BY query_id, dedupe_key) AS least FROM s),
 p AS (SELECT query_id, dedupe_key, min(effective_hash) <> max(effective_hash) AS torn, arg_min(record_version_id, (-score, record_version_id)) AS best FROM m WHERE tier = least GROUP BY ALL),
 h AS (SELECT m.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id, chunk_id) AS pp FROM m JOIN p USING (query_id, dedupe_key) WHERE tier = least AND (torn OR record_version_id = best)),
-d AS (SELECT *, dense_rank() OVER (PARTITION BY query_id, source_url ORDER BY pp) AS dd FROM h),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY query_id, coalesce(nullif(source_url, ''), record_version_id) ORDER BY pp) AS dd FROM h),
 v AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dd > 1, pp) <= 8),
 n AS (SELECT *, coalesce(record_type = type_hint, false) AS hinted FROM v),
 r AS (SELECT *, hinted AND row_number() OVER (PARTITION BY query_id, hinted ORDER BY score DESC, record_version_id, chunk_id) <= 2 AS r FROM n)
@@ -127,8 +128,7 @@ def hydrate(spark, sf_dir):
 @query(
     "d18_expand_requests",
     f"""
-WITH {R.PREP_SQL}, r AS (SELECT doc_id, CASE WHEN hint IS NOT NULL THEN 1 ELSE 1 + CAST(source_hint IS NOT NULL AS INTEGER) + CAST(type_hint IS NOT NULL AS INTEGER) + len(list_filter(secondary[1:2], lambda x: source_hint IS NULL OR x <> source_hint)) END AS routes FROM p1)
-SELECT doc_id AS query_id, routes * 2 AS requests FROM r""",
+WITH {R.ROUTES_SQL} SELECT doc_id AS query_id, len(routes) * 2 AS requests FROM routes WHERE len(routes) > 0""",
 )
 def expand_requests(spark, sf_dir):
     p = questions.prepare(R._questions(spark, sf_dir)).select(F.col("doc_id").alias("query_id"), "routes", F.array("text", F.upper("text")).alias("variants"))

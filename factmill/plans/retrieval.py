@@ -46,12 +46,12 @@ def sparse_topk(spark, sf_dir):
     "g5_token_overlap",
     f"""
 WITH {DOC_TOKENS}, {BENCH_TOKENS}, {SPARSE},
-o AS (SELECT item_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t, contains(lower(d.text), lower(b.text)) AS whole
+o AS (SELECT item_id, doc_id, CASE WHEN item_id % 10 = 0 THEN [] ELSE list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) END AS q, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t, item_id % 10 <> 0 AND contains(lower(d.text), lower(b.text)) AS whole
   FROM sr JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))
 SELECT item_id, doc_id, round(len(list_intersect(q, t)) / greatest(len(q), 1) + CASE WHEN whole THEN 0.25 ELSE 0.0 END, 6) AS score FROM o""",
 )
 def token_overlap(spark, sf_dir):
-    b = A.table(spark, sf_dir, "benchmark").withColumnRenamed("text", "q")
+    b = A.table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 10 == 0, " ").otherwise(F.col("text")).alias("q"))
     hits = _sparse(spark, sf_dir).select("item_id", "doc_id").join(b, "item_id").join(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return hits.select("item_id", "doc_id", search.overlap_score(F.col("q"), F.col("text")).alias("score"))
 
@@ -88,14 +88,21 @@ def hybrid_rrf(spark, sf_dir):
 
 
 def _evidence(spark, sf_dir):
-    """Evidence of 40 queries: every record is scored for the query of its number modulo 40."""
-    r = A.records(spark, sf_dir)
-    return r.withColumns(
-        {"query_id": F.col("doc_id") % 40, "score": F.round((F.col("doc_id") * 7919 % 1000) / 1000.0, 6), "chunk_id": F.concat("record_version_id", F.lit(":0")), "type_hint": F.when(F.col("doc_id") % 40 < 20, "program")}
-    )
+    """Evidence of queries, whose number grows with the table: 25 records are scored for each. Some records have no URL, some tiers are out of range."""
+    i = F.col("doc_id")
+    tier = F.when(i % 31 == 0, 0).when(i % 31 == 1, 6).otherwise(F.col("tier"))
+    return A.records(spark, sf_dir).withColumns(
+        {
+            "query_id": F.floor(i / 25), "score": F.round((i * 7919 % 1000) / 1000.0, 6), "chunk_id": F.concat("record_version_id", F.lit(":0")), "tier": tier,
+            "type_hint": F.when(F.floor(i / 25) % 2 == 0, "program"), "source_url": F.when(i % 6 == 1, None).when(i % 6 == 2, "").otherwise(F.col("source_url")),
+            "source_class": F.when(i % 50 == 7, "policy").otherwise("faculty"), "locator": F.when(i % 8 != 3, F.concat(F.lit("p:"), i)),
+        }
+    )
 
 
-EV = f"{REC}, ev AS (SELECT *, doc_id % 40 AS query_id, round((doc_id * 7919 % 1000) / 1000.0, 6) AS score, record_version_id || ':0' AS chunk_id, CASE WHEN doc_id % 40 < 20 THEN 'program' END AS type_hint FROM rec)"
+EV = f"""{REC}, ev AS (SELECT * REPLACE (CASE WHEN doc_id % 6 = 1 THEN NULL WHEN doc_id % 6 = 2 THEN '' ELSE source_url END AS source_url, CASE doc_id % 31 WHEN 0 THEN 0 WHEN 1 THEN 6 ELSE tier END AS tier),
+  doc_id // 25 AS query_id, round((doc_id * 7919 % 1000) / 1000.0, 6) AS score, record_version_id || ':0' AS chunk_id, CASE WHEN doc_id // 25 % 2 = 0 THEN 'program' END AS type_hint,
+  CASE WHEN doc_id % 50 = 7 THEN 'policy' ELSE 'faculty' END AS source_class, CASE WHEN doc_id % 8 <> 3 THEN 'p:' || doc_id END AS locator FROM rec)"""
 
 
 @query(
@@ -114,7 +121,7 @@ def primary_hits(spark, sf_dir):
     "f7_source_diversity",
     f"""
 WITH {EV}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id, chunk_id) AS p FROM ev),
-d AS (SELECT *, dense_rank() OVER (PARTITION BY query_id, source_url ORDER BY p) AS d FROM p)
+d AS (SELECT *, dense_rank() OVER (PARTITION BY query_id, coalesce(nullif(source_url, ''), record_version_id) ORDER BY p) AS d FROM p)
 SELECT query_id, record_version_id, row_number() OVER (PARTITION BY query_id ORDER BY p) AS place FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d > 1, p) <= 12)""",
 )
 def source_diversity(spark, sf_dir):
@@ -136,8 +143,8 @@ def reserve_types(spark, sf_dir):
 @query(
     "g7_authority_decay",
     f"""
-WITH {EV}, a AS (SELECT *, CAST(greatest(CASE WHEN contains(source_url, 'src1') OR contains(source_url, 'src2') THEN tier - 1 ELSE tier END, 1) AS INTEGER) AS t FROM ev)
-SELECT query_id, record_version_id, t AS tier, round(score * [1.0, 0.99, 0.97, 0.95, 0.92][t], 6) AS score FROM a WHERE score * [1.0, 0.99, 0.97, 0.95, 0.92][t] >= 0.1""",
+WITH {EV}, a AS (SELECT *, CAST(CASE WHEN contains(source_url, 'src1') OR contains(source_url, 'src2') THEN greatest(tier - 1, 1) ELSE tier END AS INTEGER) AS t FROM ev)
+SELECT query_id, record_version_id, t AS tier, round(score * f, 6) AS score FROM (SELECT *, CASE t WHEN 1 THEN 1.0 WHEN 2 THEN 0.99 WHEN 3 THEN 0.97 WHEN 4 THEN 0.95 ELSE 0.92 END AS f FROM a) WHERE score * f >= 0.1""",
 )
 def authority_decay(spark, sf_dir):
     e = _evidence(spark, sf_dir)
@@ -203,51 +210,121 @@ def semantic_class(spark, sf_dir):
     return search.class_scores(hits.join(exemplars.select("chunk_id", "label"), "chunk_id"), 0.3)
 
 
-TEXTS = (
-    "What is the fee for BS Computer Science", "who can apply for the merit scholarship", "weather in the city today", "stock policy of the library department",
-    "Latest news and events", "publications of dr khan", "attendance policy rules", "admission deadline for fall", "hostel location on campus", "merit list for MBA",
-    "how do I graduate", "tuition charges and grading rules", "football match", "faculty research interests", "where is the office", "minimum cgpa requirement", "coffee fee at the fees desk", "dr. khan publications", "undergraduate graduate school",
+#: Questions with what they must give, written by hand: class, source class, record type, further (source class, record type) pairs in order.
+FEES, ADM = (None, "program_fee_schedule"), ("admissions_cycle", "admissions_cycle")
+CYCLE, ENTITY, OUT, POLICY, FACULTY, NEWS = "fee_or_admissions_cycle", "entity_lookup", "out_of_scope", "policy_or_threshold", "faculty_expertise_or_publication", "news_or_event"
+ASKED = (
+    ("What is the fee for BS Computer Science", CYCLE, *FEES, []),
+    ("who can apply for the merit scholarship", CYCLE, "scholarship", "scholarship", [ADM, ("merit_list", "merit_list"), (None, None)]),
+    ("weather in the city today", OUT, None, None, []),
+    ("  RAIN   forecast ", OUT, None, None, []),
+    ("stock policy of the library department", POLICY, "policy", None, []),
+    ("share price of the university", ENTITY, None, None, []),
+    ("Latest news and events", NEWS, "news_event", "news_event", []),
+    ("publications of dr khan", FACULTY, "faculty", "faculty_publication", [("faculty", None)]),
+    ("dr. khan publications", FACULTY, "faculty", "faculty_publication", [("faculty", None)]),
+    ("faculty research interests", FACULTY, "faculty", None, []),
+    ("attendance policy rules", POLICY, "policy", None, []),
+    ("minimum cgpa requirement", POLICY, "policy", None, []),
+    ("admission deadline for fall", CYCLE, *ADM, []),
+    ("Who Can Apply", CYCLE, None, None, [ADM]),
+    ("is a transfer student eligible", CYCLE, None, None, []),
+    ("hostel location on campus", ENTITY, None, None, []),
+    ("merit list for MBA", CYCLE, "merit_list", "merit_list", []),
+    ("financial  aid\tfor students", CYCLE, "scholarship", "scholarship", []),
+    ("how do I graduate", ENTITY, None, None, []),
+    ("tuition charges and grading rules", POLICY, "policy", None, [FEES]),
+    ("seminar fee and scholarship for admissions", NEWS, "news_event", "news_event", [FEES, ("scholarship", "scholarship"), ADM]),
+    ("Admissions merit list policy", POLICY, "policy", None, [ADM, ("merit_list", "merit_list")]),
+    ("eligible faculty for the workshop", NEWS, "news_event", "news_event", [("faculty", None), (None, None)]),
+    ("football match", OUT, None, None, []),
+    ("where is the office", ENTITY, None, None, []),
+    ("coffee fee at the fees desk", CYCLE, *FEES, []),
+    ("undergraduate graduate school", ENTITY, None, None, []),
 )
-Q_SQL = "q AS (SELECT doc_id, [" + ", ".join(f"'{t}'" for t in TEXTS) + f"][doc_id % {len(TEXTS)} + 1] || ' ' || lower(source) AS text, CASE WHEN doc_id % 7 = 0 THEN ' Policy_Rule ' END AS hint FROM documents)"
+TEXTS = tuple(a[0] for a in ASKED)
+#: Hints that users give, and the class that each stands for.
+GIVEN = ((" Policy_Rule ", "policy"), ("Nonsense_Class", None), ("FACULTY\n", "faculty"), ("research_entity", "research_main"), ("", None))
 
 
-def _questions(spark, sf_dir):
-    pick = F.element_at(F.array(*map(F.lit, TEXTS)), (F.col("doc_id") % len(TEXTS) + 1).cast("int"))
-    return A.table(spark, sf_dir, "documents").select("doc_id", F.concat(pick, F.lit(" "), F.lower("source")).alias("text"), F.when(F.col("doc_id") % 7 == 0, " Policy_Rule ").alias("hint"))
+def _quoted(v):
+    if isinstance(v, (list, tuple)):
+        return "[" + ", ".join(map(_quoted, v)) + "]"
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
 
 
-def _m(terms):
-    return f"regexp_matches(lower(text), '{questions.words_pattern(terms)}')"
+def _pairs(pairs):
+    return [f"{s or ''}|{t or ''}" for s, t in pairs]
 
 
-CLASS_SQL = (
-    f"CASE WHEN {_m(questions.OUT_OF_SCOPE)} AND NOT {_m([t for _, x in questions.INTENTS for t in x] + list(questions.IN_SCOPE))} THEN 'out_of_scope' "
-    + " ".join(f"WHEN {_m(t)} THEN '{n}'" for n, t in questions.INTENTS)
-    + " ELSE 'entity_lookup' END"
-)
-HITS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_m(t)} THEN '{n}' END" for n, t in questions.INTENTS) + "], lambda x: x IS NOT NULL)"
-PREP_SQL = f"""{Q_SQL}, p0 AS (SELECT *, {CLASS_SQL} AS class FROM q),
-p1 AS (SELECT *, list_filter({HITS_SQL}, lambda x: x <> class) AS secondary, CASE WHEN class = 'faculty' AND {_m(["publication", "publications"])} THEN 'faculty_publication' WHEN class = 'policy' AND {_m(["rule", "rules"])} THEN 'policy_rule' END AS type_hint,
-  CASE WHEN class NOT IN ('out_of_scope', 'entity_lookup') THEN class WHEN hint IS NOT NULL THEN 'policy' END AS source_hint FROM p0)"""
+Q_SQL = (
+    "asked(no, text, class, source_hint, type_hint, secondary) AS (VALUES "
+    + ", ".join(f"({k}, {_quoted(t)}, {_quoted(c)}, CAST({_quoted(s)} AS VARCHAR), CAST({_quoted(r)} AS VARCHAR), CAST({_quoted(_pairs(p))} AS VARCHAR[]))" for k, (t, c, s, r, p) in enumerate(ASKED))
+    + "), given(no, hint, known) AS (VALUES " + ", ".join(f"({k}, {_quoted(h)}, CAST({_quoted(c)} AS VARCHAR))" for k, (h, c) in enumerate(GIVEN))
+    + f"""), q AS (SELECT doc_id, a.text || ' ' || lower(source) AS text, class, source_hint AS words_hint, type_hint, secondary, CASE WHEN doc_id % 3 = 0 THEN hint END AS hint,
+  CASE WHEN class <> 'out_of_scope' THEN coalesce(source_hint, CASE WHEN doc_id % 3 = 0 THEN known END) END AS source_hint
+  FROM documents d JOIN asked a ON d.doc_id % {len(ASKED)} = a.no JOIN given g ON d.doc_id // 3 % {len(GIVEN)} = g.no)"""
+)
 
 
-@query("i1_classify_queries", f"WITH {PREP_SQL} SELECT doc_id, class, type_hint, source_hint, secondary, class = 'out_of_scope' AS abstain FROM p1")
+def _questions(spark, sf_dir):
+    i = F.col("doc_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    text = F.concat(pick(TEXTS, i), F.lit(" "), F.lower("source")).alias("text")
+    return A.table(spark, sf_dir, "documents").select("doc_id", text, F.when(i % 3 == 0, pick([h for h, _ in GIVEN], F.floor(i / 3))).alias("hint"))
+
+
+def _pair_text(p):
+    return F.concat(F.coalesce(p["source_class"], F.lit("")), F.lit("|"), F.coalesce(p["record_type"], F.lit("")))
+
+
+@query("i1_classify_queries", f"WITH {Q_SQL} SELECT doc_id, class, type_hint, source_hint, secondary, class = 'out_of_scope' AS abstain FROM q")
 def classify_queries(spark, sf_dir):
-    return questions.prepare(_questions(spark, sf_dir)).select("doc_id", "class", "type_hint", "source_hint", "secondary", "abstain")
+    p = questions.prepare(_questions(spark, sf_dir))
+    return p.select("doc_id", "class", "type_hint", "source_hint", F.transform("secondary", _pair_text).alias("secondary"), "abstain")
 
 
 @query(
-    "i8_route_plan",
+    "i2_type_of_class",
     f"""
-WITH {PREP_SQL}, r AS (SELECT doc_id, CASE WHEN hint IS NOT NULL THEN ['strict|policy|'] ELSE
-  list_concat(list_filter([CASE WHEN source_hint IS NOT NULL THEN 'source|' || source_hint || '|' END, 'global||', CASE WHEN type_hint IS NOT NULL THEN 'type||' || type_hint END], lambda x: x IS NOT NULL),
-    list_transform(list_filter(secondary[1:2], lambda x: source_hint IS NULL OR x <> source_hint), lambda x: 'secondary|' || x || '|')) END AS routes FROM p1)
-SELECT doc_id, routes FROM r""",
+WITH {Q_SQL} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE a.no {" ".join(f"WHEN {k} THEN '{v}'" for k, v in ((0, "program_fee_schedule"), (1, "scholarship"), (12, "admissions_cycle"), (16, "merit_list"), (17, "scholarship"), (19, "program_fee_schedule"), (20, "program_fee_schedule"), (21, "merit_list"), (25, "program_fee_schedule")))} END
+  ELSE CASE WHEN a.no IN (7, 8) THEN 'faculty_publication' END END AS type_hint FROM q JOIN asked a ON q.doc_id % {len(ASKED)} = a.no""",
 )
+def type_of_class(spark, sf_dir):
+    """The type that the words ask for when another classifier said fees and admissions, or faculty."""
+    given = F.when(F.col("doc_id") % 2 == 0, CYCLE).otherwise(FACULTY)
+    return _questions(spark, sf_dir).select("doc_id", questions.record_type_hint(F.col("text"), given).alias("type_hint"))
+
+
+ROUTES_SQL = f"""{Q_SQL}, r0 AS (SELECT doc_id, class, list_concat(
+    CASE WHEN hint IS NOT NULL THEN [CASE WHEN source_hint IS NOT NULL AND type_hint IS NOT NULL THEN 'strict_source_and_type|' || source_hint || '|' || type_hint
+      WHEN source_hint IS NOT NULL THEN 'strict_source|' || source_hint || '|' WHEN type_hint IS NOT NULL THEN 'strict_record_type||' || type_hint END]
+    ELSE [CASE WHEN source_hint IS NOT NULL THEN 'source_hint|' || source_hint || '|' END, 'global||', CASE WHEN type_hint IS NOT NULL THEN 'record_type||' || type_hint END] END,
+    list_transform(secondary[1:2], lambda x: 'secondary_intent|' || x)) AS r FROM q),
+r1 AS (SELECT doc_id, class, list_filter(r, lambda x: x IS NOT NULL) AS r, list_transform(list_filter(r, lambda x: x IS NOT NULL), lambda x: regexp_replace(x, '^[a-z_]+[|]', '')) AS k FROM r0),
+r2 AS (SELECT doc_id, class, list_filter(r, lambda x, i: list_position(k, k[i]) = i) AS r FROM r1),
+routes AS (SELECT doc_id, CASE WHEN class = 'out_of_scope' THEN [] WHEN len(r) = 0 THEN ['global||'] ELSE r END AS routes FROM r2)"""
+
+
+@query("i8_route_plan", f"WITH {ROUTES_SQL} SELECT doc_id, routes FROM routes")
 def route_plan(spark, sf_dir):
     p = questions.prepare(_questions(spark, sf_dir))
-    as_text = F.transform("routes", lambda r: F.concat_ws("|", r["route"], F.coalesce(r["source_class"], F.lit("")), F.coalesce(r["record_type"], F.lit(""))))
-    return p.select("doc_id", as_text.alias("routes"))
+    return p.select("doc_id", F.transform("routes", lambda r: F.concat(r["route"], F.lit("|"), _pair_text(r))).alias("routes"))
+
+
+@query(
+    "i9_prepare_queries",
+    f"""
+WITH {Q_SQL}, s AS (SELECT *, coalesce(words_hint IN ('policy', 'scholarship'), false) OR coalesce(type_hint IN ('program_fee_schedule', 'scholarship', 'admissions_cycle'), false) AS strong FROM q)
+SELECT doc_id, CASE WHEN strong THEN class ELSE 'news_or_event' END AS class, CASE WHEN strong THEN source_hint ELSE 'news_event' END AS source_hint,
+  CASE WHEN doc_id % 5 = 0 THEN 'about ' || text ELSE text END AS retrieval_text FROM s""",
+)
+def prepare_queries(spark, sf_dir):
+    """Another classifier says news of everything; strong words overrule it. Every fifth question is rewritten; rewritings of two lines are refused."""
+    news = F.struct(F.lit(NEWS).alias("query_class"), F.lit("news_event").alias("source_class"), F.lit("news_event").alias("record_type"))
+    rewrite = lambda t: F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("about "), t)).otherwise(F.concat(t, F.lit("\nmore")))
+    p = questions.prepare(_questions(spark, sf_dir), semantic=news, rewrite=rewrite)
+    return p.select("doc_id", "class", "source_hint", "retrieval_text")
 
 
 def _variant(term, other):
@@ -310,14 +387,14 @@ def citations(spark, sf_dir):
 @query(
     "e15_grounding",
     f"""
-WITH {EV}, m AS (SELECT query_id, CASE WHEN bool_or(record_type = 'merit_list') OR min(score) < 0.5 THEN 'full' ELSE 'skip' END AS mode FROM ev GROUP BY 1)
+WITH {EV}, m AS (SELECT query_id, CASE WHEN bool_or(source_class = 'policy') OR min(score) < 0.05 THEN 'full' ELSE 'skip' END AS mode FROM ev GROUP BY 1)
 SELECT query_id, round(coalesce(avg(CASE WHEN quality THEN 1 ELSE 0 END), 1.0), 6) AS score, round(coalesce(avg(CASE WHEN quality THEN 1 ELSE 0 END), 1.0), 6) >= 0.5 AS passed, any_value(mode) AS mode
 FROM (SELECT query_id, verification = 'verified' AND doc_id % 5 <> 0 AS quality FROM ev) JOIN m USING (query_id) GROUP BY query_id""",
 )
 def grounding(spark, sf_dir):
     e = _evidence(spark, sf_dir)
     s = answers.grounding_score(e.select("query_id", (F.col("verification") == "verified").alias("supported"), (F.col("doc_id") % 5 != 0).alias("has_evidence")))
-    return s.join(answers.grounding_mode(e), "query_id")
+    return s.join(answers.grounding_mode(e.withColumn("record_type", F.lit("program")), 0.05), "query_id")
 
 
 #: A payload for each type, whose main text is the document's, and the same as SQL: text, prefix, labelled sections.
@@ -392,7 +469,7 @@ def chunk_split(spark, sf_dir):
     "question_answering",
     f"""
 WITH {REC}, {DOC_TOKENS}, {BENCH_TOKENS}, {SPARSE},
-w AS (SELECT item_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t, contains(lower(d.text), lower(b.text)) AS whole
+w AS (SELECT item_id, doc_id, CASE WHEN item_id % 10 = 0 THEN [] ELSE list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) END AS q, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t, item_id % 10 <> 0 AND contains(lower(d.text), lower(b.text)) AS whole
   FROM sr JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
 o AS (SELECT item_id AS query_id, doc_id, round(len(list_intersect(q, t)) / greatest(len(q), 1) + CASE WHEN whole THEN 0.25 ELSE 0.0 END, 6) AS score FROM w),
 e AS (SELECT o.query_id, o.score, rec.* FROM o JOIN rec USING (doc_id) WHERE freshness = 'current'),

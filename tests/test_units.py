@@ -181,12 +181,23 @@ def test_renderers(spark):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("weather today", "out_of_scope"), ("weather at the university", "entity_lookup"), ("stock policy", "policy"), ("Fee for BS", "program_fee_schedule"),
-        ("coffee place", "entity_lookup"), ("latest news of faculty", "news_event"), ("who can apply", "program"),
+        ("weather today", ("out_of_scope", None, None)), ("weather at the university", ("entity_lookup", None, None)), ("stock policy", ("policy_or_threshold", "policy", None)),
+        ("Fee for BS", ("fee_or_admissions_cycle", None, "program_fee_schedule")), ("coffee place", ("entity_lookup", None, None)), (None, ("entity_lookup", None, None)),
+        ("latest news of faculty", ("news_or_event", "news_event", "news_event")), ("who can\n apply", ("fee_or_admissions_cycle", None, None)),
+        ("Publications of X", ("faculty_expertise_or_publication", "faculty", "faculty_publication")), ("merit scholarship", ("fee_or_admissions_cycle", "scholarship", "scholarship")),
     ],
 )
 def test_classify_queries(spark, text, want):
-    assert one(spark, questions.classify(F.col("t")), t=text) == want
+    df = spark.createDataFrame([(text,)], "t string")
+    assert tuple(df.select(questions.classify(F.col("t")).alias("c")).first().c) == want
+
+
+def test_hints(spark):
+    hint = lambda t: one(spark, questions.normalize_hint(F.col("t")), t=t)
+    assert [hint(t) for t in ("Policy_Rule", " faculty\x07 ", "nonsense", " ", "research_entity")] == ["policy", "faculty", None, None, "research_main"]
+    further = lambda t: [tuple(p) for p in one(spark, questions.secondary_hints(F.col("t"), questions.classify(F.col("t"))), t=t)]
+    assert further("scholarship, fee, merit and faculty admissions") == [(None, "program_fee_schedule"), ("scholarship", "scholarship"), ("admissions_cycle", "admissions_cycle"), ("merit_list", "merit_list")]
+    assert further("eligible for a fee") == [(None, None)] and further("hello") == []
 
 
 def test_synonyms(spark):
