@@ -3,6 +3,7 @@ tables and clashing columns; then their registered queries over the smallest tab
 
 from __future__ import annotations
 
+import bisect
 import collections
 import hashlib
 import random
@@ -236,8 +237,11 @@ def plain_alignment(rows):
         a, b = plain_tokens(t) if t else ([], [])
         ends = sorted({e for _, _, e in a} & {e for _, _, e in b})
         parts = [(s, e) for s, e in zip([0, *ends[:-1]], ends)]
-        inside = lambda side, s, e: ",".join(str(k) for k, x, y in side if s <= x and y <= e)
-        groups = ";".join(f"{inside(a, s, e)}|{inside(b, s, e)}" for s, e in parts)
+        inside = [collections.defaultdict(list), collections.defaultdict(list)]
+        for side, held in zip((a, b), inside):
+            for k, _, y in side:
+                held[bisect.bisect_left(ends, y)].append(str(k))
+        groups = ";".join(f"{','.join(inside[0][g])}|{','.join(inside[1][g])}" for g in range(len(parts)))
         links, first = [], 0
         for k, x, y in a:
             while first < len(b) and b[first][2] <= x:
