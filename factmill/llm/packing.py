@@ -49,7 +49,8 @@ class WordTokenizer:
 
     @staticmethod
     def parted(body: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The texts in lower-case ASCII with a blank at each such border, and their offsets."""
+        """The texts in lower-case ASCII with a blank at each such border, and their offsets. A letter before a character beyond ASCII keeps its
+        case: the tokenizer composes it with a combining mark before it lowers, and some letters compose in lower case only."""
         if not len(body):
             return b"", offsets
         low = body | (((body >= 65) & (body <= 90)).astype(np.uint8) << 5)
@@ -61,7 +62,8 @@ class WordTokenizer:
         first[:-1] |= accent[1:]
         letter = plain | accent
         border = np.flatnonzero(letter[:-1] & sign[1:] | sign[:-1] & first[1:]) + 1
-        return np.insert(low, border, 32).tobytes(), offsets + np.searchsorted(border, offsets)
+        alone = np.append(body[1:] < 128, True)
+        return np.insert(np.where(alone, low, body), border, 32).tobytes(), offsets + np.searchsorted(border, offsets)
 
     def learn(self, words) -> None:
         plain, other = [], []

@@ -223,6 +223,23 @@ def test_packing(spark):
     assert len(packing.pack(frame(spark, [(1, "a"), (1, "a"), (None, None)]), path).collect()) == 3
 
 
+def test_words_with_combining_marks():
+    """The tokenizer composes letters and marks before it lowers them."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    r = np.random.default_rng(5)
+    marks = ["\u0331", "\u0308", "\u030a", "\u030c", "\u0301", "\u0327", "\u0323", "\u0338"]
+    signs = [*"HTWYJABCeszhtwyj", *marks, *marks, " ", "-", "'", "=", "<", "1", "É", "İ", "ß", "漢"]
+    rows = ["H\u0331 T\u0308 W\u030a Y\u030a J\u030c", "Wādī H\u0331alfā", *("".join(r.choice(signs, r.integers(1, 14))) for _ in range(10_000))]
+    data = [t.encode() for t in rows]
+    got = packing.WordTokenizer(path).batch(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
+    for text, ids, want in zip(rows, got, plain.encode_batch(rows, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, text
+
+
 def test_packing_plan_uses_combinations():
     histogram = np.zeros(64, np.int64)
     histogram[[20, 44, 30, 17]] = [50, 50, 7, 14]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factmill.llm import queries
@@ -54,8 +55,22 @@ def test_stages(spark, corpus):
     assert {r.doc_id for r in pieces.collect()} == last.keys()
 
 
+def test_stages_with_clashing_columns(spark, corpus):
+    """Columns that bear the names that stages use come through every stage, and change nothing."""
+    folder, rows, *_ = corpus
+    names = ("kept", "n_words", "n_removed", "_row", "_kept", "_ROW_null", "root", "id", "set")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id % 3 = 0 or doc_id > 395")
+    more = docs.withColumns({c: F.concat(F.lit(f"{c} of "), "doc_id") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, more = stage(spark, docs, folder), stage(spark, more, folder)
+        assert more.columns == [*docs.columns, *names]
+        assert {r.doc_id: r.text for r in more.collect()} == {r.doc_id: r.text for r in docs.collect()}
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in more.collect() for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, more, folder).count() > 0
+
+
 def test_queries_are_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert len(corpus_pipeline.STAGES) == 5
 
 
