@@ -12,12 +12,22 @@ REMOVABLE = ("faculty_profile", "faculty_publication", "faculty_award", "faculty
 
 
 def ensure_checkpoints(spark) -> None:
-    """The folder of spark.checkpoint.dir; a temporary one only where neither it nor a folder is set (tests, local runs)."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one on a local master, an error on a cluster, whose executors
+    wouldn't share it."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        place = sc.getConf().get("spark.checkpoint.dir")
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
 
 
 def with_source(records: DataFrame, sources: DataFrame) -> DataFrame:

@@ -5,51 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factmill.functions.text import strip, token_id, token_list
+from factmill.functions.text import strip, token_list
+
+from .blocks import _best, dense_topk, sparse_topk, token_weights  # noqa: F401
 
 # Fixed values.
 RRF_K, DECAY = 60, (1.0, 0.99, 0.97, 0.95, 0.92)
 
 
-def token_weights(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token_id, weight = round(1 + ln(1 + n), 6) of each token; a text without tokens has (1, 1.0). Counted within the row, so that no
-    token is a key of a shuffle."""
-    ids = F.array_sort(F.transform(token_list(F.col(text)), token_id))
-    # runs of the sorted ids: where each begins, and where the next one does
-    rows = df.select(key, ids.alias("_ids"))
-    starts = F.filter(F.transform("_ids", lambda x, i: F.when((i == 0) | (x != F.get("_ids", i - 1)), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_at", starts).withColumn("_end", F.concat(F.slice("_at", 2, F.greatest(F.size("_at") - 1, F.lit(1))), F.array(F.size("_ids"))))
-    counted = F.zip_with("_at", "_end", lambda a, e: F.struct(F.get("_ids", a).alias("token_id"), F.round(1 + F.log1p((e - a).cast("double")), 6).alias("weight")))
-    none = F.array(F.struct(F.lit(1).cast("long").alias("token_id"), F.lit(1.0).alias("weight")))
-    return rows.select(key, F.inline(F.when(F.coalesce(F.size("_ids"), F.lit(0)) > 0, counted).otherwise(none)))
-
-
-def _best(scored: DataFrame, query: str, item: str, k: int) -> DataFrame:
-    w = Window.partitionBy(query).orderBy(F.desc("score"), item)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
-    """Weighted posting lists joined on the token; dot products are summed before the shuffle where they can be."""
-    pairs = queries.withColumnRenamed("weight", "wq").join(chunks, "token_id")
-    scored = pairs.groupBy(query, item).agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
-    return _best(scored, query, item, k)
-
-
-def unit(vector: str) -> Column:
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
-
-
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, route: str, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
-    """Cosine top-k of each query among the chunks of its route; the equi-join on the route is the only pairing."""
-    q = queries.select(query, route, unit("embedding").alias("_q"))
-    c = chunks.select(item, route, unit("embedding").alias("_c"))
-    dot = F.aggregate(F.zip_with("_q", "_c", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return _best(q.join(c, route).select(query, item, F.round(dot, 6).alias("score")), query, item, k)
-
-
 def rrf(ranked: DataFrame, query: str = "query_id", item: str = "chunk_id", k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of lists (query, item, rank from 1)."""
     return ranked.groupBy(query, item).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factmill.functions import rendering
-from factmill.operators import answers, chunks, dedupe, questions, search
+from factmill.operators import answers, chunks, dedupe, lifecycle, questions, search
 
 from . import adapters as A
 from .adapters import RECORDS_SQL as REC
@@ -27,9 +27,7 @@ sr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 
 
 def _sparse(spark, sf_dir, k=20):
-    q = search.token_weights(A.table(spark, sf_dir, "benchmark"), "item_id", "text")
-    d = search.token_weights(A.table(spark, sf_dir, "documents"), "doc_id", "text")
-    return search.sparse_topk(q, d, k, "item_id", "doc_id")
+    return search.sparse_topk(A.table(spark, sf_dir, "benchmark"), A.table(spark, sf_dir, "documents"), k, lifecycle.cut, "item_id", "doc_id")
 
 
 @query("e11_token_weights", f"WITH {DOC_TOKENS} SELECT doc_id, token_id, weight FROM dt")
@@ -65,7 +63,7 @@ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER
 )
 def dense_topk(spark, sf_dir):
     e = A.table(spark, sf_dir, "embeddings")
-    return search.dense_topk(e.filter("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), 10, "label")
+    return search.dense_topk(e.filter("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), 10, "label", lifecycle.cut)
 
 
 @query(
@@ -83,7 +81,7 @@ def hybrid_rrf(spark, sf_dir):
     """Questions and documents by their words and, where they have a vector of their number, by it: two legs, fused."""
     e = A.table(spark, sf_dir, "embeddings")
     asked = e.join(A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "item_id")
-    dense = search.dense_topk(asked, e.withColumnRenamed("vec_id", "doc_id"), 20, "label", "item_id", "doc_id")
+    dense = search.dense_topk(asked, e.withColumnRenamed("vec_id", "doc_id"), 20, "label", lifecycle.cut, "item_id", "doc_id")
     return search.hybrid_topk(_sparse(spark, sf_dir), dense, 10, "item_id", "doc_id")
 
 
@@ -206,7 +204,7 @@ SELECT query_id, CASE WHEN max(score) >= 0.3 THEN arg_max(label, (score, -label)
 def semantic_class(spark, sf_dir):
     e = A.table(spark, sf_dir, "embeddings").withColumn("r", F.lit(1))
     exemplars = e.filter("vec_id < 44").select(F.col("vec_id").alias("chunk_id"), "embedding", "r", "label")
-    hits = search.dense_topk(e.filter("vec_id >= 44").withColumnRenamed("vec_id", "query_id"), exemplars, 44, "r")
+    hits = search.dense_topk(e.filter("vec_id >= 44").withColumnRenamed("vec_id", "query_id"), exemplars, 44, "r", lifecycle.cut)
     return search.class_scores(hits.join(exemplars.select("chunk_id", "label"), "chunk_id"), 0.3)
 
 

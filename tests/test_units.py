@@ -335,3 +335,46 @@ def test_update_cycle(spark):
 def test_recover(spark):
     states = spark.createDataFrame([("a", "active"), ("b", "staged"), ("c", "retired")], "label string, status string")
     assert {r.label: r.status for r in generations.recover(states).collect()} == {"a": "active", "b": "failed", "c": "retired"}
+
+
+def test_blocked_search_equals_plain_one(spark):
+    """Sparse: every score of every pair, ties, repeated and blank texts, queries that nothing matches; few postings are read. Dense: routes."""
+    import collections
+    import math
+    import random
+
+    from factmill.operators import blocks
+
+    r = random.Random(4)
+    common, rare = [f"w{i}" for i in range(8)], [f"r{i}" for i in range(300)]
+    texts = [(i, " ".join(r.choice(common) if r.random() < 0.8 else r.choice(rare) for _ in range(r.randrange(1, 60)))) for i in range(3000)] + [(5000, None), (5001, " "), (5002, "W1 w1"), (5002, "W1 w1")]
+    asked = [(i, " ".join(r.sample(rare, 3) + r.sample(common, 3))) for i in range(30)] + [(90, ""), (91, "zzz nothing"), (92, "w1"), (93, texts[7][1])]
+    weights = lambda t: {w: round(1 + math.log1p(n), 6) for w, n in collections.Counter(__import__("re").findall("[a-z0-9]+", (t or "").lower())).items()} or {"": 1.0}
+    have, want = [(i, weights(t)) for i, t in texts], []
+    for q, t in asked:
+        mine = weights(t)
+        scored = sorted((-round(sum(x * w[k] for k, x in mine.items() if k in w), 6), i) for i, w in have if not mine.keys().isdisjoint(w))[:10]
+        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(scored)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string").repartition(12)
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    got = blocks.sparse_topk(queries, chunks, 10, lifecycle.cut)
+    near = lambda rows: sorted((q, n, i, round(s, 5)) for q, i, s, n in rows)
+    assert near(tuple(x) for x in got.select("query_id", "chunk_id", "score", "rank").collect()) == near(want)
+    read = lambda q, c: blocks.sparse_search(q, c, 10, lifecycle.cut).agg(F.sum("read")).first()[0]
+    every = lambda q, ws: sum(sum(k in w for k in weights(t)) for t in q for w in ws)
+    assert read(queries, chunks) <= every([t for _, t in asked], [w for _, w in have])
+    # texts on one subject stand together: other blocks can't reach the floor, and common words of the block are looked up for few rows
+    subject = [(6000 + i, "topic " * 80 + " ".join(r.choices(common, k=5))) for i in range(20)]
+    focused = spark.createDataFrame([(1, "topic " * 200 + " ".join(common))], "query_id long, text string")
+    few = read(focused, chunks.union(spark.createDataFrame(subject, "chunk_id long, text string").coalesce(1)))
+    assert few < 0.05 * every(["topic " * 200 + " ".join(common)], [w for _, w in have])
+
+    e = [(i, i % 3 if i % 11 else None, None if i % 13 == 0 else [r.gauss(i % 3, 1) for _ in range(8)]) for i in range(900)] + [(2000, 1, [0.0] * 8)]
+    rows = spark.createDataFrame(e, "chunk_id long, label int, embedding array<double>").repartition(7)
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v] if any(v) else v
+    have, want = [(i, r, unit(v)) for i, r, v in e if r is not None and v is not None], []
+    for q, route, v in have[::40]:
+        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(sorted((-round(sum(a * b for a, b in zip(v, x)), 6), i) for i, kind, x in have if kind == route)[:5])]
+    got = blocks.dense_topk(rows.withColumnRenamed("chunk_id", "query_id").join(spark.createDataFrame([(x[0],) for x in have[::40]], "query_id long"), "query_id"), rows, 5, "label", lifecycle.cut, size=40)
+    assert near(tuple(x) for x in got.select("query_id", "chunk_id", "score", "rank").collect()) == near(want)
+    assert blocks.sparse_topk(queries.limit(0), chunks, 10, lifecycle.cut).count() == 0 and blocks.sparse_topk(queries, chunks.limit(0), 10, lifecycle.cut).count() == 0
