@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents left join labels as record versions."""
-    d = table(spark, sf_dir, "documents")
+def records(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """documents (the table's, unless given, as for a stream of them) left join labels as record versions."""
+    d = table(spark, sf_dir, "documents") if documents is None else documents
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     i = F.col("doc_id")
     choose = lambda n, names: F.element_at(F.array(*map(F.lit, names)), (i % n + 1).cast("int"))

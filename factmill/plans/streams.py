@@ -6,17 +6,22 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from factmill.streaming import health
+from factmill.operators.lifecycle import ensure_checkpoints
+from factmill.streaming import health, upsert
 
+from . import adapters as A
+from .adapters import RECORDS_SQL as REC
 from .catalog import Catalog
+from .records import DECIDE
 
 query = Catalog()
 QUERIES, ORACLE = query.queries, query.oracle
 
 
 def _shared(spark) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; where it is unset, under the warehouse."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder under spark.checkpoint.dir, which all executors see."""
+    ensure_checkpoints(spark)
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -73,3 +78,36 @@ def stream_ingest(spark, sf_dir):
     health.stream_ingest(rows, f"{folder}/out", f"{folder}/state", late="3650 days").trigger(availableNow=True).start().awaitTermination()
     return health.current_versions(spark, f"{folder}/out").select("record_version_id", "scope")
 
+
+
+@query("k12_stream_upsert", f"WITH {REC}, base AS (SELECT * FROM rec), {DECIDE} SELECT record_version_id, decision FROM decided")
+def stream_upsert(spark, sf_dir):
+    """Documents arrive as a stream of record versions; what the store holds in the end is one decision over all of them."""
+    folder = _shared(spark)
+    rows = A.records(spark, sf_dir, _as_stream(spark, sf_dir, "documents"))
+    upsert.stream_upsert(rows, f"{folder}/out", f"{folder}/state", F.lit("2024-07-01").cast("date")).trigger(availableNow=True).start().awaitTermination()
+    return upsert.read_store(spark, f"{folder}/out").select("record_version_id", "decision")
+
+
+@query(
+    "k13_source_grace",
+    """
+WITH v AS (SELECT 's' || (user_id % 200) AS source_id, epoch_us(ts) // 1000 AS t, event_type <> 'error' AS ok, [1, 6, 24, 72][user_id % 4 + 1] * 3600000 AS grace FROM events),
+s AS (SELECT source_id, max(t) FILTER (WHERE ok) AS good, arg_max(ok, (t, ok)) AS ok, count(*) FILTER (WHERE NOT ok) AS failures, any_value(grace) AS grace FROM v GROUP BY source_id)
+SELECT source_id, CASE WHEN good IS NULL OR (SELECT max(t) FROM v) - 21600000 > good + grace THEN 'expired' WHEN ok THEN 'healthy' ELSE 'failing' END AS status, make_timestamp_ms(good) AS last_success_at, failures FROM s""",
+)
+def source_grace(spark, sf_dir):
+    """Every source's health after the last event: a source whose successes stopped has expired by its timer."""
+    folder, user = _shared(spark), F.col("user_id")
+    visits = _as_stream(spark, sf_dir, "events").select(
+        F.concat(F.lit("s"), user % 200).alias("source_id"), "ts", (F.col("event_type") != "error").alias("ok"),
+        F.element_at(F.array(*map(F.lit, (1, 6, 24, 72))), (user % 4 + 1).cast("int")).alias("grace_hours"),
+    )
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    run = health.stream_grace(visits).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start()
+    run.awaitTermination()
+    last = spark.read.parquet(f"{folder}/out").groupBy("source_id").agg(F.max_by(F.struct("status", "last_success_at", "failures"), F.struct("batch", "at")).alias("s"))
+    return last.select("source_id", "s.status", F.col("s.last_success_at").cast("timestamp_ntz").alias("last_success_at"), "s.failures")

@@ -289,6 +289,62 @@ def test_generations(spark, tmp_path):
     assert generations.delete_points(rows, ids=rows.limit(1)).count() == 1
 
 
+def test_two_activations_and_a_crash(spark, tmp_path):
+    """Of two writers that saw one manifest, one fails and changes nothing; files without an entry are never read, and are swept as failed."""
+    root = str(tmp_path)
+    rows = spark.createDataFrame([("c1", "program")], "chunk_id string, record_type string")
+    vectors = spark.createDataFrame([("c1", [1.0, 2.0])], "chunk_id string, embedding array<double>")
+    for label in ("g1", "g2"):
+        generations.write_generation(rows, label, root, vectors)
+    seen = generations.last_entry(spark, root)
+    generations.activate(spark, root, "g1", "2024-01-01", after=seen)
+    with pytest.raises(generations.Conflict):
+        generations.activate(spark, root, "g2", "2024-01-01", after=seen)
+    assert generations.active_label(spark, root) == "g1" and generations.read_generation(spark, root).first().embedding == [1.0, 2.0]
+    rows.write.partitionBy("record_type").parquet(f"{root}/g3")  # crashed between files and entry
+    with pytest.raises(ValueError, match="unknown"):
+        generations.activate(spark, root, "g3", "2024-01-02")
+    assert generations.sweep(spark, root) == ["g2", "g3"]
+    assert {r.label: r.status for r in generations.states(spark, root).collect()} == {"g1": "active", "g2": "failed", "g3": "failed"}
+    with pytest.raises(ValueError, match="failed"):
+        generations.activate(spark, root, "g2", "2024-01-03")
+
+
+def test_stream_upsert_in_any_order(spark, tmp_path):
+    """Bad rows go to quarantine; batches in any order, with repeats, end as one decision over all rows; a batch that runs twice changes nothing."""
+    from factmill.streaming import upsert
+
+    rows = [rec(i, scope=f"s{i % 3}", effective_hash=f"h{i % 5}", record_type="policy_rule" if i % 2 else "merit_list", tier=1 + i % 2) for i in range(1, 25)]
+    bad = [rec(28, tier=9), rec(29, scope=None)]
+    as_of = F.lit("2024-07-01").cast("date")
+    want = {r.record_version_id: r.decision for r in versions.decide(frame(spark, *rows), as_of).collect()}
+    for n, parts in enumerate(((rows[12:], rows[:12], rows[6:18] + bad), (rows[::2] + bad, rows[1::2]), (rows + bad,))):
+        root = f"{tmp_path}/{n}"
+        for k, part in enumerate(parts):
+            frame(spark, *part).coalesce(1).write.parquet(f"{root}/in/part{k}")
+        stream = spark.readStream.schema(frame(spark, *rows).schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        upsert.stream_upsert(stream, f"{root}/out", f"{root}/state", as_of, 4).trigger(availableNow=True).start().awaitTermination()
+        store = upsert.read_store(spark, f"{root}/out")
+        assert {r.record_version_id: r.decision for r in store.collect()} == want and store.count() == len(rows)
+        assert sorted(tuple(r.defects) for r in spark.read.parquet(f"{root}/out/quarantine").collect()) == [("scope is missing",), ("tier is out of range",)]
+        assert {r.record_version_id for r in upsert.servable(store).collect()} <= {i for i, d in want.items() if d == "winner"}
+
+
+def test_silent_source_expires(spark, tmp_path):
+    """A source whose visits stop expires by its timer, though it has no event then; others stay healthy or failing."""
+    from factmill.streaming import health
+
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    parts = [[("silent", at(0), True, 24), ("busy", at(0), True, 24), ("never", at(1), False, 24)], [("busy", at(20), True, 24), ("busy", at(21), False, 24)], [("busy", at(40), True, 24), ("fails", at(39), True, 24), ("fails", at(40), False, 24)]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "source_id string, ts timestamp, ok boolean, grace_hours int").coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    stream = spark.readStream.schema("source_id string, ts timestamp, ok boolean, grace_hours int").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")
+    health.stream_grace(stream, "2 hours").writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    last = spark.read.parquet(f"{tmp_path}/out").groupBy("source_id").agg(F.max_by(F.struct("status", "failures"), "batch").alias("s")).select("source_id", "s.*")
+    assert {tuple(r) for r in last.collect()} == {("silent", "expired", 0), ("busy", "healthy", 1), ("never", "expired", 1), ("fails", "failing", 1)}
+
+
 def test_upsert_sources_keeps_old_values(spark):
     old = spark.createDataFrame([("u", "allowed"), ("w", "blocked")], "source_url string, legal_status string")
     new = spark.createDataFrame([("u", None), ("x", "allowed")], "source_url string, legal_status string")
