@@ -1,15 +1,11 @@
-"""Extraction jobs over tables of pages and texts: sections, pipe tables, dates, fees, scholarships, profiles, citations."""
+"""Extraction jobs over tables of texts: Markdown sections, pipe tables, dates, scholarships, profiles, citations."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factmill.functions.text import strip
-from factmill.functions.urls import slugify
 
 # Fixed values.
 DATE_FORMATS = (
@@ -18,79 +14,6 @@ DATE_FORMATS = (
     ("MMM d yyyy", r"[A-Za-z]{3} \d{1,2} \d{4}"), ("MMMM d yyyy", r"[A-Za-z]{4,9} \d{1,2} \d{4}"),
 )
 WEEKDAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
-BLOCKS = ("nav", "section", "article", "table", "footer")
-
-
-class _Sections(HTMLParser):
-    """Outermost blocks in document order: tag, path, heading, text; the body's own text when there is none."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack, self.open, self.out, self.body, self.skip = [], None, [], [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.skip += 1
-        if tag in ("br", "img", "meta", "link", "hr", "input"):
-            return
-        self.stack.append(tag)
-        if tag in BLOCKS and self.open is None:
-            self.open = {"tag": tag, "path": "/".join(self.stack), "depth": len(self.stack), "label": [], "text": []}
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.skip:
-            self.skip -= 1
-        if tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
-        if self.open and len(self.stack) < self.open["depth"]:
-            self.close_block()
-
-    def close_block(self):
-        if self.open:
-            self.out.append(self.open)
-        self.open = None
-
-    def handle_data(self, data):
-        text = " ".join(data.split())
-        if self.skip or not text:
-            return
-        if self.open is None:
-            if "title" not in self.stack:
-                self.body.append(text)
-            return
-        self.open["text"].append(text)
-        if self.stack and self.stack[-1] in ("h1", "h2", "h3") and not self.open["label"]:
-            self.open["label"].append(text)
-
-
-def _sections_of(page: str):
-    p = _Sections()
-    p.feed(page or "")
-    p.close()
-    p.close_block()
-    blocks = [(b["tag"], b["path"], " ".join(b["label"]), " ".join(b["text"])) for b in p.out if b["text"]]
-    return blocks or ([("body", "html/body", "", " ".join(p.body))] if p.body else [])
-
-
-def sectionize_pages(pages: DataFrame) -> DataFrame:
-    """page_id, section_order, tag, dom_path, label, section_text, content_hash, section_id: blocks in order; a repeated label in a page gets
-    -2, -3 and so on. HTML is parsed in Arrow batches, the rest are DataFrame operators."""
-
-    def parse(batches):
-        for pdf in batches:
-            rows = [(page, k, *s) for page, html in zip(pdf["page_id"], pdf["html"]) for k, s in enumerate(_sections_of(html))]
-            yield pd.DataFrame(rows, columns=["page_id", "section_order", "tag", "dom_path", "label", "section_text"])
-
-    raw = pages.select("page_id", "html").mapInPandas(parse, "page_id long, section_order int, tag string, dom_path string, label string, section_text string")
-    slug = F.when(F.col("label") == "", F.col("tag")).otherwise(slugify(F.col("label")))
-    nth = F.row_number().over(Window.partitionBy("page_id", "slug").orderBy("section_order"))
-    return (
-        raw.withColumn("slug", slug)
-        .withColumn("section_id", F.concat("slug", F.when(nth > 1, F.concat(F.lit("-"), nth)).otherwise("")))
-        .withColumn("content_hash", F.sha2("section_text", 256))
-        .drop("slug")
-    )
 
 
 def dedupe_labels(df: DataFrame, page: str, label: str, order: str) -> DataFrame:
@@ -164,20 +87,6 @@ def normalize_milestones(df: DataFrame, text: Column, as_of: Column) -> DataFram
     return df.withColumn("dates", dates).withColumn("confidence", F.element_at(F.array(*map(F.lit, ("unknown", "low", "medium", "high"))), F.array_min(levels) + 1))
 
 
-def repair_amount(text: Column) -> Column:
-    """Amounts as digits; a last group of two digits has lost a zero."""
-    fixed = F.regexp_replace(text, r"(\d),(\d{2})(?!\d)", "$1,$20")
-    return F.nullif(F.regexp_replace(fixed, r"[^0-9]", ""), F.lit("")).cast("long")
-
-
-def normalize_fees(cells: DataFrame, key: str) -> DataFrame:
-    """key, table_no, label, amount, suspicious, currency: rows of (label, amount) tables; sums and headers are left out."""
-    label, raw = F.element_at("cells", 1), F.try_element_at("cells", F.lit(2))
-    rows = cells.filter((F.col("row_no") > 0) & (F.size("cells") >= 2) & ~F.lower(label).rlike("^(total|sum)"))
-    currency = F.when(F.lower(raw).rlike(r"usd|\$"), "USD").otherwise("PKR")
-    return rows.select(key, "table_no", label.alias("label"), repair_amount(raw).alias("amount"), raw.rlike(r"\d,\d{2}(?!\d)").alias("suspicious"), currency.alias("currency"))
-
-
 def normalize_scholarships(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, benefit, eligibility, duration: each sentence goes to the first kind whose words it has."""
     kind = F.when(F.lower("s").rlike("waiver|percent|%|stipend|tuition|benefit"), "benefit").when(F.lower("s").rlike("eligib|cgpa|merit|must|require"), "eligibility").when(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,34 +128,82 @@ def link_superseded(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.select("record_version_id", "superseded_by", status.alias("new_serving"))
 
 
-def decide(df: DataFrame, as_of, blocked: Column | None = None) -> DataFrame:
-    """Decision of each version: restricted, expired, conflict, ambiguous year, then by type the newest cycle or version. Adds
-    decision, new_verification, new_freshness, new_serving, new_authoritative and review."""
+class Context(NamedTuple):
+    """What guards may ask for besides the row's own columns and is_latest, outcome (of its cycle) and conflict, which decide() adds."""
+
+    as_of: Column
+    blocked: Column
+
+
+class Rule(NamedTuple):
+    """A decision and when it is taken."""
+
+    decision: str
+    guard: Callable[[Context], Column]
+
+
+class State(NamedTuple):
+    """What a decision makes of a version; review is why somebody must look at it, or None."""
+
+    verification: str
+    freshness: str
+    wins: bool
+    review: str | None
+
+
+RESTRICTED = Rule("restricted", lambda c: c.blocked)
+EXPIRED = Rule("expired", lambda c: F.col("effective_to") < c.as_of)
+CONFLICT = Rule("conflict", lambda c: F.col("conflict"))
+AMBIGUOUS = Rule("ambiguous", lambda c: F.col("outcome") == "pending")
+OLDER_CYCLE = Rule("older", lambda c: F.col("outcome") == "stale")
+OLDER_VERSION = Rule("older", lambda c: ~F.col("is_latest"))
+#: The rules of each type in order; a version that none applies to wins. The empty name stands for all other types.
+RULES: dict[str, tuple[Rule, ...]] = {
+    **dict.fromkeys(CYCLE_TYPES, (RESTRICTED, EXPIRED, CONFLICT, AMBIGUOUS, OLDER_CYCLE)), **dict.fromkeys(VERSION_TYPES, (RESTRICTED, EXPIRED, OLDER_VERSION)),
+    "": (RESTRICTED, EXPIRED, CONFLICT, OLDER_VERSION),
+}
+STATES: dict[str, State] = {
+    "restricted": State("rejected", "restricted", False, None), "expired": State("verified", "stale", False, None), "conflict": State("pending", "contradictory", False, "same_tier_conflict"),
+    "ambiguous": State("pending", "unknown", False, "ambiguous_date"), "older": State("verified", "stale", False, None), "winner": State("verified", "current", True, None),
+}
+
+
+def _decision(rules: dict[str, tuple[Rule, ...]], context: Context) -> Column:
+    """One expression of all types; types with the same rules share a branch."""
+
+    def chain(of):
+        out = F.lit("winner")
+        for rule in of[::-1]:
+            out = F.when(F.coalesce(rule.guard(context), F.lit(False)), rule.decision).otherwise(out)
+        return out
+
+    kinds: dict[tuple[Rule, ...], list[str]] = {}
+    for kind, of in rules.items():
+        kinds.setdefault(of, []).append(kind)
+    out = chain(rules[""])
+    for of, names in kinds.items():
+        if of != rules[""]:
+            out = F.when(F.col("record_type").isin(*names), chain(of)).otherwise(out)
+    return out
+
+
+def decide(df: DataFrame, as_of, blocked: Column | None = None, rules: dict[str, tuple[Rule, ...]] = RULES, states: dict[str, State] = STATES) -> DataFrame:
+    """Decision of each version by the rules of its type: restricted, expired, conflict, ambiguous year, then the newest cycle or version. Adds
+    decision, and by its state new_verification, new_freshness, new_serving, new_authoritative and review. Other rules, types and states are
+    given as data."""
     latest = latest_version(df).select("record_version_id", "is_latest")
     cycle = latest_cycle(df).select("record_version_id", "outcome")
     conflicts = _contradicted(df).select("record_version_id", F.lit(True).alias("conflict"))
     all_ = df.join(latest, "record_version_id").join(cycle, "record_version_id", "left").join(conflicts, "record_version_id", "left")
-    cyclic = F.col("record_type").isin(*CYCLE_TYPES)
-    newest_wins = F.col("record_type").isin(*VERSION_TYPES)
-    decision = (
-        F.when(blocked if blocked is not None else F.lit(False), "restricted")
-        .when(F.coalesce(F.col("effective_to") < as_of, F.lit(False)), "expired")
-        .when(F.coalesce("conflict", F.lit(False)) & ~newest_wins, "conflict")
-        .when(cyclic & (F.col("outcome") == "pending"), "ambiguous")
-        .when(cyclic & (F.col("outcome") == "stale"), "older")
-        .when(~cyclic & ~F.col("is_latest"), "older")
-        .otherwise("winner")
-    )
-    pick = lambda table: F.element_at(F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.lit(v)))), F.col("decision"))
-    return all_.withColumn("decision", decision).withColumns(
+    decided = all_.withColumn("decision", _decision(rules, Context(as_of, blocked if blocked is not None else F.lit(False))))
+    entries = {name: F.struct(F.lit(s.verification).alias("v"), F.lit(s.freshness).alias("f"), F.lit(s.wins).alias("w"), F.lit(s.review).cast("string").alias("r")) for name, s in states.items()}
+    state = F.element_at(F.create_map(*(x for name, e in entries.items() for x in (F.lit(name), e))), F.col("decision"))
+    return decided.withColumns(
         {
-            "new_verification": pick({"restricted": "rejected", "expired": "verified", "conflict": "pending", "ambiguous": "pending", "older": "verified", "winner": "verified"}),
-            "new_freshness": pick({"restricted": "restricted", "expired": "stale", "conflict": "contradictory", "ambiguous": "unknown", "older": "stale", "winner": "current"}),
-            "new_serving": F.when(F.col("decision") == "winner", "eligible").otherwise("ineligible"),
-            "new_authoritative": F.col("decision") == "winner",
-            "review": F.when(F.col("decision") == "conflict", "same_tier_conflict").when(F.col("decision") == "ambiguous", "ambiguous_date"),
+            "new_verification": state["v"], "new_freshness": state["f"], "new_serving": F.when(state["w"], "eligible").otherwise("ineligible"),
+            "new_authoritative": state["w"], "review": state["r"],
         }
-    ).drop("is_latest", "outcome", "conflict")
+    ).drop("is_latest", "outcome", "conflict")
 
 
 def upsert_records(existing: DataFrame, incoming: DataFrame, as_of) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factmill.functions import text as T
 from factmill.functions import urls as U
-from factmill.operators import extract, joins, lifecycle
+from factmill.operators import extract, joins, lifecycle, pages
 
 from . import adapters as A
 from .adapters import RECORDS_SQL as REC
@@ -54,14 +54,61 @@ def md_sections(spark, sf_dir):
     return extract.split_md_sections(_markdown(spark, sf_dir), "doc_id")
 
 
+#: Fee tables with what they must give, written by hand: label, HTML, rows as sorted key=value, table kind, currency, audience, cycle, total, warnings.
+#: # stands for the page's number.
+FEES = (
+    ("New Intake 2024-2025", "<tr><th>Program</th><th>Fee (PKR)</th></tr><tr><td>P#</td><td>173,00</td></tr><tr><td>MS</td><td>1,5</td></tr><tr><td>Total</td><td>9</td></tr>",
+     ["fee_pkr=173,000;program=P#", "fee_pkr=1,5;program=MS"], "new_intake", "PKR", "domestic", "2024-2025", None, ["invalid_amount_format:1,5"]),
+    ("Continuing students", "<tr><td colspan=2>Total degree fee is 90,000</td></tr><tr><td>Tuition #</td><td>USD 1,250</td></tr><tr><td>Total degree fee</td><td>$ 90000</td></tr>",
+     ["label=Tuition #;value=USD 1,250", "label=Total degree fee;value=$ 90000"], "continuing", "USD", "international", None, "90,000", []),
+    ("Fees 2023", "<tbody><tr><th>Item</th><th>A</th><th>A</th></tr><tr><td>#</td><td>12</td></tr><tr><td> </td><td>x</td><td>y</td></tr><tr><td>Net payable</td><td>1</td><td>2</td></tr></tbody>",
+     ["a=12;item=#"], "general", "PKR", "domestic", "2023", None, []),
+    ("International", "<tr><td>Hostel <b>#</b></td><td>150,000</td></tr><tr><td>Mess<td>Rs. 20,000 or $ 70", ["label=Hostel #;value=150,000", "label=Mess;value=Rs. 20,000 or $ 70"], "international", "PKR", "international", None, None, []),
+    ("Notes", "<tr><th>Plan</th></tr><tr><td>None</td></tr><tr></tr>", ["plan=None"], "general", "PKR", "domestic", None, None, []),
+)
+
+
+def _sql(v):
+    if isinstance(v, list):
+        return "CAST([" + ", ".join(map(_sql, v)) + "] AS VARCHAR[])"
+    return "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+def _rows_text(rows):
+    pair = lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    return F.transform(rows, lambda r: F.array_join(F.array_sort(F.transform(F.map_entries(r), pair)), ";"))
+
+
+@query(
+    "l3_fee_tables",
+    "WITH f(no, label, fee_rows, table_kind, currency, audience, cycle_label, total_degree_fee, parse_warnings) AS (VALUES "
+    + ", ".join(f"({n}, " + ", ".join(map(_sql, (label, rows, *rest))) + ")" for n, (label, _, rows, *rest) in enumerate(FEES))
+    + f""") SELECT page_id, label, list_transform(fee_rows, lambda x: replace(x, '#', CAST(page_id AS VARCHAR))) AS fee_rows, table_kind, currency, audience, cycle_label, total_degree_fee, parse_warnings
+FROM pages JOIN f ON page_id % {len(FEES)} = no""",
+)
+def fee_tables(spark, sf_dir):
+    """A fee table in every page, among what the page holds."""
+    made = F.element_at(F.array(*(F.lit(f"<table><caption>{label}</caption>{html}</table>") for label, html, *_ in FEES)), (F.col("page_id") % len(FEES) + 1).cast("int"))
+    html = F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), F.replace(made, F.lit("#"), F.col("page_id").cast("string"))))
+    tables = pages.page_tables(pages.elements(A.table(spark, sf_dir, "pages").select("page_id", html.alias("html"))))
+    out = pages.fee_payload(tables, pages.fee_rows(F.col("rows")), F.lit("any"), F.col("label"), F.col("text"))
+    return out.select("page_id", "label", _rows_text(F.col("fee_rows")).alias("fee_rows"), "table_kind", "currency", "audience", "cycle_label", "total_degree_fee", "parse_warnings")
+
+
 @query(
     "l3_fee_rows",
     f"""
-WITH {MD_SQL} SELECT m.doc_id, CAST(1 AS BIGINT) AS table_no, lang AS label, CASE WHEN m.doc_id % 3 = 0 THEN 12500 ELSE 1250 END AS amount, m.doc_id % 3 = 0 AS suspicious, CASE WHEN m.doc_id % 3 = 0 THEN 'PKR' ELSE 'USD' END AS currency
-FROM md m JOIN documents d ON m.doc_id = d.doc_id""",
+WITH {MD_SQL} SELECT m.doc_id, CAST(1 AS BIGINT) AS table_no, ['label=' || lang || ';value=' || CASE WHEN m.doc_id % 3 = 0 THEN '12,500' ELSE 'USD 1,250' END, 'label=Total;value=9'] AS fee_rows,
+  CASE WHEN m.doc_id % 3 = 0 THEN 'PKR' ELSE 'USD' END AS currency FROM md m JOIN documents d ON m.doc_id = d.doc_id""",
 )
 def fee_rows(spark, sf_dir):
-    return extract.normalize_fees(extract.parse_pipe_tables(_markdown(spark, sf_dir), "doc_id"), "doc_id")
+    """Fee tables in Markdown; of two columns they are key-value tables."""
+    cell = lambda c: F.struct(c.alias("text"), F.lit(False).alias("head"))
+    rows = extract.parse_pipe_tables(_markdown(spark, sf_dir), "doc_id").select("doc_id", "table_no", "row_no", F.transform("cells", cell).alias("cells"))
+    tables = rows.groupBy("doc_id", "table_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda r: r["cells"]).alias("rows"))
+    text = F.array_join(F.transform(F.flatten("rows"), lambda c: c["text"]), " ")
+    out = pages.fee_payload(tables.withColumn("text", text), pages.fee_rows(F.col("rows"), markdown=True), F.lit("any"), F.lit("Fees"), F.col("text"))
+    return out.select("doc_id", "table_no", _rows_text(F.col("fee_rows")).alias("fee_rows"), "currency")
 
 
 @query(
@@ -159,9 +206,30 @@ def people(spark, sf_dir):
     return out.select("o_custkey", "o_orderkey", "heading")
 
 
-@query("l1_page_sections")
+PLAN = "<section id=\"fees-#\"><p>About <i>#</i><table><caption> New  Intake </caption><tr><td>BS<td>1<table><tr><td>in</table></table></section>"
+TABLE_PATH = "body:nth-of-type(1) > section:nth-of-type(1) > p:nth-of-type(1) > table:nth-of-type(1)"
+
+
+@query(
+    "l1_page_sections",
+    f"""
+WITH p AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS art, regexp_extract(html, '<article>.*?<h1>(.*?)</h1>', 1, 's') AS head FROM pages),
+t AS (SELECT page_id, trim(replace(replace(regexp_replace(head, '[ \\t\\n\\r]+', ' ', 'g'), '&quot;', '"'), '&amp;', '&')) AS head,
+  list_transform([nav, art], lambda x: array_to_string(list_filter(list_transform(string_split_regex(replace(replace(replace(replace(replace(regexp_replace(x, '<!--.*?-->|<(script|style)>.*?</(script|style)>', '', 'gs'), chr(10), '<br>'), '&lt;', chr(1)), '&gt;', chr(2)), '&amp;', '&'), '&quot;', '"'), '<[^>]*>'),
+    lambda y: trim(replace(replace(regexp_replace(y, '[ \\t\\r]+', ' ', 'g'), chr(1), '<'), chr(2), '>'))), lambda y: y <> ''), chr(10))) AS c FROM p),
+a AS (SELECT page_id, 'nav' AS section_type, 4 AS k, 'Navigation' AS label, 'body:nth-of-type(1) > nav:nth-of-type(1)' AS source_locator, NULL AS parent_locator, NULL AS parent_label, c[1] AS content FROM t
+  UNION ALL SELECT page_id, 'article', 5, CASE WHEN head = '' THEN 'Article' ELSE head END, 'body:nth-of-type(1) > article:nth-of-type(1)', NULL, NULL, c[2] FROM t
+  UNION ALL SELECT page_id, 'section', 1, 'Fees ' || page_id, '#fees-' || page_id, NULL, NULL, 'About' || chr(10) || page_id || chr(10) || 'New Intake' || chr(10) || 'BS' || chr(10) || '1' || chr(10) || 'in' FROM t
+  UNION ALL SELECT page_id, 'table', 2, 'New Intake', '{TABLE_PATH}', '#fees-' || page_id, 'Fees ' || page_id, 'New Intake' || chr(10) || 'BS' || chr(10) || '1' || chr(10) || 'in' FROM t
+  UNION ALL SELECT page_id, 'table', 3, 'Table', '{TABLE_PATH} > tr:nth-of-type(1) > td:nth-of-type(2) > table:nth-of-type(1)', '#fees-' || page_id, 'Fees ' || page_id, 'in' FROM t)
+SELECT page_id, section_type, label, source_locator, parent_locator, parent_label, content, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS section_order FROM a WHERE content <> ''""",
+)
 def page_sections(spark, sf_dir):
-    return extract.sectionize_pages(A.table(spark, sf_dir, "pages"))
+    """Every page with one more section, whose table holds a table."""
+    more = F.replace(F.lit(PLAN), F.lit("#"), F.col("page_id").cast("string"))
+    html = F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), more))
+    out = pages.sections(pages.elements(A.table(spark, sf_dir, "pages").select("page_id", html.alias("html"))))
+    return out.select("page_id", "section_order", "section_type", "label", "source_locator", "parent_locator", "parent_label", "content")
 
 
 @query(

@@ -234,13 +234,6 @@ def test_grounding_without_claims(spark):
     assert {r.query_id: (r.score, r.passed) for r in answers.grounding_score(c).collect()} == {1: (0.5, True), 2: (1.0, True)}
 
 
-def test_sections_of_pages(spark):
-    html = "<html><head><title>T</title><script>x</script></head><body><nav>Home</nav><article><h1>One</h1><p>a<b>b</b></article><article><h1>One</h1>c</article></body></html>"
-    p = spark.createDataFrame([(1, html), (2, "<p>only text"), (3, None), (4, "")], "page_id long, html string")
-    got = [(r.page_id, r.tag, r.section_id, r.section_text) for r in extract.sectionize_pages(p).orderBy("page_id", "section_order").collect()]
-    assert got == [(1, "nav", "nav", "Home"), (1, "article", "one", "One a b"), (1, "article", "one-2", "One c"), (2, "body", "body", "only text")]
-
-
 def test_nested_documents(spark):
     docs = spark.createDataFrame(
         [(1, [(1, [("a",), ("b",)]), (1, []), (2, [("c",)])])], "doc long, sections array<struct<page_number int, table_cells array<struct<text string>>>>"
@@ -434,3 +427,157 @@ def test_blocked_search_equals_plain_one(spark):
     got = blocks.dense_topk(rows.withColumnRenamed("chunk_id", "query_id").join(spark.createDataFrame([(x[0],) for x in have[::40]], "query_id long"), "query_id"), rows, 5, "label", lifecycle.cut, size=40)
     assert near(tuple(x) for x in got.select("query_id", "chunk_id", "score", "rank").collect()) == near(want)
     assert blocks.sparse_topk(queries.limit(0), chunks, 10, lifecycle.cut).count() == 0 and blocks.sparse_topk(queries, chunks.limit(0), 10, lifecycle.cut).count() == 0
+
+
+class _Dom:
+    """A plain document tree, for comparison."""
+
+    def __init__(self, html):
+        from html.parser import HTMLParser
+
+        outer, self.nodes = self, []
+        self.root = dict(tag="", kids=[], up=None, attrs={})
+
+        class Parser(HTMLParser):
+            at = self.root
+
+            def handle_starttag(self, tag, attrs):
+                from factmill.operators.pages import BOUNDS, IMPLIED, VOID
+
+                for name in IMPLIED.get(tag, ()):
+                    x = self.at
+                    while x["up"] and x["tag"] != name and x["tag"] not in BOUNDS:
+                        x = x["up"]
+                    if x["tag"] == name:
+                        self.at = x["up"]
+                node = dict(tag=tag, kids=[], up=self.at, attrs={k: v or "" for k, v in attrs})
+                self.at["kids"].append(node)
+                outer.nodes.append(node)
+                if tag not in VOID:
+                    self.at = node
+
+            def handle_endtag(self, tag):
+                x = self.at
+                while x["up"] and x["tag"] != tag:
+                    x = x["up"]
+                if x["up"]:
+                    self.at = x["up"]
+
+            def handle_data(self, data):
+                self.at["kids"].append(data)
+
+        p = Parser()
+        p.feed(html)
+        p.close()
+
+    def all(self, node, *tags):
+        for k in node["kids"]:
+            if isinstance(k, dict):
+                if k["tag"] in tags:
+                    yield k
+                yield from self.all(k, *tags)
+
+    def text(self, node):
+        out = []
+        for k in node["kids"]:
+            if isinstance(k, dict):
+                out += [] if k["tag"] in ("script", "style") else self.text(k)
+            else:
+                out += [" ".join(x.split()) for x in k.strip().splitlines() if x.strip()]
+        return out
+
+    def path(self, node):
+        if node["attrs"].get("id"):
+            return "#" + node["attrs"]["id"]
+        steps = []
+        while node["up"] and node["tag"] != "html":
+            same = [k for k in node["up"]["kids"] if isinstance(k, dict) and k["tag"] == node["tag"]]
+            steps.append(f"{node['tag']}:nth-of-type({next(i for i, k in enumerate(same) if k is node) + 1})")
+            node = node["up"]
+        return " > ".join(steps[::-1])
+
+    def label(self, node):
+        for kinds in (["caption"], ["h1", "h2", "h3", "h4", "h5", "h6"]) if node["tag"] == "table" else (["h1", "h2", "h3", "h4", "h5", "h6"],):
+            first = next(self.all(node, *kinds), None)
+            if first and self.text(first):
+                return " ".join(self.text(first))
+        if node["tag"] == "nav":
+            return "Navigation"
+        return node["attrs"].get("aria-label") or (node["attrs"]["id"].title() if node["attrs"].get("id") else node["tag"].title())
+
+    def sections(self):
+        out = []
+        for nth, node in enumerate(self.all(self.root, "nav", "section", "article", "table"), 1):
+            if not self.text(node):
+                continue
+            near, x = None, node["up"]
+            while node["tag"] == "table" and x["up"] and near is None:
+                if x["tag"] in ("section", "article") or (x["tag"] not in ("html", "body") and (x["attrs"].get("id") or x["attrs"].get("aria-label"))):
+                    near = x
+                x = x["up"]
+            out.append((node["tag"], self.label(node), self.path(node), near and self.path(near), near and self.label(near), "\n".join(self.text(node))))
+        return out or ([("body", "Document Body", "body", None, None, "\n".join(self.text(self.root)))] if self.text(self.root) else [])
+
+
+def test_sections_equal_a_plain_tree(spark):
+    """Random pages: nested tables and sections, ids, captions, headings, tags that are left open or closed in the wrong order."""
+    import random
+
+    from factmill.operators import pages
+
+    r = random.Random(6)
+    tags = ["section", "article", "nav", "div", "table", "tr", "td", "p", "b", "h2", "ul", "li", "caption", "script"]
+
+    def page():
+        out, opened = [], []
+        for _ in range(r.randrange(0, 40)):
+            x = r.random()
+            if x < 0.45:
+                t = r.choice(tags)
+                opened.append(t)
+                out.append(f"<{t}" + (f' id="i{r.randrange(5)}"' if r.random() < 0.1 else "") + (' aria-label="Aria"' if r.random() < 0.1 else "") + ">" + ("</script>" if t == "script" else ""))
+            elif x < 0.7 and opened:
+                t = opened.pop() if r.random() < 0.8 else r.choice(tags)
+                out.append(f"</{t}>")
+            else:
+                out.append(r.choice(["one", " two  words\nmore", "&amp;", " ", "<br>", "<!-- no -->"]))
+        return "".join(out) if r.random() < 0.3 else f"<html><body>{''.join(out)}</body></html>"
+
+    made = [page() for _ in range(400)] + ["", "<table>", "x" * 50_000, "<section>" * 200 + "deep"]
+    rows = spark.createDataFrame([*enumerate(made), (len(made), None)], "page_id long, html string").repartition(4)
+    got = {}
+    for x in pages.sections(pages.elements(rows)).orderBy("page_id", "section_order").collect():
+        got.setdefault(x.page_id, []).append((x.section_type, x.label, x.source_locator, x.parent_locator, x.parent_label, x.content))
+    for i, html in enumerate(made):
+        assert got.get(i, []) == _Dom(html).sections(), html[:500]
+    assert len(made) not in got
+
+
+def test_builder_rows_and_fee_tables(spark):
+    from factmill.operators import pages
+
+    html = (
+        '<body><main><div class="x fusion-fullwidth"><div class="fusion-title">Costs</div><p>a</p><h3>Plan</h3><table><tr><td>Tuition</td><td>9</td></tr></table><h3>Plan</h3><table><tr><td>b</td></tr></table></div>'
+        '<div class="fusion-fullwidth"><h2>Costs</h2>b<table><caption>Cap</caption><tr><td>c</td></tr></table></div><div class="fusion-fullwidth"> </div></main><section>no</section></body>'
+    )
+    got = [tuple(x) for x in pages.sections(pages.elements(spark.createDataFrame([(1, html)], "page_id long, html string"))).orderBy("section_order").select("section_type", "section_id", "label", "source_locator", "parent_locator").collect()]
+    assert got == [
+        ("fusion_row", "costs", "Costs", "main://costs", None), ("table", "costs-table-plan", "Plan", "main://costs/table:plan", "main://costs"),
+        ("table", "costs-table-plan-2", "Plan", "main://costs/table:plan-2", "main://costs"), ("fusion_row", "costs-2", "Costs", "main://costs-2", None),
+        ("table", "costs-2-table-cap", "Cap", "main://costs-2/table:cap", "main://costs-2"),
+    ]
+    money = lambda t: one(spark, pages.currency(F.col("t")), t=t)
+    assert [money(t) for t in ("", "5000", "$5", "USD 5 and Rs. 10", "$ 5, 150,000 and 20,000", "$5 $6 and 150,000")] == ["PKR", "PKR", "USD", "USD", "PKR", "USD"]
+    assert [one(spark, pages.repair(F.col("t")), t=t) for t in ("173,00", " 1,50 ", "1,5", "12,345,00", "a 1,50")] == ["173,000", "1,500", "1,5", "12,345,00", "a 1,50"]
+    assert one(spark, pages.paragraph_rows(F.col("t")), t=" a \n\n b") == [{"line": "a"}, {"line": "b"}]
+
+
+def test_decision_rules_are_data(spark):
+    """A type with rules and states of its own, added to the registry; other types decide as before."""
+    embargo = versions.Rule("embargoed", lambda c: c.as_of < F.col("effective_from"))
+    states = versions.STATES | {"embargoed": versions.State("pending", "unknown", False, "embargo")}
+    rules = versions.RULES | {"notice": (versions.EXPIRED, embargo, versions.OLDER_VERSION)}
+    rows = [rec(1, record_type="notice", effective_from=datetime.date(2024, 8, 1), scope="a"), rec(2, record_type="notice", scope="b"), rec(3, record_type="notice", scope="b", effective_hash="h2"), rec(4, scope="c")]
+    got = {r.record_version_id: (r.decision, r.new_verification, r.new_serving, r.review) for r in versions.decide(frame(spark, *rows), as_of(), rules=rules, states=states).collect()}
+    assert got == {"v1": ("embargoed", "pending", "ineligible", "embargo"), "v2": ("older", "verified", "ineligible", None), "v3": ("winner", "verified", "eligible", None), "v4": ("winner", "verified", "eligible", None)}
+    assert {r.decision for r in versions.decide(frame(spark, *rows[1:3]), as_of()).collect()} == {"older", "winner"}
