@@ -581,3 +581,91 @@ def test_decision_rules_are_data(spark):
     got = {r.record_version_id: (r.decision, r.new_verification, r.new_serving, r.review) for r in versions.decide(frame(spark, *rows), as_of(), rules=rules, states=states).collect()}
     assert got == {"v1": ("embargoed", "pending", "ineligible", "embargo"), "v2": ("older", "verified", "ineligible", None), "v3": ("winner", "verified", "eligible", None), "v4": ("winner", "verified", "eligible", None)}
     assert {r.decision for r in versions.decide(frame(spark, *rows[1:3]), as_of()).collect()} == {"older", "winner"}
+
+
+def plain_listings(listings):
+    """The rules line by line: (people's departments, programs' departments, programs' faculties)."""
+    import re
+
+    from factmill.operators import listings as L
+
+    person = lambda x: 5 <= len(x) <= 80 and x not in L.NOISE and re.match(L.PERSON, x) and x not in L.TITLES and not x.startswith(L.TITLE_PREFIXES)
+    tidy = lambda t: [re.sub(r"\[([^\]]+)\]\([^)]*\)", r"\1", x).strip() for x in (t or "").split("\n") if x.strip()]
+    name, program = lambda x: re.sub(r"^#{1,6}\s+", "", x), lambda x: re.sub(r"\s*:.*$", "", re.sub(r"\s*\(.*?\)\s*$", "", x.strip()))
+    words = lambda x: {w.lower() for w in re.findall("[A-Za-z]+", x) if len(w) > 1}
+    people, departments, heads = {}, {}, {}
+    for label, text in listings:
+        own = own_p = None
+        misses = misses_p = 0
+        for x in tidy(text):
+            if re.match(L.DEPARTMENT, x):
+                own = own_p = name(x)
+                misses = misses_p = 0
+                heads.setdefault(label, []).append(own)
+                continue
+            if own:
+                if person(x):
+                    people[x], misses = own, 0
+                elif 5 <= len(x) <= 80 and x not in L.NOISE and not (re.match(L.PERSON, x) and x not in L.TITLES) and re.match(L.PROGRAM, x):
+                    misses = 0
+                else:
+                    misses += 1
+                own = None if misses >= 3 else own
+            if own_p:
+                found = [p for p in map(program, re.split("[/,;]", x)) if re.match(L.PROGRAM, p)]
+                for p in found:
+                    departments[p.upper()] = (own_p, label)
+                misses_p = 0 if found and False else misses_p + (not found)
+                own_p = None if not found and misses_p >= 2 else own_p
+                misses_p = 0 if found else misses_p
+    for label, names in heads.items():
+        for p, (d, f) in list(departments.items()):
+            if f == label and len(names) > 1:
+                scored = [(len((words(p) - set(L.DEGREES)) & words(re.sub(r"(?i)^(?:Department of|School of)\s+", "", n))), -i, n) for i, n in enumerate(names)]
+                if max(scored)[0] >= 2:
+                    departments[p] = (max(scored)[2], f)
+    faculties = {p: f for p, (_, f) in departments.items()}
+    for label, text in listings:
+        rows = tidy(text)
+        past, found, misses = not any(re.match(L.DATED, x) for x in rows), False, 0
+        for x in rows:
+            if re.match(L.DATED, x):
+                past = True
+            elif past and 3 <= len(x) <= 80:
+                if re.match(L.DEPARTMENT, x):
+                    misses = 0
+                elif re.match(L.FACULTY, x):
+                    if found:
+                        break
+                elif re.match(L.PROGRAM, program(x)):
+                    faculties.setdefault(program(x).upper(), label)
+                    found, misses = True, 0
+                elif found:
+                    misses += 1
+                    if misses >= 2:
+                        break
+    return people, departments, {**L.FACULTY_OF, **faculties}
+
+
+def test_listings_equal_a_plain_loop(spark, monkeypatch):
+    """Random listings in ranges of three lines, and one in which every department matters."""
+    import random
+
+    from factmill.operators import listings as L
+
+    monkeypatch.setattr(L, "RANGE", 3)
+    r = random.Random(9)
+    pool = [
+        "Department of Computer Science", "## School of Data Science", "Department of Physics", "Ali Khan", "Dr. Sara Malik", "[Omar Aziz](https://x.y/z)", "Associate Professor", "Lecturer Ali Khan", "BS COMPUTER SCIENCE",
+        "BS Data Science (Morning)", "MS Physics / PHD Physics", "MS Applied Computer Science: new", "Next", "some text that says nothing", "x" * 90, "2024-01-01T00:00", "Faculty of Science", "", "ab", "Executive MBA Program", "Mary Ann O'Neil",
+    ]
+    made = [(f"f{i % 7}", "\n".join(r.choice(pool) for _ in range(r.randrange(0, 40)))) for i in range(60)] + [("f0", None)]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(made)], "place int, label string, text string").repartition(3)
+    for part in (made, made[:9], made[9:10]):
+        some = rows.filter(F.col("place").isin(*[i for i, x in enumerate(made) if x in part and (part is made or made.index(x) == i)]))
+        kept = [made[x.place] for x in some.select("place").orderBy("place").collect()]
+        people, departments, faculties = plain_listings(kept)
+        assert {tuple(x) for x in L.people_departments(some).collect()} == set(people.items())
+        assert {tuple(x) for x in L.program_departments(some).collect()} == {(p, *v) for p, v in departments.items()}
+        assert {tuple(x) for x in L.program_faculties(some).collect()} == set(faculties.items())
+    assert ("Omar Aziz",) not in {(x.person,) for x in L.people_faculties(rows).collect()} and L.people_faculties(rows).filter("person = 'Ali Khan'").count() == 1
