@@ -61,10 +61,12 @@ def _misses(rows: DataFrame, reset: Column, miss: Column) -> DataFrame:
     return based.withColumn("misses", F.col("_missed") - F.coalesce("_base", F.lit(0))).drop("_reset", "_missed", "_base")
 
 
-def under_headings(rows: DataFrame, heading: Column, hit: Column, most: int) -> DataFrame:
-    """Adds heading (the latest, null where there is none or its run has ended) and hit. `most` other lines in a row end a run."""
+def under_headings(rows: DataFrame, heading: Column, hit: Column, most: int, in_a_row: bool = True) -> DataFrame:
+    """Adds heading (the latest, null where there is none or its run has ended) and hit. `most` other lines end a run; with in_a_row, each hit
+    forgives those before it."""
     marked = rows.withColumns({"_heading": heading, "hit": hit})
-    missed = _misses(marked, F.col("_heading") | F.col("hit"), ~F.col("_heading") & ~F.col("hit"))
+    resets = F.col("_heading") | F.col("hit") if in_a_row else F.col("_heading")
+    missed = _misses(marked, resets, ~F.col("_heading") & ~F.col("hit"))
     name = F.regexp_replace("line", r"^#{1,6}\s+", "")
     known = scan(missed, "place", "no", lasts={"_end": F.when(F.col("_miss") & (F.col("misses") >= most), F.col("no")), "_at": F.when(F.col("_heading"), F.struct("no", name.alias("name")))})
     open_ = F.coalesce(F.col("_end") < F.col("_at.no"), F.lit(True))
@@ -115,11 +117,11 @@ def _words(text: Column) -> Column:
 
 
 def program_departments(listings: DataFrame) -> DataFrame:
-    """program, department, label: the last heading over a program; two lines without one end a heading's run. Where a faculty has several
+    """program, department, label: the last heading over a program; the second line without one ends a heading's run. Where a faculty has several
     headings, a department that shares two words or more with a program, and more than any before it, takes the program over."""
     parts = F.filter(F.transform(F.split("line", "[/,;]"), _program), lambda p: p.rlike(PROGRAM))
     rows, heading = lines(listings).withColumn("parts", parts), F.col("line").rlike(DEPARTMENT)
-    seen = under_headings(rows, heading, ~heading & (F.size("parts") > 0), 2)
+    seen = under_headings(rows, heading, ~heading & (F.size("parts") > 0), 2, in_a_row=False)
     named = seen.filter("heading is not null and hit").select("place", "no", "label", F.col("heading").alias("department"), F.posexplode("parts").alias("part", "program"))
     placed = _last_claim(named.withColumn("program", F.upper("program")), "program", "department", "label")
     heads = rows.filter(heading).select("label", F.struct("place", "no").alias("at"), F.regexp_replace("line", r"^#{1,6}\s+", "").alias("other"))

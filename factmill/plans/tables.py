@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factmill.functions import text as T
 from factmill.functions import urls as U
-from factmill.operators import extract, joins, lifecycle, pages
+from factmill.operators import extract, joins, lifecycle, listings, pages
 
 from . import adapters as A
 from .adapters import RECORDS_SQL as REC
@@ -417,3 +417,51 @@ SELECT record_version_id, operation, CASE WHEN mine THEN 'failed' ELSE 'pending'
 def index_changes(spark, sf_dir):
     r = A.records(spark, sf_dir).withColumn("serving", F.when(F.col("doc_id") % 4 == 1, "pending_deindex").otherwise(F.col("serving")))
     return lifecycle.finish_changes(lifecycle.index_changes(r, 100), False, "no vectors")
+
+
+#: Listings with who and what they name, written by hand: text, people with department, programs with department, programs of the faculty. @ stands for
+#: the document's number in letters, so that each listing names its own.
+LISTED = (
+    ("Department of Physics\nAli @\nAssistant Professor\nBS PHYSICS @\nNext\nOmar @\none\ntwo\nthree\nLate @", [("Ali @", "Department of Physics"), ("Omar @", "Department of Physics")], [("BS PHYSICS @", "Department of Physics")], ["BS PHYSICS @"]),
+    ("BS NAV @\n2024-05-01T10:00\nFaculty of Arts\nBS Fine @ (Evening)\nMS Art #: new\nFaculty of Arts\nMS After @", [], [], ["BS FINE @", "MS ART @"]),
+    ("## School of Data Science\nDepartment of Computer Systems @\nBS Data Science @ / MS Computer Systems @\nwhat\nPHD Data @\nwhat\nPHD Late @", [], [("BS DATA SCIENCE @", "School of Data Science"), ("MS COMPUTER SYSTEMS @", "Department of Computer Systems @"), ("PHD DATA @", "Department of Computer Systems @")], ["BS DATA SCIENCE @", "MS COMPUTER SYSTEMS @", "PHD DATA @"]),
+    ("no heading\nDr. Sara @\nBS Alone @\na line\nanother line\nBS Lost @", [], [], ["BS ALONE @"]),
+    ("", [], [], []),
+)
+LETTERS = "translate(CAST(doc_id AS VARCHAR), '0123456789', 'abcdefghij')"
+
+
+def _listings(spark, sf_dir):
+    i = F.col("doc_id")
+    text = F.element_at(F.array(*(F.lit(x) for x, *_ in LISTED)), (i % len(LISTED) + 1).cast("int"))
+    words = F.translate(i.cast("string"), "0123456789", "abcdefghij")
+    return A.table(spark, sf_dir, "documents").select(i.alias("place"), F.concat(F.lit("f"), i).alias("label"), F.replace(text, F.lit("@"), words).alias("text"))
+
+
+def _named(k, of):
+    rows = [(n, *of(x)) for n, entry in enumerate(LISTED) for x in entry[k]]
+    return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else _sql(v) for v in row) + ")" for row in rows)
+
+
+@query(
+    "l9_people_departments",
+    f"WITH n(no, person, department) AS (VALUES {_named(1, lambda x: x)}) SELECT replace(person, '@', {LETTERS}) AS person, replace(department, '@', {LETTERS}) AS department FROM documents JOIN n ON doc_id % {len(LISTED)} = no",
+)
+def people_departments(spark, sf_dir):
+    return listings.people_departments(_listings(spark, sf_dir))
+
+
+@query(
+    "l9_program_departments",
+    f"WITH n(no, program, department) AS (VALUES {_named(2, lambda x: x)}) SELECT upper(replace(program, '@', {LETTERS})) AS program, replace(department, '@', {LETTERS}) AS department, 'f' || doc_id AS label FROM documents JOIN n ON doc_id % {len(LISTED)} = no",
+)
+def program_departments(spark, sf_dir):
+    return listings.program_departments(_listings(spark, sf_dir))
+
+
+@query(
+    "f12_content_zones",
+    f"WITH n(no, program) AS (VALUES {_named(3, lambda x: (x,))}) SELECT upper(replace(program, '@', {LETTERS})) AS program, 'f' || doc_id AS label FROM documents JOIN n ON doc_id % {len(LISTED)} = no UNION ALL SELECT 'MS CYBER SECURITY', 'Faculty of Science'",
+)
+def content_zones(spark, sf_dir):
+    return listings.program_faculties(_listings(spark, sf_dir))

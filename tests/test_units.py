@@ -615,9 +615,8 @@ def plain_listings(listings):
                 found = [p for p in map(program, re.split("[/,;]", x)) if re.match(L.PROGRAM, p)]
                 for p in found:
                     departments[p.upper()] = (own_p, label)
-                misses_p = 0 if found and False else misses_p + (not found)
-                own_p = None if not found and misses_p >= 2 else own_p
-                misses_p = 0 if found else misses_p
+                misses_p += not found
+                own_p = None if misses_p >= 2 else own_p
     for label, names in heads.items():
         for p, (d, f) in list(departments.items()):
             if f == label and len(names) > 1:
