@@ -422,9 +422,9 @@ def index_changes(spark, sf_dir):
 #: Listings with who and what they name, written by hand: text, people with department, programs with department, programs of the faculty. @ stands for
 #: the document's number in letters, so that each listing names its own.
 LISTED = (
-    ("Department of Physics\nAli @\nAssistant Professor\nBS PHYSICS @\nNext\nOmar @\none\ntwo\nthree\nLate @", [("Ali @", "Department of Physics"), ("Omar @", "Department of Physics")], [("BS PHYSICS @", "Department of Physics")], ["BS PHYSICS @"]),
-    ("BS NAV @\n2024-05-01T10:00\nFaculty of Arts\nBS Fine @ (Evening)\nMS Art #: new\nFaculty of Arts\nMS After @", [], [], ["BS FINE @", "MS ART @"]),
-    ("## School of Data Science\nDepartment of Computer Systems @\nBS Data Science @ / MS Computer Systems @\nwhat\nPHD Data @\nwhat\nPHD Late @", [], [("BS DATA SCIENCE @", "School of Data Science"), ("MS COMPUTER SYSTEMS @", "Department of Computer Systems @"), ("PHD DATA @", "Department of Computer Systems @")], ["BS DATA SCIENCE @", "MS COMPUTER SYSTEMS @", "PHD DATA @"]),
+    ("Department of Physics\nBS PHYSICS @\nAli @\nAssistant Professor\nNext\nOmar @\none\ntwo\nthree\nLate @", [("Ali @", "Department of Physics"), ("Omar @", "Department of Physics")], [("BS PHYSICS @", "Department of Physics")], ["BS PHYSICS @"]),
+    ("BS NAV @\n2024-05-01T10:00\nFaculty of Arts\nBS Fine @ (Evening)\nMS Art @: new\nFaculty of Arts\nMS After @", [], [], ["BS FINE @", "MS ART @"]),
+    ("## School of Data Science\nDepartment of Computer Systems @\nBS Data Science @ / MS Computer Systems @\nwhat\nPHD Data @\nwhat\nPHD Late @", [], [("BS DATA SCIENCE @", "School of Data Science"), ("MS COMPUTER SYSTEMS @", "Department of Computer Systems @"), ("PHD DATA @", "Department of Computer Systems @")], ["BS DATA SCIENCE @", "MS COMPUTER SYSTEMS @", "PHD DATA @", "PHD LATE @"]),
     ("no heading\nDr. Sara @\nBS Alone @\na line\nanother line\nBS Lost @", [], [], ["BS ALONE @"]),
     ("", [], [], []),
 )
