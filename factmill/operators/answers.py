@@ -33,15 +33,21 @@ def answer_gates(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.select("query_id", status.alias("status"), F.coalesce("clean", F.lit(0)).alias("clean"))
 
 
-def number_citations(evidence: DataFrame, order: list[Column]) -> DataFrame:
+def _numbered(evidence: DataFrame, order: list[Column]) -> DataFrame:
     from pyspark.sql import Window
 
     return evidence.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
+def number_citations(evidence: DataFrame, order: list[Column]) -> DataFrame:
+    """Evidence that can be cited, with its number n among all of its query's rows: rows without a URL or a locator are left out, and leave a gap."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    return _numbered(evidence, order).filter(some("source_url") & some("locator"))
+
+
 def answer_extractive(evidence: DataFrame, order: list[Column]) -> DataFrame:
-    """One answer of a query: each row as a claim with its citation number, in order."""
-    lines = number_citations(evidence, order).select("query_id", "n", F.concat(F.col("text"), F.lit(" ["), F.col("n"), F.lit("]")).alias("line"))
+    """One answer of a query: each row as a claim with its number, in order. Evidence is what retrieval selected, a few rows a query."""
+    lines = _numbered(evidence, order).select("query_id", "n", F.concat(F.col("text"), F.lit(" ["), F.col("n"), F.lit("]")).alias("line"))
     return lines.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("answer"), F.max("n").alias("citations")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factmill.functions import text as T
-from factmill.operators import answers, lifecycle, questions, search, versions
+from factmill.operators import answers, filters, lifecycle, questions, search, sources, versions
 
 from . import adapters as A
 from . import retrieval as R
@@ -28,6 +28,39 @@ def select_due(spark, sf_dir):
     return lifecycle.select_due_sources(A.sources(spark, sf_dir), due, 10).select("source_url", "rank")
 
 
+@query(
+    "b11_crawlable",
+    f"""
+WITH {SRC}, s AS (SELECT *, CASE WHEN length(source_url) % 2 = 0 THEN 'research_subdomain' ELSE source_class END AS kind, ['unverified', 'verified_live', 'blocked', NULL][length(source_url) % 4 + 1] AS crawl_status FROM src)
+SELECT source_url, is_active AND coalesce(legal_status, 'allowed') NOT IN ('blocked', 'restricted') AND (kind <> 'research_subdomain' OR coalesce(crawl_status IN ('unverified', 'verified_live'), false)) AS crawlable,
+  NOT (coalesce(legal_status, 'allowed') = 'allowed' AND is_active) AS restricted FROM s""",
+)
+def crawlable(spark, sf_dir):
+    """Which sources may be visited; and which may not be used automatically, if only active ones could be."""
+    n = F.length("source_url")
+    status = F.when(n % 4 == 0, "unverified").when(n % 4 == 1, "verified_live").when(n % 4 == 2, "blocked")
+    s = A.sources(spark, sf_dir).withColumns({"source_class": F.when(n % 2 == 0, "research_subdomain").otherwise(F.col("source_class")), "crawl_status": status})
+    restricted = filters.source_restricted(F.coalesce("legal_status", F.lit("allowed")), F.col("is_active"))
+    return s.select("source_url", filters.is_crawlable().alias("crawlable"), restricted.alias("restricted"))
+
+
+@query(
+    "g10_generations",
+    """
+SELECT label, CAST(row_number() OVER (ORDER BY status <> 'active', created_at DESC, label) AS INTEGER) AS place FROM
+  (SELECT 'g' || o_custkey AS label, max(o_orderdate) AS created_at, CASE WHEN o_custkey % 50 = 7 THEN 'active' ELSE 'retired' END AS status FROM orders GROUP BY o_custkey) QUALIFY place <= 20""",
+)
+def generations(spark, sf_dir):
+    """The first twenty generations of the list: a report."""
+    from pyspark.sql import Window
+
+    o = A.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("created_at"))
+    g = o.select(F.concat(F.lit("g"), "o_custkey").alias("label"), "created_at", F.when(F.col("o_custkey") % 50 == 7, "active").otherwise("retired").alias("status"))
+    first = sources.list_generations(g).limit(20)
+    order = Window.orderBy(F.when(F.col("status") == "active", 0).otherwise(1), F.desc("created_at"), "label")
+    return first.select("label", F.row_number().over(order).alias("place"))
+
+
 @query("f5_latest_snapshot", "SELECT o_custkey AS source_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS snapshot_id FROM orders GROUP BY 1")
 def latest_snapshot(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders")

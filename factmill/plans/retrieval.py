@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factmill.functions import rendering
-from factmill.operators import answers, chunks, dedupe, lifecycle, questions, search
+from factmill.operators import answers, chunks, dedupe, filters, lifecycle, questions, search
 
 from . import adapters as A
 from .adapters import RECORDS_SQL as REC
@@ -370,6 +370,20 @@ def answer_extractive(spark, sf_dir):
     return answers.answer_extractive(_evidence(spark, sf_dir), [F.desc("score"), F.asc("record_version_id")])
 
 
+@query(
+    "f13_number_citations",
+    f"""
+WITH {EV} SELECT query_id, record_version_id, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id) AS n FROM ev) WHERE coalesce(source_url, '') <> '' AND coalesce(locator, '') <> ''""",
+)
+def number_citations(spark, sf_dir):
+    return answers.number_citations(_evidence(spark, sf_dir), [F.desc("score"), F.asc("record_version_id")]).select("query_id", "record_version_id", "n")
+
+
+@query("b18_citations_complete", f"WITH {EV} SELECT query_id, bool_and(coalesce(source_url, '') <> '' AND coalesce(locator, '') <> '') AS complete FROM ev WHERE doc_id % 7 IN (3, 5, 6) GROUP BY query_id")
+def citations_complete(spark, sf_dir):
+    return filters.citations_complete(_evidence(spark, sf_dir).filter("doc_id % 7 in (3, 5, 6)"))
+
+
 @query(
     "k9_citations",
     f"""
