@@ -2,7 +2,7 @@
 
 1. Words, symbols, lines and repeated windows of each text are counted where it is read. Texts that break a plain limit go.
 2. The others' counts become a vector of four numbers, which are rounded to a grid. Equal grid vectors of one language and source are
-   counted together before they are shuffled, so a source with a third of all rows is as small as any: the grid has at most a
+   counted together before they are shuffled, so a source with a third of all rows is as small as any: the grid has 1.7
    million cells. Each language and source meets its cells in one task, which stands for all of its rows.
 3. There, concentration steps take the three quarters of rows that lie nearest, from which centre and covariance are taken anew, until the
    determinant no longer falls; of three deterministic starts the least determinant wins. Rows near enough to it give the final estimate.
