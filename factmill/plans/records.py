@@ -350,14 +350,14 @@ def corroborated(spark, sf_dir):
 @query(
     "f4_superseded",
     f"""
-WITH {REC}, n AS (SELECT scope, record_version_id AS superseded_by FROM rec WHERE authoritative AND doc_id // 2 % 2 = 1
+WITH {REC}, n AS (SELECT scope, record_version_id AS superseded_by FROM rec WHERE authoritative AND doc_id // 100 % 2 = 1
   QUALIFY row_number() OVER (PARTITION BY scope ORDER BY effective_from DESC NULLS LAST, tier, record_version_id DESC) = 1)
 SELECT record_version_id, superseded_by, CASE WHEN serving IN ('indexed_active', 'pending_index') THEN 'pending_deindex' ELSE 'ineligible' END AS new_serving
-FROM rec JOIN n USING (scope) WHERE authoritative AND doc_id // 2 % 2 = 0 AND record_version_id <> superseded_by""",
+FROM rec JOIN n USING (scope) WHERE authoritative AND doc_id // 100 % 2 = 0 AND record_version_id <> superseded_by""",
 )
 def superseded(spark, sf_dir):
     r = A.records(spark, sf_dir)
-    return versions.link_superseded(r.filter("doc_id div 2 % 2 = 0"), r.filter("doc_id div 2 % 2 = 1"))
+    return versions.link_superseded(r.filter("doc_id div 100 % 2 = 0"), r.filter("doc_id div 100 % 2 = 1"))
 
 
 DECIDE = f"""
