@@ -1,4 +1,4 @@
-"""Extraction jobs over tables of texts: Markdown sections, pipe tables, dates, scholarships, profiles, citations."""
+"""Extraction jobs over tables of texts: Markdown sections, pipe tables, dates, scholarships, profiles."""
 
 from __future__ import annotations
 
@@ -111,21 +111,6 @@ def normalize_profile(text: Column) -> Column:
     )
 
 
-def parse_citation(text: Column) -> Column:
-    """Struct of form, authors, title, venue, year: a quoted title, else author (year) title, else the whole as the title."""
-    quoted, apa = r"^(.*?),?\s*[\"“]([^\"”]+)[\"”],?\s*(.*)$", r"^(.+?)\s*\((\d{4})\)\.?\s*([^.]+)\.\s*(.*)$"
-    part = lambda p, n: strip(F.regexp_extract(text, p, n))
-    is_q, is_a = text.rlike(quoted), text.rlike(apa)
-    year = F.nullif(F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
-    return F.struct(
-        F.when(is_q, "quoted").when(is_a, "apa").otherwise("plain").alias("form"),
-        F.when(is_q, part(quoted, 1)).when(is_a, part(apa, 1)).otherwise("").alias("authors"),
-        F.when(is_q, part(quoted, 2)).when(is_a, part(apa, 3)).otherwise(strip(text)).alias("title"),
-        F.when(is_q, part(quoted, 3)).when(is_a, part(apa, 4)).otherwise("").alias("venue"),
-        year.alias("year"),
-    )
-
-
 def heading_fill(rows: DataFrame, key: str, heading: Column, order: str = "line_no") -> DataFrame:
     """Adds the latest heading of each line; heading lines themselves are left out."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factmill.functions import text as T
 from factmill.functions import urls as U
-from factmill.operators import extract, joins, lifecycle, listings, pages
+from factmill.operators import citations, extract, joins, lifecycle, listings, pages
 
 from . import adapters as A
 from .adapters import RECORDS_SQL as REC
@@ -149,21 +149,70 @@ def inferred_years(spark, sf_dir):
     return extract.normalize_milestones(o, F.col("t"), F.lit("2024-07-01").cast("date")).select("o_orderkey", "dates", "confidence")
 
 
+#: Citations with what they must give, written by hand: text, form, authors, title, venue, year. ~ stands for words of the document.
+CITATIONS = (
+    ("Ana Khan and Bo Li\nStudy of ~\nJournal of Data\n2021", "lines", ("Ana Khan", "Bo Li"), "Study of ~", "Journal of Data", 2021),
+    ("Ana Khan\n, Bo Li.\nStudy of ~,\nPress ,\n2020.", "lines", ("Ana Khan", "Bo Li"), "Study of ~", "Press", 2020),
+    ("C. Roe and D. Poe\nStudy of ~\nWorks 3\n2019\nextra", "lines", ("C. Roe", "D. Poe"), "Study of ~", "Works 3", 2019),
+    ('A. Khan, B. Li, "Study of ~," Journal of Data, 2020.', "double", ("A. Khan", "B. Li"), "Study of ~", "Journal of Data", 2020),
+    ("“Study of ~” Ana Khan, and Bo Li, accepted for publication in Data Letters, 2018", "double", ("Ana Khan", "Bo Li"), "Study of ~", "Data Letters", 2018),
+    ('[3] Khan (2017), "Study of ~". Data Letters', "double", ("Khan",), "Study of ~", "Data Letters", 2017),
+    ("A. Khan, 'Study of ~', Data Review, vol. 2, 2016", "single", ("A. Khan",), "Study of ~", "Data Review, vol. 2", 2016),
+    ("KHAN ET AL., ‘Study of ~’ 2015", "single", ("KHAN ET AL",), "Study of ~", None, 2015),
+    ("‘Study of ~’, presented in Data Days, 2014", "single", (), "Study of ~", "Data Days", 2014),
+    ("A. Khan, “Study of great ~’ Data Review, 2013", "cross", ("A. Khan",), "Study of great ~", "Data Review", 2013),
+    ('"Study of great ~’ 2012', "cross", (), "Study of great ~", None, 2012),
+    ("2. B. Li, ‘Study of great ~” Data Notes", "cross", ("B. Li",), "Study of great ~", "Data Notes", None),
+    ("Khan, A., Li, B. (2020). Study of ~. Data Review, 3, 1-9.", "apa", ("Khan", "A", "Li", "B"), "Study of ~", "Data Review, 3, 1-9", 2020),
+    ("Ana Khan, (1999), Study of ~", "apa", ("Ana Khan",), "Study of ~", None, 1999),
+    ("Selected publications: Khan (2011). Study of ~. Data Notes.", "apa", ("Khan",), "Study of ~", "Data Notes", 2011),
+    ("Ana Khan, Bo Li, Study of ~, Data Review, vol. 3, 2020", "authors_first", ("Ana Khan", "Bo Li"), "Study of ~", "Data Review, vol. 3", 2020),
+    ("1. Ana Khan, Bo B. Li, Study of 'rare' ~, Annals of Data, 12 (SNIP 1.2), 2019", "authors_first", ("Ana Khan", "Bo B. Li"), "Study of rare ~", "Annals of Data, 12", 2019),
+    ("Ana Khan, Bo Li, Study of ~, part two, Data Works, 2018", "authors_first", ("Ana Khan", "Bo Li"), "Study of ~, part two", "Data Works", 2018),
+    ("Khan A, Li B. Study of ~. Data Review, 2020.", "sentences", ("Khan A", "Li B"), "Study of ~", "Data Review", 2020),
+    ("Khan A . Study of ~. Data Review. 2017", "sentences", ("Khan A",), "Study of ~", "Data Review", 2017),
+    ("Khan A. Study of ~. 2016", "sentences", ("Khan A",), "Study of ~", None, 2016),
+    ("Study of ~, Data Review (2020)", "title_venue", (), "Study of ~", "Data Review", 2020),
+    ("Study of ~, Annals of Data (1998) Ana Khan, and Bo Li", "title_venue", ("Ana Khan", "Bo Li"), "Study of ~", "Annals of Data", 1998),
+    ("[7] Study of ~, part two, Data Notes (2015) reprinted", "title_venue", (), "Study of ~, part two", "Data Notes", 2015),
+    ("Study of ~ Ana Khan, Bo Li, Journal of Data, 2020", "collapsed", ("Ana Khan", "Bo Li"), "Study of ~", "Journal of Data", 2020),
+    ("Study of ~, Proceedings of Data, 2019", "collapsed", (), "Study of ~", "Proceedings of Data", 2019),
+    ("Study of ~, part two, ACM Symposium on Data 2018", "collapsed", (), "Study of ~, part two, ACM", "Symposium on Data", 2018),
+    ("Study of ~, Annals of Data, 2020", "title_first", (), "Study of ~", "Annals of Data", 2020),
+    ("Study of ~, Data Acta, no. 4, 2019", "title_first", (), "Study of ~", "Data Acta, no. 4", 2019),
+    ("Study of ~, part two, Elsevier Works, 2018", "title_first", (), "Study of ~, part two", "Elsevier Works", 2018),
+    ("Ana Khan, Study of ~, Annals of Data, 2020", "before_comma", (), "Ana Khan, Study of ~", None, 2020),
+    ("Prof. Study of ~, Annals of Data, 2019", "before_comma", (), "Prof. Study of ~", None, 2019),
+    ("Li (2010) wrote: Prof. Study of ~, Annals of Data, 2018", "before_comma", (), "wrote: Prof. Study of ~", None, 2018),
+    ("Study of ~ in Data Days 2020", "before_in", (), "Study of ~", "Data Days", 2020),
+    ("Study of ~ in depth in DataCon 2019: Conference of Data", "before_in", (), "Study of ~ in depth", "DataCon", 2019),
+    ("Great study of ~ in Annals (2018)", "before_in", (), "Great study of ~", "Annals", 2018),
+    ("Study of ~ 2020", "year", (), None, None, 2020),
+    ("Notes, 2019", "year", (), None, None, 2019),
+    ("2018 ~", "year", (), None, None, 2018),
+    ("Study of ~", "plain", (), None, None, None),
+    ("~, 1999", "plain", (), None, None, None),
+    ("", "plain", (), None, None, None),
+)
+
+
+def _sql(v):
+    return "NULL" if v is None else f"""'{v.replace("'", "''")}'""" if isinstance(v, str) else "CAST([" + ", ".join(map(_sql, v)) + "] AS VARCHAR[])" if isinstance(v, tuple) else str(v)
+
+
 @query(
     "l8_citations",
-    """
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'quoted' WHEN 1 THEN 'apa' ELSE 'plain' END AS form, CASE WHEN doc_id % 3 < 2 THEN 'A. ' || lang ELSE '' END AS authors,
-  CASE WHEN doc_id % 3 < 2 THEN 'On ' || source ELSE 'Just ' || source || ' words' END AS title, CASE doc_id % 3 WHEN 0 THEN 'Journal 2019' WHEN 1 THEN 'Press' ELSE '' END AS venue,
-  CASE doc_id % 3 WHEN 0 THEN '2019' WHEN 1 THEN '2020' END AS year FROM documents""",
+    f"""
+WITH c(n, form, authors, title, venue, year) AS (VALUES {", ".join("(" + ", ".join(map(_sql, (n, *c[1:]))) + ")" for n, c in enumerate(CITATIONS))}),
+d AS (SELECT doc_id, form, authors, replace(title, '~', coalesce(nullif(array_to_string(regexp_extract_all(coalesce(text, ''), '[a-z]{{4}}')[1:8], ' '), ''), 'texts')) AS title, venue, year
+  FROM documents JOIN c ON n = doc_id % {len(CITATIONS)})
+SELECT *, concat_ws('. ', array_to_string(authors, ', '), '(' || year || ')', title, venue) AS citation_text FROM d""",
 )
-def citations(spark, sf_dir):
-    i = F.col("doc_id") % 3
-    text = (
-        F.when(i == 0, F.concat(F.lit("A. "), "lang", F.lit(', "On '), "source", F.lit('", Journal 2019')))
-        .when(i == 1, F.concat(F.lit("A. "), "lang", F.lit(" (2020). On "), "source", F.lit(". Press")))
-        .otherwise(F.concat(F.lit("Just "), "source", F.lit(" words")))
-    )
-    return A.table(spark, sf_dir, "documents").select("doc_id", extract.parse_citation(text).alias("c")).select("doc_id", "c.*")
+def citation_parts(spark, sf_dir):
+    words = F.coalesce(F.nullif(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[a-z]{4}"), F.lit(0)), 1, 8), " "), F.lit("")), F.lit("texts"))
+    pattern = F.element_at(F.array(*(F.lit(c[0]) for c in CITATIONS)), (F.col("doc_id") % len(CITATIONS) + 1).cast("int"))
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.replace(pattern, F.lit("~"), words).alias("citation"))
+    return d.select("doc_id", citations.parse_citation(F.col("citation")).alias("c")).select("doc_id", "c.*").drop("raw_citation")
 
 
 @query(

@@ -668,3 +668,24 @@ def test_listings_equal_a_plain_loop(spark, monkeypatch):
         assert {tuple(x) for x in L.program_departments(some).collect()} == {(p, *v) for p, v in departments.items()}
         assert {tuple(x) for x in L.program_faculties(some).collect()} == set(faculties.items())
     assert ("Omar Aziz",) not in {(x.person,) for x in L.people_faculties(rows).collect()} and L.people_faculties(rows).filter("person = 'Ali Khan'").count() == 1
+
+
+def test_citations_of_unusual_texts(spark):
+    """Null, empty, very long and hostile texts; forms are a table."""
+    from factmill.operators import citations
+
+    long = "Ana Khan, Bo Li, Study of " + "data " * 200_000 + ", Data Review, 2020"
+    texts = [None, "", " \n ", long, "(" * 20_000, "‘" * 20_000 + " 2020", ", " * 20_000, "A.\u2028, B. Li\nStudy of x\nPress\n2020"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.c for r in df.select("i", citations.parse_citation(F.col("t")).alias("c")).collect()}
+    assert got[0] is None and got[1].form == got[2].form == "plain" and got[1].citation_text == ""
+    assert (got[3].form, got[3].authors, got[3].venue, got[3].year) == ("authors_first", ["Ana Khan", "Bo Li"], "Data Review", 2020)
+    assert len(got[3].title) == len("Study of " + "data " * 200_000) - 1
+    assert got[4].form == "plain" and got[5].year == 2020 and got[6].form == "plain"
+    assert (got[7].form, got[7].authors, got[7].venue) == ("lines", ["A", "B. Li"], "Press")
+
+    def thesis(c):
+        return F.when(c["text"].startswith("Thesis: "), F.struct(F.array().cast("array<string>").alias("authors"), F.substring_index(c["text"], ": ", -1).alias("title"), F.lit(None).cast("string").alias("venue"), F.lit(None).cast("int").alias("year")))
+
+    one = spark.createDataFrame([("Thesis: On data",)], "t string").select(citations.parse_citation(F.col("t"), (("thesis", thesis), *citations.FORMS)).alias("c")).first().c
+    assert (one.form, one.title, one.citation_text) == ("thesis", "On data", ". On data")
