@@ -38,14 +38,67 @@ def _letters(c):
     return F.map_from_entries(F.transform(F.array_distinct(each), lambda x: F.struct(x, F.size(F.filter(each, lambda y: y == x)))))
 
 
+#: Width of a bucket of positions in the index of pairs of letters.
+PLACES = 8
+
+
+def _most_indels(m, n):
+    """How many letters may be inserted and deleted between texts of m and n letters that are similar."""
+    return F.floor((1 - RATIO) * (m + n) + 1e-9).cast("int")
+
+
+def probes(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """names (name, u) with the pairs of letters that find every similar key: rows of name, u, at (from 1), gram.
+
+    A similar key has at most 2 / 0.85 - 1 times the name's letters, so at most d letters are inserted and deleted; each of them changes one at most of
+    a name's pairs that don't overlap, so of any d + 1 of these one stands in the key, moved by d places at most. The d + 1 that the fewest keys
+    hold are taken, of the pairs that begin at odd places or of those at even ones, whichever meet fewer keys. That is about seven in ten of the pairs of one side: a common start
+    is left out where the rest has as many, and asked for (at its place only) where it makes up more of the name."""
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.struct(i.alias("at"), F.substr(c, i, F.lit(2)).alias("gram")))
+    counts = keys.filter(F.length("k") >= 2).select(F.explode(F.array_distinct(F.transform(grams(F.col("k")), lambda g: g["gram"]))).alias("gram")).groupBy("gram").agg(F.count("*").alias("held"))
+    each = names.select("name", "u", F.explode(grams(F.col("u"))).alias("g")).select("name", "u", "g.*").join(counts, "gram", "left")
+    # a pair that no key holds has none to find, and is as good a choice as any
+    known = each.groupBy("name", "u").agg(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "at", "gram")).alias("all"))
+    m = F.length("u")
+    most = _most_indels(m, F.floor(m * (2 - RATIO) / RATIO + 1e-9)) + 1
+    rarest = lambda odd: F.slice(F.array_sort(F.filter("all", lambda g: g["at"] % 2 == odd)), 1, F.col("most"))
+    met = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, g: s + g["held"])
+    sides = known.withColumn("most", most).select("name", "u", "most", rarest(1).alias("odd"), rarest(0).alias("even"))
+    chosen = F.when((F.size("even") == F.col("most")) & (met("even") < met("odd")), F.col("even")).otherwise(F.col("odd"))
+    return sides.select("name", "u", F.explode(chosen).alias("g")).filter("g.held > 0").select("name", "u", "g.at", "g.gram")
+
+
+def similar_pairs(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs of names (name, u of six letters or more) and keys (k, target) whose similarity is 0.85 or more: name, k, target, ratio.
+
+    Similarity is twice the letters in matching blocks over both lengths. Keys are indexed by each pair of letters and the range of places where it stands; names ask
+    for their rarest pairs alone (`probes`). Places, lengths and shared letter counts bound the similarity before it is computed."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+    m, n = F.length("u"), F.length("k")
+    d = _most_indels(m, F.floor(m * (2 - RATIO) / RATIO + 1e-9))
+    place = lambda at: F.floor(at / PLACES).cast("int")
+    asked = probes(names, keys).withColumn("place", F.explode(F.sequence(place(F.greatest(F.col("at") - d, F.lit(1))), place(F.col("at") + d))))
+    held = keys.filter(n >= 2).select("k", "target", F.explode(F.sequence(F.lit(1), n - 1)).alias("there")).withColumn("gram", F.substr("k", "there", F.lit(2))).withColumn("place", place(F.col("there")))
+    moved, spare = F.col("there") - F.col("at"), (1 - RATIO) * (m + n) + 1e-9
+    near = (F.least(m, n) * 2 >= RATIO * (m + n) - 1e-9) & (2 * moved <= spare + n - m) & (2 * moved >= n - m - spare)
+    met = asked.join(held, ["gram", "place"]).filter(near).groupBy("name", "u", "k").agg(F.min("target").alias("target"))
+    counts = met.withColumns({"_a": _letters(F.col("u")), "_b": _letters(F.col("k"))})
+    shared = F.aggregate(F.map_entries("_a"), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.element_at("_b", e["key"]), F.lit(0))).cast("int"))
+    close = counts.filter(2 * shared >= RATIO * (m + n) - 1e-9).withColumn("ratio", ratio("u", "k")).filter(F.col("ratio") >= RATIO)
+    return close.select("name", "k", "target", "ratio")
+
+
 def fuzzy_lookup(names: DataFrame, table: DataFrame, similar: bool = True) -> DataFrame:
     """names (name) with target and stage from table (key, target), upper case against upper case: equal; equal without a degree in front;
     equal without ampersands; the longest key of six characters or more that begins the name or that the name begins; then the greatest
     similarity of 0.85 or more. A stage sees only what earlier ones left, equal claims go to the smaller key; names under six characters
     never match.
 
-    Similarity is twice the matching characters over both lengths. To reach 0.85, lengths must be near (17 to 23 at most), and names
-    share a run of three characters (short ones of two), as so few others lie between the matching ones. Candidates meet by such runs, never by all pairs, and shared character counts bound the similarity before it is computed."""
+    Similar pairs come from `similar_pairs`."""
     left = names.select("name").distinct().withColumn("u", F.upper("name")).filter(F.length("u") >= LEAST_NAME)
     keys = table.select(F.upper("key").alias("k"), "target").groupBy("k").agg(F.min("target").alias("target"))
     bare = F.col("u")
@@ -67,20 +120,8 @@ def fuzzy_lookup(names: DataFrame, table: DataFrame, similar: bool = True) -> Da
     if similar:
         left = left.join(hit.select("name"), "name", "left_anti")
 
-        @F.pandas_udf("double")
-        def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-        # of m + n characters at most 0.15 (m + n) don't match and part the others, which leaves a matching run of 3; of 2 where m + n is 14
-        runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substr(F.col(c), i, F.lit(k)))
-        grams = lambda df, c, *more: df.select(*more, F.explode(F.array_distinct(F.concat(runs(c, 3), F.when(F.length(c).between(6, 8), runs(c, 2)).otherwise(F.array().cast("array<string>"))))).alias("g"))
-        near = lambda a, b: F.least(F.length(a), F.length(b)) * 2 >= RATIO * (F.length(a) + F.length(b))
-        met = grams(left, "u", "name", "u").join(grams(keys.filter(F.length("k") >= 3), "k", "k", "target"), "g").filter(near("u", "k"))
-        pairs = met.groupBy("name", "u", "k").agg(F.min("target").alias("target"))
-        counts = pairs.withColumns({"_a": _letters(F.col("u")), "_b": _letters(F.col("k"))})
-        shared = F.aggregate(F.map_entries("_a"), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.element_at("_b", e["key"]), F.lit(0))).cast("int"))
-        close = counts.filter(2 * shared >= RATIO * (F.length("u") + F.length("k"))).withColumn("r", ratio("u", "k")).filter(F.col("r") >= RATIO)
-        found.append(close.groupBy("name").agg(F.min_by("target", F.struct(-F.col("r"), "k")).alias("target")).withColumn("stage", F.lit("similar")))
+        close = similar_pairs(left.select("name", "u"), keys)
+        found.append(close.groupBy("name").agg(F.min_by("target", F.struct(-F.col("ratio"), "k")).alias("target")).withColumn("stage", F.lit("similar")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

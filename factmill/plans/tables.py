@@ -204,12 +204,12 @@ def _sql(v):
     "l8_citations",
     f"""
 WITH c(n, form, authors, title, venue, year) AS (VALUES {", ".join("(" + ", ".join(map(_sql, (n, *c[1:]))) + ")" for n, c in enumerate(CITATIONS))}),
-d AS (SELECT doc_id, form, authors, replace(title, '~', coalesce(nullif(array_to_string(regexp_extract_all(coalesce(text, ''), '[a-z]{{4}}')[1:8], ' '), ''), 'texts')) AS title, venue, year
+d AS (SELECT doc_id, form, authors, replace(title, '~', coalesce(nullif(array_to_string(regexp_extract_all(coalesce(text, ''), '[a-z]{{4}}')[1:8], ' '), ''), 'texts without words')) AS title, venue, year
   FROM documents JOIN c ON n = doc_id % {len(CITATIONS)})
 SELECT *, concat_ws('. ', array_to_string(authors, ', '), '(' || year || ')', title, venue) AS citation_text FROM d""",
 )
 def citation_parts(spark, sf_dir):
-    words = F.coalesce(F.nullif(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[a-z]{4}"), F.lit(0)), 1, 8), " "), F.lit("")), F.lit("texts"))
+    words = F.coalesce(F.nullif(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[a-z]{4}"), F.lit(0)), 1, 8), " "), F.lit("")), F.lit("texts without words"))
     pattern = F.element_at(F.array(*(F.lit(c[0]) for c in CITATIONS)), (F.col("doc_id") % len(CITATIONS) + 1).cast("int"))
     d = A.table(spark, sf_dir, "documents").select("doc_id", F.replace(pattern, F.lit("~"), words).alias("citation"))
     return d.select("doc_id", citations.parse_citation(F.col("citation")).alias("c")).select("doc_id", "c.*").drop("raw_citation")
@@ -323,10 +323,17 @@ def fuzzy_lookup(spark, sf_dir):
     return joins.fuzzy_lookup(names, p.select(key.alias("key"), F.upper(key).alias("target")).distinct(), similar=False)
 
 
-@query("d10_similar_names")
+@query(
+    "d10_similar_names",
+    """
+WITH p AS (SELECT DISTINCT p_name AS rest FROM part WHERE length(p_name) >= 6)
+SELECT name, coalesce(upper(max(rest)), min(upper(key))) AS target, 'similar' AS stage FROM (
+  SELECT p_name AS key, CASE WHEN p_partkey % 2 = 0 THEN 'X' || substr(p_name, 2) ELSE left(p_name, 3) || 'x' || substr(p_name, 4) END AS name FROM part WHERE length(p_name) >= 6)
+LEFT JOIN p ON name = 'X' || rest GROUP BY name""",
+)
 def similar_names(spark, sf_dir):
+    """Every name with its first letter wrong, or a letter too many. Where a key is all but that letter, it is nearer than one with another letter."""
     p = A.table(spark, sf_dir, "part").filter(F.length("p_name") >= 6)
-    """Every name with its first letter wrong, or a letter too many."""
     wrong = F.concat(F.lit("X"), F.substring("p_name", 2, 100))
     names = p.select(F.when(F.col("p_partkey") % 2 == 0, wrong).otherwise(F.concat(F.left("p_name", F.lit(3)), F.lit("x"), F.substring("p_name", 4, 100))).alias("name"))
     return joins.fuzzy_lookup(names, p.select(F.col("p_name").alias("key"), F.upper("p_name").alias("target")).distinct())

@@ -689,3 +689,39 @@ def test_citations_of_unusual_texts(spark):
 
     one = spark.createDataFrame([("Thesis: On data",)], "t string").select(citations.parse_citation(F.col("t"), (("thesis", thesis), *citations.FORMS)).alias("c")).first().c
     assert (one.form, one.title, one.citation_text) == ("thesis", "On data", ". On data")
+
+
+def test_similar_names_equal_brute_force(spark):
+    """Random names of few letters, so that many are near the bound; a common start; letters outside the basic plane."""
+    import difflib
+    import random
+
+    r = random.Random(5)
+    word = lambda a, b, letters="ABC ": "".join(r.choice(letters) for _ in range(r.randint(a, b)))
+
+    def edited(w):
+        w = list(w)
+        for _ in range(r.randint(0, max(1, len(w) // 4))):
+            i = r.randrange(len(w) + 1)
+            w[i : i + r.randint(0, 1)] = [r.choice("ABCD")] if r.random() < 0.6 else []
+        return "".join(w)
+
+    keys = [word(4, 28) for _ in range(250)] + ["DEPARTMENT OF " + word(3, 9, "ABCDEFGH") for _ in range(100)] + ["😀ÄB" + word(5, 9) for _ in range(20)]
+    names = {n for k in keys for n in (edited(k), edited(k)) if len(n) >= 6}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(n, k) for n in names for k in set(keys) if 2 * min(len(n), len(k)) >= 0.85 * (len(n) + len(k)) and ratio(n, k) >= 0.85}
+    left = spark.createDataFrame([(n, n) for n in names], "name string, u string")
+    table = spark.createDataFrame([(k, k) for k in set(keys)], "k string, target string")
+    got = {(x.name, x.k) for x in joins.similar_pairs(left, table).collect()}
+    assert got == want and len(want) > 500
+
+
+def test_common_letters_find_no_names(spark):
+    """A start that all keys share isn't asked for where the rest has pairs enough."""
+    import random
+
+    r = random.Random(3)
+    keys = ["DEPT. " + "".join(r.choice("FGHIJKLMNOQRSUVWXYZ") for _ in range(20)) for _ in range(300)]
+    left = spark.createDataFrame([(k, k) for k in keys], "name string, u string")
+    asked = {x.gram for x in joins.probes(left, left.select(F.col("u").alias("k"), F.col("u").alias("target"))).select("gram").distinct().collect()}
+    assert asked and not asked & {"DE", "PT", ". "}
