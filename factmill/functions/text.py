@@ -74,7 +74,19 @@ def strip_md_heading(text: Column) -> Column:
 
 
 def strip_inline_markup(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\*\*|__|`", ""), r"<[^>]+>", "")
+    """Bold and italic marks off, blanks at both ends off; an underscore inside a word stays."""
+    return strip(F.regexp_replace(F.regexp_replace(text, r"\*\*([^*]+)\*\*", "$1"), r"(?U)(?<!\w)_([^_]+)_(?!\w)", "$1"))
+
+
+def strip_inline_noise(text: Column) -> Column:
+    """Text to search for patterns: heading marks, bold and italic marks, targets of links and the bracket before a line's link are taken off, in this order."""
+    plain = F.regexp_replace(strip_inline_markup(F.regexp_replace(text, r"(?m)^#{1,6}\s+", "")), r"\]\(https?://[^)]*\)", "")
+    return F.regexp_replace(plain, r"(?m)^\[", "")
+
+
+def strip_nav_list_items(text: Column) -> Column:
+    """List items that hold a link and nothing else are left out."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~strip(x).rlike(r"^(?:\*|-|\d+\.)\s+\[.+\]\(.+\)$")), "\n")
 
 
 def extract_links(text: Column) -> Column:

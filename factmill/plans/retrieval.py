@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factmill.functions import rendering
-from factmill.operators import answers, chunks, dedupe, filters, lifecycle, questions, search
+from factmill.operators import answering, answers, chunks, dedupe, filters, lifecycle, questions, search
 
 from . import adapters as A
 from .adapters import RECORDS_SQL as REC
@@ -98,6 +98,10 @@ def _evidence(spark, sf_dir):
     )
 
 
+def _sql_text(v):
+    return "'" + v.replace("'", "''") + "'"
+
+
 EV = f"""{REC}, ev AS (SELECT * REPLACE (CASE WHEN doc_id % 6 = 1 THEN NULL WHEN doc_id % 6 = 2 THEN '' ELSE source_url END AS source_url, CASE doc_id % 31 WHEN 0 THEN 0 WHEN 1 THEN 6 ELSE tier END AS tier),
   doc_id // 25 AS query_id, round((doc_id * 7919 % 1000) / 1000.0, 6) AS score, record_version_id || ':0' AS chunk_id, CASE WHEN doc_id // 25 % 2 = 0 THEN 'program' END AS type_hint,
   CASE WHEN doc_id % 50 = 7 THEN 'policy' ELSE 'faculty' END AS source_class, CASE WHEN doc_id % 8 <> 3 THEN 'p:' || doc_id END AS locator FROM rec)"""
@@ -360,6 +364,42 @@ def answer_gates(spark, sf_dir):
     return answers.answer_gates(q, e.filter("query_id % 9 <> 4 and doc_id % 3 = 0"))
 
 
+#: Evidence in which queries end in different ways: URLs and locators are there but for every fourth query, keys repeat in every fifth.
+_ASKED_SQL = f"""{EV}, a AS (SELECT * REPLACE (CASE WHEN query_id % 4 = 0 THEN source_url ELSE coalesce(nullif(source_url, ''), 'u') END AS source_url, CASE WHEN query_id % 4 = 1 THEN locator ELSE coalesce(locator, 'p') END AS locator,
+  CASE WHEN query_id % 5 = 0 THEN dedupe_key ELSE record_version_id END AS dedupe_key) FROM ev)"""
+
+
+def _asked(spark, sf_dir):
+    q, some = F.col("query_id"), F.coalesce(F.nullif("source_url", F.lit("")), F.lit("u"))
+    return _evidence(spark, sf_dir).withColumns(
+        {
+            "source_url": F.when(q % 4 == 0, F.col("source_url")).otherwise(some), "locator": F.when(q % 4 == 1, F.col("locator")).otherwise(F.coalesce("locator", F.lit("p"))),
+            "dedupe_key": F.when(q % 5 == 0, F.col("dedupe_key")).otherwise(F.col("record_version_id")),
+        }
+    )
+
+
+@query(
+    "k11_answer_batch",
+    f"""
+WITH {_ASKED_SQL}, r AS (SELECT *, CASE WHEN freshness <> 'current' THEN 'not_current' WHEN record_type = 'merit_list' AND year_confidence IN ('low', 'unknown') THEN 'ambiguous_year' END AS reason FROM a),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_version_id) AS n FROM r WHERE reason IS NULL),
+t AS (SELECT query_id, bool_or(n > 1) AS torn FROM (SELECT query_id, arg_min(n, tier) AS n FROM (SELECT query_id, scope, dedupe_key, tier, count(DISTINCT effective_hash) AS n FROM k GROUP BY ALL) GROUP BY query_id, scope, dedupe_key) GROUP BY query_id),
+f AS (SELECT query_id, bool_or(regexp_matches(text, '[0-9]')) AS number, bool_and(coalesce(source_url, '') <> '') AS url, bool_and(coalesce(locator, '') <> '') AS locator,
+  string_agg(coalesce(text, '') || ' [' || n || ']', chr(10) ORDER BY n) AS answer, string_agg('[' || n || ']' || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY n) AS blocks, count(*) AS rows FROM k GROUP BY query_id),
+w AS (SELECT query_id, coalesce(list_sort(list_distinct(list(reason) FILTER (WHERE reason IS NOT NULL))), []) AS warnings FROM r GROUP BY query_id),
+s AS (SELECT w.query_id, warnings, answer, blocks, rows, CASE WHEN rows IS NULL THEN 'uncertain' WHEN w.query_id % 2 = 0 AND NOT number THEN 'no_number' WHEN NOT url THEN 'uncited' WHEN coalesce(torn, false) THEN 'contradictory' WHEN NOT locator THEN 'uncited' ELSE 'answered' END AS status
+  FROM w LEFT JOIN f USING (query_id) LEFT JOIN t USING (query_id))
+SELECT query_id, status, warnings, CASE WHEN status = 'answered' THEN answer END AS answer, CASE WHEN status = 'answered' THEN rows END AS citations,
+  CASE WHEN status = 'answered' THEN sha256({_sql_text(answering.INSTRUCTIONS)} || chr(10) || chr(10) || 'Query: ' || CASE WHEN query_id % 2 = 0 THEN 'average rate' ELSE 'hello' END || chr(10) || chr(10) || 'Evidence Blocks:' || chr(10) || blocks || chr(10) || 'JSON response schema:' || chr(10) || {_sql_text(answering.SCHEMA)}) END AS prompt FROM s""",
+)
+def answer_batch(spark, sf_dir):
+    e = _asked(spark, sf_dir)
+    q = e.select("query_id").distinct().withColumn("query_text", F.when(F.col("query_id") % 2 == 0, "average rate").otherwise("hello"))
+    out = answering.answer_batch(q, e, [F.desc("score"), F.asc("record_version_id")])
+    return out.select("query_id", "status", "warnings", "answer", F.when(F.col("status") == "answered", F.size("citations")).cast("long").alias("citations"), F.when(F.col("status") == "answered", F.sha2("prompt", 256)).alias("prompt"))
+
+
 @query(
     "k8_answer_extractive",
     f"""

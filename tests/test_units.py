@@ -725,3 +725,38 @@ def test_common_letters_find_no_names(spark):
     left = spark.createDataFrame([(k, k) for k in keys], "name string, u string")
     asked = {x.gram for x in joins.probes(left, left.select(F.col("u").alias("k"), F.col("u").alias("target"))).select("gram").distinct().collect()}
     assert asked and not asked & {"DE", "PT", ". "}
+
+
+def test_answer_batch_with_hooks(spark):
+    """A model that cites an unknown number, one that says what isn't there, one that returns nothing, and a verifier of one's own."""
+    from factmill.operators import answering
+
+    q = spark.createDataFrame([(k, "x") for k in range(1, 8)], "query_id int, query_text string")
+    row = lambda k, text, kind="program", fresh="current", url="u", locator="l": (k, fresh, kind, "high", text, url, locator, "s", f"{k}{text}", 1, "h", f"v{k}{text}", "general", 0.9)
+    e = spark.createDataFrame(
+        [row(1, "fees are 5"), row(1, "old", fresh="stale"), row(2, "a"), row(3, "b c d e", "scholarship"), row(4, "f"), row(5, "g", locator=None), row(7, "b c d e")],
+        "query_id int, freshness string, record_type string, year_confidence string, text string, source_url string, locator string, scope string, dedupe_key string, tier int, effective_hash string, record_version_id string, source_class string, score double",
+    )
+
+    def model(prompts, numbered):
+        said = {1: ("fees are 5 [1]", [("fees are 5", ["[1]"])]), 2: ("z", [("z", ["[9]"])]), 3: ("z y x [1]", [("z y x", ["[1]"])]), 7: ("z y x [1]", [("z y x", ["[1]"])])}
+        table = spark.createDataFrame([(k, *v) for k, v in said.items()], f"query_id int, answer string, claims {answering.CLAIMS}")
+        return prompts.select("query_id").join(table, "query_id")
+
+    take = lambda *hooks: {r.query_id: r for r in answering.answer_batch(q, e, [F.asc("record_version_id")], *hooks).collect()}
+    got = take(model)
+    assert {k: r.status for k, r in got.items()} == {1: "answered", 2: "invalid_citation", 3: "ungrounded", 4: "no_draft", 5: "uncited", 6: "no_evidence", 7: "answered"}
+    assert got[1].warnings == ["not_current"] and [c.n for c in got[1].citations] == [1] and got[3].answer is None
+    assert "[1]\nfees are 5\n" in got[1].prompt and "Query: x" in got[1].prompt and got[5].prompt is None
+    kind = take(model, lambda claims: claims.select("query_id", "claim_no", F.lit(True).alias("supported")))
+    assert kind[3].status == "answered" and kind[3].grounding == 1.0
+    assert take()[2].answer == "a [1]"
+
+
+def test_inline_noise_and_navigation(spark):
+    one = lambda f, s: spark.createDataFrame([(s,)], "t string").select(f(F.col("t")).alias("x")).first().x
+    assert one(T.strip_inline_noise, "#### [Question 1: text](https://x.edu/a)\n**Answer** : _so_ a_b_c") == "Question 1: text\nAnswer : so a_b_c"
+    assert one(T.strip_inline_noise, "## **Two** words\n[in a](http://x) line") == "Two words\nin a line"
+    assert one(T.strip_inline_noise, None) is None and one(T.strip_inline_markup, " **a b** and _c_ snake_case_x ") == "a b and c snake_case_x"
+    assert one(T.strip_nav_list_items, "* [Home](/)\nkept\n  - [Two](/b)\n3. [C](c) more\n1. [D](d)\n-[E](e)") == "kept\n3. [C](c) more\n-[E](e)"
+    assert one(T.strip_nav_list_items, "") == "" and one(T.strip_nav_list_items, None) is None
