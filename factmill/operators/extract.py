@@ -1,4 +1,4 @@
-"""Extraction jobs over tables of texts: Markdown sections, pipe tables, dates, scholarships, profiles."""
+"""Extraction jobs over tables of texts: Markdown sections, pipe tables, listings, parsed documents."""
 
 from __future__ import annotations
 
@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from factmill.functions.text import strip
 
-# Fixed values.
-DATE_FORMATS = (
-    ("yyyy-MM-dd", r"\d{4}-\d{2}-\d{2}"), ("dd/MM/yyyy", r"\d{2}/\d{2}/\d{4}"), ("dd-MM-yyyy", r"\d{2}-\d{2}-\d{4}"), ("MMM d, yyyy", r"[A-Za-z]{3} \d{1,2}, \d{4}"),
-    ("MMMM d, yyyy", r"[A-Za-z]{4,9} \d{1,2}, \d{4}"), ("d MMM yyyy", r"\d{1,2} [A-Za-z]{3} \d{4}"), ("d MMMM yyyy", r"\d{1,2} [A-Za-z]{4,9} \d{4}"),
-    ("MMM d yyyy", r"[A-Za-z]{3} \d{1,2} \d{4}"), ("MMMM d yyyy", r"[A-Za-z]{4,9} \d{1,2} \d{4}"),
-)
-WEEKDAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
-
 
 def dedupe_labels(df: DataFrame, page: str, label: str, order: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(page, label).orderBy(order))
@@ -52,65 +44,6 @@ def parse_pipe_tables(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return sized.select(key, "table_no", row_no.alias("row_no"), cells.alias("cells"))
 
 
-def parse_date(text: Column) -> Column:
-    """By the one of nine formats that the text looks like, weekday and ordinal endings left out; so a parser that fails, which is slow,
-    is hardly ever run."""
-    t = strip(F.regexp_replace(F.regexp_replace(text, rf"(?i)\b({WEEKDAYS})\b,?", ""), r"(?i)(\d)(st|nd|rd|th)\b", "$1"))
-    out = F.lit(None).cast("date")
-    for form, shape in DATE_FORMATS[::-1]:
-        out = F.when(t.rlike(f"^{shape}$"), F.try_to_date(t, form)).otherwise(out)
-    return out
-
-
-def normalize_milestones(df: DataFrame, text: Column, as_of: Column) -> DataFrame:
-    """Adds dates (array) and confidence: parts at '&', each dated or, without a year, given the year near as_of whose weekday fits."""
-    parts = F.transform(F.split(text, "&"), strip)
-    dated = F.transform(parts, parse_date)
-    year = F.year(as_of)
-
-    def guess(part):
-        weekday = F.lower(F.regexp_extract(part, rf"(?i)({WEEKDAYS})", 1))
-        options = F.transform(
-            F.array(F.lit(0), F.lit(1), F.lit(-1)),
-            lambda d: F.struct(parse_date(F.concat(part, F.lit(" "), (year + d).cast("string"))).alias("date"), d.alias("d")),
-        )
-        fit = lambda o: F.lower(F.date_format(o["date"], "EEEE")) == weekday
-        near = lambda o: F.abs(F.datediff(o["date"], as_of)) <= 180
-        score = lambda o: F.when(fit(o) & near(o), 3).when(near(o), 2).when(fit(o), 1).otherwise(0)
-        ranked = F.transform(options, lambda o: F.struct(score(o).alias("score"), (-F.abs(o["d"] * 2 + F.when(o["d"] < 0, -1).otherwise(0))).alias("near"), o["date"].alias("date"), fit(o).alias("fits")))
-        return F.array_max(F.filter(ranked, lambda o: o["date"].isNotNull()))
-
-    none = F.lit(None).cast("struct<score:int,near:int,date:date,fits:boolean>")
-    guessed = F.zip_with(parts, dated, lambda p, d: F.when(d.isNull(), guess(p)).otherwise(none))
-    dates = F.zip_with(dated, guessed, lambda d, g: F.coalesce(d, g["date"]))
-    levels = F.zip_with(dated, guessed, lambda d, g: F.when(d.isNotNull(), 3).when(g["fits"], 2).when(g["date"].isNotNull(), 1).otherwise(0))
-    return df.withColumn("dates", dates).withColumn("confidence", F.element_at(F.array(*map(F.lit, ("unknown", "low", "medium", "high"))), F.array_min(levels) + 1))
-
-
-def normalize_scholarships(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, benefit, eligibility, duration: each sentence goes to the first kind whose words it has."""
-    kind = F.when(F.lower("s").rlike("waiver|percent|%|stipend|tuition|benefit"), "benefit").when(F.lower("s").rlike("eligib|cgpa|merit|must|require"), "eligibility").when(
-        F.lower("s").rlike("year|semester|duration|renew"), "duration"
-    )
-    rows = df.select(key, F.posexplode(F.split(text, r"(?<=[.;])\s+")).alias("pos", "s")).withColumn("kind", kind).filter("kind is not null")
-    pick = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "s")))), lambda x: x["s"]), " ")
-    return rows.groupBy(key).agg(*(pick(k).alias(k) for k in ("benefit", "eligibility", "duration")))
-
-
-def normalize_profile(text: Column) -> Column:
-    """Struct of name, designation, department and email from a profile's header lines."""
-    rows = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    find = lambda p: F.element_at(F.filter(rows, lambda x: F.lower(x).rlike(p)), 1)
-    has = lambda p: F.exists(rows, lambda x: F.lower(x).rlike(p))
-    safe = lambda p: F.when(has(p), find(p))
-    return F.struct(
-        F.when(F.size(rows) > 0, F.element_at(rows, 1)).alias("name"),
-        safe(r"\b(professor|lecturer|dean|chair|instructor)\b").alias("designation"),
-        safe(r"^department of ").alias("department"),
-        F.nullif(F.regexp_extract(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0), F.lit("")).alias("email"),
-    )
-
-
 def heading_fill(rows: DataFrame, key: str, heading: Column, order: str = "line_no") -> DataFrame:
     """Adds the latest heading of each line; heading lines themselves are left out."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

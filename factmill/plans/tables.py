@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from factmill.functions import text as T
 from factmill.functions import urls as U
-from factmill.operators import citations, extract, joins, lifecycle, listings, pages
+from factmill.operators import citations, extract, joins, lifecycle, listings, pages, payloads
 
 from . import adapters as A
 from .adapters import RECORDS_SQL as REC
@@ -54,6 +56,12 @@ def md_sections(spark, sf_dir):
     return extract.split_md_sections(_markdown(spark, sf_dir), "doc_id")
 
 
+def _sql(v):
+    if isinstance(v, (list, tuple)):
+        return "CAST([" + ", ".join(map(_sql, v)) + "] AS VARCHAR[])"
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
 #: Fee tables with what they must give, written by hand: label, HTML, rows as sorted key=value, table kind, currency, audience, cycle, total, warnings.
 #: # stands for the page's number.
 FEES = (
@@ -68,12 +76,6 @@ FEES = (
 )
 
 
-def _sql(v):
-    if isinstance(v, list):
-        return "CAST([" + ", ".join(map(_sql, v)) + "] AS VARCHAR[])"
-    return "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'"
-
-
 def _rows_text(rows):
     pair = lambda e: F.concat(e["key"], F.lit("="), e["value"])
     return F.transform(rows, lambda r: F.array_join(F.array_sort(F.transform(F.map_entries(r), pair)), ";"))
@@ -124,10 +126,11 @@ def pipe_tables(spark, sf_dir):
 @query(
     "l2_milestone_dates",
     """
-WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
-SELECT o_orderkey, [d, d + 3] AS dates, 'high' AS confidence FROM d""",
+WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), p AS (SELECT o_orderkey, [x FOR x IN [d, d + 3] IF year(x) >= 2000] AS dates FROM d)
+SELECT o_orderkey, dates, CASE WHEN len(dates) = 2 THEN 'high' ELSE 'unknown' END AS confidence, CASE WHEN len(dates) = 2 THEN 'explicit' ELSE 'unknown' END AS resolution FROM p""",
 )
 def milestone_dates(spark, sf_dir):
+    """Ranges in five forms; years of the last century aren't read."""
     o = A.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
     k = F.col("o_orderkey") % 5
     day = lambda c: (
@@ -135,7 +138,7 @@ def milestone_dates(spark, sf_dir):
         .when(k == 3, F.date_format(c, "d MMM yyyy")).otherwise(F.date_format(c, "dd-MM-yyyy"))
     )
     text = F.concat(day(F.col("d")), F.lit(" & "), day(F.date_add("d", 3)))
-    return extract.normalize_milestones(o, text, F.lit("2024-07-01").cast("date")).select("o_orderkey", "dates", "confidence")
+    return payloads.normalize_milestones(o, text, F.lit("2024-07-01").cast("date")).select("o_orderkey", "dates", "confidence", "resolution")
 
 
 @query(
@@ -146,7 +149,56 @@ WITH d AS (SELECT o_orderkey, DATE '2024-07-01' + CAST(o_orderkey % 121 - 60 AS
 def inferred_years(spark, sf_dir):
     d = F.date_add(F.lit("2024-07-01").cast("date"), (F.col("o_orderkey") % 121 - 60).cast("int"))
     o = A.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(d, "EEEE, MMMM d").alias("t"))
-    return extract.normalize_milestones(o, F.col("t"), F.lit("2024-07-01").cast("date")).select("o_orderkey", "dates", "confidence")
+    return payloads.normalize_milestones(o, F.col("t"), F.lit("2024-07-01").cast("date")).select("o_orderkey", "dates", "confidence")
+
+
+#: What a query puts in place of ~: up to eight groups of four small letters of the document.
+WORDS_SQL = "coalesce(nullif(array_to_string(regexp_extract_all(coalesce(text, ''), '[a-z]{4}')[1:8], ' '), ''), 'texts without words')"
+
+
+def _words():
+    return F.coalesce(F.nullif(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[a-z]{4}"), F.lit(0)), 1, 8), " "), F.lit("")), F.lit("texts without words"))
+
+
+def _case(spark, sf_dir, cases, schema: str):
+    """doc_id and the case of each document: a struct read from JSON, with the document's words in place of ~."""
+    pattern = F.element_at(F.array(*(F.lit(json.dumps(c)) for c in cases)), (F.col("doc_id") % len(cases) + 1).cast("int"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.from_json(F.replace(pattern, F.lit("~"), _words()), schema).alias("c"))
+
+
+def _expected(cases, names: str, kinds: str = "") -> str:
+    """SQL: doc_id and the values that the documents' cases must give."""
+    rows = ", ".join("(" + ", ".join(map(_sql, (n, *c))) + ")" for n, c in enumerate(cases))
+    filled = ", ".join(n if n in kinds.split(", ") else f"replace({n}, '~', words) AS {n}" for n in names.split(", "))
+    return f"WITH c(n, {names}) AS (VALUES {rows}), d AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents) SELECT doc_id, {filled} FROM d JOIN c ON n = doc_id % {len(cases)}"
+
+
+#: Milestones as of 2024-07-01 with what they must give, written by hand: label, text; name, dates, confidence, resolution, scope.
+MILESTONES = (
+    ((" Last date : ", "Monday, July 1st, 2024 & 3rd July 2024"), "Last date", ("2024-07-01", "2024-07-03"), "high", "explicit", "last-date"),
+    (("Test -  day -", "Friday, 5 Jul"), "Test - day", ("2024-07-05",), "medium", "weekday_inferred", "test-day"),
+    (("Result", "Tuesday, January 2"), "Result", ("2025-01-02",), "low", "weekday_inferred", "result"),
+    (("Fee", "July 1"), "Fee", (), "unknown", "unknown", "fee"),
+    (("Merit", "31-12-2024 & TBA"), "Merit", ("2024-12-31",), "unknown", "unknown", "merit"),
+    (("Class", "Thursday, Feb 29 & 2024-2-9"), "Class", ("2024-02-29", "2024-02-09"), "medium", "weekday_inferred", "class"),
+    ((":", " & "), "", (), "unknown", "unknown", ""),
+    (("Form", "15/08/1999"), "Form", (), "unknown", "unknown", "form"),
+    (("Open", "Sunday,  September 1 & Monday, 2 Sept"), "Open", ("2024-09-01",), "unknown", "weekday_inferred", "open"),
+    (("Close", "feb 30, 2024 & ~"), "Close", (), "unknown", "unknown", "close"),
+    (("Second list", "WEDNESDAY 3RD JULY &8/9/2024&"), "Second list", ("2024-07-03", "2024-09-08"), "medium", "weekday_inferred", "second-list"),
+    (("Third | list", "2024|1|2"), "Third | list", (), "unknown", "unknown", "third-list"),
+)
+
+
+@query(
+    "l2_milestones",
+    f"""SELECT * REPLACE (CAST(dates AS DATE[]) AS dates, 'admissions_cycle:undergraduate-or-general-admissions:' || scope AS scope) FROM ({_expected([c[1:] for c in MILESTONES], "milestone, dates, confidence, resolution, scope", "dates")})"""
+)
+def milestones(spark, sf_dir):
+    """Names, ranges, inferred years and scopes."""
+    d = _case(spark, sf_dir, [dict(zip(("label", "text"), c[0])) for c in MILESTONES], "label string, text string")
+    out = payloads.normalize_milestones(d, F.col("c.text"), F.lit("2024-07-01").cast("date"))
+    return out.select("doc_id", payloads.milestone_name(F.col("c.label")).alias("milestone"), "dates", "confidence", "resolution", payloads.milestone_scope(F.col("c.label")).alias("scope"))
 
 
 #: Citations with what they must give, written by hand: text, form, authors, title, venue, year. ~ stands for words of the document.
@@ -196,10 +248,6 @@ CITATIONS = (
 )
 
 
-def _sql(v):
-    return "NULL" if v is None else f"""'{v.replace("'", "''")}'""" if isinstance(v, str) else "CAST([" + ", ".join(map(_sql, v)) + "] AS VARCHAR[])" if isinstance(v, tuple) else str(v)
-
-
 @query(
     "l8_citations",
     f"""
@@ -209,32 +257,76 @@ d AS (SELECT doc_id, form, authors, replace(title, '~', coalesce(nullif(array_to
 SELECT *, concat_ws('. ', array_to_string(authors, ', '), '(' || year || ')', title, venue) AS citation_text FROM d""",
 )
 def citation_parts(spark, sf_dir):
-    words = F.coalesce(F.nullif(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[a-z]{4}"), F.lit(0)), 1, 8), " "), F.lit("")), F.lit("texts without words"))
     pattern = F.element_at(F.array(*(F.lit(c[0]) for c in CITATIONS)), (F.col("doc_id") % len(CITATIONS) + 1).cast("int"))
-    d = A.table(spark, sf_dir, "documents").select("doc_id", F.replace(pattern, F.lit("~"), words).alias("citation"))
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.replace(pattern, F.lit("~"), _words()).alias("citation"))
     return d.select("doc_id", citations.parse_citation(F.col("citation")).alias("c")).select("doc_id", "c.*").drop("raw_citation")
 
 
-@query(
-    "l6_scholarships",
-    "SELECT doc_id, 'A ' || source || ' tuition waiver.' AS benefit, 'Students must have merit.' AS eligibility, CASE WHEN doc_id % 2 = 0 THEN 'For four years.' ELSE '' END AS duration FROM documents",
+#: Rows of scholarship tables with what they must give, written by hand: columns, text, cells; name, benefit, eligibility, duration, type.
+SCHOLARSHIPS = (
+    (({"Scholarship Name": "~ Award", "Support": "Full ~", "Criteria": "GPA of ~", "Tenure": "4 years", "Type": "Merit"}, "unread", []), "~ Award", "Full ~", "GPA of ~", "4 years", "Merit"),
+    (({"Sr.": "1", "Program": "~ Grant", "Details": "-100% tuition fee waiver for ~ -For four years -Top 5 of the admitted"}, "", []), "~ Grant", "100% tuition fee waiver for ~", "Top 5 of the admitted", "For four years", None),
+    ((None, "unread -Stipend of ~ -Full-time student", ["1.", "~ Stipend"]), "~ Stipend", "Stipend of ~", "Full-time student", None, None),
+    ((None, "4. ~ Award -Fee discount Slabs: 50% to 100% -Open to faculty", []), "~ Award", "50% to 100%", "Fee discount; Open to faculty", None, None),
+    (({}, "~ Prize -Waiver of ~ , CGPA of 3.5 or more -For two years -For three years", None), "~ Prize", "Waiver of ~", "CGPA of 3.5 or more", "For three years", None),
+    (({}, "~ aid - stipend, all enrolled", []), "~ aid - stipend, all enrolled", "stipend", "all enrolled", None, None),
+    (({}, "", ["merit", "2)", None]), None, None, None, None, None),
+    (({"DETAILS": "Waiver of ~", "Eligibility": "Top 3 of the admitted"}, None, []), "Waiver of ~", "Waiver of ~", "Top 3 of the admitted", None, None),
+    (({"Benefits": "", "Benefit": "Support of ~", "#": "9"}, "", ["stipend", "~ Fund"]), "~ Fund", "Support of ~", None, None, None),
+    (({"Type": "Need"}, "1. ~ Grant -Rs. 5,000 monthly -Government servants -Anything else", []), "~ Grant", "Rs. 5,000 monthly", "Government servants; Anything else", None, "Need"),
+    (({"name": "~ Loan", "Detail": "~ only"}, "", []), "~ Loan", "~ only", None, None, None),
+    (({}, "~ Hope -Top 2 of the admitted waiver of ~ -- -Armed forces", []), "~ Hope", None, "Top 2 of the admitted waiver of ~ --; Armed forces", None, None),
 )
+
+
+@query("l6_scholarships", _expected([c[1:] for c in SCHOLARSHIPS], "name, benefit, eligibility, duration, type"))
 def scholarships(spark, sf_dir):
-    text = F.concat(F.lit("A "), "source", F.lit(" tuition waiver. Students must have merit. Hello. "), F.when(F.col("doc_id") % 2 == 0, "For four years.").otherwise(""))
-    return extract.normalize_scholarships(A.table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id")
+    """Named columns, names found elsewhere, texts cut by dashes, slabs, parts that say two things."""
+    cases = [dict(zip(("columns", "raw", "cells"), c[0])) for c in SCHOLARSHIPS]
+    d = _case(spark, sf_dir, cases, "columns map<string,string>, raw string, cells array<string>")
+    return d.select("doc_id", payloads.scholarship_payload(F.col("c.columns"), F.col("c.raw"), F.col("c.cells")).alias("p")).select("doc_id", "p.*")
+
+
+#: Profiles with what they must give, written by hand: lines under the name, biography; the columns of profile_payload.
+PROFILES = (
+    (([" Professor and Dean, Faculty of Sciences ", "", "PhD (Physics)", "Head"], "Gallery\nStudies  ~\nImage 2 of 9\nand more."), "Professor and Dean, Faculty of Sciences", "PhD (Physics)", "Head", "Professor", "Dean", None, "Faculty of Science", "Studies ~ and more."),
+    ((["Lecturer, Chairperson - Department of Computer and Software Engineering"], "Taught ~ at the Faculty of Engineering"), "Lecturer, Chairperson - Department of Computer and Software Engineering", None, None, "Lecturer", "Chairperson", "Department of Computer & Software Engineering", "Faculty of Engineering", "Taught ~ at the Faculty of Engineering"),
+    ((["Vice Chancellor, School of Business and Management"], "Previous\nNext"), "Vice Chancellor, School of Business and Management", None, None, "Vice Chancellor", None, None, None, None),
+    ((["MS Systems", "BSc Honours", "Associate Professor and Head of Labs"], "Works on ~ previous next here ×"), "BSc Honours", "MS Systems", "Associate Professor and Head of Labs", "BSc Honours", None, None, None, "Works on ~ here"),
+    (([], None), None, None, None, None, None, None, None, None),
+    ((["Assistant Professor, Director"], "￩ x × ~ and so on ￫ x ×;"), "Assistant Professor, Director", None, None, "Assistant Professor", "Director", None, None, "~ and so on"),
+    ((["Chair, Department of Economics, School of Arts"], "of ~ x ×"), "Chair, Department of Economics, School of Arts", None, None, "Chair", None, "Department of Economics", None, "of ~"),
+    ((["Visiting Professor and Vice Chancellor of Old Halls", "faculty of  humanities"], "- ~ next; x"), "Visiting Professor and Vice Chancellor of Old Halls", None, "faculty of  humanities", "Visiting Professor", "Vice Chancellor of Old Halls", None, "faculty of  humanities", "~ next; x"),
+    ((["School of Music, Dean: School of Business & Management"], "\r\n image 3 of 4 \r\n"), "School of Music, Dean: School of Business & Management", None, None, "School of Music", "Dean", "School of Business & Management", None, None),
+)
 
 
 @query(
     "l7_profiles",
-    "SELECT doc_id, 'Dr ' || source AS name, CASE WHEN doc_id % 2 = 0 THEN 'Assistant Professor' END AS designation, 'Department of ' || lang AS department, CASE WHEN doc_id % 3 = 0 THEN source || '@x.edu' END AS email FROM documents",
+    _expected([c[1:] for c in PROFILES], "designation_text, qualification_text, role_text, designation, role, department_label, faculty_label, biography_text"),
 )
 def profiles(spark, sf_dir):
+    """Header lines, designations with roles and departments, faculties by their usual names, cleaned biographies."""
+    d = _case(spark, sf_dir, [dict(zip(("header", "biography"), c[0])) for c in PROFILES], "header array<string>, biography string")
+    return d.select("doc_id", payloads.profile_payload(F.col("c.header"), F.col("c.biography")).alias("p")).select("doc_id", "p.*")
+
+
+@query(
+    "c46_payload_json",
+    """
+SELECT doc_id, '{"id":' || doc_id || ',"day":"' || CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS VARCHAR) || '","share":"' || CAST(CAST(doc_id % 7 AS DECIMAL(6, 2)) AS VARCHAR)
+  || '","cells":[{"row":1,"box":' || CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE '{"left":0.5}' END || '},null],"counts":{"' || doc_id % 5 || '":[' || doc_id || ',null]},"lang":' || coalesce('"' || lang || '"', 'null') || '}' AS json FROM documents""",
+)
+def payload_json(spark, sf_dir):
+    """Nested payloads: hidden fields go at every level, nulls stay."""
     i = F.col("doc_id")
-    text = F.concat(
-        F.lit("\nDr "), "source", F.lit("\n"), F.when(i % 2 == 0, "Assistant Professor\n").otherwise(""), F.lit("  Department of "), "lang", F.lit("\n"),
-        F.when(i % 3 == 0, F.concat("source", F.lit("@x.edu"))).otherwise(""),
+    box = F.when(i % 2 != 0, F.struct(F.lit(0.5).cast("double").alias("left"), F.lit(1).alias("_x")))
+    cell = F.struct(F.lit(1).alias("row"), box.alias("box"), F.lit("h").alias("_hidden"))
+    payload = F.struct(
+        i.alias("id"), F.col("text").alias("_text"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 300).cast("int")).alias("day"), (i % 7).cast("decimal(6,2)").alias("share"),
+        F.array(cell, F.lit(None)).alias("cells"), F.create_map(i % 5, F.array(i, F.lit(None))).alias("counts"), "lang",
     )
-    return A.table(spark, sf_dir, "documents").select("doc_id", extract.normalize_profile(text).alias("p")).select("doc_id", "p.*")
+    return payloads.serialize_payload(A.table(spark, sf_dir, "documents").select("doc_id", payload.alias("payload")), "payload").select("doc_id", "json")
 
 
 @query(
