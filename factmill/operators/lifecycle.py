@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factmill.functions.urls import HIGH_RISK, canonicalize_url, classify_source
+
 from .dedupe import contradictory_scopes, duplicate_violations, resolve_duplicates
-from .filters import can_serve
+from .filters import can_serve, is_crawlable, is_refresh_due
 
 REMOVABLE = ("faculty_profile", "faculty_publication", "faculty_award", "faculty_affiliation", "merit_list", "document_asset")
 
@@ -101,9 +103,43 @@ def upsert_sources(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def rebind_urls(sources: DataFrame, moved: DataFrame) -> DataFrame:
-    """Rename URLs by moved (old_url, new_url); rows that meet are merged."""
-    named = sources.join(moved, sources.source_url == moved.old_url, "left").withColumn("source_url", F.coalesce("new_url", "source_url"))
-    return named.groupBy("source_url").agg(F.bool_or("is_active").alias("is_active"), F.max("legal_status").alias("legal_status"))
+    """Rename URLs by moved (old_url, new_url), all at once and one step far; moves of unknown URLs, to null or to the same URL do nothing.
+
+    Rows that meet at a URL become one: the row that was there before, else that of the smallest old URL. It takes the newest of each
+    timestamp, is active if any was, and keeps its link text unless that is empty: then the next row's. Children of a moved row
+    follow it. A row that was moved or met is classified anew by its URL. Columns but source_url may be missing."""
+    known = sources.select(F.col("source_url").alias("old_url")).distinct()
+    moves = moved.filter("old_url <> new_url").groupBy("old_url").agg(F.min("new_url").alias("new_url")).join(known, "old_url", "left_semi")
+    first = F.struct(F.col("new_url").isNotNull(), "source_url")
+    named = sources.join(moves, sources.source_url == moves.old_url, "left").drop("old_url")
+    if "parent_source_url" in sources.columns:
+        parents = moves.select(F.col("old_url").alias("parent_source_url"), F.col("new_url").alias("_parent"))
+        named = named.join(parents, "parent_source_url", "left").withColumn("parent_source_url", F.coalesce("_parent", "parent_source_url")).drop("_parent")
+
+    def merged(c: str) -> Column:
+        if c in ("last_crawled_at", "last_seen_at", "last_successful_crawl_at"):
+            return F.max(c)
+        if c == "is_active":
+            return F.bool_or(c)
+        if c == "link_text":
+            return F.coalesce(F.min_by(c, F.when(F.col(c) != "", first)), F.min_by(c, first))
+        return F.min_by(F.struct(c), first)[c]
+
+    rest = [c for c in sources.columns if c != "source_url"]
+    out = named.groupBy(F.coalesce("new_url", "source_url").alias("_url")).agg(*(merged(c).alias(c) for c in rest), F.bool_or(F.col("new_url").isNotNull()).alias("_moved"))
+    anew = {"source_class": classify_source, "canonical_url": canonicalize_url}
+    kept = (F.when(F.col("_moved"), anew[c](F.col("_url"))).otherwise(F.col(c)).alias(c) if c in anew else F.col(c) for c in rest)
+    return out.select(F.col("_url").alias("source_url"), *kept)
+
+
+def rebind_records(records: DataFrame, moved: DataFrame) -> DataFrame:
+    """Records (or snapshots) of moved sources carry the new URL."""
+    moves = moved.filter("old_url <> new_url").groupBy("old_url").agg(F.min("new_url").alias("_url"))
+    named = records.join(moves, records.source_url == moves.old_url, "left").drop("old_url")
+    anew = {"source_url": F.coalesce("_url", "source_url")}
+    if "canonical_url" in records.columns:
+        anew["canonical_url"] = F.coalesce(canonicalize_url(F.col("_url")), "canonical_url")
+    return named.select(*(anew[c].alias(c) if c in anew else F.col(c) for c in records.columns))
 
 
 def affected_closure(records: DataFrame, keys: list[str], anchor: Column, most_rounds: int = 50) -> DataFrame:
@@ -144,22 +180,37 @@ def reset_serving(records: DataFrame) -> DataFrame:
     return records.withColumn("new_serving", F.when(serving == "indexed_active", "eligible").otherwise(serving))
 
 
-def select_due_sources(sources: DataFrame, due: Column, limit: int) -> DataFrame:
-    """Crawlable sources that are due: high-risk classes first, then by URL; a bounded top-k."""
-    from factmill.functions.urls import HIGH_RISK
-
-    rank = F.when(F.col("source_class").isin(*HIGH_RISK), 0).otherwise(1)
-    return sources.filter(due).withColumn("rank", rank).orderBy("rank", "source_url").limit(limit)
+def select_due_sources(sources: DataFrame, now: Column, limit: int | None = None, force: bool = False, watch: DataFrame | None = None) -> DataFrame:
+    """Sources to visit: crawlable, and due by their policy unless forced. First classes of high risk, those of the watch list
+    (source_url, place) in its order, then the others; then research subdomains; then the rest; by URL where they tie.
+    Adds rank and place (null off the list). With a limit this is a bounded top-k."""
+    due = sources.filter(is_crawlable() if force else is_crawlable() & is_refresh_due(F.col("refresh_policy"), F.col("source_class"), F.col("last_crawled_at"), now))
+    rank = F.when(F.col("source_class").isin(*HIGH_RISK), 0).when(F.col("source_class") == "research_subdomain", 1).otherwise(2)
+    ranked = due.withColumn("rank", rank)
+    if watch is None:
+        listed = ranked.withColumn("place", F.lit(None).cast("int"))
+    else:
+        places = watch.groupBy("source_url").agg(F.min("place").alias("place"))
+        listed = ranked.join(places, "source_url", "left").withColumn("place", F.when(F.col("rank") == 0, F.col("place")))
+    ordered = listed.orderBy("rank", F.asc_nulls_last("place"), "source_url")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("source_id").agg(F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("snapshot_id"))
 
 
+#: What the queue shows of an event and of its record, if the tables have it.
+QUEUE_EVENT = ("event_id", "record_version_id", "reason", "conflicting_record_ids", "notes", "created_at")
+QUEUE_RECORD = ("record_id", "record_type", "source_url", "source_locator", "freshness", "verification", "serving")
+
+
 def review_queue(events: DataFrame, records: DataFrame) -> DataFrame:
-    """Pending reviews with what is known of their record."""
-    pending = events.filter("status = 'pending'")
-    return pending.join(records.select("record_version_id", "record_type", "source_url"), "record_version_id")
+    """Pending manual reviews with what is known of their record, in the order of versions, then of events; events of unknown versions
+    are left out."""
+    pending = events.filter("event_type = 'manual_review_required' and status = 'pending'").select(*(c for c in QUEUE_EVENT if c in events.columns))
+    shown = records.select("record_version_id", *(c for c in QUEUE_RECORD if c in records.columns))
+    return pending.join(shown, "record_version_id").orderBy("record_version_id", *(c for c in ("event_id",) if c in pending.columns))
 
 
 def mark_indexed(records: DataFrame, indexed: DataFrame) -> DataFrame:

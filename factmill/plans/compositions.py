@@ -18,14 +18,38 @@ query = Catalog()
 QUERIES, ORACLE = query.queries, query.oracle
 
 
-@query(
-    "g4_select_due",
-    f"""
-WITH {SRC} SELECT source_url, CASE WHEN source_class = 'admissions_cycle' THEN 0 ELSE 1 END AS rank FROM src WHERE is_active AND coalesce(legal_status, 'allowed') <> 'blocked' ORDER BY rank, source_url LIMIT 10""",
-)
+# Sources with all that a choice of the next visits needs, and a watch list.
+DUE_SQL = f"""{SRC}, s AS (
+  SELECT source_url, is_active, legal_status, n, CASE WHEN n % 8 = 0 THEN 'research_subdomain' ELSE source_class END AS kind, n % 16 = 0 AS open,
+    CASE WHEN n % 5 <> 0 THEN n % 9 * 24 END AS hours, n % 3 = 1 AS by_hand, CASE WHEN n % 4 = 1 AND n % 3 = 2 THEN 24 ELSE 168 END AS pause, CASE WHEN n % 12 IN (1, 5) THEN 100 - n END AS listed
+  FROM (SELECT *, CAST(regexp_extract(source_url, '[0-9]+') AS INTEGER) AS n FROM src)),
+due AS (SELECT source_url, CASE kind WHEN 'admissions_cycle' THEN 0 WHEN 'research_subdomain' THEN 1 ELSE 2 END AS rank, CASE WHEN kind = 'admissions_cycle' THEN listed END AS place, NOT by_hand AND (hours IS NULL OR hours >= pause) AS due
+  FROM s WHERE is_active AND coalesce(legal_status, 'allowed') <> 'blocked' AND (kind <> 'research_subdomain' OR open))"""
+
+
+def _due(spark, sf_dir, **more):
+    n, now = F.regexp_extract("source_url", "[0-9]+", 0).cast("int"), F.lit("2024-07-01").cast("timestamp_ntz")
+    s = A.sources(spark, sf_dir).withColumns(
+        {
+            "source_class": F.when(n % 8 == 0, "research_subdomain").otherwise(F.col("source_class")),
+            "crawl_status": F.when(n % 16 == 0, "unverified").otherwise("blocked"),
+            "refresh_policy": F.when(n % 3 == 0, "weekly").when(n % 3 == 1, "manual_only").otherwise("daily_during_season_weekly_otherwise"),
+            "last_crawled_at": F.when(n % 5 != 0, F.timestamp_add("DAY", -(n % 9), now)),
+        }
+    )
+    watch = s.filter((n % 12).isin(1, 5)).select("source_url", (100 - n).alias("place"))
+    return lifecycle.select_due_sources(s, now, watch=watch, **more).select("source_url", "rank", "place")
+
+
+@query("g4_select_due", f"WITH {DUE_SQL} SELECT source_url, rank, place FROM due WHERE due ORDER BY rank, place NULLS LAST, source_url LIMIT 10")
 def select_due(spark, sf_dir):
-    due = F.col("is_active") & (F.coalesce("legal_status", F.lit("allowed")) != "blocked")
-    return lifecycle.select_due_sources(A.sources(spark, sf_dir), due, 10).select("source_url", "rank")
+    """The next ten visits: a report."""
+    return _due(spark, sf_dir, limit=10)
+
+
+@query("g4_select_forced", f"WITH {DUE_SQL} SELECT source_url, rank, place FROM due")
+def select_forced(spark, sf_dir):
+    return _due(spark, sf_dir, force=True)
 
 
 @query(
@@ -70,12 +94,18 @@ def latest_snapshot(spark, sf_dir):
 @query(
     "d7_review_queue",
     f"""
-WITH {REC}, base AS (SELECT * FROM rec), {DECIDE} SELECT record_version_id, CASE decision WHEN 'conflict' THEN 'same_tier_conflict' ELSE 'ambiguous_date' END AS review, record_type, source_url FROM decided WHERE decision IN ('conflict', 'ambiguous')""",
+WITH {REC}, base AS (SELECT * FROM rec), {DECIDE} SELECT 'e' || record_version_id AS event_id, record_version_id, CASE decision WHEN 'conflict' THEN 'same_tier_conflict' ELSE 'ambiguous_date' END AS reason, fetched_at AS created_at,
+  record_id, record_type, source_url, freshness, verification, serving FROM decided WHERE decision IN ('conflict', 'ambiguous') AND doc_id % 3 <> 0""",
 )
 def review_queue(spark, sf_dir):
+    """Every third event is settled, and there are events of other kinds."""
     r = A.records(spark, sf_dir)
-    events = versions.decide(r, F.lit("2024-07-01").cast("date")).filter("review is not null").select("record_version_id", "review", F.lit("pending").alias("status"))
-    return lifecycle.review_queue(events, r).drop("status")
+    decided = versions.decide(r, F.lit("2024-07-01").cast("date")).filter("review is not null").select("record_version_id", F.col("review").alias("reason"))
+    done = F.when(F.substring("record_version_id", 2, 20).cast("long") % 3 == 0, "approved").otherwise("pending")
+    events = decided.join(r.select("record_version_id", F.col("fetched_at").alias("created_at")), "record_version_id").withColumns(
+        {"event_id": F.concat(F.lit("e"), "record_version_id"), "event_type": F.lit("manual_review_required"), "status": done}
+    )
+    return lifecycle.review_queue(events.union(events.withColumn("event_type", F.lit("verified"))), r)
 
 
 @query(

@@ -547,16 +547,45 @@ def upsert_sources(spark, sf_dir):
     return lifecycle.upsert_sources(s.filter("source_class <> 'faculty'"), new, "source_url")
 
 
+# Sources of some classes that move: to one new URL, or to the first URL of their host.
+MOVED_SQL = f"""{SRC}, m AS (SELECT *, CAST(regexp_extract(source_url, '[0-9]+') AS INTEGER) AS n, ascii(right(source_url, 1)) AS k, regexp_replace(source_url, '[a-z]+$', 'en') AS parent,
+  CASE source_class WHEN 'policy' THEN 'https://merged.example.edu/admissions/x' WHEN 'document_asset' THEN min(source_url) OVER (PARTITION BY regexp_extract(source_url, '[0-9]+')) ELSE source_url END AS u FROM src),
+s AS (SELECT * REPLACE (coalesce(p.u, parent) AS parent), m.u <> m.source_url AS moved, CASE WHEN n % 3 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(n * 7 % 100 + k AS INTEGER)) END AS seen,
+  CASE WHEN k % 2 = 0 THEN '' ELSE 'L' || m.source_url END AS label FROM m LEFT JOIN (SELECT source_url AS old, u FROM m) p ON p.old = m.parent)"""
+
+
+def _moved(spark, sf_dir):
+    """Sources with times, links and parents, and moves of some."""
+    n, k = F.regexp_extract("source_url", "[0-9]+", 0).cast("int"), F.ascii(F.right("source_url", F.lit(1)))
+    s = A.sources(spark, sf_dir).withColumns(
+        {
+            "last_seen_at": F.when(n % 3 != 0, F.timestamp_add("DAY", n * 7 % 100 + k, F.lit("2024-01-01").cast("timestamp_ntz"))),
+            "link_text": F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("L"), "source_url")),
+            "parent_source_url": F.regexp_replace("source_url", "[a-z]+$", "en"),
+        }
+    )
+    hosts = s.filter("source_class = 'document_asset'").groupBy(n.alias("n")).agg(F.min("source_url").alias("new_url"))
+    near = s.filter("source_class = 'document_asset'").select(F.col("source_url").alias("old_url"), n.alias("n")).join(hosts, "n").select("old_url", "new_url")
+    far = s.filter("source_class = 'policy'").select(F.col("source_url").alias("old_url"), F.lit("https://merged.example.edu/admissions/x").alias("new_url"))
+    gone = s.select(F.concat("source_url", F.lit("/gone")).alias("old_url"), F.lit("https://x.example.edu/").alias("new_url"))
+    return s, near.union(far).union(gone)
+
+
 @query(
     "d19_rebind_urls",
     f"""
-WITH {SRC}, m AS (SELECT *, CASE WHEN source_class = 'policy' THEN 'https://merged.example.edu/' ELSE source_url END AS u FROM src)
-SELECT u AS source_url, bool_or(is_active) AS is_active, max(legal_status) AS legal_status FROM m GROUP BY u""",
+WITH {MOVED_SQL} SELECT u AS source_url, bool_or(is_active) AS is_active, first(legal_status ORDER BY moved, source_url) AS legal_status, max(seen) AS last_seen_at,
+  coalesce(first(label ORDER BY moved, source_url) FILTER (label <> ''), '') AS link_text, first(parent ORDER BY moved, source_url) AS parent_source_url,
+  CASE WHEN NOT bool_or(moved) THEN first(source_class) WHEN u LIKE '%/admissions/x' THEN 'program' ELSE 'general' END AS source_class FROM s GROUP BY u""",
 )
 def rebind_urls(spark, sf_dir):
-    s = A.sources(spark, sf_dir)
-    moved = s.filter("source_class = 'policy'").select(F.col("source_url").alias("old_url"), F.lit("https://merged.example.edu/").alias("new_url"))
-    return lifecycle.rebind_urls(s, moved)
+    """Moves to a new URL, into a row that is there, of unknown URLs, and to the same URL."""
+    return lifecycle.rebind_urls(*_moved(spark, sf_dir))
+
+
+@query("d19_rebind_records", f"WITH {REC}, {MOVED_SQL} SELECT record_version_id, u AS source_url FROM rec JOIN m USING (source_url)")
+def rebind_records(spark, sf_dir):
+    return lifecycle.rebind_records(A.records(spark, sf_dir), _moved(spark, sf_dir)[1]).select("record_version_id", "source_url")
 
 
 @query(
