@@ -90,12 +90,12 @@ def strip_nav_list_items(text: Column) -> Column:
 
 
 def extract_links(text: Column) -> Column:
-    """Array of (text, url) of Markdown links; images are left out."""
-    plain = strip_md_images(text)
-    pattern = F.lit(r"\[([^\]]*)\]\(([^)\s]+)[^)]*\)")
-    return F.arrays_zip(
-        F.regexp_extract_all(plain, pattern, F.lit(1)).alias("text"), F.regexp_extract_all(plain, pattern, F.lit(2)).alias("url")
-    )
+    """Array of (text, url) of Markdown links, targets as they stand; images are left out. A line break before the closing bracket is closed up."""
+    joined = F.regexp_replace(text, r"(?U)\[([^\]]*?)\s*\n\s*\]", "[$1]")
+    part = lambda i: F.regexp_extract_all(joined, F.lit(r"(!?)\[([^\]]+)\]\(([^)]+)\)"), F.lit(i))
+    found = F.arrays_zip(part(1).alias("image"), part(2).alias("text"), part(3).alias("url"))
+    trim = lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    return F.transform(F.filter(found, lambda x: x["image"] == ""), lambda x: F.struct(trim(x["text"]).alias("text"), x["url"].alias("url")))
 
 
 def extract_emails(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factmill.functions import text as T
 from factmill.functions import urls as U
-from factmill.operators import citations, extract, joins, lifecycle, listings, pages, payloads
+from factmill.operators import citations, extract, joins, lifecycle, listings, markdown, pages, payloads
 
 from . import adapters as A
 from .adapters import RECORDS_SQL as REC
@@ -166,6 +166,11 @@ def _case(spark, sf_dir, cases, schema: str):
     return A.table(spark, sf_dir, "documents").select("doc_id", F.from_json(F.replace(pattern, F.lit("~"), _words()), schema).alias("c"))
 
 
+def _expected_texts(cases, name: str) -> str:
+    """SQL: doc_id and the list of texts that the documents' cases must give."""
+    return _expected([(c[1],) for c in cases], name, name).replace(f"doc_id, {name} FROM", f"doc_id, list_transform({name}, lambda x: replace(x, '~', words)) AS {name} FROM")
+
+
 def _expected(cases, names: str, kinds: str = "") -> str:
     """SQL: doc_id and the values that the documents' cases must give."""
     rows = ", ".join("(" + ", ".join(map(_sql, (n, *c))) + ")" for n, c in enumerate(cases))
@@ -173,6 +178,71 @@ def _expected(cases, names: str, kinds: str = "") -> str:
     return f"WITH c(n, {names}) AS (VALUES {rows}), d AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents) SELECT doc_id, {filled} FROM d JOIN c ON n = doc_id % {len(cases)}"
 
 
+#: Markdown with the links it holds, as text>url, written by hand.
+LINKS = (
+    ("[ ~ ](https://x.edu/a \"A title\") and ![no](i.png)", ('~>https://x.edu/a "A title"',)),
+    ("[Lab  \n](/lab)[B](c)", ("Lab>/lab", "B>c")),
+    ("[![thumb](t.png)](video) [~](b)", ("![thumb>t.png", "~>b")),
+    ("![a[b](c) [](d) [e]() [f] (g)", ()),
+    ("[two\nlines ~\n  ](u v)", ("two\nlines ~>u v",)),
+    ("~", ()),
+)
+
+
+@query("c43_links", _expected_texts(LINKS, "links"))
+def links(spark, sf_dir):
+    """Titles, images, links broken over lines."""
+    d = _case(spark, sf_dir, [{"t": c[0]} for c in LINKS], "t string")
+    return d.select("doc_id", F.transform(T.extract_links(F.col("c.t")), lambda x: F.concat(x["text"], F.lit(">"), x["url"])).alias("links"))
+
+
+#: Markdown with its sections, as level, heading and body with what stands under it, written by hand.
+SECTIONS = (
+    ("lead ~\n# One\nbody\n## [Two](#x) more\n\n### **Three** ~\ndeep\n## Four\n\nlast\n# Five", ("0||lead ~", "1|One|body/deep/last", "2|Two|deep", "3|Three ~|deep", "2|Four|last", "1|Five|")),
+    ("  \n### A\na ~\n# B\nb\n###### C\nc\n#### D\nd\n##no\n####### no", ("3|A|a ~", "1|B|b/c/d^##no^####### no", "6|C|c", "4|D|d^##no^####### no")),
+    ("only ~", ("0||only ~",)),
+    (" \n ", ()),
+)
+
+
+@query("l5_section_trees", _expected_texts(SECTIONS, "sections") + " WHERE len(c.sections) > 0")
+def section_trees(spark, sf_dir):
+    """Headings with links and bold print, levels left out, bodies with those under them."""
+    d = _case(spark, sf_dir, [{"t": c[0]} for c in SECTIONS], "t string").select("doc_id", F.col("c.t").alias("text"))
+    rows = markdown.with_children(markdown.section_rows(d, "doc_id"), "doc_id")
+    line = F.concat_ws("|", "level", "heading", F.translate(F.replace("content", F.lit("\n\n"), F.lit("/")), "\n", "^"))
+    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", line.alias("l")))), lambda x: x["l"]).alias("sections"))
+
+
+@query("l5_find_sections", "SELECT doc_id, [0, 1, 3] AS found FROM documents")
+def find_sections(spark, sf_dir):
+    """Sections by words of their headings."""
+    text = F.concat(F.lit("# Results "), _words(), F.lit("\na\n## The RESULT\nb\n# Other "), _words(), F.lit("\nresult\n### Fivefold\nd"))
+    rows = markdown.section_rows(A.table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id")
+    return rows.filter(markdown.heading_has(F.col("heading"), "result", "FIVEfold")).groupBy("doc_id").agg(F.array_sort(F.collect_list("section")).alias("found"))
+
+
+#: Markdown with the rows of its tables, as table, row and sorted header=cell, written by hand.
+TABLES = (
+    ("~\n| **Fee** | Amount |\n|---|:-:|\n| ~ | **5** | over |\n| short |\nend\n| lone |\n\n| A |\n| ~ |", ("0.0 Amount=5;Fee=~", "0.1 Amount=;Fee=short", "1.0 A=~")),
+    ("|---|---|\n| a | ~ | c |\n| b |", ("0.0 col_0=a;col_1=~;col_2=c", "0.1 col_0=b;col_1=;col_2=")),
+    ("| | |\n|-|-|\n|| ~ |\n", ("0.0 col_0=;col_1=~",)),
+    ("| A | B |\n| one\n  ~\n\n two | 2 |\n| 3 | 4\n| 5 | 6 |\n", ("0.0 A=one ~  two;B=2",)),
+    ("| A | | A |\n| 1 | ~ |\n", ("0.0 A=~",)),
+    ("| A |\n|---|\n~ | b\n| open ~\n1\n2\n3\n4\n5 |\n| next |\n", ("1.0 open ~ 1 2 3 4 5=next",)),
+    ("| A |\n| open ~\n1\n2\n3\n4\n5\n6 |\n| next |\n| open\n| B | C |\n| ~ | d |\n", ("0.0 B=~;C=d",)),
+)
+
+
+@query("l4_table_rows", _expected_texts(TABLES, "found") + " WHERE len(c.found) > 0")
+def table_rows(spark, sf_dir):
+    """Rules without headers, empty headers, short and long rows, cells broken over lines."""
+    d = _case(spark, sf_dir, [{"t": c[0]} for c in TABLES], "t string").select("doc_id", F.col("c.t").alias("text"))
+    rows = markdown.table_rows(d, "doc_id")
+    line = F.concat("table_no", F.lit("."), "row_no", F.lit(" "), F.get(_rows_text(F.array("row")), F.lit(0)))
+    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "row_no", line.alias("l")))), lambda x: x["l"]).alias("found"))
+
+
 #: Milestones as of 2024-07-01 with what they must give, written by hand: label, text; name, dates, confidence, resolution, scope.
 MILESTONES = (
     ((" Last date : ", "Monday, July 1st, 2024 & 3rd July 2024"), "Last date", ("2024-07-01", "2024-07-03"), "high", "explicit", "last-date"),

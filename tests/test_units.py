@@ -760,3 +760,96 @@ def test_inline_noise_and_navigation(spark):
     assert one(T.strip_inline_noise, None) is None and one(T.strip_inline_markup, " **a b** and _c_ snake_case_x ") == "a b and c snake_case_x"
     assert one(T.strip_nav_list_items, "* [Home](/)\nkept\n  - [Two](/b)\n3. [C](c) more\n1. [D](d)\n-[E](e)") == "kept\n3. [C](c) more\n-[E](e)"
     assert one(T.strip_nav_list_items, "") == "" and one(T.strip_nav_list_items, None) is None
+
+
+def test_payloads_of_unusual_inputs(spark):
+    """Null, blank and very long inputs of milestones, scholarships and profiles."""
+    from factmill.operators import payloads
+
+    rows = [(None, None, None, None), (" ", {}, [], []), ("&" * 3000, {"name": None}, [None, "7."], [None, " "]), ("x × " * 20000, {"Name": "", "Other": "12)"}, ["detail"], ["x"])]
+    df = spark.createDataFrame(rows, "t string, m map<string,string>, a array<string>, h array<string>")
+    day = F.lit("2024-07-01").cast("date")
+    dates = df.select(payloads.milestone_dates(F.col("t"), day).alias("d")).collect()
+    assert {(tuple(r.d.dates), r.d.confidence, r.d.resolution) for r in dates} == {((), "unknown", "unknown")}
+    found = [r.p for r in df.select(payloads.scholarship_payload(F.col("m"), F.col("t"), F.col("a")).alias("p")).collect()]
+    assert [p.name for p in found] == [None, None, "&" * 3000, ("x × " * 20000).strip()]
+    assert {(p.benefit, p.eligibility, p.duration, p.type) for p in found} == {(None,) * 4}
+    people = [r.p for r in df.select(payloads.profile_payload(F.col("h"), F.col("t")).alias("p")).collect()]
+    assert [(p.designation, p.biography_text) for p in people] == [(None, None), (None, None), (None, "&" * 3000), ("x", None)]
+    assert one(spark, payloads.biography_text(F.col("t")), t="ox x\u00d7 box x") == "ox x\u00d7 box x" and one(spark, payloads.biography_text(F.col("t")), t="box x \u00d7\nGallery") == "box"
+    assert one(spark, payloads.scholarship_key(F.col("t")), t="Need \u2013 based  Aid. *") == one(spark, payloads.scholarship_key(F.col("t")), t="need - based aid")
+
+
+def test_years_of_milestones_equal_a_plain_search(spark):
+    """Every day of a leap year with each weekday, against a loop over the three years."""
+    import calendar
+
+    from factmill.operators import payloads
+
+    as_of = datetime.date(2024, 7, 1)
+    days = [(m, d, w) for m in range(1, 13) for d in range(1, 32, 3) for w in range(7)] + [(2, 29, w) for w in range(7)]
+
+    def best(m, d, w):
+        options = []
+        for place, y in enumerate((2024, 2025, 2023)):
+            if d <= calendar.monthrange(y, m)[1]:
+                day = datetime.date(y, m, d)
+                options.append((2 * (day >= as_of - datetime.timedelta(180)) + (day.weekday() == w), -place, day))
+        return max(options)[2] if options else None
+
+    df = spark.createDataFrame([(i, f"{calendar.day_name[w]}, {calendar.month_abbr[m]} {d}") for i, (m, d, w) in enumerate(days)], "i int, t string")
+    got = {r.i: r.dates for r in payloads.normalize_milestones(df, F.col("t"), F.lit(as_of)).collect()}
+    assert got == {i: [x] if (x := best(*day)) else [] for i, day in enumerate(days)}
+
+
+def test_markdown_equals_plain_loops(spark):
+    """Sections with what stands under them, on random headings; a table of many rows; texts that are null, empty, or hold marks."""
+    import random
+
+    from factmill.operators import markdown
+
+    r = random.Random(5)
+    trees = [[(r.randint(1, 6), f"b{i}" if r.random() < 0.7 else "") for i in range(r.randint(1, 30))] for _ in range(60)]
+    texts = [(i, "\n".join(f"{'#' * level} h\n{body}" for level, body in t)) for i, t in enumerate(trees)]
+    df = spark.createDataFrame(texts + [(90, None), (91, ""), (92, "\x01a\x02b\x03")], "doc_id int, text string")
+    got = {(x.doc_id, x.section): x.content for x in markdown.with_children(markdown.section_rows(df, "doc_id"), "doc_id").collect()}
+
+    def content(t, i):
+        end = next((j for j in range(i + 1, len(t)) if t[j][0] <= t[i][0]), len(t))
+        return "\n\n".join(b for _, b in t[i:end] if b)
+
+    assert got == {(k, i): content(t, i) for k, t in enumerate(trees) for i in range(len(t))} | {(92, 0): "ab"}
+    long = spark.createDataFrame([(1, "| A | B |\n" + "| 1 | 2 |\n" * 20000 + "| open" + " x" * 20000), (2, None), (3, "|"), (4, "|\n|")], "doc_id int, text string")
+    assert {(x.doc_id, x.n) for x in markdown.table_rows(long, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {(1, 20000)}
+
+
+def test_moved_sources_and_due_ones(spark):
+    """Merges keep the row that was there; the order of visits follows the watch list among risky classes only; null moves do nothing."""
+    at = lambda d: datetime.datetime(2024, 1, d)
+    s = spark.createDataFrame(
+        [("u/a", True, at(3), "", "u/p", "k1"), ("u/b", False, at(9), "link b", None, "k2"), ("u/c", False, None, "link c", "u/a", "k3"), ("u/p", True, None, None, None, "k4")],
+        "source_url string, is_active boolean, last_seen_at timestamp, link_text string, parent_source_url string, note string",
+    )
+    moved = spark.createDataFrame([("u/c", "u/a"), ("u/b", "u/a"), ("u/p", "u/q"), ("u/a", None), ("u/x", "u/y"), (None, "u/z")], "old_url string, new_url string")
+    got = {r.source_url: r for r in lifecycle.rebind_urls(s, moved).collect()}
+    assert got.keys() == {"u/a", "u/q"}
+    a = got["u/a"]
+    assert (a.is_active, a.last_seen_at, a.link_text, a.parent_source_url, a.note) == (True, at(9), "link b", "u/q", "k1") and got["u/q"].note == "k4"
+    due = spark.createDataFrame(
+        [(f"u{i}", c, p, t, True, "allowed", "unverified") for i, (c, p, t) in enumerate([("policy", "weekly", None), ("merit_list", "weekly", None), ("merit_list", "weekly", at(1)), ("merit_list", "manual_only", None), ("research_subdomain", "weekly", None), ("merit_list", "weekly", at(29))])],
+        "source_url string, source_class string, refresh_policy string, last_crawled_at timestamp, is_active boolean, legal_status string, crawl_status string",
+    )
+    watch = spark.createDataFrame([("u2", 1), ("u2", 5), ("u0", 0), ("u5", 0)], "source_url string, place int")
+    now = F.lit(at(30))
+    order = lambda **more: [r.source_url for r in lifecycle.select_due_sources(due, now, **more).collect()]
+    assert order() == ["u1", "u2", "u4", "u0"] and order(watch=watch) == ["u2", "u1", "u4", "u0"] and order(watch=watch, limit=1) == ["u2"]
+    assert order(force=True, watch=watch) == ["u5", "u2", "u1", "u3", "u4", "u0"]
+
+
+def test_payload_json_of_nothing(spark):
+    from factmill.operators import payloads
+
+    df = spark.sql(
+        "SELECT * FROM VALUES (NULL), (named_struct('a', CAST(NULL AS STRING), '_b', 1, 'c', array(1.5BD, NULL), 'd', map(3, DATE '2024-01-02'), 'e', TIMESTAMP_NTZ '2024-01-02 03:04:05')) AS t(p)"
+    )
+    assert [r.json for r in payloads.serialize_payload(df, "p").collect()] == ["{}", '{"a":null,"c":["1.5",null],"d":{"3":"2024-01-02"},"e":"2024-01-02 03:04:05"}']
