@@ -232,10 +232,12 @@ def recompute(records: DataFrame, keys: list[str], anchor: Column, as_of) -> Dat
 
 
 def build_generation(records: DataFrame, only_current: bool = True) -> DataFrame:
-    """Chunks of the records to serve: primaries of their dedupe keys, or with only_current=False every record."""
+    """Chunks of the records to serve: primaries of their dedupe keys, or with only_current=False every record. Records with a payload (and
+    lists) are cut by the sections that it renders to, the others by their text."""
     from .chunks import build_chunks
 
     rows = records
     if only_current:
         rows = records.join(resolve_duplicates(records)[0].select("record_version_id"), "record_version_id", "left_semi")
-    return build_chunks(rows).join(records.select("record_version_id", "record_type"), "record_version_id")
+    payload, lists = (F.col(c) if c in records.columns else None for c in ("payload", "lists"))
+    return build_chunks(rows, payload=payload, lists=lists).join(records.select("record_version_id", "record_type"), "record_version_id")

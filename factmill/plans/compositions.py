@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factmill.functions import rendering
 from factmill.functions import text as T
 from factmill.operators import answers, filters, lifecycle, questions, search, sources, versions
 
@@ -154,6 +155,22 @@ def generation(spark, sf_dir):
     return lifecycle.build_generation(r).groupBy("record_version_id").agg((F.max("chunk_index") > 0).alias("split"))
 
 
+@query(
+    "j10_generation_sections",
+    f"""
+WITH {R.RENDERED}, {TOP}, h AS (SELECT *, prefix || chr(10) || 'Source Locator: ' || source_url || chr(10) || 'Cycle: ' || cycle_label AS head FROM c),
+a AS (SELECT record_version_id, record_type, list_transform(list_filter(sections, lambda s: s.text <> ''), lambda s: head || CASE WHEN s.label <> '' THEN chr(10) || 'Section: ' || s.label ELSE '' END || g || s.text) AS chunks FROM h)
+SELECT record_version_id, record_type, chunks FROM a JOIN top ON record_version_id = first WHERE low = high AND len(list_filter(chunks, lambda x: length(x) > 2000)) = 0""",
+)
+def generation_sections(spark, sf_dir):
+    """Chunks of the primaries by the sections of their payloads; of those whose sections all fit, as SQL can't split the others (see k2_chunk_split)."""
+    r = R._payloads(spark, sf_dir)
+    made = lifecycle.build_generation(r)
+    grouped = made.groupBy("record_version_id", "record_type").agg(F.max("chunk_count").alias("n"), F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("c"))
+    sections = F.size(rendering.render_sections(F.col("record_type"), F.col("payload"), F.col("lists"))).alias("sections")
+    return grouped.join(r.select("record_version_id", sections), "record_version_id").filter("n <= sections").select("record_version_id", "record_type", F.col("c.chunk_text").alias("chunks"))
+
+
 @query(
     "g9_final_select",
     f"""

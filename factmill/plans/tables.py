@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factmill.functions import text as T
 from factmill.functions import urls as U
 from factmill.operators import citations, extract, joins, lifecycle, listings, markdown, pages, payloads
+from factmill.sources import snapshots
 
 from . import adapters as A
 from .adapters import RECORDS_SQL as REC
@@ -612,10 +613,37 @@ def active_sources(spark, sf_dir):
     return A.sources(spark, sf_dir).filter(F.col("is_active") & ~F.col("source_class").isin("faculty")).select("source_url", "source_class")
 
 
-@query("a3_snapshot_keys", "SELECT page_id, sha256(html) AS content_hash, lower(regexp_extract(url, '^[^:/?#]+://([^/?#:]*)', 1)) || '/' || substr(sha256(html), 1, 12) || '.html' AS storage_key FROM pages")
+# Addresses of pages without query and fragment, some without a path, some long, some with empty steps.
+PLACES_SQL = """p AS (SELECT page_id, html, regexp_extract(url, '^[^:/?#]+://([^/?#:]*)', 1) AS host, CASE page_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/a//./b/' ELSE regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) END
+  || CASE WHEN page_id % 5 = 2 THEN repeat('/step', 50) ELSE '' END AS path, ['text/HTML; charset=utf-8', 'application/pdf', 'text/markdown', 'image/png'][page_id % 4 + 1] AS kind FROM pages),
+q AS (SELECT *, coalesce(nullif(trim(path, '/'), ''), 'index') AS place FROM p)"""
+
+
+def _places(spark, sf_dir):
+    i = F.col("page_id")
+    place = F.when(i % 5 == 0, "/").when(i % 5 == 1, "/a//./b/").otherwise(U.path(F.col("url")))
+    url = F.concat(F.regexp_extract("url", "^[^:/?#]+://[^/?#]*", 0), place, F.when(i % 5 == 2, F.repeat(F.lit("/step"), 50)).otherwise(""), F.lit("?q#f"))
+    kind = F.element_at(F.array(*map(F.lit, ("text/HTML; charset=utf-8", "application/pdf", "text/markdown", "image/png"))), (i % 4 + 1).cast("int"))
+    return A.table(spark, sf_dir, "pages").select("page_id", "html", url.alias("url"), kind.alias("content_type"))
+
+
+@query(
+    "a3_snapshot_keys",
+    f"""
+WITH {PLACES_SQL}, s AS (SELECT *, list_filter(string_split(place, '/'), lambda x: x NOT IN ('', '.')) AS steps, sha256(html) AS content_hash FROM q)
+SELECT page_id, content_hash, array_to_string(list_concat([lower(host)], steps[:-2], [steps[-1] || '-' || content_hash[1:12] || ['.html', '.pdf', '.md', '.bin'][page_id % 4 + 1]]), '/') AS storage_key FROM s""",
+)
 def snapshot_keys(spark, sf_dir):
     h = F.sha2("html", 256)
-    return A.table(spark, sf_dir, "pages").select("page_id", h.alias("content_hash"), F.concat(U.host(F.col("url")), F.lit("/"), F.substring(h, 1, 12), F.lit(".html")).alias("storage_key"))
+    return _places(spark, sf_dir).select("page_id", h.alias("content_hash"), snapshots.storage_key(F.col("url"), h, F.col("content_type")).alias("storage_key"))
+
+
+@query(
+    "a4_extraction_slugs",
+    f"WITH {PLACES_SQL}, s AS (SELECT *, replace(place, '/', '_') AS slug FROM q) SELECT page_id, CASE WHEN length(slug) > 200 THEN slug[1:187] || '_' || sha256(place)[1:12] ELSE slug END AS slug FROM s",
+)
+def extraction_slugs(spark, sf_dir):
+    return _places(spark, sf_dir).select("page_id", snapshots.extraction_slug(F.col("url")).alias("slug"))
 
 
 @query("h8_new_sources", f"WITH {SRC} SELECT source_url FROM src WHERE source_url NOT IN (SELECT source_url FROM src WHERE is_active)")

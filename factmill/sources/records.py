@@ -1,4 +1,4 @@
-"""Readers of source registries and fact records, and writers of extraction output."""
+"""Readers of source registries and fact records."""
 
 from __future__ import annotations
 
@@ -80,8 +80,3 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(have("default_authority_tier", "int"), F.lit(1)).alias("default_authority_tier"), F.coalesce(have("is_active", "boolean"), F.lit(True)).alias("is_active"),
         *(have(c).alias(c) for c in ("crawl_status", "parent_source_url", "link_text")),
     )
-
-
-def write_extraction(df: DataFrame, path: str) -> None:
-    """JSON files partitioned by source class."""
-    df.write.mode("errorifexists").partitionBy("source_class").json(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
 
 import pytest
@@ -853,3 +854,21 @@ def test_payload_json_of_nothing(spark):
         "SELECT * FROM VALUES (NULL), (named_struct('a', CAST(NULL AS STRING), '_b', 1, 'c', array(1.5BD, NULL), 'd', map(3, DATE '2024-01-02'), 'e', TIMESTAMP_NTZ '2024-01-02 03:04:05')) AS t(p)"
     )
     assert [r.json for r in payloads.serialize_payload(df, "p").collect()] == ["{}", '{"a":null,"c":["1.5",null],"d":{"3":"2024-01-02"},"e":"2024-01-02 03:04:05"}']
+
+
+def test_snapshots_and_extractions(spark, tmp_path):
+    from factmill.sources import snapshots
+
+    (tmp_path / "raw" / "deep").mkdir(parents=True)
+    (tmp_path / "raw" / "deep" / "a.HTML").write_bytes(b"<p>")
+    (tmp_path / "raw" / "b").write_bytes(b"x")
+    (tmp_path / "raw" / "none.md").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[1]: (r.content_type, r.length, r.content_hash[:6]) for r in snapshots.read_snapshots(spark, str(tmp_path / "raw")).collect()}
+    assert got == {"a.HTML": ("text/html", 3, hashlib.sha256(b"<p>").hexdigest()[:6]), "b": ("application/octet-stream", 1, hashlib.sha256(b"x").hexdigest()[:6])}
+    key = lambda u, t: one(spark, snapshots.storage_key(F.col("u"), F.lit("0123456789abcdef"), F.col("t")), u=u, t=t)
+    assert key("HTTP://X.edu:80/a/b.html?q", "text/html") == "x.edu/a/b.html-0123456789ab.html" and key("x", "Image/PDF") == "unknown-host/index-0123456789ab.pdf"
+    rows = spark.createDataFrame([("https://x.edu/a/b", "policy", i, None) for i in range(50)] + [("https://x.edu", "general", 50, "v")], "source_url string, source_class string, i int, v string")
+    snapshots.write_extraction(rows, str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out"))
+    assert {(r.source_class, r.slug, r["count"]) for r in back.groupBy("source_class", "slug").count().collect()} == {("policy", "a_b", 50), ("general", "index", 1)}
+    assert back.filter("source_url is null").isEmpty() and '"v":null' in next((tmp_path / "out" / "source_class=policy" / "slug=a_b").glob("*.json")).read_text()
