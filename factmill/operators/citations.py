@@ -7,7 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-VENUES = ("journal", "conference", "proceedings", "transactions", "letters", "symposium", "workshop", "review", "magazine", "ieee", "acm")
+VENUES = ("journal", "conference", "proceedings", "transactions", "letters", "symposium", "workshop", "review", "magazine")
+SOCIETIES = ("IEEE", "ACM")
 STATES = ("accepted", "published", "submitted", "appeared", "presented", "in press", "to appear")
 PUBLISHERS = ("press", "springer", "elsevier", "wiley", "taylor", "oxford", "cambridge")
 METRICS = ("snip", "sjr", "impact factor", "percentile in scopus", "ajg", "jcr")
@@ -20,6 +21,8 @@ YEAR = r"\b(20[0-9]{2})\b"
 LAST_YEAR, FIRST_YEAR = rf"(?U)^(.*){YEAR}(.*)$", rf"(?U)^(.*?){YEAR}(.*)$"
 LONE_YEAR = r"^(20[0-9]{2}) ?[.,;]?$"
 VOLUME = r"(?i)^(?:(?:vol|no)\.? *)?[0-9]+(?:\.[0-9]+)?$"
+#: Words that tell a venue, inside longer words too; societies by their capitals alone, as words of their own.
+VENUE = rf"(?:(?i:{'|'.join(VENUES)})|\b(?:{'|'.join(SOCIETIES)})\b)"
 LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85  ]"
 
 
@@ -65,7 +68,7 @@ def _volume(c: Column) -> Column:
 
 
 def _meta(c: Column) -> Column:
-    return F.lower(c).rlike("|".join((*VENUES, *PUBLISHERS, *STATES, r"vol\.", "^vol ", r"pp\."))) | _volume(c)
+    return c.rlike(VENUE) | F.lower(c).rlike("|".join((*PUBLISHERS, *STATES, r"vol\.", "^vol ", r"pp\."))) | _volume(c)
 
 
 def _leading(parts: Column, ok) -> Column:
@@ -123,7 +126,7 @@ def _without_and(c: Column) -> Column:
 
 def _people_then_venue(c: Column) -> Column:
     """Struct of authors and venue from 'Name, Name, venue': people end where a part is no name or speaks of a venue or state."""
-    names = lambda x: ~F.lower(x).rlike("|".join((*STATES, *VENUES))) & _person(_without_and(x))
+    names = lambda x: ~x.rlike(VENUE) & ~F.lower(x).rlike("|".join(STATES)) & _person(_without_and(x))
     state = r"(?i)^(?:accepted|published|submitted|appeared|presented)\s+(?:for\s+publication\s+)?in\s+"
     venue = lambda p, n: _given(_trim(F.regexp_replace(_trim(F.array_join(_tail(p, n), ", "), " ,.;"), state, "")))
     return _let(_pieces(c), lambda p: _let(_leading(p, names), lambda n: F.struct(F.transform(_head(p, n), _without_and).alias("authors"), venue(p, n).alias("venue"))))
@@ -279,7 +282,7 @@ def collapsed(c: Column) -> Column:
 
         return F.when(m.isNotNull(), _let(_pieces(_rtrim(m["title"], " ,")), parts))
 
-    pattern = rf"(?i)^(.+)((?:{'|'.join(VENUES)}).*)$"
+    pattern = rf"^(.+)({VENUE}.*)$"
     return _at_last_year(c["bare"], lambda before, year: _let(_groups(_rtrim(before, " ,("), pattern, "title", "venue"), lambda m: body(m, year)))
 
 
@@ -299,7 +302,7 @@ def before_comma(c: Column) -> Column:
 
     def body(head, year):
         title = _trim(F.regexp_replace(_trim(head, " ,;"), r"^.*?\(\d{4}\)[,.]?\s*", ""), " ,;")
-        return F.when(F.length(head) > 20, _let(title, lambda t: F.when(F.length(t) > 15, _cited(_nobody(), t, _none(), year))))
+        return _let(title, lambda t: F.when(F.length(t) > 15, _cited(_nobody(), t, _none(), year)))
 
     return _at_last_year(c["bare"], lambda before, year: _let(F.regexp_extract(_rtrim(before, " ,("), r"^(.*),", 1), lambda h: body(h, year)))
 

@@ -31,3 +31,10 @@ def test_references_without_a_semicolon_are_text(spark, tmp_path):
 def test_page_numbers_are_no_years(spark, tmp_path):
     pages = spark.createDataFrame([(i, "<html><body></body></html>") for i in range(1998, 2012)], "page_id long, html string")
     assert len(equal(spark, tmp_path, "l3_fee_tables", pages=pages)) == 14
+
+
+def test_short_words_of_citations_are_no_venues(spark, tmp_path):
+    texts = ["tact", "eacm these words", "ieee", "acme ieee jacm"]
+    rows = [(42 * n + case, texts[n]) for n in range(len(texts)) for case in range(42)]
+    found = equal(spark, tmp_path, "l8_citations", documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.form for r in found if r.doc_id % 42 == 31} == {"before_comma"}
