@@ -18,6 +18,7 @@ from factmill.functions.urls import slugify
 # Fixed values.
 WEEKDAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+YEARS = r"20\d{2}"
 CALENDAR = "undergraduate_or_general_admissions"
 BENEFIT = r"tuition fee waiver|fee waiver|waiver|discount|stipend of|\d+%\s*(?:tuition|fee|scholarship|waiver|discount)|rs\.?\s*[\d,]+"
 BENEFIT_WORDS = "stipend|waiver|discount|fee"
@@ -97,10 +98,10 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.when(day.between(1, F.dayofmonth(F.last_day(first))), F.make_date(year, month, day))
 
 
-def milestone_dates(text: Column, as_of: Column) -> Column:
+def milestone_dates(text: Column, as_of: Column, years: str = YEARS) -> Column:
     """Struct of dates (those that could be read, in their order), confidence and resolution of a text whose parts stand around '&'.
 
-    A part with a year of this century is `high`; one without, but with a weekday before it, takes of this year, the next and the last one
+    A part with a year that the pattern `years` fits, one of this century unless given, is `high`; one without, but with a weekday before it, takes of this year, the next and the last one
     (in this order where they tie) the date that is best: weekday right and not over 180 days ago, then not over 180 days ago, then weekday
     right; `medium` if the weekday is right, else `low`. Any other part is `unknown`. The weakest part counts; an empty text is unknown."""
     months = {form: i for i, name in enumerate(MONTHS, 1) for form in (name, name[:3])}
@@ -113,7 +114,7 @@ def milestone_dates(text: Column, as_of: Column) -> Column:
 
     def fields(r):
         form = lambda table: reduce(lambda t, rule: F.regexp_replace(t, f"^{rule[0]}$", rule[1]), table, r["t"])
-        marked = F.when(r["t"].rlike(r"\b20\d{2}\b"), form(DATED)).when(r["weekday"] != "", form(UNDATED)).otherwise("")
+        marked = F.when(r["t"].rlike(rf"\b{years}\b"), form(DATED)).when(r["weekday"] != "", form(UNDATED)).otherwise("")
         return F.struct(r["weekday"].alias("weekday"), F.split(marked, r"\|").alias("f"))
 
     def numbers(r):
@@ -147,9 +148,9 @@ def milestone_dates(text: Column, as_of: Column) -> Column:
     return let(F.transform(F.transform(F.transform(F.transform(some, reading), fields), numbers), dated), summary)
 
 
-def normalize_milestones(df: DataFrame, text: Column, as_of: Column) -> DataFrame:
+def normalize_milestones(df: DataFrame, text: Column, as_of: Column, years: str = YEARS) -> DataFrame:
     """Adds dates, confidence and resolution (see milestone_dates)."""
-    return df.withColumn("_m", milestone_dates(text, as_of)).select("*", "_m.*").drop("_m")
+    return df.withColumn("_m", milestone_dates(text, as_of, years)).select("*", "_m.*").drop("_m")
 
 
 # Scholarships

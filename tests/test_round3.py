@@ -38,3 +38,8 @@ def test_short_words_of_citations_are_no_venues(spark, tmp_path):
     rows = [(42 * n + case, texts[n]) for n in range(len(texts)) for case in range(42)]
     found = equal(spark, tmp_path, "l8_citations", documents=spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.form for r in found if r.doc_id % 42 == 31} == {"before_comma"}
+
+
+def test_years_of_the_last_century_are_read(spark, tmp_path):
+    orders = spark.createDataFrame([(i, 365 * i) for i in range(10)], "o_orderkey long, days int").selectExpr("o_orderkey", "timestamp(date_add(date'1995-12-30', days)) AS o_orderdate")
+    assert all(len(r.dates) == 2 for r in equal(spark, tmp_path, "l2_milestone_dates", orders=orders))
