@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factmill.functions.batches import bounded_batches
 from factmill.functions.rendering import let, render_prefix, render_sections
 
 # Fixed values.
 MAX_CHARS, OVERLAP = 2000, 200
+#: Records whose chunks are written at once.
+AT_A_TIME = 100
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", " ")
 
 
@@ -77,6 +81,7 @@ def build_chunks(
     Records of types with sections are cut by section first, the others stay whole; what is longer than `most` characters with its head
     is split, each part under the head. The head is the record's identity, its locator and cycle, and the section's label. Without a
     payload the text column is the content. A record without content is its head alone."""
+    bounded_batches(records.sparkSession)
     kind = F.col("record_type")
     if payload is None:
         sections = F.array(F.struct(F.lit("").alias("label"), F.coalesce(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("")).alias("text")))
@@ -88,17 +93,18 @@ def build_chunks(
     named = lambda word, c: F.concat(F.lit(f"{word}: "), F.nullif(F.col(c), F.lit("")))
     head = F.concat_ws("\n", first, named("Source Locator", locator), named("Cycle", "cycle_label"))
     rows = records.select("record_version_id", head.alias("_head"), sections.alias("_s"))
-    heads = F.transform("_s", lambda s: F.when(s["label"] != "", F.concat("_head", F.lit("\nSection: "), s["label"])).otherwise(F.col("_head")))
-    rows = rows.withColumns({"_heads": heads, "_texts": F.col("_s.text")})
 
-    @F.pandas_udf("array<string>")
-    def cut(tops: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else [p for h, t in zip(a, b) for p in _under(h, t, most)] for a, b in zip(tops, texts)], dtype=object)
-
-    whole = F.zip_with("_heads", "_texts", lambda h, t: F.when(t == "", h).otherwise(F.concat(h, F.lit("\n\n"), t)))
-    short = F.forall(whole, lambda x: F.length(x) <= most)
-    long = lambda c: F.when(~short, F.col(c))
-    parts = F.when(short, whole).otherwise(cut(long("_heads"), long("_texts")))
-    pieces = rows.withColumn("_parts", parts)
-    out = pieces.select("record_version_id", F.size("_parts").alias("chunk_count"), F.posexplode("_parts").alias("chunk_index", "chunk_text"))
+    def cut(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, AT_A_TIME):
+                out = []
+                for key, top, sections in zip(*(c.to_pylist() for c in batch.slice(a, AT_A_TIME).columns)):
+                    named = ((f"{top}\nSection: {s['label']}" if s["label"] else top, s["text"]) for s in sections or [])
+                    parts = [p for h, t in named for p in _under(h, t, most)]
+                    out += ((key, n, len(parts), p) for n, p in enumerate(parts))
+                if out:
+                    yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
+
+    names, kinds = ["record_version_id", "chunk_index", "chunk_count", "chunk_text"], [pa.string(), pa.int32(), pa.int32(), pa.string()]
+    out = rows.mapInArrow(cut, "record_version_id string, chunk_index int, chunk_count int, chunk_text string")
     return out.select("record_version_id", F.concat_ws(":", "record_version_id", F.lit("chunk"), "chunk_index").alias("chunk_id"), "chunk_index", "chunk_count", "chunk_text")
