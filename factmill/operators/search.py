@@ -107,9 +107,10 @@ def class_scores(hits: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 
 def expand_requests(queries: DataFrame) -> DataFrame:
-    """One row for each route and variant of a query."""
-    routes = queries.select("query_id", "variants", F.posexplode("routes").alias("route_no", "route"))
-    return routes.select("query_id", "route_no", "route", F.posexplode("variants").alias("variant_no", "variant"))
+    """One row for each route and variant of a query. Outer, as for an inner explode the planner filters by the arrays' sizes before, for which
+    it works out all routes again, every hint anew at each place that names it."""
+    routes = queries.select("query_id", "variants", F.posexplode_outer("routes").alias("route_no", "route")).filter("route_no IS NOT NULL")
+    return routes.select("query_id", "route_no", "route", F.posexplode_outer("variants").alias("variant_no", "variant")).filter("variant_no IS NOT NULL")
 
 
 def hydrate(points: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
