@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from factmill.functions.text import strip
 
+from .lifecycle import cut
+
 #: Lines of a range.
 RANGE = 4096
 # Lines that say nothing, titles that aren't names, what names, departments and programs look like, faculties of unlisted programs.
@@ -39,9 +41,10 @@ def lines(listings: DataFrame) -> DataFrame:
 
 
 def scan(df: DataFrame, key: str, order: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
-    """Adds running sums and running last values (of those that aren't null), each up to its own row, of each key's rows in order."""
+    """Adds running sums and running last values (of those that aren't null), each up to its own row, of each key's rows in order. The lineage
+    is cut, as rows are read twice, and scans stand on scans."""
     sums, lasts = sums or {}, lasts or {}
-    rows = df.withColumns({"_range": F.floor(F.col(order) / RANGE), **{f"_{n}": c.cast("long") for n, c in sums.items()}, **{f"_{n}": c for n, c in lasts.items()}})
+    rows = cut(df.withColumns({"_range": F.floor(F.col(order) / RANGE), **{f"_{n}": c.cast("long") for n, c in sums.items()}, **{f"_{n}": c for n, c in lasts.items()}}))
     within = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     newest = lambda n: F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col(order))).alias(f"_t{n}")
