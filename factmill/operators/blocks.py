@@ -17,9 +17,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factmill.functions.batches import bounded_batches
+
+#: Characters of texts that are counted at once.
+COUNTED = 1 << 20
 #: Queries in a pack, and the sides of the grid on which blocks and packs meet.
 PACK, ROWS, COLUMNS = 2000, 32, 32
 #: Rounded scores may lie so much above what bounds say.
@@ -32,9 +37,21 @@ def token_id(token: str) -> int:
     return int(hashlib.sha256(token.encode()).hexdigest()[:8], 16) % 2147483000 + 1
 
 
-def counted_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def counted_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, token id, weight) of each token [a-z0-9]+ of each lower-case text, by text and id; a text without tokens has the id 1 with
-    weight 1. Weights are round(1 + ln(1 + n), 6)."""
+    weight 1. Weights are round(1 + ln(1 + n), 6). Texts are counted by slices, as what is held meanwhile is many times their size."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = np.append(np.flatnonzero(np.diff(sizes // COUNTED, prepend=0)), len(texts))
+    out, a = [(NONE, NONE, np.zeros(0))], 0
+    for b in edges.tolist():
+        if b > a:
+            row, token, weight = _counted(texts.slice(a, b - a).to_pylist())
+            out.append((row + a, token, weight))
+            a = b
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = [(t or "").lower().encode() for t in texts]
     body, ends = np.frombuffer(b"\n".join(data) + b"\n", np.uint8), np.cumsum([len(d) + 1 for d in data])
     solid = ((body >= 48) & (body <= 57)) | ((body >= 97) & (body <= 122))
@@ -57,9 +74,10 @@ def token_weights(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            row, token, weight = counted_tokens(batch.column(1).to_pylist())
+            row, token, weight = counted_tokens(batch.column(1))
             yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(token), pa.array(weight)], [key, "token_id", "weight"])
 
+    bounded_batches(df.sparkSession)
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, token_id long, weight double")
 
 
@@ -97,7 +115,7 @@ def sparse_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            row, token, weight = counted_tokens(batch.column(1).to_pylist())
+            row, token, weight = counted_tokens(batch.column(1))
             if not len(row):
                 continue
             order = np.argsort(token, kind="stable")
@@ -222,6 +240,7 @@ def _bounds(blocks, packed, route, packs, parts, bound: Callable, query: str, qu
 
 def _in_blocks(blocks, queries, k, query, item, item_kind, columns, route, parts, bound, search, cut) -> DataFrame:
     """The k best of each query in every block of its route that counts: its most promising block first, then those that can reach its floor."""
+    bounded_batches(blocks.sparkSession)
     kind, packs = queries.schema[query].dataType.simpleString(), _packs_for(queries)
     bounds = cut(_bounds(blocks, _packed(queries, query, columns, route, packs), route, packs, parts, bound, query, kind))
     first = bounds.groupBy(query).agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
