@@ -6,7 +6,8 @@ by Gray rank, so that neighbours share bits; a leaf holds a run of them and the
 its children share, and children keep only what is not factored out. A search goes down with the differences summed so far
 and drops a whole node once they pass the radius.
 
-The pipeline's near-duplicates are decided on shingle sets instead, which meet at their rarest shingles: no fingerprint is between.
+The pipeline's near-duplicates come from the same index over fingerprints of shingle sets, and each pair is compared. Pairs that the index
+doesn't reach, as similar sets can differ in many bits, are found exactly: such sets meet at their rarest shingles.
 """
 
 from __future__ import annotations
@@ -214,6 +215,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 NEAR_WIDTH, NEAR_SIMILARITY = 5, 0.8
 #: Near-duplicates' sets share this part of the shingles at least among the first ones that are compared to begin with.
 NEAR_FIRST = 0.2
+#: Differing bits within which the index looks for near-duplicates first.
+NEAR_RADIUS = 3
 #: Rounds that compare each group's members with one of them before the pairs still apart are compared.
 NEAR_ROUNDS = 2
 
@@ -331,36 +334,53 @@ def _keys(sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def indexed_links(sets: DataFrame, similarity: float, radius: int = NEAR_RADIUS) -> DataFrame:
+    """sets (set, n, shingles), each once -> pairs (u, v) of sets at least so similar that the Gray-order index finds within the radius:
+    to the smallest set of a fingerprint, and across the fingerprints that it links."""
+
+    def run(batches):
+        for batch in batches:
+            fps = [fingerprint(x.values.to_numpy().view(np.uint64)) for x in batch.column("shingles")]
+            yield pa.record_batch([batch.column("set"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["set", "fp"])
+
+    made = cut(sets.select("set", "shingles").mapInArrow(run, "set long, fp long"))
+    least = cut(made.groupBy("fp").agg(F.min("set").alias("least")))
+    near = links(least.select("fp"), radius, pigeonhole_masks(radius, radius + 2), False)
+    at = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_set"))
+    across = near.join(at("u"), "u").join(at("v"), "v").select(F.col("u_set").alias("u"), F.col("v_set").alias("v"))
+    within = made.join(least, "fp").filter("set > least").select(F.col("set").alias("u"), F.col("least").alias("v"))
+    return _compared(sets, across.union(within), similarity)
+
+
+def _compared(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are so similar."""
+    side = lambda k, v: sets.select(F.col("set").alias(k), F.col("shingles").alias(v))
+    near = pairs.distinct().join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+    return near.mapInArrow(_similar(similarity), "u long, v long")
+
+
 def set_links(sets: DataFrame, similarity: float) -> DataFrame:
     """sets (set, n, shingles), each once -> pairs (u, v) of sets at least so similar; of the pairs of a group joined by links, a spanning
     part at least.
 
-    Sets meet at keys (_keys), which loses no pair. A pair is compared unless compared pairs that are similar join its sets already. In each
-    round every key's members are compared with the one of the commonest shingles; it is then done there. What is still apart is compared
+    First the fingerprints' index gives pairs, each compared (indexed_links). What it doesn't reach is found exactly: sets meet at keys
+    (_keys), which loses no pair. A pair is compared unless compared pairs that are similar join its sets already. In each round every key's members are compared with the one of the commonest shingles; it is then done there. What is still apart is compared
     pair by pair, members of a key's largest joined part against the rest alone.
     """
-    keys, found, roots = cut(_keys(sets, similarity)), None, None
+    found = cut(indexed_links(sets, similarity))
+    roots, keys = cut(components(found).select(F.col("node").alias("set"), "root")), cut(_keys(sets, similarity))
 
     def opened():
         """Keys whose members aren't all joined yet, with roots."""
-        if roots is None:
-            known = keys.withColumn("root", F.col("x.set"))
-        else:
-            known = keys.withColumn("set", F.col("x.set")).join(roots, "set", "left").select("key", "x", F.coalesce("root", "set").alias("root"))
+        known = keys.withColumn("set", F.col("x.set")).join(roots, "set", "left").select("key", "x", F.coalesce("root", "set").alias("root"))
         apart = known.groupBy("key").agg(F.min_by(F.struct("x", "root"), F.struct("x.rare", "x.set")).alias("p"), F.min("root").alias("a"), F.max("root").alias("z"))
         return known.join(apart.filter("a < z").select("key", F.col("p.x").alias("p"), F.col("p.root").alias("p_root")), "key")
 
-    def compared(pairs):
-        side = lambda k, v: sets.select(F.col("set").alias(k), F.col("shingles").alias(v))
-        near = pairs.distinct().join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
-        return near.mapInArrow(_similar(similarity), "u long, v long")
-
     for _ in range(NEAR_ROUNDS):
         tidy(sets.sparkSession)
         now = cut(opened())
         pairs = now.filter(F.col("root") != F.col("p_root")).filter(_can(similarity, "x", "p")).select(F.col("x.set").alias("u"), F.col("p.set").alias("v"))
-        met = compared(pairs)
-        found = cut(met if found is None else found.union(met))
+        found = cut(found.union(_compared(sets, pairs, similarity)))
         roots = cut(components(found).select(F.col("node").alias("set"), "root"))
         keys = now.filter(F.col("x.set") != F.col("p.set")).select("key", "x")
     tidy(sets.sparkSession)
@@ -371,7 +391,7 @@ def set_links(sets: DataFrame, similarity: float) -> DataFrame:
     b = now.select("key", F.col("x").alias("y"), F.col("root").alias("y_root"))
     once = (F.col("y_root") == F.col("most")) | (F.col("x.set") < F.col("y.set"))
     rest = a.join(b, "key").filter((F.col("root") != F.col("y_root")) & once & _can(similarity, "x", "y"))
-    return found.union(compared(rest.select(F.col("x.set").alias("u"), F.col("y.set").alias("v"))))
+    return found.union(_compared(sets, rest.select(F.col("x.set").alias("u"), F.col("y.set").alias("v")), similarity))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
