@@ -34,8 +34,8 @@ from .word_ids import binaries
 
 #: White space beyond ASCII, as bytes; a stretch doesn't begin after it.
 WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf|[\x1c-\x1f]")
-SLICE_BYTES = 8 << 20
-AT_A_TIME = 20_000
+SLICE_BYTES = 4 << 20
+AT_A_TIME = 5_000
 #: An id pair as one number: A's id above so many bits of B's.
 B_BITS = 20
 
