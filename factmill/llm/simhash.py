@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, tidy, utf8
+from .common import buckets_for, cut, fresh_path, tidy, utf8
 from .components import components
 
 LEAF, FAN, SLICE = 16, 8, 512
@@ -219,6 +219,8 @@ NEAR_FIRST = 0.2
 NEAR_RADIUS = 3
 #: Rounds that compare each group's members with one of them before the pairs still apart are compared.
 NEAR_ROUNDS = 2
+#: Keys at which sets meet are worked on by a task for each so many, whatever the number of shuffle partitions.
+KEYS = 50_000
 
 
 def _least(n, similarity):
@@ -226,7 +228,7 @@ def _least(n, similarity):
     return np.maximum(np.ceil(similarity * np.asarray(n) - 1e-9), 1).astype(np.int64)
 
 
-def _similar(similarity):
+def _similar(similarity, names):
     def run(batches):
         for batch in batches:
             keep = []
@@ -236,7 +238,7 @@ def _similar(similarity):
                 total = len(x) + len(y) - both
                 keep.append(total == 0 or both >= similarity * total)
             mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([batch.column(c).filter(mask) for c in ("u", "v")], ["u", "v"])
+            yield pa.record_batch([batch.column(c).filter(mask) for c in names], names)
 
     return run
 
@@ -353,35 +355,46 @@ def indexed_links(sets: DataFrame, similarity: float, radius: int = NEAR_RADIUS)
 
 
 def _compared(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets are so similar."""
+    """The pairs (u, v, and further longs that go with them) whose sets are so similar."""
+    names = pairs.columns
     side = lambda k, v: sets.select(F.col("set").alias(k), F.col("shingles").alias(v))
-    near = pairs.distinct().join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
-    return near.mapInArrow(_similar(similarity), "u long, v long")
+    near = pairs.distinct().join(side("u", "a"), "u").join(side("v", "b"), "v").select(*names, "a", "b")
+    return near.mapInArrow(_similar(similarity, names), ", ".join(f"{c} long" for c in names))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (set, root) once links (u, v) between roots, or sets that had no link yet, are added. Only the roots are linked anew."""
+    more = cut(components(links))
+    moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("set", F.coalesce("to", "root").alias("root"))
+    new = more.select(F.col("node").alias("set"), "root").join(roots.select("set"), "set", "left_anti")
+    return cut(moved.union(new))
 
 
 def set_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets (set, n, shingles), each once -> pairs (u, v) of sets at least so similar; of the pairs of a group joined by links, a spanning
-    part at least.
+    """sets (set, n, shingles), each once -> (set, root) for every set that is at least so similar to another, root being the smallest
+    of those that such pairs join.
 
     First the fingerprints' index gives pairs, each compared (indexed_links). What it doesn't reach is found exactly: sets meet at keys
     (_keys), which loses no pair. A pair is compared unless compared pairs that are similar join its sets already. In each round every key's members are compared with the one of the commonest shingles; it is then done there. What is still apart is compared
     pair by pair, members of a key's largest joined part against the rest alone.
     """
-    found = cut(indexed_links(sets, similarity))
-    roots, keys = cut(components(found).select(F.col("node").alias("set"), "root")), cut(_keys(sets, similarity))
+    roots = cut(components(indexed_links(sets, similarity)).select(F.col("node").alias("set"), "root"))
+    keys = cut(_keys(sets, similarity))
+    few = buckets_for(keys.count(), KEYS)
+    keys = keys.coalesce(few)
 
     def opened():
         """Keys whose members aren't all joined yet, with roots."""
-        known = keys.withColumn("set", F.col("x.set")).join(roots, "set", "left").select("key", "x", F.coalesce("root", "set").alias("root"))
+        known = keys.withColumn("set", F.col("x.set")).join(roots, "set", "left").select("key", "x", F.coalesce("root", "set").alias("root")).coalesce(few)
         apart = known.groupBy("key").agg(F.min_by(F.struct("x", "root"), F.struct("x.rare", "x.set")).alias("p"), F.min("root").alias("a"), F.max("root").alias("z"))
-        return known.join(apart.filter("a < z").select("key", F.col("p.x").alias("p"), F.col("p.root").alias("p_root")), "key")
+        return known.join(apart.filter("a < z").select("key", F.col("p.x").alias("p"), F.col("p.root").alias("p_root")), "key").coalesce(few)
 
     for _ in range(NEAR_ROUNDS):
         tidy(sets.sparkSession)
         now = cut(opened())
-        pairs = now.filter(F.col("root") != F.col("p_root")).filter(_can(similarity, "x", "p")).select(F.col("x.set").alias("u"), F.col("p.set").alias("v"))
-        found = cut(found.union(_compared(sets, pairs, similarity)))
-        roots = cut(components(found).select(F.col("node").alias("set"), "root"))
+        pairs = now.filter(F.col("root") != F.col("p_root")).filter(_can(similarity, "x", "p"))
+        pairs = pairs.select(F.col("x.set").alias("u"), F.col("p.set").alias("v"), F.col("root").alias("u_root"), F.col("p_root").alias("v_root"))
+        roots = _joined(roots, _compared(sets, pairs, similarity).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")))
         keys = now.filter(F.col("x.set") != F.col("p.set")).select("key", "x")
     tidy(sets.sparkSession)
     now = cut(opened().select("key", "x", "root"))
@@ -391,7 +404,8 @@ def set_links(sets: DataFrame, similarity: float) -> DataFrame:
     b = now.select("key", F.col("x").alias("y"), F.col("root").alias("y_root"))
     once = (F.col("y_root") == F.col("most")) | (F.col("x.set") < F.col("y.set"))
     rest = a.join(b, "key").filter((F.col("root") != F.col("y_root")) & once & _can(similarity, "x", "y"))
-    return found.union(_compared(sets, rest.select(F.col("x.set").alias("u"), F.col("y.set").alias("v")), similarity))
+    pairs = rest.select(F.col("x.set").alias("u"), F.col("y.set").alias("v"), F.col("root").alias("u_root"), F.col("y_root").alias("v_root"))
+    return _joined(roots, _compared(sets, pairs, similarity).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
@@ -416,8 +430,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark, path = df.sparkSession, fresh_path(df.sparkSession, "copies")
     made.select("id", "set").join(least, "set").filter("id > least").select("id", "least").write.parquet(path)
     copies = spark.read.parquet(path)
-    pairs = set_links(made.join(copies.select("id"), "id", "left_anti").select("set", "n", "shingles"), similarity)
-    at = lambda c: least.select(F.col("set").alias(c), F.col("least").alias(f"{c}_id"))
-    across = pairs.join(at("u"), "u").join(at("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
-    within = copies.select(F.col("id").alias("u"), F.col("least").alias("v"))
+    joined = set_links(made.join(copies.select("id"), "id", "left_anti").select("set", "n", "shingles"), similarity)
+    rooted = least.join(joined, "set").select("root", "least")
+    heads = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("top")), "root").select("least", "top"))
+    across = heads.select(F.col("least").alias("u"), F.col("top").alias("v"))
+    within = copies.join(heads, "least", "left").select(F.col("id").alias("u"), F.coalesce("top", "least").alias("v"))
+    # stars already, unless rows of different texts share an id
     return components(across.union(within)).withColumnRenamed("node", id_col)
