@@ -105,7 +105,7 @@ def let(value: Column, body) -> Column:
 
 def scalar(value: Column) -> Column:
     """Stripped text; empty counts as missing."""
-    return _missing(F.regexp_replace(value.cast("string"), r"^\s+|\s+$", ""))
+    return _missing(F.regexp_replace(value.cast("string"), r"^\s+|\s+\z", ""))
 
 
 def flatten_items(values: Column) -> Column:
@@ -127,7 +127,7 @@ def _missing(text: Column) -> Column:
 
 def _clean(values: Column) -> Column:
     """A payload's values stripped, without those that are missing."""
-    return F.map_filter(F.transform_values(values, lambda _, v: F.regexp_replace(v, r"^\s+|\s+$", "")), lambda _, v: F.coalesce(v, F.lit("")) != "")
+    return F.map_filter(F.transform_values(values, lambda _, v: F.regexp_replace(v, r"^\s+|\s+\z", "")), lambda _, v: F.coalesce(v, F.lit("")) != "")
 
 
 class Payload:

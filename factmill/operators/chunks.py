@@ -73,18 +73,11 @@ def _under(head: str, text: str, most: int) -> list[str]:
     return [f"{head}\n\n{part}" for part in split_one(text, room)]
 
 
-def build_chunks(
-    records: DataFrame, text: str = "text", most: int = MAX_CHARS, payload: Column | None = None, lists: Column | None = None, locator: str = "source_url"
-) -> DataFrame:
-    """record_version_id, chunk_id, chunk_index, chunk_count, chunk_text.
-
-    Records of types with sections are cut by section first, the others stay whole; what is longer than `most` characters with its head
-    is split, each part under the head. The head is the record's identity, its locator and cycle, and the section's label. Without a
-    payload the text column is the content. A record without content is its head alone."""
-    bounded_batches(records.sparkSession)
+def _under_heads(records: DataFrame, text: str, payload: Column | None, lists: Column | None, locator: str) -> DataFrame:
+    """record_version_id, what each chunk of the record begins with, and its sections."""
     kind = F.col("record_type")
     if payload is None:
-        sections = F.array(F.struct(F.lit("").alias("label"), F.coalesce(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("")).alias("text")))
+        sections = F.array(F.struct(F.lit("").alias("label"), F.coalesce(F.regexp_replace(text, r"^\s+|\s+\z", ""), F.lit("")).alias("text")))
         first = F.concat(F.lit("Source: "), kind)
     else:
         none = F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("text")))
@@ -92,19 +85,49 @@ def build_chunks(
         first = render_prefix(kind, payload)
     named = lambda word, c: F.concat(F.lit(f"{word}: "), F.nullif(F.col(c), F.lit("")))
     head = F.concat_ws("\n", first, named("Source Locator", locator), named("Cycle", "cycle_label"))
-    rows = records.select("record_version_id", head.alias("_head"), sections.alias("_s"))
+    return records.select("record_version_id", head.alias("_head"), sections.alias("_s"))
+
+
+def _cut(rows: DataFrame, most: int, made, fields: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """The rows that made(id, parts, split) gives of each record; split: some section with its head is longer than `most`."""
+    bounded_batches(rows.sparkSession)
 
     def cut(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, AT_A_TIME):
                 out = []
                 for key, top, sections in zip(*(c.to_pylist() for c in batch.slice(a, AT_A_TIME).columns)):
-                    named = ((f"{top}\nSection: {s['label']}" if s["label"] else top, s["text"]) for s in sections or [])
+                    named = [(f"{top}\nSection: {s['label']}" if s["label"] else top, s["text"]) for s in sections or []]
                     parts = [p for h, t in named for p in _under(h, t, most)]
-                    out += ((key, n, len(parts), p) for n, p in enumerate(parts))
+                    out += made(key, parts, any(len(h) + 2 * bool(t) + len(t) > most for h, t in named))
                 if out:
-                    yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
+                    yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), fields.values())], list(fields))
+
+    return rows.mapInArrow(cut, schema)
+
 
-    names, kinds = ["record_version_id", "chunk_index", "chunk_count", "chunk_text"], [pa.string(), pa.int32(), pa.int32(), pa.string()]
-    out = rows.mapInArrow(cut, "record_version_id string, chunk_index int, chunk_count int, chunk_text string")
+def build_chunks(
+    records: DataFrame, text: str = "text", most: int = MAX_CHARS, payload: Column | None = None, lists: Column | None = None, locator: str = "source_url"
+) -> DataFrame:
+    """record_version_id, chunk_id, chunk_index, chunk_count, chunk_text.
+
+    Records of types with sections are cut by section first, the others stay whole; what is longer than `most` characters with its head
+    is split, each part under the head. The head is the record's identity, its locator and cycle, and the section's label. Without a
+    payload the text column is the content. A record without content is its head alone."""
+    fields = {"record_version_id": pa.string(), "chunk_index": pa.int32(), "chunk_count": pa.int32(), "chunk_text": pa.string()}
+    out = _cut(
+        _under_heads(records, text, payload, lists, locator), most, lambda key, parts, _: [(key, n, len(parts), p) for n, p in enumerate(parts)], fields,
+        "record_version_id string, chunk_index int, chunk_count int, chunk_text string",
+    )
     return out.select("record_version_id", F.concat_ws(":", "record_version_id", F.lit("chunk"), "chunk_index").alias("chunk_id"), "chunk_index", "chunk_count", "chunk_text")
+
+
+def chunk_lists(
+    records: DataFrame, text: str = "text", most: int = MAX_CHARS, payload: Column | None = None, lists: Column | None = None, locator: str = "source_url"
+) -> DataFrame:
+    """record_version_id, chunks, split: the chunks of build_chunks as a row for each record, and whether some section with its head was
+    longer than `most`. Such a section may still give one part, as separators that follow each other are left out."""
+    fields = {"record_version_id": pa.string(), "chunks": pa.list_(pa.string()), "split": pa.bool_()}
+    return _cut(
+        _under_heads(records, text, payload, lists, locator), most, lambda key, parts, split: [(key, parts, split)], fields, "record_version_id string, chunks array<string>, split boolean"
+    )

@@ -504,12 +504,8 @@ SELECT record_version_id, CASE WHEN len(list_filter(chunks, lambda x: length(x)
 )
 def chunks_of_records(spark, sf_dir):
     """Chunks of every record; of those whose sections all fit, the texts (SQL can't split the others, see k2_chunk_split)."""
-    r = _payloads(spark, sf_dir)
-    sections = F.size(rendering.render_sections(F.col("record_type"), F.col("payload"), F.col("lists"))).alias("sections")
-    made = chunks.build_chunks(r, payload=F.col("payload"), lists=F.col("lists"))
-    grouped = made.groupBy("record_version_id").agg(F.max("chunk_count").alias("n"), F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("c"))
-    split = F.col("n") > F.col("sections")
-    return grouped.join(r.select("record_version_id", sections), "record_version_id").select("record_version_id", F.when(~split, F.col("c.chunk_text")).alias("chunks"), split.alias("split"))
+    made = chunks.chunk_lists(_payloads(spark, sf_dir), payload=F.col("payload"), lists=F.col("lists"))
+    return made.select("record_version_id", F.when(~F.col("split"), F.col("chunks")).alias("chunks"), "split")
 
 
 @query("k2_chunk_split")
