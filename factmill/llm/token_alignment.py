@@ -8,10 +8,11 @@ Neither tokenizer joins a byte that isn't white space with white space after it,
 is cut there into stretches, which are made distinct in each batch: a stretch is coded, checked and aligned once, and texts are put together from
 what it gave. Only numbers leave the batch:
 
-1. Each slice of a batch gives one row: its texts' counts, its distinct id pairs with the number of its texts that hold them, and for each
-   text the pairs it holds and how often. They are written as a table once.
+1. Each slice of a batch gives a row for each distinct id pair with the number of its texts that hold it, and a row for each text: its counts, the
+   pairs it holds by their places in the slice's order, and how often. They are written as one table once. Rows are as small as texts, so what
+   readers and writers hold at a time doesn't grow with the slices of a file.
 2. Pairs are summed over slices. Every slice has a pair once, so no pair is hot; a pair's highest rival for the same A id comes from maxima.
-3. Each slice asks for its own distinct pairs by an equi-join, gets the answers together with its row, and sums them up for each text. What is
+3. Each slice asks for its own distinct pairs by an equi-join, gets the answers together with its texts, and sums them up for each text. What is
    moved is slices times their own distinct pairs, a few hundredths of the tokens; nothing is broadcast.
 """
 
@@ -38,6 +39,8 @@ SLICE_BYTES = 4 << 20
 AT_A_TIME = 5_000
 #: An id pair as one number: A's id above so many bits of B's.
 B_BITS = 20
+#: Columns of the written table: a text's, then a pair's; a row has either.
+TABLE = ["slice", "id", "n_a", "n_b", "n_groups", "n_links", "groups", "held", "times", "pair", "texts"]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -204,8 +207,6 @@ class Aligned:
 
 
 def _slices(path_a: str, path_b: str, slice_bytes: int):
-    names = ["slice", "ids", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "texts", "held_at", "held", "times"]
-
     def run(batches):
         number, pair = TaskContext.get().partitionId() << 32, pair_of(path_a, path_b)
         for batch in batches:
@@ -235,33 +236,33 @@ def _slices(path_a: str, path_b: str, slice_bytes: int):
                 held, place = np.unique(np.repeat(owner, size) * max(len(pairs), 1) + rank, return_inverse=True)
                 often = np.bincount(place, np.repeat(times, size), len(held)).astype(np.int64)
                 owner, rank = held // max(len(pairs), 1), held % max(len(pairs), 1)
-                lists = lambda *v: [pa.array([x], pa.list_(pa.int64())) for x in v]
-                ints = lambda x: pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
-                columns = [
-                    pa.array([number]), pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), keys.slice(first, docs)), *lists(*sizes), pa.array([digests], pa.list_(pa.string())),
-                    *lists(pairs), ints(np.bincount(rank, minlength=len(pairs))), ints(np.searchsorted(owner, np.arange(docs + 1))), ints(rank), ints(often),
-                ]
-                yield pa.record_batch(columns, names)
+                at = pa.array(np.searchsorted(owner, np.arange(docs + 1)).astype(np.int32))
+                lists = (pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (rank, often))
+                own = [keys.slice(first, docs), *map(pa.array, sizes), pa.array(digests, pa.string()), *lists]
+                asked = [pa.array(pairs), pa.array(np.bincount(rank, minlength=len(pairs)).astype(np.int32))]
+                none = lambda columns, n: [pa.nulls(n, c.type) for c in columns]
+                for n, columns in ((len(pairs), none(own, len(pairs)) + asked), (docs, own + none(asked, docs))):
+                    if n:
+                        yield pa.record_batch([pa.array(np.full(n, number)), *columns], TABLE)
                 number += 1
 
     return run
 
 
 def _answered(id_col: str):
-    """The rows of a slice's texts, from its row and the answers to its pairs."""
+    """The rows of a slice's texts, from what they hold and the answers to the slice's pairs."""
     names = [id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = lambda name: left.column(name).chunk(0).flatten()
-        number = lambda name: row(name).to_numpy(zero_copy_only=False).astype(np.int64)
-        pairs, at, held, times = number("pairs"), number("held_at"), number("held"), number("times")
-        count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
-        asked = np.searchsorted(pairs, right.column("pair").to_numpy())
-        count[asked] = right.column("count").to_numpy()
-        best[asked] = right.column("best").to_numpy()
+        # all pairs of the slice are answered, so a pair's place is its place in order
+        order = np.argsort(right.column("pair").to_numpy())
+        count, best = (right.column(n).to_numpy()[order].astype(np.int64) for n in ("count", "best"))
+        held, times = (left.column(n).combine_chunks() for n in ("held", "times"))
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(held.value_lengths().to_numpy())])
+        held, times = (x.flatten().to_numpy().astype(np.int64) for x in (held, times))
         total = lambda x: np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(x)])[at])
-        columns = [row("ids"), *(row(n) for n in names[1:5]), pa.array(total(times * best[held])), pa.array(total(times * count[held])), row("groups")]
-        return pa.table(columns, names)
+        own = [left.column(n) for n in TABLE[1:6]]
+        return pa.table([*own, pa.array(total(times * best[held])), pa.array(total(times * count[held])), left.column("groups")], names)
 
     return run
 
@@ -275,16 +276,15 @@ def token_alignment(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_
     gives an empty result; further columns are ignored. A lost executor's slices are read again from the written table.
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
-    numbers = ", ".join(f"{n} array<long>" for n in ("n_a", "n_b", "n_groups", "n_links"))
-    schema = f"slice long, ids array<{kind}>, {numbers}, groups array<string>, pairs array<long>, texts array<int>, held_at array<int>, held array<int>, times array<int>"
+    schema = f"slice long, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, held array<int>, times array<int>, pair long, texts int"
     folder = fresh_path(spark, "alignment")
     df.select(F.col(id_col), F.col(text_col)).mapInArrow(_slices(path_a, path_b, slice_bytes), schema).write.parquet(folder)
-    asked = spark.read.schema(schema).parquet(folder).select("slice", F.explode(F.arrays_zip("pairs", "texts")).alias("p")).select("slice", F.col("p.pairs").alias("pair"), F.col("p.texts").alias("texts"))
+    asked = spark.read.schema(schema).parquet(folder).filter("pair IS NOT NULL").select("slice", "pair", "texts")
     counts = asked.groupBy("pair").agg(F.sum("texts").alias("count"))
     a_id = F.shiftright("pair", B_BITS)
     most = counts.groupBy(a_id.alias("a")).agg(F.max("count").alias("most"))
     judged = counts.join(most, a_id == F.col("a")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
     answers = asked.select("slice", "pair").join(judged.hint("shuffle_hash"), "pair")
     out = f"`{id_col}` {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    slices = spark.read.schema(schema).parquet(folder).drop("texts")
-    return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_answered(id_col), out)
+    texts = spark.read.schema(schema).parquet(folder).filter("pair IS NULL").drop("pair", "texts")
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_answered(id_col), out)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from factmill.llm import token_alignment
+
+from .llm.test_rules_runs_alignment import PATHS
 from .test_round3 import equal
 
 
@@ -23,3 +28,13 @@ def test_blanks_before_a_last_line_end_beyond_ascii_stay(spark, tmp_path):
     texts = ["ab \u0085", "ab  ", " \n ab \n", "ab\r\n  "]
     documents = spark.createDataFrame([(i, texts[i // 5], "en", "s1") for i in range(20)], "doc_id long, text string, lang string, source string")
     equal(spark, tmp_path, "k1_chunks", documents=documents, labels=spark.createDataFrame([(0, 1)], "doc_id long, quality int"))
+
+
+def test_aligned_slices_are_written_as_small_rows(spark, tmp_path, monkeypatch):
+    """A slice's texts and pairs are rows of their own, so that readers and writers, which hold many rows, hold few slices."""
+    monkeypatch.setattr(token_alignment, "fresh_path", lambda *_: f"file://{tmp_path}/slices")
+    texts = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one text of"), "id", F.lit("words")).alias("text"))
+    assert token_alignment.token_alignment(texts, *PATHS).count() == 300
+    rows = spark.read.parquet(f"{tmp_path}/slices").collect()
+    lists = [v for r in rows for v in r if isinstance(v, list)]
+    assert len(rows) > 300 and len(lists) == 600 and max(map(len, lists)) < 50
